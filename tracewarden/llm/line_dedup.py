@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common as C
 
 MIN_CHARS, MIN_DOCS = 40, 5
+_SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,20 +31,21 @@ def lines(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), _UPPER, _LOWER)
+    return F.translate(F.trim(line, F.lit(_SPACE)), _UPPER, _LOWER)
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 (128 bits), doc_id, pos of each line whose key has at least ``min_chars`` code points."""
     one = docs.select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = one.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.reverse("key")).alias("h2"), "doc_id", "pos")
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "pos")
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_dropped, words: the documents that lose lines; ``words`` maps 64-line word to a bitmap of dropped lines."""
     n = C.parts(docs.sparkSession)
-    sorted_lines = line_hashes(docs, min_chars).repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    # written first: the sampling that finds the ranges then reads hashes, not text
+    sorted_lines = C.stored(line_hashes(docs, min_chars), "hashes").repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     bits = F.struct(F.shiftright("pos", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63)).alias("bit"))
     # one row per key and document: its positions, as they stream past
     held = C.stored(sorted_lines.groupBy("h1", "h2", "doc_id").agg(F.collect_list(bits).alias("bits")), "lines")
