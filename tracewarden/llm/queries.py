@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat, line_dedup, merkle, packing, quality
+from tracewarden.llm import chat, html_extract, line_dedup, merkle, ngram_join, packing, pii, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op2_pii_surrogates": pii.op2_pii_surrogates,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_html_extraction": html_extract.op6_html_extraction,
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
