@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat, html_extract, line_dedup, merkle, ngram_join, packing, pii, quality, suffix_dedup
+from tracewarden.llm import chat, html_extract, line_dedup, merkle, ngram_join, packing, pii, quality, segment, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
+    "op8_sentencepiece_sampling": segment.op8_sentencepiece_sampling,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
