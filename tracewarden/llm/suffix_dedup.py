@@ -98,8 +98,16 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append((r[0], r[1], r[2] + at, r[3] + at, r[4] + at))
             found = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         row, key, at, low, high = found
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(key), p.column("doc_id").take(take), p.column("h1").take(take), *(pa.array(x.astype(np.int32)) for x in (at, low, high))], names=["key", "doc_id", "h1", "at", "low", "high"])
+        # one row for each text and key, as a periodic text has its key at every period
+        order = np.lexsort((at, key, row))
+        row, key, at, low = row[order], key[order], at[order], low[order]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+        first = np.flatnonzero(fresh)
+        off = pa.array(np.append(first, len(row)).astype(np.int32))
+        take = pa.array(row[first])
+        lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (at, low)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), p.column("doc_id").take(take), p.column("h1").take(take), *lists], names=["key", "doc_id", "h1", "at", "low"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,18 +115,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
             text = (batch.column("text")[r].as_py() or "").encode("utf-8")
-            marks = batch.column("marks")[r].as_py()
+            marks = [(m["key"], at, low) for m in batch.column("marks")[r].as_py() for at, low in zip(m["at"], m["low"], strict=True)]
             for at in range(0, len(marks), 4096):
                 part = marks[at : at + 4096]
                 n = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([m["key"] for m in part], pa.int64()),
-                        pa.array([text[m["at"] : m["at"] + SPAN] for m in part], pa.binary()),
-                        pa.array([text[m["low"] : m["at"]] for m in part], pa.binary()),
+                        pa.array([m[0] for m in part], pa.int64()),
+                        pa.array([text[m[1] : m[1] + SPAN] for m in part], pa.binary()),
+                        pa.array([text[m[2] : m[1]] for m in part], pa.binary()),
                         pa.array([batch.column("doc_id")[r].as_py()] * n, pa.int64()),
                         pa.array([batch.column("h1")[r].as_py()] * n, pa.int64()),
-                        pa.array([m["at"] for m in part], pa.int32()),
+                        pa.array([m[1] for m in part], pa.int32()),
                     ],
                     names=["key", "right", "left", "doc_id", "h1", "at"],
                 )
@@ -317,8 +325,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copies = C.stored(copies, "copies")
     spare = about.join(copies, ["h1", "h2"]).where("doc_id <> one").select("doc_id", "h1")
 
-    found = base.select("doc_id", "h1", "text").mapInArrow(_sample_rows, "key long, doc_id long, h1 long, at int, low int, high int")
-    twice = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1").drop("n")
+    found = base.select("doc_id", "h1", "text").mapInArrow(_sample_rows, "key long, doc_id long, h1 long, at array<int>, low array<int>")
+    twice = found.withColumn("n", F.sum(F.size("at")).over(W.partitionBy("key"))).where("n > 1").drop("n")
     marks = twice.groupBy("doc_id", "h1").agg(F.collect_set(F.struct("key", "at", "low")).alias("marks")).join(spare, ["doc_id", "h1"], "left_anti")
     live = C.stored(base.select("doc_id", "h1", "text").join(marks, ["doc_id", "h1"]).dropDuplicates(["doc_id", "h1"]), "live")
 
