@@ -41,6 +41,10 @@ WIDTH, PERCENT = 3, 90
 #: Longest list that is heap-merged; longer ones are probed.
 SHORT = 8
 STARS = 2
+#: Candidates that meet a node in one part.
+PER_PART = 256
+#: Ids of texts to fetch (16 bytes each) that may be broadcast; more are joined by a shuffle.
+MANY_IDS = 250_000
 
 
 def least_overlap(n):
@@ -143,11 +147,21 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in C.pieces(batches, "text"):
+def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full set of each node, once for every place that asks for it; b is null where the place is its own."""
+    for p in C.pieces(batches, "text", C.CHUNK_BYTES // 4):
         h, begin = shingle_sets(*C.buffers(p.column("text")))
-        full = pa.array([h[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([p.column("node"), full], names=["node", "hashes"])
+        to, part, b, full = [], [], [], []
+        for r, (node, places) in enumerate(zip(p.column("node").to_pylist(), p.column("places").to_pylist(), strict=True)):
+            data = h[begin[r] : begin[r + 1]].tobytes()
+            for x in places:
+                to.append(x["a"])
+                part.append(x["part"])
+                b.append(None if x["own"] else node)
+                full.append(data)
+        for at in range(0, len(to), 512):
+            cut = slice(at, at + 512)
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array(part[cut], pa.int64()), pa.array(b[cut], pa.int64()), pa.array(full[cut], pa.binary())], names=["a", "part", "b", "hashes"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -162,26 +176,37 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, b): the row with null b brings a's own set, the others those of its candidates."""
+    """Rows sorted by (a, part, b): the row with null b brings a's own set, the others those of its candidates."""
     now, own = None, None
     for batch in batches:
         a_out, b_out = [], []
-        for a, b, data in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"), strict=True):
+        for a, part, b, data in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"), strict=True):
             x = np.frombuffer(data.as_buffer(), np.uint64)
             if b is None:
-                now, own = a, x.copy()
-            elif now == a and linked(own, x):
+                now, own = (a, part), x.copy()
+            elif now == (a, part) and linked(own, x):
                 a_out.append(a)
                 b_out.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets link."""
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets link. A node with many candidates is met in several parts."""
     n = C.parts(pairs.sparkSession)
-    theirs = pairs.join(full.withColumnRenamed("node", "b"), "b").select("a", "b", "hashes")
-    own = full.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-    return own.unionByName(theirs).repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(_decide, "a long, b long")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_PART).cast("long").alias("parts"))
+    placed = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    theirs = placed.select(F.col("b").alias("node"), "a", "part", F.lit(False).alias("own"))
+    own = placed.select(F.col("a").alias("node"), "a", "part", F.lit(True).alias("own")).distinct()
+    places = theirs.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("a", "part", "own")).alias("places"))
+    rows = texts.join(places, "node").mapInArrow(_ship, "a long, part long, b long, hashes binary")
+    return C.stored(rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_decide, "a long, b long"), "links")
+
+
+def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends are in two components."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -189,28 +214,24 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = C.parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = C.stored(rows.mapInArrow(_sketches, "doc_id long, n long, node long, tokens array<long>"), "sets")
+    sketches = rows.mapInArrow(_sketches, "doc_id long, n long, node long, tokens array<long>")
+    sets = C.stored(sketches.select("doc_id", "n", "node"), "sets")
     nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
 
     # inverted lists of the prefixes; equal sets post once
-    posts = sets.select("node", "n", F.explode("tokens").alias("t")).repartition(n, "t").distinct()
+    posts = sketches.select("node", "n", F.explode("tokens").alias("t")).repartition(n, "t").distinct()
     shared = posts.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("t"))).where("df > 1")
     by_node = W.partitionBy("node")
     # a node whose single hashes alone leave fewer than T shared ones cannot link
-    live = shared.withColumn("held", F.count(F.lit(1)).over(by_node)).where(f"held >= {_NEED}").drop("held", "df")
-    live = live.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("t"))).where("df > 1")
-    live = C.stored(live, "lists")
-
-    short = live.where(F.col("df") <= SHORT)
-    members = short.groupBy("t").agg(F.sort_array(F.collect_list("node")).alias("members"), F.collect_list(F.struct("node", "n")).alias("own"))
-    queries = members.select("members", F.inline("own")).groupBy("node", "n").agg(F.collect_list("members").alias("lists"))
-    long = live.where(F.col("df") > SHORT)
-    n_long = long.groupBy("node").agg(F.count(F.lit(1)).alias("n_long"))
-    asked = queries.join(n_long, "node", "left").select("node", "lists", _sql(f"{_NEED} - coalesce(n_long, 0)").alias("need"))
+    counts = {"held": F.count(F.lit(1)).over(by_node), "n_long": F.count(F.when(F.col("df") > SHORT, 1)).over(by_node)}
+    live = C.stored(shared.withColumns(counts).where(f"held >= {_NEED}").drop("held"), "lists")
+
+    members = live.where(F.col("df") <= SHORT).groupBy("t").agg(F.sort_array(F.collect_list("node")).alias("members"), F.collect_list(F.struct("node", _sql(f"{_NEED} - n_long").alias("need"))).alias("own")).where(F.size("members") > 1)
+    asked = members.select("members", F.inline("own")).groupBy("node", "need").agg(F.collect_list("members").alias("lists"))
     found = asked.mapInArrow(_search, "a long, b long").distinct()
 
     # nodes whose long lists alone could hold a link meet in those lists, again in a prefix of them
-    heavy = long.withColumn("n_long", F.count(F.lit(1)).over(by_node)).where(f"n_long >= {_NEED}")
+    heavy = live.where(F.col("df") > SHORT).where(f"n_long >= {_NEED}")
     ordered = heavy.withColumn("k", F.row_number().over(by_node.orderBy("df", "t")))
     meet = ordered.where(f"k <= n_long - {_NEED} + 1").select("t", "node", "n")
     meet = C.stored(meet.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("t"))).where("df > 1").drop("df"), "meet")
@@ -222,10 +243,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(meet.select("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    texts = rows.join(ids, "doc_id")
-    full = C.stored(texts.select("node", "text").mapInArrow(_full_sets, "node long, hashes binary").dropDuplicates(["node"]), "full")
-    links = C.stored(verify(pairs, full), "links")
+    texts = C.stored(rows.join(C.sized_broadcast(C.stored(ids, "ids"), MANY_IDS), "doc_id").select("node", "text").dropDuplicates(["node"]), "texts")
+    # one candidate for each node first; then only pairs that would still join two components
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verify(first, texts)
     groups = components(links)
+    more = C.stored(across(pairs, groups), "pairs")
+    if not more.isEmpty():
+        links = links.union(verify(more, texts))
+        groups = components(links)
     if not meet.isEmpty():
         # what stars left apart: every pair of a long list whose ends are in two components
         labelled = meet.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -236,7 +262,7 @@ def classes(docs: DataFrame) -> DataFrame:
         apart = x.join(y, (F.col("x.t") == F.col("y.t")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         apart = C.stored(apart, "pairs")
         if not apart.isEmpty():
-            links = links.union(verify(apart, full))
+            links = links.union(verify(apart, texts))
             groups = components(links)
     # components by smallest doc_id
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -253,4 +279,4 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each group; of rows with equal doc_id, one."""
     gone = classes(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.join(C.sized_broadcast(gone, MANY_IDS), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
