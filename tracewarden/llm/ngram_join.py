@@ -12,11 +12,14 @@ T-occurrence search over inverted lists:
   T. Long lists are never merged: they are probed by binary search in the
   candidate's sorted set, which also decides the link exactly.
 * Nodes with so many long lists that short ones need not hold a link (large
-  groups of near copies) meet in their long lists: first along stars, whose
-  verified links join most of a group, then exactly, for every pair of a list
-  that is not yet in one component. Such pairs are the only ones left that can
-  change a component, so no link between components is lost and a group of n
-  linked copies costs about n checks instead of n * n.
+  groups of near copies) meet inside their long lists, in blocks. No pair is a
+  row there: parity signatures of the sets give a lower bound of their symmetric
+  difference, and only pairs that it cannot refute come out - each node's best
+  ones first, whose verified links join most of a group, then those that would
+  still join two components.
+
+No link between components is lost: a pair leaves only when its bound or its sets
+refute it, or when both ends already are in one component.
 
 Cases: null text or text without words has an empty set and is alone; fewer than
 three words make one shingle; repeated rows and ties fall into one node; the
@@ -40,7 +43,8 @@ from tracewarden.llm.graph import components
 WIDTH, PERCENT = 3, 90
 #: Longest list that is heap-merged; longer ones are probed.
 SHORT = 8
-STARS = 2
+#: Nodes of a long list that meet in one block of a task, and partners that a node names in an early round.
+BLOCK, BEST, ROUNDS = 20_000, 3, 2
 #: Candidates that meet a node in one part.
 PER_PART = 256
 #: Ids of texts to fetch (16 bytes each) that may be broadcast; more are joined by a shuffle.
@@ -82,8 +86,31 @@ def _sum_per_row(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
         return total[begin[1:]] - total[begin[:-1]]
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each of at least 2n buckets (a power of two), as 64-bit words. Two signatures
+    differ in at most as many bits as their sets do in members."""
+    bits = 64
+    while bits < 2 * len(h):
+        bits *= 2
+    odd = np.bincount((C.mix(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """A signature (last axis) at a smaller number of words: buckets that become one add their parities."""
+    while sig.shape[-1] > words:
+        half = sig.shape[-1] // 2
+        sig = sig[..., :half] ^ sig[..., half:]
+    return sig
+
+
+def most_difference(n, m):
+    """Largest symmetric difference of linked sets of n and m."""
+    return n + m - 2 * ((PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, node (hash of the whole set) and the smallest hashes."""
+    """doc_id, n, node (hash of the whole set), the smallest hashes and the signature."""
     for p in C.pieces(batches, "text"):
         h, begin = shingle_sets(*C.buffers(p.column("text")))
         n = np.diff(begin)
@@ -94,7 +121,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum(size, out=first[1:])
         at = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(begin[:-1], size)
         tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h[at].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n), pa.array(node), tokens], names=["doc_id", "n", "node", "tokens"])
+        sig = pa.array([signature(h[x:y]).tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n), pa.array(node), tokens, sig], names=["doc_id", "n", "node", "tokens", "sig"])
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[int]:
@@ -147,6 +175,108 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that their sizes and signatures do not refute."""
+    for batch in batches:
+        keep = []
+        for i, (n, m, x, y) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True)):
+            most = most_difference(n, m)
+            if abs(n - m) > most:
+                continue
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            words = min(len(x), len(y))
+            if int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= most:
+                keep.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+def block_pairs(node: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], group: np.ndarray, side: np.ndarray, best: int | None) -> set[tuple[int, int]]:
+    """Pairs of one block that sizes and signatures do not refute and whose ends are in two groups. ``side``: 0 and 1 for
+    a block of two parts of a list, of which only pairs across the parts count; 2 for one part. ``best``: how many
+    partners a node names, the nearest first; all if None."""
+    out: set[tuple[int, int]] = set()
+    words = np.array([len(x) for x in sigs])
+    for w in np.unique(words):
+        here = np.flatnonzero(words == w)
+        there = np.concatenate([here, np.flatnonzero(words == 2 * w)])
+        own = np.stack([sigs[i] for i in here])
+        other = np.concatenate([own, *([folded(np.stack([sigs[i] for i in there[len(here) :]]), w)] if len(there) > len(here) else [])])
+        for at in range(0, len(here), 256):
+            rows = here[at : at + 256]
+            x = own[at : at + 256]
+            near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for to in range(0, len(there), 2048):
+                cols = there[to : to + 2048]
+                most = most_difference(n[rows][:, None], n[cols][None, :])
+                ok = (np.abs(n[rows][:, None] - n[cols][None, :]) <= most) & (group[rows][:, None] != group[cols][None, :])
+                ok &= (side[rows][:, None] != side[cols][None, :]) | (side[rows][:, None] == 2)
+                if not ok.any():
+                    continue
+                d = np.zeros(ok.shape, np.int32)
+                for k in range(int(w)):
+                    d += np.bitwise_count(x[:, k][:, None] ^ other[to : to + 2048, k][None, :])
+                i, j = np.nonzero(ok & (d <= most))
+                near.append((rows[i], cols[j], d[i, j]))
+            if not near:
+                continue
+            i, j, d = (np.concatenate(v) for v in zip(*near, strict=True))
+            if best is not None:
+                order = np.lexsort((d, i))
+                i, j = i[order], j[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[rank < best], j[rank < best]
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            out.update(zip(a.tolist(), b.tolist(), strict=True))
+    return out
+
+
+def _meeting(best: int | None):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (t, part): each block in turn; a task says a pair once."""
+        said: set[tuple[int, int]] = set()
+        held: list[tuple] = []
+        key = None
+
+        def close() -> pa.RecordBatch | None:
+            node, n, group, side = (np.array([r[i] for r in held], np.int64) for i in (0, 1, 2, 3))
+            found = block_pairs(node, n, [r[4] for r in held], group, side, best) - said
+            if len(said) < 1_000_000:
+                said.update(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("t", "part", "node", "n", "component", "side")]
+            for t, part, node, n, component, side, sig in zip(*cols, batch.column("sig"), strict=True):
+                if (t, part) != key:
+                    if len(held) > 1:
+                        yield close()
+                    held, key = [], (t, part)
+                held.append((node, n, component, side, np.frombuffer(sig.as_buffer(), np.uint64).copy()))
+        if len(held) > 1:
+            yield close()
+
+    return meet
+
+
+def meeting_pairs(meet: DataFrame, sigs: DataFrame, groups: DataFrame | None, best: int | None) -> DataFrame:
+    """Candidates (a, b) of the long lists across components. A list is cut into blocks of at most ``BLOCK`` nodes, and
+    every two of its blocks meet in one task."""
+    n = C.parts(meet.sparkSession)
+    rows = meet.join(sigs, "node")
+    component = F.col("node")
+    if groups is not None:
+        rows = rows.join(groups, "node", "left")
+        component = F.coalesce("component", "node")
+    sizes = meet.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.withColumn("component", component).join(sizes, "t").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct((F.least("block", o) * F.col("blocks") + F.greatest("block", o)).alias("part"), F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side"))))
+    placed = rows.select("t", "node", "n", "component", "sig", part.alias("p")).select("t", "p.part", "p.side", "node", "n", "component", "sig")
+    if groups is not None:  # lists within one component have nothing left to say
+        mixed = rows.groupBy("t").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("t")
+        placed = placed.join(mixed, "t", "left_semi")
+    return placed.repartition(n, "t", "part").sortWithinPartitions("t", "part", "node").mapInArrow(_meeting(best), "a long, b long").distinct()
+
+
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full set of each node, once for every place that asks for it; b is null where the place is its own."""
     for p in C.pieces(batches, "text", C.CHUNK_BYTES // 4):
@@ -202,20 +332,13 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return C.stored(rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_decide, "a long, b long"), "links")
 
 
-def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are in two components."""
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     spark = docs.sparkSession
     n = C.parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = rows.mapInArrow(_sketches, "doc_id long, n long, node long, tokens array<long>")
-    sets = C.stored(sketches.select("doc_id", "n", "node"), "sets")
+    sketches = rows.mapInArrow(_sketches, "doc_id long, n long, node long, tokens array<long>, sig binary")
+    sets = C.stored(sketches.select("doc_id", "n", "node", "sig"), "sets")
     nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
 
     # inverted lists of the prefixes; equal sets post once
@@ -235,34 +358,23 @@ def classes(docs: DataFrame) -> DataFrame:
     ordered = heavy.withColumn("k", F.row_number().over(by_node.orderBy("df", "t")))
     meet = ordered.where(f"k <= n_long - {_NEED} + 1").select("t", "node", "n")
     meet = C.stored(meet.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("t"))).where("df > 1").drop("df"), "meet")
-    pairs = found
-    for k in range(STARS):
-        hub = meet.groupBy("t").agg(F.min_by("node", F.xxhash64(F.lit(k), "node")).alias("hub"))
-        pairs = pairs.union(meet.join(hub, "t").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-    pairs = C.stored(pairs.distinct(), "pairs")
+    found = C.stored(found, "pairs")
+    live_nodes = live.select("node").distinct()
+    sigs = C.stored(sets.select("node", "n", "sig").join(live_nodes, "node", "left_semi").dropDuplicates(["node"]), "signatures")
+    sized = found.join(sigs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+    pairs = C.stored(sized.mapInArrow(_possible, "a long, b long").union(meeting_pairs(meet, sigs.drop("n"), None, BEST)).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(meet.select("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
     texts = C.stored(rows.join(C.sized_broadcast(C.stored(ids, "ids"), MANY_IDS), "doc_id").select("node", "text").dropDuplicates(["node"]), "texts")
-    # one candidate for each node first; then only pairs that would still join two components
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verify(first, texts)
+    links = verify(pairs, texts)
     groups = components(links)
-    more = C.stored(across(pairs, groups), "pairs")
-    if not more.isEmpty():
-        links = links.union(verify(more, texts))
-        groups = components(links)
-    if not meet.isEmpty():
-        # what stars left apart: every pair of a long list whose ends are in two components
-        labelled = meet.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("t").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("t")
-        left = C.stored(labelled.join(mixed, "t"), "apart")
-        x, y = left.alias("x"), left.alias("y")
-        fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-        apart = x.join(y, (F.col("x.t") == F.col("y.t")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        apart = C.stored(apart, "pairs")
-        if not apart.isEmpty():
-            links = links.union(verify(apart, texts))
+    done = pairs
+    for k in range(ROUNDS if not meet.isEmpty() else 0):
+        last = k == ROUNDS - 1
+        more = C.stored(meeting_pairs(meet, sigs.drop("n"), groups, None if last else BEST).join(done, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links, done = links.union(verify(more, texts)), done.union(more)
             groups = components(links)
     # components by smallest doc_id
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
