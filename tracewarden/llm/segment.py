@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ SAMPLES, SEED = 2, 20_011
 ALPHA = 0.2
 #: Offset of Zipf's law by which a merge rank becomes a probability.
 ZIPF = 2.7
-_MAX_ARCS = 3_000_000
+_MAX_ARCS = 6_000_000
 _models: dict[str, Lattices] = {}
 
 
@@ -60,7 +61,9 @@ class _Rows:
         n = self.n + len(next(iter(more.values())))
         for k, x in more.items():
             if n > len(self.data[k]):
-                self.data[k] = np.resize(self.data[k], max(n, 2 * len(self.data[k])))
+                grown = np.empty(max(n, len(self.data[k]) * 3 // 2), self.data[k].dtype)
+                grown[: self.n] = self.data[k][: self.n]
+                self.data[k] = grown
             self.data[k][self.n : n] = x
         self.n = n
 
@@ -147,8 +150,8 @@ class Lattices:
 
     def clear(self) -> None:
         self.roots: dict[int, int] = {}
-        self.nodes = _Rows(start=np.int64, count=np.int64)
-        self.arcs = _Rows(cond=np.float64, share=np.float64, next=np.int64, what=np.int64)
+        self.nodes = _Rows(start=np.int32, count=np.int32)
+        self.arcs = _Rows(cond=np.float64, share=np.float32, next=np.int32, what=np.int32)
 
     def _bytes_arc(self, code: int) -> int:
         found = self.unknown.get(code)
@@ -159,10 +162,8 @@ class Lattices:
             self.arc_score = np.append(self.arc_score, self.byte_score * len(raw))
         return found
 
-    def add(self, chunks: list[str], keys: list[int]) -> None:
-        """Lattices of new chunks: nodes are characters, consecutive in a chunk; arcs carry their share of the mass."""
-        size = np.array([len(c) for c in chunks])
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def add(self, codes: np.ndarray, size: np.ndarray, keys: list[int]) -> None:
+        """Lattices of new chunks (code points of all, sizes, hashes): nodes are characters, consecutive in a chunk; arcs carry their share of the mass."""
         n = len(codes)
         end = np.repeat(np.cumsum(size), size)
         live, h = np.arange(n), np.zeros(n, np.uint64)
@@ -188,14 +189,15 @@ class Lattices:
             live, h = live[more], h[more]
             if not len(live):
                 break
-        at, length, what = (np.concatenate(x) for x in (at, length, what))
-        order = np.lexsort((length, at))
+        # arcs of a node together, the longest (which mostly holds most of the mass) first
+        at, length, what = (np.concatenate(x[::-1]) for x in (at, length, what))
+        order = np.argsort(at, kind="stable")
         at, length, what = at[order], length[order], what[order]
         count = np.bincount(at, minlength=n)
         start = np.cumsum(count) - count
         # backward masses, for all chunks together by distance from the end
         beta = np.zeros(n + 1)
-        left = end - np.arange(n)
+        left = (end - np.arange(n)).astype(np.int32)
         mass = self.arc_score[what]
         final = at + length == end[at]
         by_left = np.argsort(left, kind="stable")
@@ -209,8 +211,6 @@ class Lattices:
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(mass[arc] - top[owner]), first))
         base, arc_base = self.nodes.n, self.arcs.n
         cond = mass - beta[at]
-        order = np.lexsort((-cond, at))
-        cond, at, final, length, what = cond[order], at[order], final[order], length[order], what[order]
         run = np.concatenate([[0.0], np.cumsum(np.exp(cond))])
         share = run[1:] - run[start[at]]
         share[start + count - 1] = 2.0  # the last arc takes what rounding leaves
@@ -220,7 +220,7 @@ class Lattices:
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """First node of each chunk of each text (which gets a blank in front, unless it is empty). Chunks are known by
-        a hash of their bytes; only new ones become strings."""
+        a hash of their bytes."""
         data, off = C.buffers(pa.array([b" " + x.encode("utf-8", "surrogatepass") if x else b"" for x in texts], pa.large_binary()))
         if not len(data):
             return [np.zeros(0, np.int64) for _ in texts]
@@ -230,11 +230,16 @@ class Lattices:
         cut[off[:-1][np.diff(off) > 0]] = True
         begin = np.flatnonzero(cut)
         stop = np.append(begin[1:], len(data))
-        key, first, which = np.unique(C.range_hash(C.prefix_sums(data), begin, stop), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        new = [(k, i) for k, i in zip(keys, first.tolist(), strict=True) if k not in self.roots]
-        if new:
-            self.add([data[begin[i] : stop[i]].tobytes().decode("utf-8", "surrogatepass") for _, i in new], [k for k, _ in new])
+        which, keys = pd.factorize(C.range_hash(C.prefix_sums(data), begin, stop))
+        first = np.zeros(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        keys = keys.tolist()
+        new = np.array([i for k, i in zip(keys, first.tolist(), strict=True) if k not in self.roots], np.int64)
+        if len(new):
+            codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            size = place[stop[new]] - place[begin[new]]
+            self.add(codes[_spread(place[begin[new]], size)[1]], size, [keys[i] for i in which[new].tolist()])
         node = np.fromiter(map(self.roots.__getitem__, keys), np.int64, len(keys))[which]
         at = np.searchsorted(begin, off)
         return [node[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
@@ -298,22 +303,59 @@ class Descent:
     child. Later words draw one child each by its share of the mass, which is the same law.
     """
 
-    DEEP, EARLY = 40.0, 64
+    DEEP, EARLY = 38.0, 32
 
-    def __init__(self, t: dict, node: np.ndarray, text: np.ndarray, word: np.ndarray, logp: np.ndarray, value: np.ndarray, seed: np.ndarray, keep: int, early: int = EARLY) -> None:
+    def __init__(self, t: dict, node: np.ndarray, text: np.ndarray, word: np.ndarray, logp: np.ndarray, value: np.ndarray, seed: np.ndarray, keep: int) -> None:
         """``node``: where each word starts, ordered by (text, word); ``logp``, ``value``: of the node where the text starts."""
+        self.t, self.text, self.word, self.seed, self.value, self.keep = t, text, word, seed, value, keep
         n = len(logp)
         off = np.searchsorted(text, np.arange(n + 1))
-        near = np.arange(len(node)) - off[text] < early
-        steps = np.zeros(len(node), np.int64)
-        chosen, passed = [], []
-        live = np.flatnonzero(near)
-        at = node[live]
-        step = 0
+        place = np.arange(len(node)) - off[text]
+        self.steps = np.zeros(len(node), np.int64)
+        self.chosen: list[tuple] = []
+        found: list[tuple] = []
+        now, bound = logp.astype(float).copy(), np.full(n, -np.inf)
+        open_, low = np.ones(n, bool), 0
+        while True:  # windows of words, for as long as a text's siblings can still count
+            at = np.flatnonzero(open_[text] & (place >= low) & (place < low + self.EARLY))
+            if not len(at):
+                break
+            now, more = self._choose(at, node[at], now)
+            found.append(more)
+            own, got = (np.concatenate([f[k] for f in found]) for k in (0, 4))
+            order = np.lexsort((-got, own))
+            rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+            last = order[rank == keep - 1]
+            bound[own[last]] = got[last]
+            low += self.EARLY
+            open_ = now > bound - self.DEEP
+        self._draw(np.flatnonzero(self.steps == 0), node)
+        first = np.cumsum(self.steps) - self.steps
+        self.arc = np.zeros(int(self.steps.sum()), np.int64)
+        for w, s, a in self.chosen:
+            self.arc[first[w] + s] = a
+        self.off = np.append(first, len(self.arc))[off]
+        run = np.concatenate([[0.0], np.cumsum(t["cond"][self.arc])])
+        self.logp = logp + run[self.off[1:]] - run[self.off[:-1]]
+        self.words = np.repeat(word, self.steps)
+        self.siblings: list[list[tuple]] = [[] for _ in range(n)]
+        if found:
+            own, w, s, a, got, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((-got, own))
+            rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+            for i in order[rank < keep].tolist():
+                o = int(own[i])
+                self.siblings[o].append((float(got[i]), int(first[w[i]] + s[i] - self.off[o]), int(a[i]), float(before[i])))
+
+    def _choose(self, words: np.ndarray, at: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Gumbel values for every child in ``words``; the log-probability of each text after them, and its best siblings
+        among them: text, word, step, arc, value, log-probability of the parent."""
+        t, text, seed = self.t, self.text, self.seed
+        live, step, chosen, passed = words, 0, [], []
         while len(live):
             many = t["count"][at]
             owner, arc = _spread(t["start"][at], many)
-            val = t["cond"][arc] + _noise(seed[text[live]][owner], word[live][owner], step, arc - t["start"][at][owner])
+            val = t["cond"][arc] + _noise(seed[text[live]][owner], self.word[live][owner], step, arc - t["start"][at][owner])
             top = np.maximum.reduceat(val, np.cumsum(many) - many)
             best = np.flatnonzero(val == top[owner])
             if len(best) > len(live):
@@ -324,70 +366,52 @@ class Descent:
             passed.append((live[owner[rest]], np.full(len(rest), step), arc[rest], val[rest], top[owner[rest]]))
             pick = arc[best]
             chosen.append((live, step, pick))
-            steps[live] += 1
+            self.steps[live] += 1
             to = t["next"][pick]
             live, at = live[to >= 0], to[to >= 0]
             step += 1
-        live = np.flatnonzero(~near)
-        at = node[live]
-        own_seed, own_word = seed[text[live]], word[live]
-        step = 0
+        self.chosen += chosen
+        local = np.zeros(len(self.steps), np.int64)
+        size = self.steps[words]
+        local[words] = np.cumsum(size) - size
+        cond = np.zeros(int(size.sum()))
+        for w, s, a in chosen:
+            cond[local[w] + s] = t["cond"][a]
+        run = np.concatenate([[0.0], np.cumsum(cond)])
+        own = text[words]
+        texts, begin = np.unique(own, return_index=True)
+        begin = local[words[begin]]
+        base = np.zeros(len(now))
+        base[texts] = now[texts] - run[begin]
+        after = now.copy()
+        after[texts] = base[texts] + run[np.append(begin[1:], len(cond))]
+        w, s, a, val, top = (np.concatenate(x) for x in zip(*passed, strict=True))
+        own = text[w]
+        before = run[local[w] + s] + base[own]
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            v = self.value[own] - before - val + np.log(-np.expm1(val - top))
+            got = self.value[own] - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
+        order = np.lexsort((-got, own))
+        order = order[np.arange(len(order)) - np.searchsorted(own[order], own[order]) < self.keep]
+        return after, tuple(x[order] for x in (own, w, s, a, got, before))
+
+    def _draw(self, live: np.ndarray, node: np.ndarray) -> None:
+        """One child for each node on the way, by its share of the mass."""
+        t = self.t
+        at, seed, word, step = node[live], self.seed[self.text[live]], self.word[live], 0
         while len(live):
-            u = _uniform(own_seed, own_word, step)
+            u = _uniform(seed, word, step)
             pick = t["start"][at]
             past = np.flatnonzero(u >= t["share"][pick])
             while len(past):
                 pick[past] += 1
                 past = past[u[past] >= t["share"][pick[past]]]
-            chosen.append((live, step, pick))
-            steps[live] += 1
+            self.chosen.append((live, step, pick))
+            self.steps[live] += 1
             to = t["next"][pick]
             on = np.flatnonzero(to >= 0)
-            live, at, own_seed, own_word = live[on], to[on], own_seed[on], own_word[on]
+            live, at, seed, word = live[on], to[on], seed[on], word[on]
             step += 1
-        first = np.cumsum(steps) - steps
-        total = int(steps.sum())
-        self.arc = np.zeros(total, np.int64)
-        for w, s, a in chosen:
-            self.arc[first[w] + s] = a
-        self.word, owner_text = np.repeat(word, steps), np.repeat(text, steps)
-        cond = t["cond"][self.arc]
-        run = np.concatenate([[0.0], np.cumsum(cond)])
-        self.off = np.searchsorted(owner_text, np.arange(n + 1))
-        before = run[:-1] - run[self.off[owner_text]] + logp[owner_text]
-        self.logp = logp + run[self.off[1:]] - run[self.off[:-1]]
-        self.siblings: list[list[tuple]] = [[] for _ in range(n)]
-        w, s, a, val, top = (np.concatenate(x) for x in zip(*passed, strict=True)) if passed else (np.zeros(0, np.int64),) * 5
-        bound = np.full(n, -np.inf)
-        if len(w):
-            own = text[w]
-            at = first[w] + s
-            g = before[at] + val
-            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-                v = value[own] - g + np.log(-np.expm1(val - top))
-                got = value[own] - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
-            order = np.lexsort((-got, own))
-            rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
-            last = order[rank == keep - 1]
-            bound[own[last]] = got[last]
-            for i in order[rank < keep].tolist():
-                o = int(own[i])
-                self.siblings[o].append((float(got[i]), int(at[i] - self.off[o]), int(a[i]), float(before[at[i]])))
-        # a text whose first words hold too few choices to tell is done again with Gumbel values throughout
-        far = np.flatnonzero(np.diff(off) > early)
-        short = far[before[first[off[far] + early]] > bound[far] - self.DEEP] if len(far) else far
-        if len(short):
-            again = np.isin(text, short)
-            number = np.searchsorted(short, text[again])
-            d = Descent(t, node[again], number, word[again], logp[short], value[short], seed[short], keep, len(node))
-            size = np.diff(self.off)
-            size[short] = np.diff(d.off)
-            parts = [(self.arc[x:y], self.word[x:y]) for x, y in zip(self.off[:-1], self.off[1:], strict=True)]
-            for k, i in enumerate(short.tolist()):
-                parts[i] = (d.arc[d.off[k] : d.off[k + 1]], d.word[d.off[k] : d.off[k + 1]])
-                self.logp[i], self.siblings[i] = d.logp[k], d.siblings[k]
-            self.arc, self.word = (np.concatenate(x) for x in zip(*parts, strict=True))
-            self.off = np.concatenate([[0], np.cumsum(size)])
 
 
 def sample_batch(model: Lattices, keys: list[int], texts: list[str], samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -414,7 +438,7 @@ def sample_batch(model: Lattices, keys: list[int], texts: list[str], samples: in
         d = Descent(t, node, text, at, np.array([j[5] for j in jobs]), np.array([j[6] for j in jobs]), own_seed, samples - k + 1)
         for x, (i, prefix, prefix_words, _, _, _, value) in enumerate(jobs):
             arcs = np.concatenate([prefix, d.arc[d.off[x] : d.off[x + 1]]])
-            arc_words = np.concatenate([prefix_words, d.word[d.off[x] : d.off[x + 1]]])
+            arc_words = np.concatenate([prefix_words, d.words[d.off[x] : d.off[x + 1]]])
             done[i].append((arcs, float(d.logp[x]), value))
             agenda[i] += [(got, arcs, arc_words, len(prefix) + pos, a, before) for got, pos, a, before in d.siblings[x]]
         jobs = []
