@@ -1,0 +1,300 @@
+import hashlib
+import math
+import re
+import zlib
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tracewarden.llm import chat, html_extract, merkle, packing, pii, quality, segment
+
+
+# --- quality ---------------------------------------------------------------------------------------------------------
+
+
+def brute_counts(t):
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 400 else {w for w, n in __import__("collections").Counter(windows).items() if n > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(8)}
+    lines, seen, dup = t.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered))
+
+
+def test_counts(corpus):
+    texts = [t for _, t in corpus] + ["a\na\nb\n a\na", "# | é\n# | é\n\n\n", "\n", "w " * 50]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    from tracewarden.llm.common import buffers
+
+    s = quality.count_statistics(*buffers(batch.column("text")))
+    assert list(zip(*(s[c].tolist() for c in quality.COUNTS), strict=True)) == [brute_counts(t) for t in texts]
+
+
+def test_quality_rejects_outliers_and_keeps_the_rest(spark):
+    rng = np.random.default_rng(0)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 120)), ("en", None)[i % 7 == 0], f"s{i % 2}") for i in range(160)]
+    rows += [(1000 + i, " ".join(w + "###" for w in rng.choice(vocabulary, 120)), "en", "s0") for i in range(8)]
+    rows += [(2000, None, "en", "s0"), (2001, "", "en", "s0"), (2002, "same " * 60, "xx", "s9"), (2003, rows[0][1], "xx", None)] + [(3000 + i, rows[1][1], "en", "s1") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_words": F.lit("clash"), "mu": F.lit(1)})
+    got = {r["doc_id"]: r for r in quality.judge_ids(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["kept"] for i in [*range(160), 2003, *range(3000, 3030)])
+    assert not any(got[i]["kept"] for i in [*range(1000, 1008), 2000, 2001, 2002])
+    assert got[2002]["base_failed"] and not got[1000]["base_failed"]
+    assert quality.judge_ids(df.limit(0)).count() == 0
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def test_ids_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    exact, fast = Tokenizer.from_file(path), packing.encoder(path)
+    for t in ["", " ", "a", "Hello  world\n\n it's\t42 ñandú", "日本語🎉 x", "a<|endoftext|>b", "x" * 500, "\x00\x01", "   ."]:
+        assert fast(t).tolist() == exact.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [16, 100])
+def test_plans_place_every_piece_once(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        counts = {int(n): int(rng.integers(1, 50)) for n in rng.integers(1, size + 1, rng.integers(1, 12))}
+        used, total = {}, dict.fromkeys(counts, 0)
+        for length, many, first, offset in packing.best_fit(counts, size):
+            total[length] += many
+            for s in range(first, first + many):
+                used.setdefault(s, []).append((offset, length))
+        assert total == counts
+        for pieces in used.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= size
+        least = max(math.ceil(sum(k * v for k, v in counts.items()) / size), sum(v for k, v in counts.items() if 2 * k > size))
+        assert least <= len(used) <= 1.5 * least + 1
+
+
+def test_packing(spark, docs, corpus):
+    size = 64
+    p = packing.place(packing.token_pieces(docs, size=size), size).collect()
+    encode = packing.encoder(packing.default_vocabulary())
+    by_doc = {}
+    for r in p:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for i, t in corpus:
+        ids = [*encode(t or "").tolist(), 0]
+        own = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and sum(r["length"] for r in own) == len(ids)
+        assert all(r["length"] == size for r in own[1:])
+        for r in own:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert zlib.crc32(part.tobytes()) == r["ids_crc32"]
+    seqs = {}
+    for r in p:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in seqs.values():
+        assert sum(n for _, n in s) <= size and [o for o, _ in sorted(s)] == np.cumsum([0, *(n for _, n in sorted(s))])[:-1].tolist()
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+# --- fingerprints ----------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, docs, corpus):
+    got = {r["doc_id"]: r for r in merkle.fingerprint_table(docs).collect()}
+    rows = [(i, t or "") for i, t in corpus]
+    assert len(got) == len(rows)
+    for (i, t), (_, nxt) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        e = merkle.edited(t, nxt)
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == tuple(merkle.fingerprints([t, e]))
+        assert got[i]["near_edited"] == merkle.likeness(got[i]["fingerprint"], got[i]["edited_fingerprint"])
+        assert (t == e) == (got[i]["fingerprint"] == got[i]["edited_fingerprint"])
+    assert merkle.fingerprint_table(docs.limit(0)).count() == 0
+    one = merkle.fingerprint_table(docs.where("doc_id = 3")).first()
+    assert one["near_next"] == 1.0
+
+
+def test_edits_are_located():
+    a = "\n".join(f"line {i}" for i in range(40))
+    b = a.replace("line 17\n", "line x\n")
+    assert merkle.locate_edits(a, b) == [17] and merkle.locate_edits(a, a) == []
+    assert merkle.likeness(*merkle.fingerprints([a, a])) == 1.0 and merkle.likeness(*merkle.fingerprints(["p q r", "s t u"])) == 0.0
+
+
+# --- pages -----------------------------------------------------------------------------------------------------------
+
+SITE = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><div>Shared line</div><div class='cookie-notice'>Cookies</div>{body}<form><p>Name</p></form><div>Other shared</div><ul class=comments><li>first!</li></ul><footer>f</footer></body></html>"
+
+
+def page(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_article_element(spark):
+    html = "<nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two  three<p>four <b>five</b><aside>side</aside></article>"
+    got = html_extract.extract(page(spark, [(1, "http://h/a", html), (2, "http://h/b", html), (3, "http://h/c", None), (4, None, "plain &lt;text&gt;")])).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[1] == text[2] == "A & B\none two three\nfour five" and text[3] == "" and text[4] == "plain <text>"
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_differencing_removes_shared_lines(spark):
+    rows = [(i, f"http://Host/x/{i}", SITE.format(body=f"<p>Own text {i}</p><p>More {i}</p>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(page(spark, rows)).collect()}
+    assert got == {i: f"Own text {i}\nMore {i}" for i in range(6)}
+    alone = html_extract.extract(page(spark, rows[:1])).first()["text"]
+    assert alone == "Shared line\nOwn text 0\nMore 0\nOther shared"
+    assert html_extract.extract(page(spark, rows[:0])).count() == 0
+
+
+def test_longest_common_lines():
+    def length(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in product(range(len(a)), range(len(b))):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a, b = (rng.integers(0, 4, rng.integers(0, 12)).tolist() for _ in range(2))
+        at = html_extract.common_lines(a, b)
+        assert len(at) == length(a, b) == len(set(at)) and at == sorted(at)
+        it = iter(b)
+        assert all(any(x == y for y in it) for x in (a[i] for i in at))
+
+
+# --- chat ------------------------------------------------------------------------------------------------------------
+
+
+def test_snapshots_collapse(spark):
+    said = [("user", "a"), ("assistant", "b"), ("user", "c")]
+    convs = {1: said[:1], 2: said[:2], 3: said, 4: said, 5: [("user", "a"), ("assistant", "x")], 6: [("user", None)], 7: [("system", "a")]}
+    rows = [(c, i, r, t, "extra") for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, full string")
+    got = {r["conv_id"]: r for r in chat.render(chat.maximal(df)).collect()}
+    assert set(got) == {3, 5, 6, 7} and got[3]["n_equal"] == 2
+    assert got[5]["chat"] == "<|user|>\na\n<|end|>\n<|assistant|>\nx\n<|end|>\n"
+    assert chat.maximal(df.limit(0)).count() == 0
+
+
+# --- surrogates ------------------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(d)) % 10 == 0
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "mail a.b@mail3.example.com, card 4111 1111 1111 1111 and 4111-1111-1111-1111, +1 (212) 555-0199 at 10.20.30.40."),
+        (2, 'again a.b@mail3.example.com and A.B@mail3.example.com, 4111111111111111, token = "0123456789abcdef0123456789ABCDEF" 0123456789abcdef0123456789abcdef'),
+        (3, "Mr John Smith met Mrs. Anna Smith; господин Иванов; 12125550199; 1.2.3 and version 10.20; é@x"),
+        (4, None), (5, ""), (6, "nothing here 42"), (6, "card 1234567812345678"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_entities", F.lit("clash"))
+    out = pii.replace_entities(df).collect()
+    text = {(r["doc_id"], i): r["text"] for i, r in enumerate(sorted(out, key=lambda r: (r["doc_id"], r["text"] or "")))}
+    got = {k[0]: v for k, v in text.items() if k[0] != 6}
+    six = [v for k, v in text.items() if k[0] == 6]
+    assert got[4] is None and got[5] == "" and "nothing here 42" in six
+    cards = re.findall(r"\d{4}(?:([ -]?)\d{4}){3}", got[1])
+    one = re.search(r"card ((?:\d{4} ){3}\d{4}) and ((?:\d{4}-){3}\d{4})", got[1])
+    plain = re.search(r"\b\d{16}\b", got[2])[0]
+    assert cards and one and one[1].replace(" ", "") == one[2].replace("-", "") == plain and luhn(plain) and plain[0] == "4" and plain != "4111111111111111"
+    fake = next(v for v in six if v.startswith("card"))[5:]
+    assert not luhn(fake) and fake != "1234567812345678"
+    mail = re.search(r"mail (\S+?),", got[1])[1]
+    assert re.fullmatch(r"[a-z]\.[a-z]@[a-z]{4}\d\.example\.com", mail) and mail in got[2] and "mail3" not in got[2]
+    octets = re.search(r"at (\S+)\.$", got[1])[1].split(".")
+    assert len(octets) == 4 and all(10 <= int(x) <= 99 for x in octets)
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]) and "555-0199" not in got[1]
+    assert re.search(r'"[^"]{32}"', got[2])[0] == '"0123456789abcdef0123456789ABCDEF"'  # mixed case is no digest
+    assert re.search(r" [0-9a-f]{32}$", got[2]) and not got[2].endswith("0123456789abcdef0123456789abcdef")
+    names = re.fullmatch(r"Mr (\w+) (\w+) met Mrs\. (\w+) (\w+); господин ([А-Яа-я]+); .*", got[3])
+    assert names and names[2] == names[4] != "Smith" and names[1].endswith("n") and names[3].endswith("lia") and names[5] != "Иванов"
+    assert got[3].endswith("12125550199; 1.2.3 and version 10.20; é@x")
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """A format with few values: every one of 60 two-digit forms gets a value of its own that isn't a real one."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 200)
+    rows = [(i, f"10.0.{i % 9 + 1}.{i // 9 + 1}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r["text"] for r in pii.replace_entities(df).collect()]
+    assert len(set(out)) == 40 and not set(out) & {t for _, t in rows}
+    assert pii.replace_entities(df).orderBy("doc_id").first()["text"] == pii.replace_entities(df.repartition(5)).orderBy("doc_id").first()["text"]
+    assert pii.replace_entities(df, key="other").orderBy("doc_id").first()["text"] != pii.replace_entities(df).orderBy("doc_id").first()["text"]
+    assert pii.replace_entities(df.limit(0)).count() == 0
+
+
+# --- segmentations ---------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    return segment.lattices(segment.default_model())
+
+
+def every_path(model, text):
+    def paths(c):
+        out = []
+
+        def go(i, ids, lp):
+            if i == len(c):
+                out.append((ids, lp))
+            for j in range(i + 1, len(c) + 1):
+                if c[i:j] in model.pieces:
+                    piece, s = model.pieces[c[i:j]]
+                    go(j, (*ids, piece), lp + s)
+
+        go(0, (), 0.0)
+        return out
+
+    found = [(sum((x[0] for x in combo), ()), sum(x[1] for x in combo)) for combo in product(*(paths(c) for c in re.findall(r" +[^ ]*", " " + text)))]
+    z = np.logaddexp.reduce([lp for _, lp in found])
+    return {ids: lp - z for ids, lp in found}
+
+
+def test_samples_follow_the_law(model):
+    p = every_path(model, "the onth ab")
+    n = 6000
+    got = segment.sample_batch(model, list(range(n)), ["the onth ab"] * n, samples=3, seed=5)
+    assert all(abs(p[tuple(x[0].tolist())] - x[1]) < 1e-9 for row in got for x in row)
+    assert all(len({tuple(x[0].tolist()) for x in row}) == 3 and row[0][2] >= row[1][2] >= row[2][2] for row in got)
+    best = sorted(p, key=p.get, reverse=True)[:5]
+    for b in best:
+        first = sum(tuple(row[0][0].tolist()) == b for row in got) / n
+        assert first == pytest.approx(math.exp(p[b]), abs=0.03)
+        second = sum(tuple(row[1][0].tolist()) == b for row in got) / n
+        assert second == pytest.approx(sum(math.exp(p[a] + p[b]) / -math.expm1(p[a]) for a in p if a != b), abs=0.03)
+    # weights p / inclusion estimate a total of one
+    assert np.mean([sum(math.exp(x[1] - x[3]) for x in row) for row in got]) == pytest.approx(1, abs=0.03)
+
+
+def test_samples_do_not_depend_on_the_batch(model, corpus):
+    rows = [(i, t or "") for i, t in corpus]
+    whole = segment.sample_batch(model, [i for i, _ in rows], [t for _, t in rows])
+    for (i, t), w in zip(rows, whole, strict=True):
+        alone = segment.sample_batch(model, [i], [t])[0]
+        assert [(x[0].tolist(), round(x[1], 6), round(x[2], 6)) for x in alone] == [(x[0].tolist(), round(x[1], 6), round(x[2], 6)) for x in w]
+
+
+def test_decoding_is_exact(spark, model):
+    texts = ["", " ", "\n", "a\n\nb", "é▁b  c ", "日本語 テスト 🎉", "x" * 3000, "\t\r\n a", "a\x00b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = segment.decode(segment.sample_segmentations(df, with_ids=True)).collect()
+    assert all(r["decodes"] and r["text"] == (texts[r["doc_id"]] or "") for r in out) and {r["doc_id"] for r in out} == set(range(10))
+    assert segment.sample_segmentations(df.limit(0)).count() == 0
