@@ -56,7 +56,7 @@ def test_spool_gives_the_same(monkeypatch, spark, corpus, docs):
     key = np.sort(rng.integers(0, 3, 60))
     right = [bytes(rng.integers(97, 99, 400).tolist()) if rng.random() < 0.3 else b"a" * int(rng.integers(64, 401)) for _ in key]
     order = sorted(range(60), key=lambda i: (key[i], right[i]))
-    batch = pa.RecordBatch.from_pydict({"key": key, "right": [right[i] for i in order], "left": [b"b" * int(rng.integers(0, 337)) for _ in key], "doc_id": np.arange(60), "h1": np.arange(60), "at": np.arange(60, dtype=np.int32)})
+    batch = pa.RecordBatch.from_pydict({"key": key, "right": [right[i] for i in order], "left": [b"b" * int(rng.integers(0, 337)) for _ in key], "doc_id": np.arange(60), "h1": np.arange(60), "at": pa.array([[i] for i in range(60)], pa.list_(pa.int32()))})
 
     def run():
         q = suffix_dedup.SuffixQueue()

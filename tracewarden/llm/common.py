@@ -6,7 +6,8 @@ driver and all executors), so a lost executor costs a re-read, never a result.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: list[str] = []
 CHUNK_BYTES = 1 << 20
 SMALL_ROWS = 20_000
 
@@ -25,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"tracewarden-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
-    return own
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tracewarden-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

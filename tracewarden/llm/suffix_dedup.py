@@ -111,22 +111,27 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each repeated sample of a text with the bytes to its right (SPAN of them) and left (back to its first position)."""
+    """Each repeated sample of a text with the bytes to its right (SPAN of them) and left (back to its first position).
+    Samples of one text with equal contexts, as a periodic text has many, are one row with several places."""
     for batch in batches:
         for r in range(batch.num_rows):
             text = (batch.column("text")[r].as_py() or "").encode("utf-8")
-            marks = [(m["key"], at, low) for m in batch.column("marks")[r].as_py() for at, low in zip(m["at"], m["low"], strict=True)]
-            for at in range(0, len(marks), 4096):
-                part = marks[at : at + 4096]
+            places: dict[tuple[int, bytes, bytes], list[int]] = {}
+            for m in batch.column("marks")[r].as_py():
+                for at, low in zip(m["at"], m["low"], strict=True):
+                    places.setdefault((m["key"], text[at : at + SPAN], text[low:at]), []).append(at)
+            rows = list(places.items())
+            for k in range(0, len(rows), 4096):
+                part = rows[k : k + 4096]
                 n = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([m[0] for m in part], pa.int64()),
-                        pa.array([text[m[1] : m[1] + SPAN] for m in part], pa.binary()),
-                        pa.array([text[m[2] : m[1]] for m in part], pa.binary()),
+                        pa.array([x[0][0] for x in part], pa.int64()),
+                        pa.array([x[0][1] for x in part], pa.binary()),
+                        pa.array([x[0][2] for x in part], pa.binary()),
                         pa.array([batch.column("doc_id")[r].as_py()] * n, pa.int64()),
                         pa.array([batch.column("h1")[r].as_py()] * n, pa.int64()),
-                        pa.array([m[1] for m in part], pa.int32()),
+                        pa.array([x[1] for x in part], pa.list_(pa.int32())),
                     ],
                     names=["key", "right", "left", "doc_id", "h1", "at"],
                 )
@@ -146,8 +151,8 @@ class SuffixQueue:
         if not n:
             return
         right, left = (self._matrix(batch.column(c), width, flip) for c, width, flip in (("right", SPAN, False), ("left", WINDOW, True)))
-        rest = (batch.column("key").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy(), batch.column("at").to_numpy())
-        self.parts.append((right[0], right[1], left[0], left[1], *rest))
+        rest = (batch.column("key").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy(), np.diff(np.array(batch.column("at").offsets)), batch.column("at").flatten().to_numpy())
+        self.parts.append((*right, *left, *rest))
         self.rows += n
         if self.rows > IN_MEMORY:
             self._spill()
@@ -219,8 +224,10 @@ class RangeMinimum:
         return out
 
 
-def induce(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (row, least, most) of left offsets at which the suffix repeats, for suffixes in base order."""
+def induce(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, key: np.ndarray, twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (row, least, most) of left offsets at which the suffix repeats, for suffixes in base order. ``twins``: rows that
+    stand for several places, and so share both contexts with another suffix."""
+    twins = np.zeros(len(key), bool) if twins is None else twins
     lcp = neighbour_lcp(right, right_size, key)
     smallest = RangeMinimum(lcp)
     n = len(key)
@@ -237,6 +244,7 @@ def induce(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_siz
         same = np.flatnonzero(group[1:] == group[:-1]) + 1
         beside[same] = smallest(order[same - 1], order[same])
         best = np.maximum(beside[:-1], beside[1:])
+        best = np.where(twins[order], np.maximum(best, right_size[order]), best)
         hit = order[best + o >= SPAN]
         new = hit[until[hit] != o - 1]
         old = new[since[new] >= 0]
@@ -264,9 +272,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     queue, last = SuffixQueue(), None
 
     def drain(q: SuffixQueue) -> pa.RecordBatch:
-        right, right_size, left, left_size, key, doc, h1, at = q.arrays()
-        row, least, most = induce(right, right_size, left, left_size, key)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(h1[row]), pa.array((at[row] - most).astype(np.int32)), pa.array((at[row] - least + SPAN).astype(np.int32))], names=["doc_id", "h1", "start", "end"])
+        right, right_size, left, left_size, key, doc, h1, places, at = q.arrays()
+        row, least, most = induce(right, right_size, left, left_size, key, places > 1)
+        first = np.cumsum(places) - places
+        owner = np.repeat(np.arange(len(row)), places[row])
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(places[row]) - places[row], places[row])
+        at, row, least, most = at[first[row[owner]] + k], row[owner], least[owner], most[owner]
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(h1[row]), pa.array((at - most).astype(np.int32)), pa.array((at - least + SPAN).astype(np.int32))], names=["doc_id", "h1", "start", "end"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
@@ -330,7 +342,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     marks = twice.groupBy("doc_id", "h1").agg(F.collect_set(F.struct("key", "at", "low")).alias("marks")).join(spare, ["doc_id", "h1"], "left_anti")
     live = C.stored(base.select("doc_id", "h1", "text").join(marks, ["doc_id", "h1"]).dropDuplicates(["doc_id", "h1"]), "live")
 
-    contexts = live.mapInArrow(_contexts, "key long, right binary, left binary, doc_id long, h1 long, at int")
+    contexts = live.mapInArrow(_contexts, "key long, right binary, left binary, doc_id long, h1 long, at array<int>")
     spans = contexts.repartition(n, "key").sortWithinPartitions("key", "right").mapInArrow(_repeats, "doc_id long, h1 long, start int, end int")
     spans = spans.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = "doc_id long, h1 long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
