@@ -41,8 +41,8 @@ STEPS = 6
 MIN_GROUP = 40
 #: Least standard deviation of each statistic: keeps a group of near-identical texts from rejecting everything else.
 FLOOR = (0.045, 0.35, 0.5, 0.5)
-#: Cut-off for the squared distance: chi-squared with 4 degrees at a tail of 1e-9, for statistics with longer tails than a normal.
-CUTOFF = 47.5
+#: Cut-off for the squared distance: chi-squared with 4 degrees at a tail of 4e-8, for statistics with longer tails than a normal.
+CUTOFF = 40.0
 #: Words of prior weight that hold the ratios of short texts near their neutral value.
 PRIOR = 60.0
 
