@@ -127,6 +127,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -86,7 +86,7 @@ def samples(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in C.pieces(batches, "text"):
+    for p in C.pieces(batches, "text", C.CHUNK_BYTES // 2):
         data, off = C.buffers(p.column("text"))
         if len(data) <= _STRETCH:
             found = samples(data, off)
