@@ -21,31 +21,28 @@ def anchors(action: Column, tool: Column, args: Column, result: Column, status:
     return F.filter(F.concat(fields, values), lambda a: (a != "") & (a != "none"))
 
 
-def score(line: Column, hints: Column) -> Column:
-    """Struct that sorts as the score does."""
-    low = F.lower(T.normalize(line))
+def score(low: Column, hints: Column) -> Column:
+    """Struct that sorts as the score of a normalised, lower-cased line does. Lambdas share no common expressions, so the
+    line comes ready."""
     hits = F.size(F.filter(hints, low.contains))
     status = T.contains_any(low, M.STATUS_WORDS).cast("int")
     return F.struct(hits.alias("hits"), status.alias("status"), F.regexp_count(low, F.lit(r"\p{Nd}")).alias("digits"))
 
 
-def _ranked(scores: Column) -> Column:
-    """Indexes of the scores from best to worst, first index first among equals."""
-    keys = F.transform(scores, lambda s, i: F.struct((-s["hits"]).alias("a"), (-s["status"]).alias("b"), (-s["digits"]).alias("c"), i.alias("i")))
-    return F.transform(F.array_sort(keys), lambda r: r["i"])
-
-
 def add_best(df: DataFrame, units: str, hints: str, out: str, k: int = 8) -> DataFrame:
-    """``out``: the k best of the array ``units`` (lines, or units of lines) in their own order."""
+    """``out``: the k best of the array ``units`` (lines, or units of lines) in their own order, first ones first among
+    equals. Units travel through the sorts beside their scores, so no lambda reaches for an array outside it."""
     nested = "array<array" in dict(df.dtypes)[units]
     text = (lambda u: F.array_join(u, " ")) if nested else (lambda u: u)
-    df = T.staged(
-        df,
-        {"_score": F.transform(units, lambda u: score(text(u), F.col(hints)))},
-        {"_best": F.array_sort(F.slice(_ranked(F.col("_score")), 1, max(k, 0)))},
-        {out: F.transform("_best", lambda i: F.get(units, i))},
-    )
-    return df.drop("_score", "_best")
+
+    def keyed(x: Column) -> Column:
+        s = score(x["low"], F.col(hints))
+        return F.struct((-s["hits"]).alias("a"), (-s["status"]).alias("b"), (-s["digits"]).alias("c"), x["i"].alias("i"), x["u"].alias("u"))
+
+    ready = F.transform(units, lambda u, i: F.struct(F.lower(T.normalize(text(u))).alias("low"), i.alias("i"), u.alias("u")))
+    top = F.slice(F.array_sort(F.transform(ready, keyed)), 1, max(k, 0))
+    own_order = F.array_sort(F.transform(top, lambda x: F.struct(x["i"].alias("i"), x["u"].alias("u"))))
+    return df.withColumn(out, F.transform(own_order, lambda x: x["u"]))
 
 
 def add_units(df: DataFrame, lines: str, out: str, opens) -> DataFrame:

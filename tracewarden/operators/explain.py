@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewarden.operators.features import lexical_grams
+from tracewarden.operators.features import grams as all_grams
+from tracewarden.operators.features import lexical_tokens
 
 
 def ngram_weights(assigned: DataFrame, text: str = "text") -> DataFrame:
     """symbol, ngram, weight (confidence over occurrences), distinctiveness and score, rounded to 6 digits."""
-    grams = assigned.select("symbol", "confidence", F.explode(lexical_grams(F.col(text))).alias("ngram"))
+    tokens = assigned.select("symbol", "confidence", lexical_tokens(F.col(text)).alias("_tokens"))
+    grams = tokens.select("symbol", "confidence", F.explode(all_grams(F.col("_tokens"))).alias("ngram"))
     own = grams.groupBy("symbol", "ngram").agg(F.sum("confidence").alias("weight"))
     total = F.greatest(F.sum("weight").over(W.partitionBy("ngram")), F.lit(1e-8))
     return own.select("symbol", "ngram", F.round("weight", 6).alias("weight"), F.round(F.col("weight") / total, 6).alias("distinctiveness"), F.round(F.col("weight") * F.col("weight") / total, 6).alias("score"))

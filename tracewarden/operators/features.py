@@ -20,7 +20,7 @@ def word_tokens(text: Column) -> Column:
 
 
 def grams(tokens: Column, most: int = 2) -> Column:
-    """All n-grams up to ``most`` words, with repeats."""
+    """All n-grams up to ``most`` words, with repeats. ``tokens`` should be a column, as it is read for every position."""
 
     def of(n: int) -> Column:
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -99,7 +99,6 @@ def unit_vector(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
 
 
-def lexical_grams(text: Column, most: int = 2) -> Column:
-    """N-grams of the tokens that name things: longer than one character and no literal."""
-    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_:/.\-]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin("none", "true", "false"))
-    return grams(tokens, most)
+def lexical_tokens(text: Column) -> Column:
+    """Tokens that name things: longer than one character and no literal. Stage them before ``grams``."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_:/.\-]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin("none", "true", "false"))
