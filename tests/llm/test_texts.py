@@ -53,6 +53,19 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert quality.judge_ids(df.limit(0)).count() == 0
 
 
+def test_every_text_counts_in_an_estimate(spark):
+    """Plain texts whose vectors are all one point stay the majority beside outliers that are points of their own."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 100))) for i in range(400)]
+    for i in range(60):
+        w = [x + "#" * int(k) for x, k in zip(rng.choice(vocabulary, 100), rng.integers(1, 9, 100), strict=True)]
+        rows.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    kept = {r["doc_id"] for r in quality.judge_ids(df).where("kept").collect()}
+    assert kept == set(range(400))
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 

@@ -12,10 +12,10 @@ computed in a second pass over the text, beside the group estimates, so text is
 never shuffled.
 
 Cases: null or empty text has no words and fails the base rule; groups with too
-few distinct vectors use the estimate of their language, and that of all rows if
+few distinct texts use the estimate of their language, and that of all rows if
 the language is small too; null language or source is a group of its own; copies
-count once in an estimate (equal vectors are one point), so a group of copies
-cannot define what is normal.
+of a text count once in an estimate, so a group of copies cannot define what is
+normal, while different texts with equal vectors count one by one.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def failed(s: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def vector(s: dict[str, np.ndarray]) -> np.ndarray:
-    """Transformed statistics, rows x 4, rounded so that equal texts are equal points: log mean word length, and
+    """Transformed statistics, rows x 4, rounded: log mean word length, and
     logarithms of the shares of symbols, repeated lines and repeated words; ``PRIOR`` words damp short texts."""
     n = s["n_words"] + PRIOR
     x = np.stack(
@@ -108,10 +108,12 @@ def vector(s: dict[str, np.ndarray]) -> np.ndarray:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p in C.pieces(batches, "text"):
-        s = count_statistics(*C.buffers(p.column("text")))
+        data, off = C.buffers(p.column("text"))
+        s = count_statistics(data, off)
         ok = np.flatnonzero(~failed(s))
         x = vector(s)[ok]
-        yield pa.RecordBatch.from_arrays([p.column("lang").take(pa.array(ok)), p.column("source").take(pa.array(ok)), *(pa.array(x[:, i]) for i in range(DIMS))], names=["lang", "source", *(f"x{i}" for i in range(DIMS))])
+        text = C.range_hash(C.prefix_sums(data), off[:-1], off[1:])[ok].view(np.int64)
+        yield pa.RecordBatch.from_arrays([p.column("lang").take(pa.array(ok)), p.column("source").take(pa.array(ok)), pa.array(text), *(pa.array(x[:, i]) for i in range(DIMS))], names=["lang", "source", "h", *(f"x{i}" for i in range(DIMS))])
 
 
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,7 +161,7 @@ def _consistency() -> float:
 def estimates(points: DataFrame, keys: list[str]) -> DataFrame:
     """MCD by concentration steps for each key: columns ``keys``, mu, prec, support.
 
-    ``points`` holds keys and x0..x3, one row per distinct vector. The start is the coordinate-wise median with
+    ``points`` holds keys and x0..x3, one row per distinct text. The start is the coordinate-wise median with
     interquartile scales; every step keeps the ``COVERAGE`` share nearest to the current estimate (a mergeable quantile
     summary gives the radius) and re-estimates location and scatter from exactly those rows.
     """
@@ -203,11 +205,11 @@ def fit(docs: DataFrame) -> DataFrame:
     The groups, the languages and the whole corpus are three levels of one stack, so they share the concentration steps.
     """
     cols = docs.select("text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    schema = "lang string, source string, " + ", ".join(f"x{i} double" for i in range(DIMS))
+    schema = "lang string, source string, h long, " + ", ".join(f"x{i} double" for i in range(DIMS))
     none = F.lit(None).cast("string")
     levels = F.array(*(F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, lang, source in (("2", F.col("lang"), F.col("source")), ("1", F.col("lang"), none), ("0", none, none))))
     xs = [f"x{i}" for i in range(DIMS)]
-    points = C.stored(cols.mapInArrow(_vectors, schema).distinct().select(F.explode(levels).alias("k"), *xs).select("k.*", *xs).distinct(), "points")
+    points = C.stored(cols.mapInArrow(_vectors, schema).distinct().select(F.explode(levels).alias("k"), "h", *xs).select("k.*", "h", *xs).distinct().drop("h"), "points")
     all_levels = estimates(points, ["level", "lang", "source"])
     pick = lambda level, suffix: all_levels.where(F.col("level") == level).select(*({"2": ["lang", "source"], "1": ["lang"], "0": []}[level]), *(F.col(c).alias(f"{c}{suffix}") for c in ("support", "mu", "prec")))
     wide = pick("1", "1").crossJoin(F.broadcast(pick("0", "0")))  # one row
