@@ -153,6 +153,18 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == brute_classes(rows)
 
 
+def test_stage_takes_thresholds_and_finds_near_copies_between_the_thresholds(spark):
+    """3 of 150 words changed one by one, and a block appended: five words at 0.8 link, three at 0.9 do not."""
+    base = [f"w{i}" for i in range(150)]
+    single = [f"x{i}" if i in (30, 75, 120) else w for i, w in enumerate(base)]
+    other = [f"v{i}" for i in range(150)]
+    texts = [base, single, other, [*other, *(f"y{i}" for i in range(25))], [f"z{i}" for i in range(150)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [c for _, _, c in brute_classes(rows)] == [0, 1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in ngram_join.stage(spark, df, "", 5, 80).collect()) == [0, 2, 4]
+
+
 def test_ngram_join_without_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
     assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == [(1, 0, 1), (2, 0, 2), (2, 0, 2)]

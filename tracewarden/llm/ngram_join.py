@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join by T-occurrence search (operator 7).
 
-A document is its set of distinct 3-word shingles; two documents link when
-100 * intersection >= 90 * union. Equal sets are one node. Nodes are found by
+A document is its set of distinct shingles of ``width`` words; two documents link
+when 100 * intersection >= percent * union (3 and 90 in the query and in
+the pipeline's stage). Equal sets are one node. Nodes are found by
 T-occurrence search over inverted lists:
 
 * Two linked sets share at least T of the ``prefix`` smallest shingle hashes of
@@ -22,7 +23,7 @@ No link between components is lost: a pair leaves only when its bound or its set
 refute it, or when both ends already are in one component.
 
 Cases: null text or text without words has an empty set and is alone; fewer than
-three words make one shingle; repeated rows and ties fall into one node; the
+``width`` words make one shingle; repeated rows and ties fall into one node; the
 smallest doc_id of a component names it.
 """
 
@@ -51,9 +52,9 @@ PER_PART = 256
 MANY_IDS = 250_000
 
 
-def least_overlap(n):
-    """Least intersection of a set of ``n`` with any set that it links to: ceil(0.9 n)."""
-    return (PERCENT * n + 99) // 100
+def least_overlap(n, percent: int = PERCENT):
+    """Least intersection of a set of ``n`` with any set that it links to: ceil(percent n / 100)."""
+    return (percent * n + 99) // 100
 
 
 def common_prefix(n):
@@ -61,22 +62,21 @@ def common_prefix(n):
     return np.maximum(1, n // 20)
 
 
-def prefix_length(n):
-    return n - least_overlap(n) + common_prefix(n)
+def prefix_length(n, percent: int = PERCENT):
+    return n - least_overlap(n, percent) + common_prefix(n)
 
 
 def _sql(expr: str):
     return F.expr(expr)
 
 
-_T = f"(({PERCENT} * n + 99) div 100)"
-_PREFIX = f"(n - {_T} + greatest(1, n div 20))"
-#: Least T over all partners of a set of n: their sizes start at ceil(0.9 n).
-_NEED = f"greatest(1, {_T} div 20)"
+def _need(percent: int) -> str:
+    """SQL: least T over all partners of a set of n: their sizes start at ceil(percent n / 100)."""
+    return f"greatest(1, (({percent} * n + 99) div 100) div 20)"
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return C.unique_per_row(*C.shingles(data, off, WIDTH))
+def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    return C.unique_per_row(*C.shingles(data, off, width))
 
 
 def _sum_per_row(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -104,25 +104,28 @@ def folded(sig: np.ndarray, words: int) -> np.ndarray:
     return sig
 
 
-def most_difference(n, m):
+def most_difference(n, m, percent: int = PERCENT):
     """Largest symmetric difference of linked sets of n and m."""
-    return n + m - 2 * ((PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT))
+    return n + m - 2 * ((percent * (n + m) + 99 + percent) // (100 + percent))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, node (hash of the whole set), the smallest hashes and the signature."""
-    for p in C.pieces(batches, "text"):
-        h, begin = shingle_sets(*C.buffers(p.column("text")))
-        n = np.diff(begin)
-        with np.errstate(over="ignore"):
-            node = C.mix(_sum_per_row(C.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin) + n.astype(np.uint64)).view(np.int64)
-        size = np.where(n > 0, prefix_length(n), 0)
-        first = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(size, out=first[1:])
-        at = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(begin[:-1], size)
-        tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h[at].view(np.int64)))
-        sig = pa.array([signature(h[x:y]).tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n), pa.array(node), tokens, sig], names=["doc_id", "n", "node", "tokens", "sig"])
+def _sketches(width: int, percent: int):
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, n, node (hash of the whole set), the smallest hashes and the signature."""
+        for p in C.pieces(batches, "text"):
+            h, begin = shingle_sets(*C.buffers(p.column("text")), width)
+            n = np.diff(begin)
+            with np.errstate(over="ignore"):
+                node = C.mix(_sum_per_row(C.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin) + n.astype(np.uint64)).view(np.int64)
+            size = np.where(n > 0, prefix_length(n, percent), 0)
+            first = np.zeros(len(n) + 1, np.int64)
+            np.cumsum(size, out=first[1:])
+            at = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(begin[:-1], size)
+            tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h[at].view(np.int64)))
+            sig = pa.array([signature(h[x:y]).tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n), pa.array(node), tokens, sig], names=["doc_id", "n", "node", "tokens", "sig"])
+
+    return sketches
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[int]:
@@ -175,22 +178,25 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that their sizes and signatures do not refute."""
-    for batch in batches:
-        keep = []
-        for i, (n, m, x, y) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True)):
-            most = most_difference(n, m)
-            if abs(n - m) > most:
-                continue
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            words = min(len(x), len(y))
-            if int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= most:
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+def _possible(percent: int):
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) that their sizes and signatures do not refute."""
+        for batch in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True)):
+                most = most_difference(n, m, percent)
+                if abs(n - m) > most:
+                    continue
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                words = min(len(x), len(y))
+                if int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= most:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return possible
 
 
-def block_pairs(node: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], group: np.ndarray, side: np.ndarray, best: int | None) -> set[tuple[int, int]]:
+def block_pairs(node: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], group: np.ndarray, side: np.ndarray, best: int | None, percent: int = PERCENT) -> set[tuple[int, int]]:
     """Pairs of one block that sizes and signatures do not refute and whose ends are in two groups. ``side``: 0 and 1 for
     a block of two parts of a list, of which only pairs across the parts count; 2 for one part. ``best``: how many
     partners a node names, the nearest first; all if None."""
@@ -207,7 +213,7 @@ def block_pairs(node: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], group:
             near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for to in range(0, len(there), 2048):
                 cols = there[to : to + 2048]
-                most = most_difference(n[rows][:, None], n[cols][None, :])
+                most = most_difference(n[rows][:, None], n[cols][None, :], percent)
                 ok = (np.abs(n[rows][:, None] - n[cols][None, :]) <= most) & (group[rows][:, None] != group[cols][None, :])
                 ok &= (side[rows][:, None] != side[cols][None, :]) | (side[rows][:, None] == 2)
                 if not ok.any():
@@ -230,7 +236,7 @@ def block_pairs(node: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], group:
     return out
 
 
-def _meeting(best: int | None):
+def _meeting(best: int | None, percent: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (t, part): each block in turn; a task says a pair once."""
         said: set[tuple[int, int]] = set()
@@ -239,7 +245,7 @@ def _meeting(best: int | None):
 
         def close() -> pa.RecordBatch | None:
             node, n, group, side = (np.array([r[i] for r in held], np.int64) for i in (0, 1, 2, 3))
-            found = block_pairs(node, n, [r[4] for r in held], group, side, best) - said
+            found = block_pairs(node, n, [r[4] for r in held], group, side, best, percent) - said
             if len(said) < 1_000_000:
                 said.update(found)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -258,7 +264,7 @@ def _meeting(best: int | None):
     return meet
 
 
-def meeting_pairs(meet: DataFrame, sigs: DataFrame, groups: DataFrame | None, best: int | None) -> DataFrame:
+def meeting_pairs(meet: DataFrame, sigs: DataFrame, groups: DataFrame | None, best: int | None, percent: int) -> DataFrame:
     """Candidates (a, b) of the long lists across components. A list is cut into blocks of at most ``BLOCK`` nodes, and
     every two of its blocks meet in one task."""
     n = C.parts(meet.sparkSession)
@@ -274,53 +280,59 @@ def meeting_pairs(meet: DataFrame, sigs: DataFrame, groups: DataFrame | None, be
     if groups is not None:  # lists within one component have nothing left to say
         mixed = rows.groupBy("t").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("t")
         placed = placed.join(mixed, "t", "left_semi")
-    return placed.repartition(n, "t", "part").sortWithinPartitions("t", "part", "node").mapInArrow(_meeting(best), "a long, b long").distinct()
-
-
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full set of each node, once for every place that asks for it; b is null where the place is its own."""
-    for p in C.pieces(batches, "text", C.CHUNK_BYTES // 4):
-        h, begin = shingle_sets(*C.buffers(p.column("text")))
-        to, part, b, full = [], [], [], []
-        for r, (node, places) in enumerate(zip(p.column("node").to_pylist(), p.column("places").to_pylist(), strict=True)):
-            data = h[begin[r] : begin[r + 1]].tobytes()
-            for x in places:
-                to.append(x["a"])
-                part.append(x["part"])
-                b.append(None if x["own"] else node)
-                full.append(data)
-        for at in range(0, len(to), 512):
-            cut = slice(at, at + 512)
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array(part[cut], pa.int64()), pa.array(b[cut], pa.int64()), pa.array(full[cut], pa.binary())], names=["a", "part", "b", "hashes"])
-
-
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    return placed.repartition(n, "t", "part").sortWithinPartitions("t", "part", "node").mapInArrow(_meeting(best, percent), "a long, b long").distinct()
+
+
+def _ship(width: int):
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The full set of each node, once for every place that asks for it; b is null where the place is its own."""
+        for p in C.pieces(batches, "text", C.CHUNK_BYTES // 4):
+            h, begin = shingle_sets(*C.buffers(p.column("text")), width)
+            to, part, b, full = [], [], [], []
+            for r, (node, places) in enumerate(zip(p.column("node").to_pylist(), p.column("places").to_pylist(), strict=True)):
+                data = h[begin[r] : begin[r + 1]].tobytes()
+                for x in places:
+                    to.append(x["a"])
+                    part.append(x["part"])
+                    b.append(None if x["own"] else node)
+                    full.append(data)
+            for at in range(0, len(to), 512):
+                cut = slice(at, at + 512)
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array(part[cut], pa.int64()), pa.array(b[cut], pa.int64()), pa.array(full[cut], pa.binary())], names=["a", "part", "b", "hashes"])
+
+    return ship
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Exact test on two sorted sets: the smaller one probes the larger by binary search."""
     if len(x) > len(y):
         x, y = y, x
-    if 100 * len(x) < PERCENT * len(y):
+    if 100 * len(x) < percent * len(y):
         return False
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, part, b): the row with null b brings a's own set, the others those of its candidates."""
-    now, own = None, None
-    for batch in batches:
-        a_out, b_out = [], []
-        for a, part, b, data in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"), strict=True):
-            x = np.frombuffer(data.as_buffer(), np.uint64)
-            if b is None:
-                now, own = (a, part), x.copy()
-            elif now == (a, part) and linked(own, x):
-                a_out.append(a)
-                b_out.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _decide(percent: int):
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (a, part, b): the row with null b brings a's own set, the others those of its candidates."""
+        now, own = None, None
+        for batch in batches:
+            a_out, b_out = [], []
+            for a, part, b, data in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"), strict=True):
+                x = np.frombuffer(data.as_buffer(), np.uint64)
+                if b is None:
+                    now, own = (a, part), x.copy()
+                elif now == (a, part) and linked(own, x, percent):
+                    a_out.append(a)
+                    b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return decide
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets link. A node with many candidates is met in several parts."""
     n = C.parts(pairs.sparkSession)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_PART).cast("long").alias("parts"))
@@ -328,16 +340,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     theirs = placed.select(F.col("b").alias("node"), "a", "part", F.lit(False).alias("own"))
     own = placed.select(F.col("a").alias("node"), "a", "part", F.lit(True).alias("own")).distinct()
     places = theirs.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("a", "part", "own")).alias("places"))
-    rows = texts.join(places, "node").mapInArrow(_ship, "a long, part long, b long, hashes binary")
-    return C.stored(rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_decide, "a long, b long"), "links")
+    rows = texts.join(places, "node").mapInArrow(_ship(width), "a long, part long, b long, hashes binary")
+    return C.stored(rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_decide(percent), "a long, b long"), "links")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
+    need = _need(percent)
     spark = docs.sparkSession
     n = C.parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = rows.mapInArrow(_sketches, "doc_id long, n long, node long, tokens array<long>, sig binary")
+    sketches = rows.mapInArrow(_sketches(width, percent), "doc_id long, n long, node long, tokens array<long>, sig binary")
     sets = C.stored(sketches.select("doc_id", "n", "node", "sig"), "sets")
     nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
 
@@ -347,34 +360,34 @@ def classes(docs: DataFrame) -> DataFrame:
     by_node = W.partitionBy("node")
     # a node whose single hashes alone leave fewer than T shared ones cannot link
     counts = {"held": F.count(F.lit(1)).over(by_node), "n_long": F.count(F.when(F.col("df") > SHORT, 1)).over(by_node)}
-    live = C.stored(shared.withColumns(counts).where(f"held >= {_NEED}").drop("held"), "lists")
+    live = C.stored(shared.withColumns(counts).where(f"held >= {need}").drop("held"), "lists")
 
-    members = live.where(F.col("df") <= SHORT).groupBy("t").agg(F.sort_array(F.collect_list("node")).alias("members"), F.collect_list(F.struct("node", _sql(f"{_NEED} - n_long").alias("need"))).alias("own")).where(F.size("members") > 1)
+    members = live.where(F.col("df") <= SHORT).groupBy("t").agg(F.sort_array(F.collect_list("node")).alias("members"), F.collect_list(F.struct("node", _sql(f"{need} - n_long").alias("need"))).alias("own")).where(F.size("members") > 1)
     asked = members.select("members", F.inline("own")).groupBy("node", "need").agg(F.collect_list("members").alias("lists"))
     found = asked.mapInArrow(_search, "a long, b long").distinct()
 
     # nodes whose long lists alone could hold a link meet in those lists, again in a prefix of them
-    heavy = live.where(F.col("df") > SHORT).where(f"n_long >= {_NEED}")
+    heavy = live.where(F.col("df") > SHORT).where(f"n_long >= {need}")
     ordered = heavy.withColumn("k", F.row_number().over(by_node.orderBy("df", "t")))
-    meet = ordered.where(f"k <= n_long - {_NEED} + 1").select("t", "node", "n")
+    meet = ordered.where(f"k <= n_long - {need} + 1").select("t", "node", "n")
     meet = C.stored(meet.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("t"))).where("df > 1").drop("df"), "meet")
     found = C.stored(found, "pairs")
     live_nodes = live.select("node").distinct()
     sigs = C.stored(sets.select("node", "n", "sig").join(live_nodes, "node", "left_semi").dropDuplicates(["node"]), "signatures")
     sized = found.join(sigs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    pairs = C.stored(sized.mapInArrow(_possible, "a long, b long").union(meeting_pairs(meet, sigs.drop("n"), None, BEST)).distinct(), "pairs")
+    pairs = C.stored(sized.mapInArrow(_possible(percent), "a long, b long").union(meeting_pairs(meet, sigs.drop("n"), None, BEST, percent)).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(meet.select("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
     texts = C.stored(rows.join(C.sized_broadcast(C.stored(ids, "ids"), MANY_IDS), "doc_id").select("node", "text").dropDuplicates(["node"]), "texts")
-    links = verify(pairs, texts)
+    links = verify(pairs, texts, width, percent)
     groups = components(links)
     done = pairs
     for k in range(ROUNDS if not meet.isEmpty() else 0):
         last = k == ROUNDS - 1
-        more = C.stored(meeting_pairs(meet, sigs.drop("n"), groups, None if last else BEST).join(done, ["a", "b"], "left_anti"), "pairs")
+        more = C.stored(meeting_pairs(meet, sigs.drop("n"), groups, None if last else BEST, percent).join(done, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links, done = links.union(verify(more, texts)), done.union(more)
+            links, done = links.union(verify(more, texts, width, percent)), done.union(more)
             groups = components(links)
     # components by smallest doc_id
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -388,7 +401,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(C.documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each group; of rows with equal doc_id, one."""
-    gone = classes(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = classes(docs.select("doc_id", "text"), width, percent).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(C.sized_broadcast(gone, MANY_IDS), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
