@@ -253,6 +253,18 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert pii.replace_entities(df.limit(0)).count() == 0
 
 
+def test_full_formats_widen(spark, monkeypatch):
+    """More one-letter addresses than free values: all get distinct surrogates; other formats widen too."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    real = [f"{chr(97 + i)}@example.com" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")
+    out = [r["text"] for r in pii.replace_entities(df).collect()]
+    assert len(set(out)) == 20 and not set(out) & set(real) and all(re.fullmatch(r"[a-z]+@example\.com", t) for t in out)
+    wide = spark.createDataFrame([("1.2.3.4", "ip", "1.2.3.4", 2), ("Mr Smith", "name", "smith", 2), ("+1 12 34", "phone", "11234", 2)], "raw string, kind string, canon string, attempt int")
+    ip, name, phone = (r["surrogate"] for r in pii.surrogates(wide).collect())
+    assert re.fullmatch(r"\d{3}(\.\d{3}){3}", ip) and re.fullmatch(r"Mr [A-Z][a-z]{19}", name) and re.fullmatch(r"\+1 \d\d \d{12}", phone)
+
+
 # --- segmentations ---------------------------------------------------------------------------------------------------
 
 

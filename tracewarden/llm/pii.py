@@ -10,7 +10,9 @@ form, hence a surrogate, in every document.
 
 Collision checks: two canonical forms of a type may not share a surrogate, and no
 surrogate may equal a form that occurs in the corpus. Those that do are derived
-again with the next attempt number until none is left.
+again with the next attempt number until none is left. What a format cannot settle
+in ``ATTEMPTS`` tries gets a wider one: a longer local part, more sounds, octets
+and phone numbers of full length.
 
 Scale: only matches travel; a hot entity is joined as a row of a small table; text
 meets its document's replacements once, by document id.
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common as C
 
 KEY = "surrogates/v1"
+#: Tries inside an entity's own format; later ones widen it.
 ATTEMPTS = 40
+#: Tries in the wider format, whose values are so many that the first ones settle; more mean a format that cannot widen.
+WIDER = 40
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles by gender; fixed values.
@@ -102,14 +107,20 @@ _CARD = f"""concat(body, cast(pmod(10 - {_LUHN.format(d='body')} % 10 +
 #: The digits of ``raw`` replaced by those of ``new_digits`` in order.
 _REFORMAT = """aggregate(split(raw, ''), named_struct('o', '', 'k', 1), (acc, c) -> named_struct(
   'o', concat(acc.o, CASE WHEN c rlike '^[0-9]$' THEN substr(new_digits, acc.k, 1) ELSE c END), 'k', acc.k + CASE WHEN c rlike '^[0-9]$' THEN 1 ELSE 0 END), acc -> acc.o)"""
-_IP = f"""array_join(transform(split(raw, '[.]'), (x, i) -> cast(CASE length(x) WHEN 3 THEN 100 + {_AT.format(k='i')} % 156 WHEN 2 THEN 10 + {_AT.format(k='i')} % 90 ELSE 1 + {_AT.format(k='i')} % 9 END AS string)), '.')"""
+_IP = f"""array_join(transform(split(raw, '[.]'), (x, i) -> cast(CASE CASE WHEN wide THEN 3 ELSE length(x) END WHEN 3 THEN 100 + {_AT.format(k='i')} % 156 WHEN 2 THEN 10 + {_AT.format(k='i')} % 90 ELSE 1 + {_AT.format(k='i')} % 9 END AS string)), '.')"""
+
+
+def _longer(many: int | str, char: str) -> str:
+    """SQL: ``many`` more characters for a full format."""
+    return f"array_join(transform(sequence(1, {many}), i -> {char.format(n=_AT.format(k='40 + i'))}), '')"
 
 
 def _word(nums: str, ending: str) -> str:
-    """SQL: a capitalised name of four sounds in the script of the entity."""
+    """SQL: a capitalised name of four sounds (ten in the wider format) in the script of the entity."""
     def made(script: str) -> str:
         sounds = _array(SOUNDS[script])
-        body = "concat(" + ", ".join(f"element_at({sounds}, element_at({nums}, {i}) % 20 + 1)" for i in (1, 2, 3, 4)) + ")"
+        sound = [f"element_at({sounds}, element_at({nums}, {i}) % 20 + 1)" for i in range(1, 11)]
+        body = f"concat({', '.join(sound[:4])}, CASE WHEN wide THEN concat({', '.join(sound[4:])}) ELSE '' END)"
         m, f = ENDINGS[script]
         end = {"given": f"CASE WHEN feminine THEN '{f}' ELSE '{m}' END", "family": "''"}[ending]
         return f"initcap(concat({body}, {end}))"
@@ -119,7 +130,7 @@ def _word(nums: str, ending: str) -> str:
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``entities`` (raw, kind, canon, attempt) with ``surrogate`` and ``new_canon``, the surrogate's canonical form."""
-    e = entities.withColumn("key", F.lit(key)).withColumn("nums", F.expr(_numbers("kind", "canon", "cast(attempt AS string)")))
+    e = entities.withColumn("key", F.lit(key)).withColumn("wide", F.col("attempt") >= ATTEMPTS).withColumn("nums", F.expr(_numbers("kind", "canon", "cast(attempt AS string)")))
     # an email's domain is derived from the domain alone, so addresses of one domain stay together; a name's given name
     # from itself and its gender
     e = e.withColumn("domain", F.expr("CASE WHEN kind = 'email' THEN lower(regexp_extract(raw, '@(.*)$', 1)) END"))
@@ -134,12 +145,13 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     labels = "regexp_replace(domain, '[.]?[^.]+[.][^.]+$', '')"
     host = f"CASE WHEN {reserved} THEN concat_ws('.', nullif({_fold(labels, 0, nums='domain_nums')}, ''), regexp_extract(domain, 'example[.][a-z]+$', 0)) ELSE concat({_fold('regexp_replace(domain, ' + repr('[.][^.]+$') + ', ' + repr('') + ')', 0, nums='domain_nums')}, '.example.com') END"
     name = f"array_join(CASE WHEN size(split(raw, ' ')) > 2 THEN array(element_at(split(raw, ' '), 1), {_word('given_nums', 'given')}, {_word('nums', 'family')}) ELSE array(element_at(split(raw, ' '), 1), {_word('nums', 'family')}) END, ' ')"
-    made = f"""CASE kind WHEN 'email' THEN concat({_fold("regexp_extract(raw, '^([^@]*)@', 1)", 0)}, '@', {host})
+    made = f"""CASE kind WHEN 'email' THEN concat({_fold("regexp_extract(raw, '^([^@]*)@', 1)", 0)}, CASE WHEN wide THEN {_longer(12, "char(97 + {n} % 26)")} ELSE '' END, '@', {host})
       WHEN 'secret' THEN {_fold('raw', 0, _HEX)} WHEN 'iban' THEN {_fold('raw', 2)} WHEN 'ip' THEN {_IP}
-      WHEN 'name' THEN {name} WHEN 'other' THEN {_fold('raw', 0)} ELSE {_REFORMAT} END"""
+      WHEN 'name' THEN {name} WHEN 'other' THEN {_fold('raw', 0)}
+      WHEN 'phone' THEN concat({_REFORMAT}, CASE WHEN wide AND length(canon) < 15 THEN {_longer("15 - length(canon)", "cast({n} % 10 AS string)")} ELSE '' END) ELSE {_REFORMAT} END"""
     e = e.withColumn("surrogate", F.expr(made))
     again = CANONICAL.replace("raw", "surrogate")
-    return e.withColumn("new_canon", F.expr(again)).drop("key", "nums", "domain", "domain_nums", "feminine", "given_nums", "body", "new_digits")
+    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "nums", "domain", "domain_nums", "feminine", "given_nums", "body", "new_digits")
 
 
 def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -149,7 +161,7 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
     # one spelling stands for a canonical form while collisions are sought
     todo = raws.groupBy("kind", "canon").agg(F.min("raw").alias("raw")).withColumn("attempt", F.lit(0))
     settled = None
-    for attempt in range(ATTEMPTS):
+    for attempt in range(ATTEMPTS + WIDER):
         tried = C.stored(surrogates(todo, key).select("kind", "canon", "raw", "attempt", "new_canon"), "tried")
         real = raws.select("kind", F.col("canon").alias("new_canon")).distinct()
         clean = tried.join(real, ["kind", "new_canon"], "left_anti")
@@ -161,7 +173,7 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
         todo = C.stored(tried.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "raw", F.lit(attempt + 1).alias("attempt")), "todo")
         if todo.isEmpty():
             return surrogates(raws.join(settled.select("kind", "canon", "attempt"), ["kind", "canon"]), key).select("raw", "surrogate")
-    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts: a type has more entities than its format has values")
+    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts and {WIDER} wider ones: more entities than values")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
