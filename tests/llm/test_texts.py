@@ -253,6 +253,19 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert pii.replace_entities(df.limit(0)).count() == 0
 
 
+def test_more_formats_are_found(spark):
+    real = "+14155550123;+49 15112345678;415.555.0123;415 555 0123;(415) 555 0123;378282246310005;3782 822463 10005;NO93 8601 1117 947;2001:db8::8a2e:370:7334;2001:0db8:85a3:0000:0000:8a2e:0370:7334;jana@bücher.example;иван@почта.рф;Dr Smith;Prof. Dr. Anna Smith;Mx Lee"
+    plain = "378282246310006;1234567890123;12:30:45;std::sort;1.2.3;12125550199"
+    df = spark.createDataFrame([*enumerate(real.split(";")), *((100 + i, t) for i, t in enumerate(plain.split(";")))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_entities(df).collect()}
+    for i, t in enumerate(real.split(";")):
+        assert got[i][1] == 1 and got[i][0] != t, t
+    assert re.fullmatch(r"Prof\. Dr\. [A-Z][a-z]+r [A-Z][a-z]+", got[13][0]) and not re.search("Anna|Smith", got[13][0])
+    assert got[5][0] == got[6][0].replace(" ", "") and got[5][0][0] == "3"
+    assert sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(got[5][0])) % 10 == 0
+    assert all(got[100 + i] == (t, 0) for i, t in enumerate(plain.split(";")))
+
+
 def test_full_formats_widen(spark, monkeypatch):
     """More one-letter addresses than free values: all get distinct surrogates; other formats widen too."""
     monkeypatch.setattr(pii, "ATTEMPTS", 2)

@@ -39,21 +39,25 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles by gender; fixed values.
 MASCULINE = ("Mr", "Herr", "Monsieur", "Señor", "Sir", "господин")
 FEMININE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Señorita", "госпожа")
+NEUTRAL = ("Dr", "Prof", "Mx", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesor", "Profesora", "доктор", "профессор")
+#: One or more titles with the blanks after them.
+_TITLES = rf"(?:(?:{'|'.join(MASCULINE + FEMININE + NEUTRAL)})\.? )+"
 #: Entity types in order of precedence: name, pattern (Java syntax, no groups).
 TYPES: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,6}\.[A-Za-z]{2,24}+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+){0,6}\.(?:[A-Za-z]{2,24}+|[\p{L}\p{M}&&[^A-Za-z]]{2,24}+)"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
-    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![0-9A-Za-z])NO[0-9]{2} ?[0-9]{4} ?[0-9]{4} ?[0-9]{3}(?![0-9A-Za-z])"),
+    ("ip6", r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}:])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
-    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9])"),
+    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9+])\+[0-9]{7,15}(?![0-9])|(?<![0-9+])\+(?=(?:[ .-]?[0-9]){7,15}(?![0-9]))[0-9]{1,3}(?:[ .-][0-9]{1,12}){1,6}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|\.[0-9])|(?<![0-9])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"),
+    ("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MASCULINE + FEMININE)})\.? \p{{Lu}}\p{{L}}{{1,30}}+(?: \p{{Lu}}\p{{L}}{{1,30}}+)?"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLES}\p{{Lu}}\p{{L}}{{1,30}}+(?: \p{{Lu}}\p{{L}}{{1,30}}+)?"),
 )
 PATTERN = "|".join(p for _, p in TYPES)
 #: Sounds from which names are made, by script; the ending tells the gender.
 SOUNDS = {"latin": "ba be di do fa ga hi jo ka le li ma mo na ne ra ri sa so va".split(), "cyrillic": "ба бе ди до фа га хи жо ка ле ли ма мо на не ра ри са со ва".split()}
-ENDINGS = {"latin": ("n", "lia"), "cyrillic": ("н", "на")}
+ENDINGS = {"latin": ("n", "lia", "r"), "cyrillic": ("н", "на", "р")}
 
 
 def _array(words) -> str:
@@ -74,7 +78,7 @@ def entity_type(raw: Column) -> Column:
 
 #: Canonical form of entity ``raw`` of type ``kind``.
 CANONICAL = """CASE WHEN kind = 'email' THEN lower(raw) WHEN kind IN ('phone', 'card', 'ssn') THEN regexp_replace(raw, '[^0-9]', '')
-  WHEN kind = 'secret' THEN lower(raw) WHEN kind = 'iban' THEN replace(raw, ' ', '') WHEN kind = 'name' THEN lower(element_at(split(raw, ' '), -1)) ELSE raw END"""
+  WHEN kind IN ('secret', 'ip6') THEN lower(raw) WHEN kind = 'iban' THEN replace(raw, ' ', '') WHEN kind = 'name' THEN lower(element_at(split(raw, ' '), -1)) ELSE raw END"""
 
 
 def _numbers(*parts: str) -> str:
@@ -99,11 +103,14 @@ def _fold(raw: str, keep: int, char: str = _CHAR, nums: str = "nums") -> str:
 
 
 _HEX = "CASE WHEN {c} = '' THEN '' WHEN raw rlike '[A-F]' THEN substr('0123456789ABCDEF', {n} % 16 + 1, 1) ELSE substr('0123456789abcdef', {n} % 16 + 1, 1) END"
-_LUHN = "aggregate(sequence(1, 15), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN cast(substr({d}, i, 1) AS int) ELSE cast(substr({d}, i, 1) AS int) * 2 - CASE WHEN cast(substr({d}, i, 1) AS int) > 4 THEN 9 ELSE 0 END END)"
+#: Sum over all digits but the check digit; from the right, every other one counts double.
+_LUHN = "aggregate(sequence(1, length(canon) - 1), 0, (a, i) -> a + CASE WHEN (length(canon) - i) % 2 = 0 THEN cast(substr({d}, i, 1) AS int) ELSE cast(substr({d}, i, 1) AS int) * 2 - CASE WHEN cast(substr({d}, i, 1) AS int) > 4 THEN 9 ELSE 0 END END)"
+_HEX6 = _HEX.replace("ELSE substr('0123456789abcdef', {n} % 16 + 1, 1) END", "WHEN {c} rlike '^[0-9A-Fa-f]$' THEN substr('0123456789abcdef', {n} % 16 + 1, 1) ELSE {c} END").replace("WHEN raw rlike '[A-F]'", "WHEN raw rlike '[A-F]' AND {c} rlike '^[0-9A-Fa-f]$'")
 #: Digits of a card surrogate: first digit kept, check digit right if and only if the original's is.
-_CARD_15 = f"concat(substr(canon, 1, 1), array_join(transform(sequence(1, 14), i -> cast({_AT.format(k='i')} % 10 AS string)), ''))"
+_CARD_BODY = f"concat(substr(canon, 1, 1), array_join(transform(sequence(1, length(canon) - 2), i -> cast({_AT.format(k='i')} % 10 AS string)), ''))"
+_CHECKED = f"pmod({_LUHN.format(d='canon')} + cast(substr(canon, -1, 1) AS int), 10) = 0"
 _CARD = f"""concat(body, cast(pmod(10 - {_LUHN.format(d='body')} % 10 +
-  CASE WHEN pmod({_LUHN.format(d='canon')} + cast(substr(canon, 16, 1) AS int), 10) = 0 THEN 0 ELSE 1 + {_AT.format(k='15')} % 9 END, 10) AS string))"""
+  CASE WHEN {_CHECKED} THEN 0 ELSE 1 + {_AT.format(k='15')} % 9 END, 10) AS string))"""
 #: The digits of ``raw`` replaced by those of ``new_digits`` in order.
 _REFORMAT = """aggregate(split(raw, ''), named_struct('o', '', 'k', 1), (acc, c) -> named_struct(
   'o', concat(acc.o, CASE WHEN c rlike '^[0-9]$' THEN substr(new_digits, acc.k, 1) ELSE c END), 'k', acc.k + CASE WHEN c rlike '^[0-9]$' THEN 1 ELSE 0 END), acc -> acc.o)"""
@@ -121,8 +128,8 @@ def _word(nums: str, ending: str) -> str:
         sounds = _array(SOUNDS[script])
         sound = [f"element_at({sounds}, element_at({nums}, {i}) % 20 + 1)" for i in range(1, 11)]
         body = f"concat({', '.join(sound[:4])}, CASE WHEN wide THEN concat({', '.join(sound[4:])}) ELSE '' END)"
-        m, f = ENDINGS[script]
-        end = {"given": f"CASE WHEN feminine THEN '{f}' ELSE '{m}' END", "family": "''"}[ending]
+        m, f, neutral = ENDINGS[script]
+        end = {"given": f"CASE gender WHEN 'f' THEN '{f}' WHEN 'm' THEN '{m}' ELSE '{neutral}' END", "family": "''"}[ending]
         return f"initcap(concat({body}, {end}))"
 
     return f"CASE WHEN raw rlike '\\\\p{{IsCyrillic}} ?$' THEN {made('cyrillic')} ELSE {made('latin')} END"
@@ -135,29 +142,35 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     # from itself and its gender
     e = e.withColumn("domain", F.expr("CASE WHEN kind = 'email' THEN lower(regexp_extract(raw, '@(.*)$', 1)) END"))
     e = e.withColumn("domain_nums", F.expr(f"CASE WHEN kind = 'email' THEN {_numbers(chr(39) + 'domain' + chr(39), 'domain')} END"))
-    titles = "|".join(FEMININE)
-    e = e.withColumn("feminine", F.expr(f"raw rlike '^(?:{titles})[. ]'"))
-    e = e.withColumn("given_nums", F.expr(f"CASE WHEN kind = 'name' THEN {_numbers(chr(39) + 'given' + chr(39), 'lower(element_at(split(raw, chr(32)), 2))', 'cast(feminine AS string)')} END"))
-    e = e.withColumn("body", F.expr(f"CASE WHEN kind = 'card' THEN {_CARD_15} END"))
+    # the titles, their gender (the first that has one decides) and the words of the name
+    e = e.withColumn("title", F.when(F.col("kind") == "name", F.regexp_extract("raw", f"^({_TITLES})", 1)))
+    e = e.withColumn("words", F.when(F.col("kind") == "name", F.split(F.expr("substr(raw, length(title) + 1)"), " ")))
+    genders = [(F.col("title").rlike(rf"(?:^| )(?:{'|'.join(titles)})[. ]"), g) for titles, g in ((FEMININE, "f"), (MASCULINE, "m"))]
+    e = e.withColumn("gender", F.when(genders[0][0], "f").when(genders[1][0], "m").otherwise("n"))
+    e = e.withColumn("given_nums", F.expr(f"CASE WHEN kind = 'name' THEN {_numbers(chr(39) + 'given' + chr(39), 'lower(words[0])', 'gender')} END"))
+    e = e.withColumn("body", F.expr(f"CASE WHEN kind = 'card' THEN {_CARD_BODY} END"))
     digits = f"CASE WHEN kind = 'card' THEN {_CARD} WHEN kind = 'phone' AND raw like '+%' THEN {_fold('canon', "length(regexp_extract(raw, '^[+]([0-9]+)', 1))")} WHEN kind IN ('phone', 'ssn') THEN {_fold('canon', 0)} END"
     e = e.withColumn("new_digits", F.expr(digits))
     reserved = "domain rlike '(^|[.])example[.](com|net|org)$'"
     labels = "regexp_replace(domain, '[.]?[^.]+[.][^.]+$', '')"
     host = f"CASE WHEN {reserved} THEN concat_ws('.', nullif({_fold(labels, 0, nums='domain_nums')}, ''), regexp_extract(domain, 'example[.][a-z]+$', 0)) ELSE concat({_fold('regexp_replace(domain, ' + repr('[.][^.]+$') + ', ' + repr('') + ')', 0, nums='domain_nums')}, '.example.com') END"
-    name = f"array_join(CASE WHEN size(split(raw, ' ')) > 2 THEN array(element_at(split(raw, ' '), 1), {_word('given_nums', 'given')}, {_word('nums', 'family')}) ELSE array(element_at(split(raw, ' '), 1), {_word('nums', 'family')}) END, ' ')"
+    name = f"concat(title, CASE WHEN size(words) > 1 THEN concat({_word('given_nums', 'given')}, ' ') ELSE '' END, {_word('nums', 'family')})"
     made = f"""CASE kind WHEN 'email' THEN concat({_fold("regexp_extract(raw, '^([^@]*)@', 1)", 0)}, CASE WHEN wide THEN {_longer(12, "char(97 + {n} % 26)")} ELSE '' END, '@', {host})
       WHEN 'secret' THEN {_fold('raw', 0, _HEX)} WHEN 'iban' THEN {_fold('raw', 2)} WHEN 'ip' THEN {_IP}
+      WHEN 'ip6' THEN CASE WHEN wide THEN {_fold("repeat('0000:', 7) || '0000'", 0, _HEX6)} ELSE {_fold('raw', 0, _HEX6)} END
       WHEN 'name' THEN {name} WHEN 'other' THEN {_fold('raw', 0)}
       WHEN 'phone' THEN concat({_REFORMAT}, CASE WHEN wide AND length(canon) < 15 THEN {_longer("15 - length(canon)", "cast({n} % 10 AS string)")} ELSE '' END) ELSE {_REFORMAT} END"""
     e = e.withColumn("surrogate", F.expr(made))
     again = CANONICAL.replace("raw", "surrogate")
-    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "nums", "domain", "domain_nums", "feminine", "given_nums", "body", "new_digits")
+    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "nums", "domain", "domain_nums", "title", "words", "gender", "given_nums", "body", "new_digits")
 
 
 def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
     """raw, surrogate for the distinct entities of ``found`` (column ``found``: array of entities)."""
     raws = found.select(F.explode("found").alias("raw")).distinct().withColumn("kind", entity_type(F.col("raw")))
-    raws = C.stored(raws.withColumn("canon", F.expr(CANONICAL)), "entities")
+    # digits of a card's other lengths count only with a right check digit
+    card = F.expr(f"kind <> 'card' OR length(canon) = 16 OR {_CHECKED}")
+    raws = C.stored(raws.withColumn("canon", F.expr(CANONICAL)).where(card), "entities")
     # one spelling stands for a canonical form while collisions are sought
     todo = raws.groupBy("kind", "canon").agg(F.min("raw").alias("raw")).withColumn("attempt", F.lit(0))
     settled = None
@@ -188,7 +201,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     own = matches(F.col("text"))
     new = F.array_join(F.zip_with(F.split("text", PATTERN, -1), own, lambda gap, raw: F.concat(gap, F.coalesce(F.element_at("_map", raw), raw, F.lit("")))), "")
     has = F.col("_map").isNotNull()
-    return rows.withColumns({"n_entities": F.when(has, F.size(own)).otherwise(0).cast("long"), "text": F.when(has, new).otherwise(F.col("text"))}).drop("_map")
+    return rows.withColumns({"n_entities": F.when(has, F.size(F.filter(own, lambda raw: F.element_at("_map", raw).isNotNull()))).otherwise(0).cast("long"), "text": F.when(has, new).otherwise(F.col("text"))}).drop("_map")
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
