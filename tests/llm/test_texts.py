@@ -266,6 +266,14 @@ def test_more_formats_are_found(spark):
     assert all(got[100 + i] == (t, 0) for i, t in enumerate(plain.split(";")))
 
 
+def test_given_names_stay_distinct(spark):
+    names = [a + b + c for a in "ABCDEFGHIJKLMNOPQR" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz"]
+    rows = [(i, f"Mr {n} Smith") for i, n in enumerate(names)] + [(9000, f"Mrs {names[0]} Smith"), (9001, f"Mr {names[0]} Jones")]
+    got = {r["doc_id"]: r["text"].split(" ") for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[i][1] for i in range(len(names))}) == len(names) and all(len(w) == 3 for w in got.values())
+    assert got[9001][1] == got[0][1] != got[9000][1] and got[9000][2] == got[0][2] != got[9001][2]
+
+
 def test_full_formats_widen(spark, monkeypatch):
     """More one-letter addresses than free values: all get distinct surrogates; other formats widen too."""
     monkeypatch.setattr(pii, "ATTEMPTS", 2)

@@ -8,7 +8,8 @@ width, names keep the gender of their title and the script of their letters. For
 that mean the same (a phone number with and without blanks) share a canonical
 form, hence a surrogate, in every document.
 
-Collision checks: two canonical forms of a type may not share a surrogate, and no
+Collision checks: two canonical forms of a type (given names, by gender, are one of
+their own) may not share a surrogate, and no
 surrogate may equal a form that occurs in the corpus. Those that do are derived
 again with the next attempt number until none is left. What a format cannot settle
 in ``ATTEMPTS`` tries gets a wider one: a longer local part, more sounds, octets
@@ -78,7 +79,7 @@ def entity_type(raw: Column) -> Column:
 
 #: Canonical form of entity ``raw`` of type ``kind``.
 CANONICAL = """CASE WHEN kind = 'email' THEN lower(raw) WHEN kind IN ('phone', 'card', 'ssn') THEN regexp_replace(raw, '[^0-9]', '')
-  WHEN kind IN ('secret', 'ip6') THEN lower(raw) WHEN kind = 'iban' THEN replace(raw, ' ', '') WHEN kind = 'name' THEN lower(element_at(split(raw, ' '), -1)) ELSE raw END"""
+  WHEN kind IN ('secret', 'ip6', 'given_f', 'given_m', 'given_n') THEN lower(raw) WHEN kind = 'iban' THEN replace(raw, ' ', '') WHEN kind = 'name' THEN lower(element_at(split(raw, ' '), -1)) ELSE raw END"""
 
 
 def _numbers(*parts: str) -> str:
@@ -135,34 +136,40 @@ def _word(nums: str, ending: str) -> str:
     return f"CASE WHEN raw rlike '\\\\p{{IsCyrillic}} ?$' THEN {made('cyrillic')} ELSE {made('latin')} END"
 
 
+def _parts_of_names(e: DataFrame) -> DataFrame:
+    """``e`` with the title and words of names and the gender of the title (n: none); a given name's is in its kind."""
+    e = e.withColumn("title", F.when(F.col("kind") == "name", F.regexp_extract("raw", f"^({_TITLES})", 1)))
+    e = e.withColumn("words", F.when(F.col("kind") == "name", F.split(F.expr("substr(raw, length(title) + 1)"), " ")))
+    feminine, masculine = (F.col("title").rlike(rf"(?:^| )(?:{'|'.join(t)})[. ]") for t in (FEMININE, MASCULINE))
+    return e.withColumn("gender", F.when(F.col("kind").startswith("given_"), F.substring("kind", -1, 1)).when(feminine, "f").when(masculine, "m").otherwise("n"))
+
+
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``entities`` (raw, kind, canon, attempt) with ``surrogate`` and ``new_canon``, the surrogate's canonical form."""
     e = entities.withColumn("key", F.lit(key)).withColumn("wide", F.col("attempt") >= ATTEMPTS).withColumn("nums", F.expr(_numbers("kind", "canon", "cast(attempt AS string)")))
     # an email's domain is derived from the domain alone, so addresses of one domain stay together; a name's given name
-    # from itself and its gender
+    # (column ``given``) is an entity of its own
     e = e.withColumn("domain", F.expr("CASE WHEN kind = 'email' THEN lower(regexp_extract(raw, '@(.*)$', 1)) END"))
     e = e.withColumn("domain_nums", F.expr(f"CASE WHEN kind = 'email' THEN {_numbers(chr(39) + 'domain' + chr(39), 'domain')} END"))
-    # the titles, their gender (the first that has one decides) and the words of the name
-    e = e.withColumn("title", F.when(F.col("kind") == "name", F.regexp_extract("raw", f"^({_TITLES})", 1)))
-    e = e.withColumn("words", F.when(F.col("kind") == "name", F.split(F.expr("substr(raw, length(title) + 1)"), " ")))
-    genders = [(F.col("title").rlike(rf"(?:^| )(?:{'|'.join(titles)})[. ]"), g) for titles, g in ((FEMININE, "f"), (MASCULINE, "m"))]
-    e = e.withColumn("gender", F.when(genders[0][0], "f").when(genders[1][0], "m").otherwise("n"))
-    e = e.withColumn("given_nums", F.expr(f"CASE WHEN kind = 'name' THEN {_numbers(chr(39) + 'given' + chr(39), 'lower(words[0])', 'gender')} END"))
+    e = _parts_of_names(e)
+    if "given" not in e.columns:
+        e = e.withColumn("given", F.lit(""))
     e = e.withColumn("body", F.expr(f"CASE WHEN kind = 'card' THEN {_CARD_BODY} END"))
     digits = f"CASE WHEN kind = 'card' THEN {_CARD} WHEN kind = 'phone' AND raw like '+%' THEN {_fold('canon', "length(regexp_extract(raw, '^[+]([0-9]+)', 1))")} WHEN kind IN ('phone', 'ssn') THEN {_fold('canon', 0)} END"
     e = e.withColumn("new_digits", F.expr(digits))
     reserved = "domain rlike '(^|[.])example[.](com|net|org)$'"
     labels = "regexp_replace(domain, '[.]?[^.]+[.][^.]+$', '')"
     host = f"CASE WHEN {reserved} THEN concat_ws('.', nullif({_fold(labels, 0, nums='domain_nums')}, ''), regexp_extract(domain, 'example[.][a-z]+$', 0)) ELSE concat({_fold('regexp_replace(domain, ' + repr('[.][^.]+$') + ', ' + repr('') + ')', 0, nums='domain_nums')}, '.example.com') END"
-    name = f"concat(title, CASE WHEN size(words) > 1 THEN concat({_word('given_nums', 'given')}, ' ') ELSE '' END, {_word('nums', 'family')})"
+    name = f"concat(title, CASE WHEN size(words) > 1 THEN concat(coalesce(given, ''), ' ') ELSE '' END, {_word('nums', 'family')})"
+    given = _word("nums", "given")
     made = f"""CASE kind WHEN 'email' THEN concat({_fold("regexp_extract(raw, '^([^@]*)@', 1)", 0)}, CASE WHEN wide THEN {_longer(12, "char(97 + {n} % 26)")} ELSE '' END, '@', {host})
       WHEN 'secret' THEN {_fold('raw', 0, _HEX)} WHEN 'iban' THEN {_fold('raw', 2)} WHEN 'ip' THEN {_IP}
       WHEN 'ip6' THEN CASE WHEN wide THEN {_fold("repeat('0000:', 7) || '0000'", 0, _HEX6)} ELSE {_fold('raw', 0, _HEX6)} END
-      WHEN 'name' THEN {name} WHEN 'other' THEN {_fold('raw', 0)}
+      WHEN 'name' THEN {name} WHEN 'given_f' THEN {given} WHEN 'given_m' THEN {given} WHEN 'given_n' THEN {given} WHEN 'other' THEN {_fold('raw', 0)}
       WHEN 'phone' THEN concat({_REFORMAT}, CASE WHEN wide AND length(canon) < 15 THEN {_longer("15 - length(canon)", "cast({n} % 10 AS string)")} ELSE '' END) ELSE {_REFORMAT} END"""
     e = e.withColumn("surrogate", F.expr(made))
     again = CANONICAL.replace("raw", "surrogate")
-    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "nums", "domain", "domain_nums", "title", "words", "gender", "given_nums", "body", "new_digits")
+    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "nums", "domain", "domain_nums", "title", "words", "gender", "given", "body", "new_digits")
 
 
 def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -171,12 +178,16 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
     # digits of a card's other lengths count only with a right check digit
     card = F.expr(f"kind <> 'card' OR length(canon) = 16 OR {_CHECKED}")
     raws = C.stored(raws.withColumn("canon", F.expr(CANONICAL)).where(card), "entities")
+    # given names by gender are entities too; a surrogate of one may equal no real one of any gender
+    people = _parts_of_names(raws.where("kind = 'name'")).where(F.size("words") > 1)
+    given = C.stored(people.select(F.expr("words[0]").alias("raw"), F.concat(F.lit("given_"), "gender").alias("kind"), F.expr("lower(words[0])").alias("canon")).distinct(), "given")
+    real = C.stored(raws.select("kind", F.col("canon").alias("new_canon")).union(given.select(F.explode(F.array(*(F.lit(f"given_{g}") for g in "fmn"))).alias("kind"), F.col("canon").alias("new_canon"))).distinct(), "real")
+    raws = raws.unionByName(given)
     # one spelling stands for a canonical form while collisions are sought
     todo = raws.groupBy("kind", "canon").agg(F.min("raw").alias("raw")).withColumn("attempt", F.lit(0))
     settled = None
     for attempt in range(ATTEMPTS + WIDER):
         tried = C.stored(surrogates(todo, key).select("kind", "canon", "raw", "attempt", "new_canon"), "tried")
-        real = raws.select("kind", F.col("canon").alias("new_canon")).distinct()
         clean = tried.join(real, ["kind", "new_canon"], "left_anti")
         if settled is not None:
             clean = clean.join(settled.select("kind", "new_canon"), ["kind", "new_canon"], "left_anti")
@@ -185,7 +196,12 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
         settled = C.stored(good if settled is None else settled.unionByName(good), "settled")
         todo = C.stored(tried.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "raw", F.lit(attempt + 1).alias("attempt")), "todo")
         if todo.isEmpty():
-            return surrogates(raws.join(settled.select("kind", "canon", "attempt"), ["kind", "canon"]), key).select("raw", "surrogate")
+            done = _parts_of_names(raws.join(settled.select("kind", "canon", "attempt"), ["kind", "canon"]))
+            firsts = done.where("kind LIKE 'given%'")
+            firsts = surrogates(firsts, key).groupBy(F.col("kind").alias("_kind"), F.col("canon").alias("_canon")).agg(F.min("surrogate").alias("given"))
+            others = done.where("NOT kind LIKE 'given%'")
+            beside = (F.concat(F.lit("given_"), others["gender"]) == firsts["_kind"]) & (F.lower(others["words"][0]) == firsts["_canon"]) & (F.size(others["words"]) > 1)
+            return surrogates(others.join(firsts, beside, "left").drop("_kind", "_canon"), key).select("raw", "surrogate")
     raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts and {WIDER} wider ones: more entities than values")
 
 
