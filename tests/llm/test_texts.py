@@ -99,6 +99,26 @@ def test_plans_place_every_piece_once(size):
         assert least <= len(used) <= 1.5 * least + 1
 
 
+def test_plans_fill_a_sequence_before_the_next():
+    def sequences(counts, size):
+        room = []
+        for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+            fits = [i for i, r in enumerate(room) if r >= length]
+            i = min(fits, key=lambda i: room[i]) if fits else len(room)
+            room[i:] = [*room[i:]] or [size]
+            room[i] -= length
+        return len(room)
+
+    def planned(counts, size):
+        return max(first + many for _, many, first, _ in packing.best_fit(counts, size))
+
+    assert planned({1748: 10, 100: 25}, 2048) == 10
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        counts = {int(n): int(rng.integers(1, 40)) for n in rng.integers(1, 101, rng.integers(1, 12))}
+        assert planned(counts, 100) == sequences(counts, 100)
+
+
 def test_packing(spark, docs, corpus):
     size = 64
     p = packing.place(packing.token_pieces(docs, size=size), size).collect()

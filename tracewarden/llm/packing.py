@@ -111,19 +111,20 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
             runs, free[space] = free[space], []
             while runs:
                 first, many = runs.pop()
-                if not left:
+                # as many to a sequence as fit, before the next one is touched; what is left over goes into one more
+                full = min(many, left // (space // length))
+                rest = left - full * (space // length) if full < many else 0
+                for each, take in ((space // length, full), (rest, 1)):
+                    if not each or not take:
+                        continue
+                    for k in range(each):
+                        plan.append((length, take, first, size - space + k * length))
+                    left -= take * each
+                    if space > each * length:
+                        free[space - each * length].append((first, take))
+                    first, many = first + take, many - take
+                if many:
                     free[space].append((first, many))
-                    continue
-                take = min(left, many)
-                each = min(space // length, max(1, left // take))  # several to a sequence where they fit
-                take = min(take, left // each)
-                for k in range(each):
-                    plan.append((length, take, first, size - space + k * length))
-                left -= take * each
-                if take < many:
-                    runs.append((first + take, many - take))
-                if space > each * length:
-                    free[space - each * length].append((first, take))
         per = size // length
         for each in (per, left % per if left else 0):
             many = left // each if each else 0
