@@ -193,6 +193,18 @@ def test_differencing_removes_shared_lines(spark):
     assert html_extract.extract(page(spark, rows[:0])).count() == 0
 
 
+def test_differencing_decides_beside_article_marks(spark):
+    shared = "<div>Site line</div>"
+    body = "<h1 class='entry-title'>Title {0}</h1><div><p>Plain {0}</p></div><article><p>Copied</p></article>"
+    wraps = ["<div class='content-sidebar-wrap'>{}</div>", "<div class='has-sidebar'>{}</div>", "<form>{}</form>", "<div class='sidebar'><main>{}</main></div>"]
+    rows = [(i, f"http://h/{i}", shared + body.format(i)) for i in range(4)]
+    rows += [(10 + i, f"http://w{i}/", w.format("<article><p>Inner</p></article>")) for i, w in enumerate(wraps)]
+    rows += [(20, "http://s/", "<svg width='1'/><p>After</p><svg><text>in</text></svg><div class='nav-menu'>Menu</div><nav><article>no</article></nav>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(page(spark, rows)).collect()}
+    assert all(got[i] == f"Title {i}\nPlain {i}\nCopied" for i in range(4))
+    assert all(got[10 + i] == "Inner" for i in range(len(wraps))) and got[20] == "After"
+
+
 def test_longest_common_lines():
     def length(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -4,9 +4,10 @@ A page is read into lines (one per block) with a role that the markup gives it:
 article, page furniture, or unknown. Pages of one host are put in the order of
 their URL paths and paired with the neighbour whose path has the longest common
 start; the lines of both are aligned by a longest common subsequence, and what
-the two share is furniture of the site and goes. A shared line that the markup
-itself puts into the article stays: two copies of one article would otherwise
-delete each other. What the markup calls furniture goes with or without a twin.
+the two share is furniture of the site and goes, on every page. A shared line that
+the markup itself puts into the article stays: two copies of one article would
+otherwise delete each other. What the markup calls furniture goes with or without a
+twin.
 
 Scale: the alignment needs only hashes of lines, so html is never shuffled. The
 rows that are (page, path, line hashes) are range-sorted, a host with a third of
@@ -41,45 +42,48 @@ SPACES = re.compile(r"\s+")
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
 #: Elements that are page furniture whatever they hold.
 FURNITURE = frozenset("head nav header footer aside form button menu dialog fieldset label option datalist".split())
-#: Words of class, id or role that name furniture.
+#: Furniture of which an article or main element inside is none: it wraps whole pages too.
+WRAPPERS = frozenset(("form", "fieldset"))
+#: Tokens of class, id or role that name furniture: made of such words, after words of place.
 FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|footer|foot|sidebar\w*|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|social\w*|related\w*|recommend\w*|breadcrumb\w*|pagination|pager|comments?\w*|disqus|respond|reply|replies|tags?|widget\w*|search\w*|toolbar|skip\w*|copyright|legal|contentinfo|complementary|navigation|form)(?=$|[\s_-])",
+    r"(?:(?:site|page|global|main|primary|secondary|top|bottom|left|right)[_-])*(?:(?:nav[^\W_]*|menu[^\W_]*|header|footer|foot|sidebar[^\W_]*|side|aside|ads?|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookie[^\W_]*|consent|notice[^\W_]*|popup|modal|overlay|newsletter|subscribe[^\W_]*|signup|login|share[^\W_]*|social[^\W_]*|related[^\W_]*|recommend[^\W_]*|breadcrumb[^\W_]*|pagination|pager|comments?\w*|disqus|respond|reply|replies|tags?|widget[^\W_]*|search[^\W_]*|toolbar|skip[^\W_]*|copyright|legal|contentinfo|complementary|navigation|form)(?:[_-]|$))+",
     re.I,
 )
 MAIN = frozenset(("article", "main"))
-MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?=$|[\s_-])", re.I)
+MAIN_WORDS = re.compile(r"(?:(?:article|main|content|post|entry|story|body)(?:[_-]|$))+", re.I)
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split())
 #: Blocks inside which a line goes on: a line break is white space inside its block.
 INSIDE = frozenset(("br",))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ARTICLE, UNKNOWN, CHROME = 2, 1, 0
+#: CHROME ends at an article or main element inside, HIDDEN does not.
+ARTICLE, UNKNOWN, CHROME, HIDDEN = 2, 1, 0, -1
 
 
 def _role(tag: str, attributes: str) -> int | None:
     """Role that an element gives its content, None where it leaves that of its parent."""
     if tag in FURNITURE:
-        return CHROME
-    named = ""
+        return CHROME if tag in WRAPPERS else HIDDEN
+    named: list[str] = []
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return CHROME
+            return HIDDEN
         if name in ("class", "id", "role"):
-            named += " " + value
+            named += entities.unescape(value).split()
     if tag in ("body", "html"):
         return None
-    if named and FURNITURE_WORDS.search(named):
+    if any(FURNITURE_WORDS.fullmatch(x) for x in named):
         return CHROME
-    if tag in MAIN or (named and MAIN_WORDS.search(named)):
+    if tag in MAIN or any(MAIN_WORDS.fullmatch(x) for x in named):
         return ARTICLE
     return None
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """The blocks of a page in page order, each with the least role of what encloses it (article inside furniture is
-    furniture; furniture inside an article too)."""
+    """The blocks of a page in page order, each with the role of what encloses it: furniture wins, also inside an article,
+    up to an article or main element inside it where the furniture is one by its class or a form."""
     lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []
@@ -116,6 +120,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                     break
             continue
         if tag in RAW:
+            if m.group(0).endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
@@ -134,7 +140,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         if tag in VOID or m.group(0).endswith("/>"):
             continue
         given = _role(tag, m.group(3) or "")
-        new = role if given is None or role == CHROME else given
+        inside = role == HIDDEN or (role == CHROME and given != HIDDEN and tag not in MAIN)
+        new = role if given is None or inside else given
         if new != role:
             close()
         stack.append((tag, role))
@@ -240,9 +247,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for html, gone in zip(p.column("html").to_pylist(), p.column("gone").to_pylist(), strict=True):
             lines, lost = page_lines(html), set(gone or ())
-            kept = [x for x, role in lines if role == ARTICLE]
-            if not kept:  # no element is marked as the article: what differencing leaves
-                kept = [x for x, role in lines if role == UNKNOWN and not (lost and line_hash(x) in lost)]
+            kept = [x for x, role in lines if role == ARTICLE or (role == UNKNOWN and not (lost and line_hash(x) in lost))]
             out.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([p.column("page_id"), p.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
