@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracewarden.llm import line_dedup, ngram_join, suffix_dedup
+from tracewarden.llm import line_dedup, ngram_join, pii, suffix_dedup
 from tracewarden.llm.graph import components
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -165,6 +165,28 @@ def test_stage_takes_thresholds_and_finds_near_copies_between_the_thresholds(spa
     assert sorted(r["doc_id"] for r in ngram_join.stage(spark, df, "", 5, 80).collect()) == [0, 2, 4]
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows are told apart by their text where ids are null or repeated."""
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    near = words[0] + " more"
+    rows = [(None, words[0]), (None, near), (None, words[1]), (7, words[2]), (7, words[3]), (7, words[3]), (8, words[3] + " more"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.stage(spark, df, "").collect()]
+    assert len(got) == 5 and len({t for _, t in got} & {words[0], near}) == 1
+    assert {(None, words[1]), (7, words[2]), (7, words[3]), (9, None)} <= set(got)
+    common = "This very common line stands in many of the documents"
+    lines = [(i, common) for i in range(9, 14)] + [(7, f"{common}\nx"), (7, f"y\n{common}"), (None, "own")]
+    df = spark.createDataFrame(lines, "doc_id long, text string")
+    out = line_dedup.apply_bitmaps(df, line_dedup.drop_bitmaps(df)).collect()
+    assert sorted(r["text"] for r in out if r["doc_id"] == 7) == ["x", "y"] and [r["text"] for r in out if r["doc_id"] is None] == ["own"]
+    long = " ".join(words[:3])
+    df = spark.createDataFrame([(None, long), (None, long + " tail"), (1, "other")], "doc_id long, text string")
+    cut = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert cut == {(None, len(long)): len(long), (None, len(long) + 5): len(long), (1, 5): 0}
+    out = pii.replace_entities(spark.createDataFrame([(None, "a.b@mail.org"), (None, "no"), (None, None)], "doc_id long, text string")).collect()
+    assert len(out) == 3 and not any("mail.org" in (r["text"] or "") for r in out)
+
+
 def test_ngram_join_without_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
     assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == [(1, 0, 1), (2, 0, 2), (2, 0, 2)]

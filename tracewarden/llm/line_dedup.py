@@ -9,7 +9,8 @@ words without a dropped line are left out. Text meets its bitmap once, by
 document id.
 
 Cases: null or empty text is one empty line; a repeated doc_id is one document
-for counting, and each of its rows is filtered on its own positions; extra
+for counting, and each of its rows is filtered on its own positions; rows with a
+null doc_id count as no document (as in the SQL) and keep all lines; extra
 columns pass through ``apply_bitmaps`` unchanged.
 """
 
@@ -34,44 +35,49 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(_SPACE)), _UPPER, _LOWER)
 
 
+def _text_hash() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2 (128 bits), doc_id, pos of each line whose key has at least ``min_chars`` code points."""
-    one = docs.select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
-    keyed = one.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "pos")
+    """h1, h2 (128 bits), doc_id, text_hash, pos of each line whose key has at least ``min_chars`` code points."""
+    one = docs.select("doc_id", _text_hash().alias("text_hash"), F.posexplode(lines(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
+    keyed = one.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "text_hash", "pos")
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_dropped, words: the documents that lose lines; ``words`` maps 64-line word to a bitmap of dropped lines."""
+    """doc_id, text_hash, n_dropped, words: the documents that lose lines; ``words`` maps 64-line word to a bitmap of dropped lines."""
     n = C.parts(docs.sparkSession)
     # written first: the sampling that finds the ranges then reads hashes, not text
     sorted_lines = C.stored(line_hashes(docs, min_chars), "hashes").repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    bits = F.struct(F.shiftright("pos", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63)).alias("bit"))
+    bits = F.struct("text_hash", F.shiftright("pos", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63)).alias("bit"))
     # one row per key and document: its positions, as they stream past
-    held = C.stored(sorted_lines.groupBy("h1", "h2", "doc_id").agg(F.collect_list(bits).alias("bits")), "lines")
-    keys = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    held = C.stored(sorted_lines.groupBy("h1", "h2", "doc_id").agg(F.collect_set(bits).alias("bits")), "lines")
+    keys = held.groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
     gone = held.join(C.sized_broadcast(keys), ["h1", "h2"]).where("doc_id <> last_doc").select("doc_id", F.inline("bits"))
-    words = gone.groupBy("doc_id", "word").agg(F.bit_or("bit").alias("mask"), F.count(F.lit(1)).alias("n"))
-    return words.groupBy("doc_id").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words"))
+    words = gone.groupBy("doc_id", "text_hash", "word").agg(F.bit_or("bit").alias("mask"), F.count(F.lit(1)).alias("n"))
+    return words.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_dropped and text replaced by its kept lines; documents without a bitmap keep all lines."""
-    plain = docs.drop("n_lines", "n_dropped", "words")
-    joined = plain.join(bitmaps, "doc_id", "left")
+    plain = docs.drop("n_lines", "n_dropped", "words", "text_hash").withColumn("text_hash", _text_hash())
+    joined = plain.join(bitmaps, ["doc_id", "text_hash"], "left")
     all_lines = lines(F.col("text"))
     stays = F.filter(
         all_lines,
         lambda x, i: F.coalesce(F.getbit(F.element_at("words", F.shiftright(i, 6)), i.bitwiseAND(63)), F.lit(0)) == 0,
     )
     text = F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n"))
-    return joined.withColumns({"n_lines": F.size(all_lines).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"), "text": text}).drop("words")
+    return joined.withColumns({"n_lines": F.size(all_lines).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"), "text": text}).drop("words", "text_hash")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and keep: the compressed keep bitmap (words in which every line stays are left out) of each document with a
     dropped line; every other document keeps all its lines."""
-    return drop_bitmaps(docs, min_chars, min_docs).select("doc_id", "n_dropped", F.transform_values("words", lambda _, v: F.bitwise_not(v)).alias("keep"))
+    return drop_bitmaps(docs, min_chars, min_docs).select("doc_id", "text_hash", "n_dropped", F.transform_values("words", lambda _, v: F.bitwise_not(v)).alias("keep"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

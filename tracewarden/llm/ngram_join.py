@@ -123,7 +123,7 @@ def _sketches(width: int, percent: int):
             at = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(begin[:-1], size)
             tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h[at].view(np.int64)))
             sig = pa.array([signature(h[x:y]).tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n), pa.array(node), tokens, sig], names=["doc_id", "n", "node", "tokens", "sig"])
+            yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("h"), pa.array(n), pa.array(node), tokens, sig], names=["doc_id", "h", "n", "node", "tokens", "sig"])
 
     return sketches
 
@@ -346,13 +346,18 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
+    return members(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``classes`` with h (hash of the row's text) and best: doc_id and h of the row that stands for its component."""
     need = _need(percent)
     spark = docs.sparkSession
     n = C.parts(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = rows.mapInArrow(_sketches(width, percent), "doc_id long, n long, node long, tokens array<long>, sig binary")
-    sets = C.stored(sketches.select("doc_id", "n", "node", "sig"), "sets")
-    nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    sketches = rows.mapInArrow(_sketches(width, percent), "doc_id long, h long, n long, node long, tokens array<long>, sig binary")
+    sets = C.stored(sketches.select("doc_id", "h", "n", "node", "sig"), "sets")
+    nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("at"), F.first("n").alias("n")), "nodes")
 
     # inverted lists of the prefixes; equal sets post once
     posts = sketches.select("node", "n", F.explode("tokens").alias("t")).repartition(n, "t").distinct()
@@ -378,8 +383,10 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     pairs = C.stored(sized.mapInArrow(_possible(percent), "a long, b long").union(meeting_pairs(meet, sigs.drop("n"), None, BEST, percent)).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(meet.select("node")).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    texts = C.stored(rows.join(C.sized_broadcast(C.stored(ids, "ids"), MANY_IDS), "doc_id").select("node", "text").dropDuplicates(["node"]), "texts")
+    ids = nodes.join(wanted, "node", "left_semi").select("node", F.col("at.doc_id").alias("_id"), F.col("at.h").alias("_h"))
+    ids = C.stored(ids, "ids")
+    same = rows["doc_id"].eqNullSafe(ids["_id"]) & (rows["h"] == ids["_h"])
+    texts = C.stored(rows.join(C.sized_broadcast(ids, MANY_IDS), same).select("node", "text").dropDuplicates(["node"]), "texts")
     links = verify(pairs, texts, width, percent)
     groups = components(links)
     done = pairs
@@ -391,10 +398,10 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             groups = components(links)
     # components by smallest doc_id
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = C.stored(named.join(least, "component").select("node", "component_id"), "classes")
-    flat = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return flat.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("at").alias("best"))
+    of_node = C.stored(named.join(least, "component").select("node", "component_id", "best"), "classes")
+    flat = sets.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return flat.join(of_node, "node", "left").select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "best")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,6 +409,19 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each group; of rows with equal doc_id, one."""
-    gone = classes(docs.select("doc_id", "text"), width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(C.sized_broadcast(gone, MANY_IDS), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: one row of each component, with the smallest doc_id (a null one only where there is no other); rows
+    without words link to nothing and all stay."""
+    rows = members(docs.select("doc_id", "text"), width, percent).where("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    keys = C.stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("rows")), "keys")
+
+    def beside(left: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        same = left["doc_id"].cast("long").eqNullSafe(which["_id"]) & (F.xxhash64(left["text"]) == which["_h"])
+        return left.join(C.sized_broadcast(which, MANY_IDS), same, how)
+
+    kept = beside(docs, keys.where("NOT stays").select("_id", "_h"), "left_anti")
+    again = keys.where("stays AND rows > 1").select("_id", "_h")
+    if not again.isEmpty():
+        once = beside(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = beside(kept, again, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

@@ -16,10 +16,10 @@ in ``ATTEMPTS`` tries gets a wider one: a longer local part, more sounds, octets
 and phone numbers of full length.
 
 Scale: only matches travel; a hot entity is joined as a row of a small table; text
-meets its document's replacements once, by document id.
+meets its document's replacements once, by document id and text hash.
 
 Cases: null text stays null and has no entities; texts without matches are
-returned as they are; repeated doc_ids share a map from entity to surrogate;
+returned as they are; null and repeated doc_ids are told apart by text;
 matches are found left to right and never overlap.
 """
 
@@ -207,13 +207,14 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and n_entities."""
-    found = C.stored(docs.select("doc_id", matches(F.col("text")).alias("found")).where(F.size("found") > 0), "found")
-    pairs = found.select("doc_id", F.explode("found").alias("raw")).distinct()
+    found = C.stored(docs.select("doc_id", F.xxhash64("text").alias("_text"), matches(F.col("text")).alias("found")).where(F.size("found") > 0), "found")
+    pairs = found.select("doc_id", "_text", F.explode("found").alias("raw")).distinct()
     known = C.stored(dictionary(found, key), "dictionary")
     joined = pairs.join(C.sized_broadcast(known), "raw")
-    maps = joined.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias("_map"))
+    maps = joined.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias("_map"))
     plain = docs.drop("n_entities", "_map")
-    rows = plain.join(C.sized_broadcast(maps), "doc_id", "left")
+    own_map = plain["doc_id"].eqNullSafe(maps["_id"]) & (F.xxhash64(plain["text"]) == maps["_text"])
+    rows = plain.join(C.sized_broadcast(maps), own_map, "left").drop("_id", "_text")
     own = matches(F.col("text"))
     new = F.array_join(F.zip_with(F.split("text", PATTERN, -1), own, lambda gap, raw: F.concat(gap, F.coalesce(F.element_at("_map", raw), raw, F.lit("")))), "")
     has = F.col("_map").isNotNull()

@@ -331,8 +331,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with ``with_text``) of each row."""
     n = C.parts(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(11), "text")})
-    about = C.stored(base.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha")), "about")
+    # a null id takes a fixed value: rows of one id are told apart by their text
+    missing = F.col("doc_id").cast("long").isNull()
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), missing.alias("missing"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(11), "text")})
+    about = C.stored(base.select("doc_id", "missing", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha")), "about")
     copies = about.where(F.col("n_bytes") >= SPAN).groupBy("h1", "h2", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one")).where("n > 1").select("h1", "h2", "one")
     copies = C.stored(copies, "copies")
     spare = about.join(copies, ["h1", "h2"]).where("doc_id <> one").select("doc_id", "h1")
@@ -352,6 +354,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copy = F.col("copy").isNotNull()
     out = whole.select(
         "doc_id",
+        "missing",
         "h1",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -362,7 +365,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     if with_text:  # texts that lose nothing come from the input
         same = base.select("doc_id", "h1", F.encode("text", "utf-8").alias("all")).dropDuplicates(["doc_id", "h1"])
         out = out.join(same, ["doc_id", "h1"], "left").withColumn("kept", F.coalesce("kept", "all")).drop("all")
-    return out.drop("h1")
+    return out.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("h1", "missing")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
