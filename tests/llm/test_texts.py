@@ -78,6 +78,30 @@ def test_ids_match_the_tokenizer():
         assert fast(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\t" * 1_000_000, "\n" * 1_000_000, "a" + "\n " * 500_000 + "b", "a" * 1_000_000, "#" * 1_000_000, "é\u3000" * 300_000])
+def test_ids_of_very_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_a_length_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_PART", 7)
+    df = spark.createDataFrame([(i, "word " * (1 + i % 3)) for i in range(90)] + [(90, None), (91, " " * 300_001)], "doc_id long, text string")
+    rows = packing.pack(df, size=16).collect()
+    used = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 16
+    assert {r["doc_id"] for r in rows} == set(range(92)) and sum(r["length"] for r in rows if r["doc_id"] == 91) == 300_002
+
+
 @pytest.mark.parametrize("size", [16, 100])
 def test_plans_place_every_piece_once(size):
     rng = np.random.default_rng(size)

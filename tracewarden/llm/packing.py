@@ -4,8 +4,9 @@ A token count lies between 1 and the sequence length, so all that packing needs
 to know is how many pieces there are of each length: at most ``size`` numbers,
 whatever the corpus. Best-fit runs over those counts and gives a plan of slots;
 pieces then take the slots of their length by rank. No document takes part in the
-planning and no group of equal lengths meets in one task: ranks are built from
-counts per (length, salt) and a rank inside each salt.
+planning and no group of equal lengths meets in one task: a length has as many
+parts as its count asks for, and ranks are built from counts per (length, part)
+and a rank inside each part. The driver sees one number for each length and part.
 
 Cases: null text is empty and still has its closing id; texts longer than a
 sequence are cut into full pieces after a first, shorter one; repeated doc_ids
@@ -15,6 +16,7 @@ are packed row by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm import common as C
 
-SIZE, END_ID, SALTS = 2048, 0, 64
+SIZE, END_ID = 2048, 0
+#: Pieces of one length that are ranked together; a length with more is cut into parts.
+PER_PART = 50_000
 SPECIAL = "<|endoftext|>"
+#: White space whose look-ahead the fast encoder's pattern could not hold (its limit is ten times as long).
+LONG_SPACE = re.compile(r"\s{100000}")
 _encoders: dict[str, Callable] = {}
 
 
@@ -58,7 +64,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         exact = Tokenizer.from_file(path)
-        _encoders[path] = lambda text: np.array(exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text), np.uint32)
+
+        def encode(text: str) -> np.ndarray:
+            plain = SPECIAL not in text and not (len(text) >= 100_000 and LONG_SPACE.search(text))
+            return np.array(fast.encode_ordinary(text) if plain else exact.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _encoders[path] = encode
     return _encoders[path]
 
 
@@ -140,13 +151,15 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``pieces`` with sequence_id and offset. Columns used: row, piece, length."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int"))
-    table = [(r["length"], r["salt"], r["n"]) for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most size x SALTS numbers
-    counts: dict[int, int] = defaultdict(int)
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size numbers
+    many_parts = F.lit([max(1, -(-counts.get(n, 0) // PER_PART)) for n in range(1, size + 1)])
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.element_at(many_parts, F.col("length").cast("int"))).cast("int"))
+    table = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size + pieces / PER_PART numbers
     base: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(table):
-        base[length, salt] = counts[length]
-        counts[length] += n
+    seen: dict[int, int] = defaultdict(int)
+    for length, part, n in sorted((r["length"], r["part"], r["n"]) for r in table):
+        base[length, part] = seen[length]
+        seen[length] += n
     slots: dict[int, tuple] = {}
     by_length = defaultdict(list)
     for length, many, first, offset in best_fit(counts, size):
@@ -157,21 +170,23 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            length, salt = pdf["length"].to_numpy(), pdf["salt"].to_numpy()
+            length, part = pdf["length"].to_numpy(), pdf["part"].to_numpy()
             rank = pdf["rank"].to_numpy(np.int64) - 1
             seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            order = np.lexsort((salt, length))
-            bounds = np.flatnonzero(np.diff(length[order] * SALTS + salt[order], prepend=-1)) if len(pdf) else []
+            order = np.lexsort((part, length))
+            fresh = np.ones(len(pdf), bool)
+            fresh[1:] = (np.diff(length[order]) != 0) | (np.diff(part[order]) != 0)
+            bounds = np.flatnonzero(fresh)
             for at, to in zip(bounds, [*bounds[1:], len(pdf)], strict=True):
                 i = order[at:to]
-                n, s = int(length[i[0]]), int(salt[i[0]])
+                n, s = int(length[i[0]]), int(part[i[0]])
                 starts, first, offset = slots[n]
                 r = rank[i] + base[n, s]
                 k = np.searchsorted(starts, r, "right") - 1
                 seq[i], off[i] = first[k] + r - starts[k], offset[k]
-            yield pdf.drop(columns=["salt", "rank"]).assign(sequence_id=seq, offset=off)
+            yield pdf.drop(columns=["part", "rank"]).assign(sequence_id=seq, offset=off)
 
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("row", "piece")).cast("long"))
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "part").orderBy("row", "piece")).cast("long"))
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     return ranked.mapInPandas(seat, schema)
 
