@@ -111,11 +111,11 @@ def test_line_dedup(spark):
     assert line_dedup.drop_bitmaps(df.limit(0)).count() == 0
 
 
-def brute_classes(rows):
+def brute_classes(rows, width=3, percent=90):
     sets = {}
     for i, t in rows:
         w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))]
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
     up = {i: i for i in sets}
 
     def find(i):
@@ -125,7 +125,7 @@ def brute_classes(rows):
 
     for i, a in sets.items():
         for j, b in sets.items():
-            if i < j and a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
     return sorted((i, len(sets[i]), find(i)) for i in sets)
@@ -162,7 +162,23 @@ def test_stage_takes_thresholds_and_finds_near_copies_between_the_thresholds(spa
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [c for _, _, c in brute_classes(rows)] == [0, 1, 2, 3, 4]
-    assert sorted(r["doc_id"] for r in ngram_join.stage(spark, df, "", 5, 80).collect()) == [0, 2, 4]
+    assert [c for _, _, c in brute_classes(rows, 5, 80)] == [0, 0, 2, 2, 4]
+    assert sorted(r["doc_id"] for r in ngram_join.stage(spark, df, "").collect()) == [0, 2, 4]
+    assert sorted(r["doc_id"] for r in ngram_join.stage(spark, df, "", 3, 90).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_sets_of_one_hash_are_told_apart(spark, corpus, docs, monkeypatch):
+    """The 64 bits that name a node clash for all sets of a third; the other 64 tell them apart."""
+    whole = ngram_join.set_hash
+    monkeypatch.setattr(ngram_join, "set_hash", lambda h, begin, salt: whole(h, begin, salt) % 3 if salt == 0xA5A5A5A5A5A5A5A5 else whole(h, begin, salt))
+    assert sorted(tuple(r) for r in ngram_join.classes(docs).collect()) == brute_classes(corpus)
+
+
+def test_repeated_ids_lose_no_link(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")]
+    got = sorted(tuple(r) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 58, 1), (1, 58, 1), (2, 59, 1), (3, 59, 1)]
 
 
 def test_null_and_repeated_ids(spark):

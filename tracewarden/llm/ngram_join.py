@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard self-join by T-occurrence search (operator 7).
 
 A document is its set of distinct shingles of ``width`` words; two documents link
-when 100 * intersection >= percent * union (3 and 90 in the query and in
-the pipeline's stage). Equal sets are one node. Nodes are found by
-T-occurrence search over inverted lists:
+when 100 * intersection >= percent * union (3 and 90 in the query, 5 and 80 in the
+pipeline's stage). Equal sets are one node, told apart by 128 bits. Nodes are found
+by T-occurrence search over inverted lists:
 
 * Two linked sets share at least T of the ``prefix`` smallest shingle hashes of
   each, so only those are indexed. Lists of one node leave at once; a node with
@@ -42,6 +42,7 @@ from tracewarden.llm import common as C
 from tracewarden.llm.graph import components
 
 WIDTH, PERCENT = 3, 90
+STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Longest list that is heap-merged; longer ones are probed.
 SHORT = 8
 #: Nodes of a long list that meet in one block of a task, and partners that a node names in an early round.
@@ -109,21 +110,26 @@ def most_difference(n, m, percent: int = PERCENT):
     return n + m - 2 * ((percent * (n + m) + 99 + percent) // (100 + percent))
 
 
+def set_hash(h: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hash of each whole set."""
+    with np.errstate(over="ignore"):
+        return C.mix(_sum_per_row(C.mix(h ^ np.uint64(salt)), begin) + np.diff(begin).astype(np.uint64)).view(np.int64)
+
+
 def _sketches(width: int, percent: int):
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, n, node (hash of the whole set), the smallest hashes and the signature."""
+        """doc_id, n, node and check (two hashes of the whole set), the smallest hashes and the signature."""
         for p in C.pieces(batches, "text"):
             h, begin = shingle_sets(*C.buffers(p.column("text")), width)
             n = np.diff(begin)
-            with np.errstate(over="ignore"):
-                node = C.mix(_sum_per_row(C.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin) + n.astype(np.uint64)).view(np.int64)
+            node, check = set_hash(h, begin, 0xA5A5A5A5A5A5A5A5), set_hash(h, begin, 0x3C6EF372FE94F82B)
             size = np.where(n > 0, prefix_length(n, percent), 0)
             first = np.zeros(len(n) + 1, np.int64)
             np.cumsum(size, out=first[1:])
             at = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(begin[:-1], size)
             tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h[at].view(np.int64)))
             sig = pa.array([signature(h[x:y]).tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("h"), pa.array(n), pa.array(node), tokens, sig], names=["doc_id", "h", "n", "node", "tokens", "sig"])
+            yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("h"), pa.array(n), pa.array(node), pa.array(check), tokens, sig], names=["doc_id", "h", "n", "node", "check", "tokens", "sig"])
 
     return sketches
 
@@ -344,6 +350,12 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return C.stored(rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_decide(percent), "a long, b long"), "links")
 
 
+def told_apart(rows: DataFrame, clash: DataFrame) -> DataFrame:
+    """``rows`` in which nodes that stand for several sets (told by ``check``) are nodes of their own."""
+    marked = rows.join(C.sized_broadcast(clash.select("node", F.lit(True).alias("several"))), "node", "left")
+    return marked.withColumn("node", F.when(F.col("several"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("several")
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     return members(docs, width, percent).select("doc_id", "n_shingles", "component_id")
@@ -355,9 +367,15 @@ def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     n = C.parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    sketches = rows.mapInArrow(_sketches(width, percent), "doc_id long, h long, n long, node long, tokens array<long>, sig binary")
-    sets = C.stored(sketches.select("doc_id", "h", "n", "node", "sig"), "sets")
-    nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("at"), F.first("n").alias("n")), "nodes")
+    sketches = rows.mapInArrow(_sketches(width, percent), "doc_id long, h long, n long, node long, check long, tokens array<long>, sig binary")
+    sets = C.stored(sketches.drop("tokens"), "sets")
+    while True:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+        nodes = C.stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), first.alias("at"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
+        clash = nodes.where("low <> high")
+        if clash.isEmpty():
+            break
+        sketches, sets = told_apart(sketches, clash), C.stored(told_apart(sets, clash), "sets")
 
     # inverted lists of the prefixes; equal sets post once
     posts = sketches.select("node", "n", F.explode("tokens").alias("t")).repartition(n, "t").distinct()
@@ -408,9 +426,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(C.documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Pipeline stage: one row of each component, with the smallest doc_id (a null one only where there is no other); rows
-    without words link to nothing and all stay."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT) -> DataFrame:
+    """Pipeline stage: one row of each component of near copies (five words, similarity 0.8), with the smallest doc_id (a
+    null one only where there is no other); rows without words link to nothing and all stay."""
     rows = members(docs.select("doc_id", "text"), width, percent).where("n_shingles > 0")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
     keys = C.stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("rows")), "keys")
