@@ -180,6 +180,9 @@ def test_fingerprints(spark, docs, corpus):
         assert got[i]["near_edited"] == merkle.likeness(got[i]["fingerprint"], got[i]["edited_fingerprint"])
         assert (t == e) == (got[i]["fingerprint"] == got[i]["edited_fingerprint"])
     assert merkle.fingerprint_table(docs.limit(0)).count() == 0
+    none = merkle.fingerprint_table(spark.createDataFrame([(None, "a b"), (4, "c"), (4, "b"), (1 << 60, None)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["n_chars"]) for r in sorted(none, key=lambda r: (r["doc_id"] or 0, r["n_chars"]))] == [(None, 3), (4, 1), (4, 1), (1 << 60, 0)]
+    assert {r["edited_sha256"] for r in none if r["doc_id"] is None} == {hashlib.sha256(b"a b"[:2] + b"b").hexdigest()}
     one = merkle.fingerprint_table(docs.where("doc_id = 3")).first()
     assert one["near_next"] == 1.0
 
@@ -188,9 +191,31 @@ def test_edits_are_located():
     a = "\n".join(f"line {i}" for i in range(40))
     b = a.replace("line 17\n", "line x\n")
     assert merkle.locate_edits(a, b) == [17] and merkle.locate_edits(a, a) == []
+    x, y = merkle.fingerprints([a, b])
+    assert merkle.edits(x, y) == merkle.edits(y, x) == [17]
+    assert [(h[:16], [p[:16] for p in s]) for h, s in merkle.tree(a)["sections"]] == merkle.branches(x)
     assert merkle.likeness(*merkle.fingerprints([a, a])) == 1.0 and merkle.likeness(*merkle.fingerprints(["p q r", "s t u"])) == 0.0
 
 
+def test_likeness_is_the_share_of_common_phrases(corpus):
+    """Exact for texts of at most SKETCH phrases, near it for longer ones."""
+    from tracewarden.llm.common import buffers
+
+    def phrases(t):
+        return set(merkle.phrase_hashes(*buffers(pa.array([t], pa.large_string())))[0].tolist())
+
+    rng = np.random.default_rng(5)
+    texts = [t for _, t in corpus if t and len(t.split()) > 30]
+    for t in texts[:60]:
+        w = t.split()
+        for k in rng.integers(0, len(w), max(1, len(w) // 20)):
+            w[k] = "other"
+        a, b = phrases(t), phrases(" ".join(w))
+        share = len(a & b) / len(a | b)
+        got = merkle.likeness(*merkle.fingerprints([t, " ".join(w)]))
+        assert got == pytest.approx(share, abs=1e-6 if len(a | b) <= merkle.SKETCH else 0.15)
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------
 
 SITE = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><div>Shared line</div><div class='cookie-notice'>Cookies</div>{body}<form><p>Name</p></form><div>Other shared</div><ul class=comments><li>first!</li></ul><footer>f</footer></body></html>"

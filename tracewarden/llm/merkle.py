@@ -5,12 +5,13 @@ after sixteen paragraphs), a section holds paragraphs (lines), a paragraph holds
 phrases cut where the words themselves say so. Each inner node hashes the hashes
 of its children; equal roots mean equal texts, and where roots differ only the
 branches that differ need a visit to locate an edit. The fingerprint string
-carries the root, the section hashes and a bottom sketch of the phrase hashes,
-from which two fingerprints give a likeness without their texts.
+carries the tree down to its paragraphs (root, sections and their paragraphs) and
+a bottom sketch of the phrase hashes: two fingerprints locate edits and give a
+likeness without their texts.
 
 Cases: null text is empty; an empty text has one empty section; texts that are
 equal have equal fingerprints, whatever their length; repeated doc_ids are taken
-in the order of their text.
+in the order of their text; null doc_ids come before all others.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from tracewarden.llm import common as C
 
 SECTION_PARAGRAPHS, PHRASE_WORDS, SKETCH = 16, 4, 128
 FLOAT_DIGITS = 6
+#: Hex digits of a section or paragraph in the fingerprint (64 bits); the root has all 128 bits.
+HEX = 16
 
 
 def _digest(data: bytes) -> bytes:
@@ -49,21 +53,32 @@ def tree(text: str | None) -> dict:
     return {"root": root.hex(), "sections": [(h.hex(), [p.hex() for p in s]) for h, s in hashed]}
 
 
-def locate_edits(a: str | None, b: str | None) -> list[int]:
-    """Numbers of the paragraphs of ``a`` whose branch is not in ``b``; walks only into sections that differ."""
-    x, y = tree(a), tree(b)
-    if x["root"] == y["root"]:
+def branches(fingerprint: str) -> list[tuple[str, list[str]]]:
+    """The sections of a fingerprint: (hash, hashes of its paragraphs)."""
+    return [(h, [p[i : i + HEX] for i in range(0, len(p), HEX)]) for h, _, p in (s.partition("/") for s in fingerprint.split(":")[1].split(","))]
+
+
+def edits(a: str, b: str) -> list[int]:
+    """Numbers of the paragraphs of the first fingerprint's text whose branch is not in the second's; visits only sections
+    that differ."""
+    if a.split(":")[0] == b.split(":")[0]:
         return []
-    sections = {h for h, _ in y["sections"]}
-    leaves = {p for _, s in y["sections"] for p in s}
+    theirs = branches(b)
+    sections = {h for h, _ in theirs}
+    leaves = {p for _, s in theirs for p in s}
     found, at = [], 0
-    for h, s in x["sections"]:
+    for h, s in branches(a):
         if h not in sections:
             found += [at + i for i, p in enumerate(s) if p not in leaves]
         at += len(s)
     return found
 
 
+def locate_edits(a: str | None, b: str | None) -> list[int]:
+    """``edits`` of two texts."""
+    return edits(*fingerprints([a or "", b or ""]))
+
+
 def phrase_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the phrases of each row and each row's first. A phrase is cut before a word whose hash says so
     (one in ``PHRASE_WORDS``) and at line ends, so an edit moves only the cuts beside it."""
@@ -83,7 +98,7 @@ def phrase_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """``root:sections:count:sketch``; the sketch holds the smallest distinct phrase hashes."""
+    """``root:section/paragraphs,section/paragraphs...:count:sketch``; the sketch holds the smallest distinct phrase hashes."""
     out = []
     at = 0
     while at < len(texts):  # pieces of about a MiB
@@ -95,7 +110,7 @@ def fingerprints(texts: list[str]) -> list[str]:
         for i, text in enumerate(texts[at:to]):
             t = tree(text)
             leaf = np.unique(h[first[i] : first[i + 1]])
-            out.append(f"{t['root']}:{''.join(s[:8] for s, _ in t['sections'])}:{len(leaf)}:{leaf[:SKETCH].astype('>u4').tobytes().hex()}")
+            out.append(f"{t['root']}:{','.join(f"{s[:HEX]}/{''.join(p[:HEX] for p in ps)}" for s, ps in t['sections'])}:{len(leaf)}:{leaf[:SKETCH].astype('>u4').tobytes().hex()}")
         at = to
     return out
 
@@ -126,10 +141,11 @@ def with_successor(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = 4 * C.parts(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # the bounds are a list of at most 4 x partitions numbers, searched by bisection
     cuts = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)))
-    # the bounds are a list of at most 4 x partitions numbers
-    block = F.size(F.filter(F.lit([int(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("block", block)
+    bounds = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    rows = rows.withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
+    rows = Bucketizer(splits=bounds, inputCol="_at", outputCol="_block").transform(rows).withColumn("block", F.col("_block").cast("int")).drop("_at", "_block")
     heads = rows.groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("h"))
     ids = heads.select("block").orderBy("block").collect()  # one number per block
     order = [r[0] for r in ids]
@@ -158,7 +174,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if not a[1] and a[0] == b[0]]
             changed = [edited(a[3], b[3]) for a, b in pairs]
             out = [
-                (a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), a[4], p, likeness(a[4], p), likeness(a[4], b[4]), a[4].split(":")[1].__len__() // 8, len(locate_edits(a[3], e)))
+                (a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), a[4], p, likeness(a[4], p), likeness(a[4], b[4]), a[4].count("/"), len(edits(a[4], p)))
                 for (a, b), e, p in zip(pairs, changed, fingerprints(changed), strict=True)
             ]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
