@@ -38,15 +38,16 @@ WIDER = 40
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles by gender; fixed values.
-MASCULINE = ("Mr", "Herr", "Monsieur", "Señor", "Sir", "господин")
-FEMININE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Señorita", "госпожа")
+MASCULINE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Senhor", "Sir", "господин", "Господин", "κύριος", "Κύριος")
+FEMININE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Signora", "Senhora", "госпожа", "Госпожа", "κυρία", "Κυρία")
 NEUTRAL = ("Dr", "Prof", "Mx", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesor", "Profesora", "доктор", "профессор")
 #: One or more titles with the blanks after them.
 _TITLES = rf"(?:(?:{'|'.join(MASCULINE + FEMININE + NEUTRAL)})\.? )+"
 #: Entity types in order of precedence: name, pattern (Java syntax, no groups).
 TYPES: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+){0,6}\.(?:[A-Za-z]{2,24}+|[\p{L}\p{M}&&[^A-Za-z]]{2,24}+)"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++){0,126}\.(?:[A-Za-z]{2,}+|[\p{L}\p{M}&&[^A-Za-z]]{2,}+)"),
+    ("token", r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|rk)[_-](?:live|test|proj)[_-][0-9A-Za-z_-]{8,}+|sk-[0-9A-Za-z]{20,}+|gh[pousr]_[0-9A-Za-z]{36,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+)(?![0-9A-Za-z])"),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![0-9A-Za-z])NO[0-9]{2} ?[0-9]{4} ?[0-9]{4} ?[0-9]{3}(?![0-9A-Za-z])"),
     ("ip6", r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}:])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
@@ -57,8 +58,24 @@ TYPES: tuple[tuple[str, str], ...] = (
 )
 PATTERN = "|".join(p for _, p in TYPES)
 #: Sounds from which names are made, by script; the ending tells the gender.
-SOUNDS = {"latin": "ba be di do fa ga hi jo ka le li ma mo na ne ra ri sa so va".split(), "cyrillic": "ба бе ди до фа га хи жо ка ле ли ма мо на не ра ри са со ва".split()}
-ENDINGS = {"latin": ("n", "lia", "r"), "cyrillic": ("н", "на", "р")}
+SOUNDS = {
+    "latin": "ba be di do fa ga hi jo ka le li ma mo na ne ra ri sa so va".split(),
+    "cyrillic": "ба бе ди до фа га хи жо ка ле ли ма мо на не ра ри са со ва".split(),
+    "greek": "βα βε δι δο φα γα χι ζο κα λε λι μα μο να νε ρα ρι σα σο τα".split(),
+}
+ENDINGS = {"latin": ("n", "lia", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ν", "να", "ρ")}
+#: Letters that stand for letters of scripts other than Latin; scripts with one case have one row.
+LETTERS = {
+    "Cyrillic": ("абвгдежзиклмнопрстуфхцч", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧ"),
+    "Greek": ("αβγδεζηθικλμνξοπρτυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΤΥΦΧΨΩ"),
+    "Hebrew": ("אבגדהוזחטילמנסעפצקרשת",),
+    "Arabic": ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي",),
+    "Devanagari": ("कखगघचछजझटठडढतथदधनपफबभमयरलवशसह",),
+    "Hiragana": ("あいうえおかきくけこさしすせそたちつてとなにぬねの",),
+    "Katakana": ("アイウエオカキクケコサシスセソタチツテトナニヌネノ",),
+    "Hangul": ("가나다라마바사아자차카타파하고노도로모보소오조초코토포호",),
+    "Han": ("山川田林木水火土石金天日月星春夏秋冬東西南北中大小",),
+}
 
 
 def _array(words) -> str:
@@ -90,9 +107,18 @@ def _numbers(*parts: str) -> str:
 
 
 _AT = "element_at(nums, cast(pmod({k}, 64) AS int) + 1)"
-_CHAR = """CASE WHEN {c} rlike '^[0-9]$' THEN cast({n} % 10 AS string)
-  WHEN {c} rlike '^\\\\p{{IsCyrillic}}$' THEN CASE WHEN lower({c}) = {c} THEN substr('абвгдежзиклмнопрстуфхцч', {n} % 23 + 1, 1) ELSE substr('АБВГДЕЖЗИКЛМНОПРСТУФХЦЧ', {n} % 23 + 1, 1) END
-  WHEN {c} rlike '^\\\\p{{L}}$' THEN CASE WHEN lower({c}) = {c} THEN char(97 + {n} % 26) ELSE char(65 + {n} % 26) END ELSE {c} END"""
+def _letter(script: str) -> str:
+    """SQL: a letter of ``script`` for character {c}, in its case."""
+    pick = [f"substr('{x}', {{n}} % {len(x)} + 1, 1)" for x in LETTERS[script]]
+    return f"WHEN {{c}} rlike '^\\\\p{{{{Is{script}}}}}$' THEN " + (pick[0] if len(pick) == 1 else f"CASE WHEN lower({{c}}) = {{c}} THEN {pick[0]} ELSE {pick[1]} END")
+
+
+_CHAR = f"""CASE WHEN {{c}} rlike '^[0-9]$' THEN cast({{n}} % 10 AS string)
+  WHEN {{c}} rlike '^[a-z]$' THEN char(97 + {{n}} % 26) WHEN {{c}} rlike '^[A-Z]$' THEN char(65 + {{n}} % 26)
+  {' '.join(_letter(x) for x in LETTERS)}
+  WHEN {{c}} rlike '^\\\\p{{{{L}}}}$' THEN CASE WHEN lower({{c}}) = {{c}} THEN char(97 + {{n}} % 26) ELSE char(65 + {{n}} % 26) END ELSE {{c}} END"""
+#: Head of a token that tells its issuer and stays.
+_ISSUER = "^(AKIA|(?:sk|pk|rk)[_-](?:live|test|proj)[_-]|sk-|gh[pousr]_|eyJ)"
 
 
 def _fold(raw: str, keep: int, char: str = _CHAR, nums: str = "nums") -> str:
@@ -133,7 +159,7 @@ def _word(nums: str, ending: str) -> str:
         end = {"given": f"CASE gender WHEN 'f' THEN '{f}' WHEN 'm' THEN '{m}' ELSE '{neutral}' END", "family": "''"}[ending]
         return f"initcap(concat({body}, {end}))"
 
-    return f"CASE WHEN raw rlike '\\\\p{{IsCyrillic}} ?$' THEN {made('cyrillic')} ELSE {made('latin')} END"
+    return f"CASE WHEN raw rlike '\\\\p{{IsCyrillic}} ?$' THEN {made('cyrillic')} WHEN raw rlike '\\\\p{{IsGreek}} ?$' THEN {made('greek')} ELSE {made('latin')} END"
 
 
 def _parts_of_names(e: DataFrame) -> DataFrame:
@@ -163,6 +189,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     name = f"concat(title, CASE WHEN size(words) > 1 THEN concat(coalesce(given, ''), ' ') ELSE '' END, {_word('nums', 'family')})"
     given = _word("nums", "given")
     made = f"""CASE kind WHEN 'email' THEN concat({_fold("regexp_extract(raw, '^([^@]*)@', 1)", 0)}, CASE WHEN wide THEN {_longer(12, "char(97 + {n} % 26)")} ELSE '' END, '@', {host})
+      WHEN 'token' THEN {_fold('raw', f"length(regexp_replace(regexp_extract(raw, '{_ISSUER}', 1), '[^0-9A-Za-z]', ''))")}
       WHEN 'secret' THEN {_fold('raw', 0, _HEX)} WHEN 'iban' THEN {_fold('raw', 2)} WHEN 'ip' THEN {_IP}
       WHEN 'ip6' THEN CASE WHEN wide THEN {_fold("repeat('0000:', 7) || '0000'", 0, _HEX6)} ELSE {_fold('raw', 0, _HEX6)} END
       WHEN 'name' THEN {name} WHEN 'given_f' THEN {given} WHEN 'given_m' THEN {given} WHEN 'given_n' THEN {given} WHEN 'other' THEN {_fold('raw', 0)}
