@@ -64,7 +64,8 @@ SOUNDS = {
     "greek": "βα βε δι δο φα γα χι ζο κα λε λι μα μο να νε ρα ρι σα σο τα".split(),
 }
 ENDINGS = {"latin": ("n", "lia", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ν", "να", "ρ")}
-#: Letters that stand for letters of scripts other than Latin; scripts with one case have one row.
+#: Letters that stand for letters of scripts other than Latin; scripts with one case have one row. An entity in several of
+#: them takes the first.
 LETTERS = {
     "Cyrillic": ("абвгдежзиклмнопрстуфхцч", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧ"),
     "Greek": ("αβγδεζηθικλμνξοπρτυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΤΥΦΧΨΩ"),
@@ -107,16 +108,17 @@ def _numbers(*parts: str) -> str:
 
 
 _AT = "element_at(nums, cast(pmod({k}, 64) AS int) + 1)"
-def _letter(script: str) -> str:
-    """SQL: a letter of ``script`` for character {c}, in its case."""
-    pick = [f"substr('{x}', {{n}} % {len(x)} + 1, 1)" for x in LETTERS[script]]
-    return f"WHEN {{c}} rlike '^\\\\p{{{{Is{script}}}}}$' THEN " + (pick[0] if len(pick) == 1 else f"CASE WHEN lower({{c}}) = {{c}} THEN {pick[0]} ELSE {pick[1]} END")
+_CHAR = """CASE WHEN {c} rlike '^[0-9]$' THEN cast({n} % 10 AS string)
+  WHEN {c} rlike '^[a-z]$' THEN char(97 + {n} % 26) WHEN {c} rlike '^[A-Z]$' THEN char(65 + {n} % 26)
+  WHEN {c} rlike '^\\\\p{{L}}$' THEN CASE WHEN lower({c}) = {c} THEN substr(small, {n} % length(small) + 1, 1) ELSE substr(large, {n} % length(large) + 1, 1) END ELSE {c} END"""
+
+
+def _letters(case: int) -> str:
+    """SQL: lower (0) or upper (-1) letters that stand for those of ``raw`` which are not a-z."""
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    return "CASE " + " ".join(f"WHEN raw rlike '\\\\p{{Is{script}}}' THEN '{rows[case]}'" for script, rows in LETTERS.items()) + f" ELSE '{latin.upper() if case else latin}' END"
 
 
-_CHAR = f"""CASE WHEN {{c}} rlike '^[0-9]$' THEN cast({{n}} % 10 AS string)
-  WHEN {{c}} rlike '^[a-z]$' THEN char(97 + {{n}} % 26) WHEN {{c}} rlike '^[A-Z]$' THEN char(65 + {{n}} % 26)
-  {' '.join(_letter(x) for x in LETTERS)}
-  WHEN {{c}} rlike '^\\\\p{{{{L}}}}$' THEN CASE WHEN lower({{c}}) = {{c}} THEN char(97 + {{n}} % 26) ELSE char(65 + {{n}} % 26) END ELSE {{c}} END"""
 #: Head of a token that tells its issuer and stays.
 _ISSUER = "^(AKIA|(?:sk|pk|rk)[_-](?:live|test|proj)[_-]|sk-|gh[pousr]_|eyJ)"
 
@@ -177,6 +179,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     # (column ``given``) is an entity of its own
     e = e.withColumn("domain", F.expr("CASE WHEN kind = 'email' THEN lower(regexp_extract(raw, '@(.*)$', 1)) END"))
     e = e.withColumn("domain_nums", F.expr(f"CASE WHEN kind = 'email' THEN {_numbers(chr(39) + 'domain' + chr(39), 'domain')} END"))
+    e = e.withColumns({"small": F.expr(_letters(0)), "large": F.expr(_letters(-1))})
     e = _parts_of_names(e)
     if "given" not in e.columns:
         e = e.withColumn("given", F.lit(""))
@@ -196,7 +199,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
       WHEN 'phone' THEN concat({_REFORMAT}, CASE WHEN wide AND length(canon) < 15 THEN {_longer("15 - length(canon)", "cast({n} % 10 AS string)")} ELSE '' END) ELSE {_REFORMAT} END"""
     e = e.withColumn("surrogate", F.expr(made))
     again = CANONICAL.replace("raw", "surrogate")
-    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "nums", "domain", "domain_nums", "title", "words", "gender", "given", "body", "new_digits")
+    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "small", "large", "nums", "domain", "domain_nums", "title", "words", "gender", "given", "body", "new_digits")
 
 
 def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
