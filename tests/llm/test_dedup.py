@@ -48,27 +48,64 @@ def test_suffix_dedup_of_repeated_and_no_rows(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_spool_gives_the_same(monkeypatch, spark, corpus, docs):
-    """Contexts on disk and in memory induce the same runs."""
+def plain_repeats(rows):
+    """The steps of ``remove_repeats`` on one machine, without Spark: removed spans of each row."""
     import pyarrow as pa
 
-    rng = np.random.default_rng(1)
-    key = np.sort(rng.integers(0, 3, 60))
-    right = [bytes(rng.integers(97, 99, 400).tolist()) if rng.random() < 0.3 else b"a" * int(rng.integers(64, 401)) for _ in key]
-    order = sorted(range(60), key=lambda i: (key[i], right[i]))
-    batch = pa.RecordBatch.from_pydict({"key": key, "right": [right[i] for i in order], "left": [b"b" * int(rng.integers(0, 337)) for _ in key], "doc_id": np.arange(60), "h1": np.arange(60), "at": pa.array([[i] for i in range(60)], pa.list_(pa.int32()))})
-
-    def run():
-        q = suffix_dedup.SuffixQueue()
-        q.push(batch.slice(0, 25))
-        q.push(batch.slice(25))
-        r, rs, left, ls, k, *_ = q.arrays()
-        return sorted(zip(*(x.tolist() for x in suffix_dedup.induce(r, rs, left, ls, k)), strict=True)), q.spool is not None
-
-    plain, on_disk = run()
-    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 10)
-    spooled, on_disk_now = run()
-    assert plain == spooled and plain and not on_disk and on_disk_now
+    table = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "h1": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    found = [r for b in suffix_dedup._sample_rows(iter([table])) for r in b.to_pylist()]
+    n, marks = Counter(), {}
+    for r in found:
+        n[r["key"]] += len(r["at"])
+    for r in found:
+        if n[r["key"]] > 1:
+            marks.setdefault(r["doc_id"], []).append({"key": r["key"], "n": n[r["key"]], "at": r["at"], "low": r["low"]})
+    live = [{"doc_id": i, "h1": i, "text": t, "marks": marks[i]} for i, t in rows if i in marks]
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("text", pa.string()), ("marks", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32())), ("low", pa.list_(pa.int32()))])))])
+    contexts = [r for b in suffix_dedup._contexts(iter(pa.RecordBatch.from_pylist(live[k : k + 5], schema) for k in range(0, len(live), 5))) for r in b.to_pylist()]
+    contexts.sort(key=lambda r: (r["key"], r["sub"], r["right"] is not None, r["right"] or b""))
+    spans = {}
+    for b in suffix_dedup._repeats(iter(pa.RecordBatch.from_pylist(contexts[k : k + 37], suffix_dedup.CONTEXT) for k in range(0, len(contexts), 37))):
+        for r in b.to_pylist():
+            spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    return {i: suffix_dedup.merge_spans(x) for i, x in spans.items()}, len(contexts)
+
+
+def brute_spans(rows, span):
+    seen = Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[i : i + span] for i in range(len(b) - span + 1))
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        spans = suffix_dedup.merge_spans([(k, k + span) for k in range(len(b) - span + 1) if seen[b[k : k + span]] > 1])
+        if spans:
+            out[i] = spans
+    return out
+
+
+def passages(n):
+    """One hot passage of 500 bytes in all of ``n`` texts, a shorter one of 300 in all, and pairs with common surroundings."""
+    rng = np.random.default_rng(9)
+    letters = lambda k: bytes(rng.integers(97, 101, k).tolist()).decode()
+    long, short, beside = letters(500), letters(300), [letters(90) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        around = beside[i % 6] if i % 3 else letters(90)
+        rows.append((i, letters(60) + around + short + around[: i % 60] + letters(150) + (long if i % 4 else long[: 380 + i % 40]) + letters(30)))
+    return [*rows, (n, "ab" * 900), (n + 1, "x" * 1000), (n + 2, rows[3][1] + "é" * 250), (n + 3, None), (n + 4, "é" * 250)]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"HOT": 5}, {"IN_MEMORY": 12, "BLOCK": 5, "TOGETHER": 6}, {"HOT": 5, "IN_MEMORY": 4, "BLOCK": 3, "TOGETHER": 2}, {"REMEMBERED": 0, "IN_MEMORY": 12, "BLOCK": 7}, {"REMEMBERED": 0, "HOT": 30, "IN_MEMORY": 6, "BLOCK": 4}])
+def test_shards_larger_than_memory_and_hot_ones(monkeypatch, bounds):
+    """A hot K-gram has ten times as many tuples as fit into memory: queues on disk, ranges and twins give what memory gives."""
+    rows = passages(130)
+    for name, value in bounds.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    got, contexts = plain_repeats(rows)
+    assert got == brute_spans(rows, suffix_dedup.SPAN)
+    assert contexts > 10 * suffix_dedup.IN_MEMORY or "IN_MEMORY" not in bounds
 
 
 def test_very_long_text_in_stretches(monkeypatch):

@@ -8,16 +8,27 @@ removed. Suffixes are sorted by induction, out of core and in shards:
   all places of a repeated string mark the same offset. A sample whose K-gram
   occurs once cannot lie in a repeat and is left out.
 * Base order. Sample suffixes are sharded by their K-gram and sorted by their
-  next ``SPAN`` bytes in the shuffle's external merge sort (sorted runs spilled
-  to disk and merged through a priority queue), which also yields the common
-  prefixes of neighbours.
+  next ``SPAN`` bytes in the shuffle's external merge sort, which also yields the
+  common prefixes of neighbours.
 * Induction. The suffixes to the left of a sample take their order from it, one
   preceding byte at a time: classes of equal left context are split by the next
   byte with a stable sort, and the common prefix of new neighbours is the range
   minimum over the base order. A position repeats where left context and common
   prefix reach ``SPAN`` together. Classes of one suffix and those that cannot
-  reach ``SPAN`` any more leave the queue. A shard too large for memory keeps its
-  contexts in a spool on local disk.
+  reach ``SPAN`` any more leave.
+* Shards larger than memory. Their tuples (suffix, left context, common prefix
+  with the tuple before) lie in queues on disk. A pass over a queue skips the left
+  context that all its tuples share, then pushes each tuple into the bucket of
+  its next byte with the smallest common prefix since that bucket's last tuple:
+  buckets are popped in byte order, tuples of a bucket in base order. Buckets are
+  queues again, and the induction goes into them recursively until one fits into
+  memory. A pass holds one block of tuples and one number for each byte.
+* Hot shards. A K-gram of more than ``HOT`` places is cut into ``RANGES`` ranges of
+  left offsets. A match that starts a to b bytes before its sample has a bytes of
+  left and SPAN - b of right context in common, so these make the key of a shard of
+  their own, whose tuples need no more than the b - a bytes on either side. Of equal
+  contexts a task sends two; it decides the others itself, as equal contexts repeat
+  as far as they reach.
 
 Texts that occur twice as a whole are found by their hash; one of them stands for
 all in the sort, so a group of thousands costs as much as one text.
@@ -35,16 +46,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewarden.llm import common as C
 
 SPAN, K = 400, 64
 WINDOW = SPAN - K + 1
-#: Suffixes sorted together in memory; a larger shard goes through a spool on disk.
-TOGETHER, IN_MEMORY = 16_000, 64_000
+#: Suffixes of small shards sorted together; largest queue that is induced in memory, and tuples of one block on disk.
+TOGETHER, IN_MEMORY, BLOCK = 16_000, 64_000, 16_384
+#: Places of a K-gram past which its shard is cut into ranges of left offsets.
+HOT, RANGES = 10_000, 16
+WIDTH_OF_RANGE = (WINDOW - 1) // RANGES
+#: Contexts that a task remembers to tell equal ones; past that it starts anew.
+REMEMBERED = 1_000_000
 #: Longest stretch of one text that is sampled at a time.
 _STRETCH = 1 << 22
 _BITS = np.uint64(24)
@@ -110,94 +127,115 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[first]), p.column("doc_id").take(take), p.column("h1").take(take), *lists], names=["key", "doc_id", "h1", "at", "low"])
 
 
+CONTEXT = pa.schema([("key", pa.int64()), ("sub", pa.int64()), ("shift", pa.int32()), ("span", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("at", pa.list_(pa.int32()))])
+
+
+def shards(key: int, right: bytes, left: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+    """key, sub, shift, span, right, left of the shards that a sample belongs to: one of all left offsets, or one for each
+    range of them."""
+    if not hot:
+        yield key, 0, 0, SPAN, right, left
+        return
+    for a in range(0, WINDOW - 1, WIDTH_OF_RANGE):
+        b = min(a + WIDTH_OF_RANGE, WINDOW - 1)
+        if len(left) < a:
+            return
+        if len(right) >= SPAN - b:
+            near = left[len(left) - a :]
+            name = xxhash.xxh3_128_intdigest(b"%d:%d:" % (key, a) + near + right[: SPAN - b])
+            yield (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), a, b - a, right[SPAN - b : SPAN - a], left[max(0, len(left) - b) : len(left) - a]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each repeated sample of a text with the bytes to its right (SPAN of them) and left (back to its first position).
-    Samples of one text with equal contexts, as a periodic text has many, are one row with several places."""
+    Samples of one text with equal contexts, as a periodic text has many, are one row with several places. A row whose
+    right is null brings decided spans in ``at`` (start, end, start, ...) instead."""
+    seen: dict[int, int] = {}
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CONTEXT, strict=True)], schema=CONTEXT)
+        rows.clear()
+        return made
+
     for batch in batches:
         for r in range(batch.num_rows):
             text = (batch.column("text")[r].as_py() or "").encode("utf-8")
-            places: dict[tuple[int, bytes, bytes], list[int]] = {}
+            doc, h1 = batch.column("doc_id")[r].as_py(), batch.column("h1")[r].as_py()
+            places: dict[tuple, list[int]] = {}
             for m in batch.column("marks")[r].as_py():
                 for at, low in zip(m["at"], m["low"], strict=True):
-                    places.setdefault((m["key"], text[at : at + SPAN], text[low:at]), []).append(at)
-            rows = list(places.items())
-            for k in range(0, len(rows), 4096):
-                part = rows[k : k + 4096]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0][0] for x in part], pa.int64()),
-                        pa.array([x[0][1] for x in part], pa.binary()),
-                        pa.array([x[0][2] for x in part], pa.binary()),
-                        pa.array([batch.column("doc_id")[r].as_py()] * n, pa.int64()),
-                        pa.array([batch.column("h1")[r].as_py()] * n, pa.int64()),
-                        pa.array([x[1] for x in part], pa.list_(pa.int32())),
-                    ],
-                    names=["key", "right", "left", "doc_id", "h1", "at"],
-                )
-
-
-class SuffixQueue:
-    """Sample suffixes of one or more shards in base order, with their contexts as byte matrices; past ``IN_MEMORY``
-    rows the matrices live in a spool on local disk, which goes when the queue does."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
+                    for x in shards(m["key"], text[at : at + SPAN], text[low:at], m["n"] > HOT):
+                        places.setdefault(x, []).append(at)
+            decided: list[int] = []
+            for (key, sub, shift, span, right, left), ats in places.items():
+                name = xxhash.xxh3_128_intdigest(b"%d:%d:%d:" % (key, sub, len(right)) + right + left)
+                times = seen.get(name, 0)
+                if times < 2:
+                    seen[name] = times + 1
+                    rows.append((key, sub, shift, span, right, left, doc, h1, ats))
+                elif len(right) + len(left) >= span:
+                    for at in ats:
+                        decided += (at - shift - len(left), at - shift - max(0, span - len(right)) + SPAN)
+            if decided:
+                rows.append((h1, 0, 0, 0, None, None, doc, h1, decided))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if len(rows) >= 4096:
+                yield out()
+    if rows:
+        yield out()
+
+
+#: A suffix on disk: its number, common prefix with the one before, length of its right context and its left context.
+TUPLE = np.dtype([("id", "<i8"), ("lcp", "<i2"), ("right", "<i2"), ("size", "<i2"), ("twin", "?"), ("left", "u1", (WINDOW,))])
+
+
+class DiskQueue:
+    """Tuples in a file: pushed at the end, popped in blocks from the start."""
+
+    def __init__(self, folder: str) -> None:
+        handle, self.path = tempfile.mkstemp(dir=folder)
+        self.file = os.fdopen(handle, "wb", buffering=1 << 16)
         self.rows = 0
-        self.spool = None
 
-    def push(self, batch: pa.RecordBatch) -> None:
-        n = batch.num_rows
-        if not n:
-            return
-        right, left = (self._matrix(batch.column(c), width, flip) for c, width, flip in (("right", SPAN, False), ("left", WINDOW, True)))
-        rest = (batch.column("key").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy(), np.diff(np.array(batch.column("at").offsets)), batch.column("at").flatten().to_numpy())
-        self.parts.append((*right, *left, *rest))
-        self.rows += n
-        if self.rows > IN_MEMORY:
-            self._spill()
-
-    @staticmethod
-    def _matrix(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes as rows of ``width`` (left contexts reversed, so column o is the byte o + 1 before the sample), lengths."""
-        data, off = C.buffers(col)
-        size = np.diff(off)
-        out = np.zeros((len(size), width), np.uint8)
-        row = np.repeat(np.arange(len(size)), size)
-        col_at = np.arange(len(data)) - np.repeat(off[:-1], size)
-        out[row, np.repeat(size, size) - 1 - col_at if flip else col_at] = data
-        return out, size.astype(np.int16)
-
-    def _spill(self) -> None:
-        if self.spool is None:
-            self.spool = tempfile.TemporaryDirectory(prefix="suffixes-")
-        for i, name in ((0, "right"), (2, "left")):
-            with open(os.path.join(self.spool.name, name), "ab") as f:
-                for p in self.parts:
-                    if p[i] is not None:
-                        f.write(p[i].tobytes())
-        self.parts = [(None, p[1], None, *p[3:]) for p in self.parts]
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        if self.spool is not None:
-            self._spill()
-        cols = list(zip(*self.parts, strict=True))
-        out = [None if self.spool is not None and i in (0, 2) else np.concatenate(c) for i, c in enumerate(cols)]
-        if self.spool is not None:
-            out[0] = np.memmap(os.path.join(self.spool.name, "right"), np.uint8, "r", shape=(self.rows, SPAN))
-            out[2] = np.memmap(os.path.join(self.spool.name, "left"), np.uint8, "r", shape=(self.rows, WINDOW))
-        return tuple(out)
-
-
-def neighbour_lcp(right: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Common prefix of each sample suffix with the one before it in base order; -1 across shards."""
-    out = np.full(len(key), -1, np.int16)
-    for at in range(1, len(key), 8192):
-        to = min(at + 8192, len(key))
+    def push(self, tuples: np.ndarray) -> None:
+        self.file.write(tuples.tobytes())
+        self.rows += len(tuples)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, int]]:
+        """Each block with the common prefix that the tuple after it has with its last one (-1 at the end)."""
+        self.file.close()
+        with open(self.path, "rb") as f:
+            block = np.fromfile(f, TUPLE, BLOCK)
+            while len(block):
+                after = np.fromfile(f, TUPLE, BLOCK)
+                yield block, int(after["lcp"][0]) if len(after) else -1
+                block = after
+
+    def all(self) -> np.ndarray:
+        self.file.close()
+        return np.fromfile(self.path, TUPLE)
+
+    def drop(self) -> None:
+        self.file.close()
+        os.unlink(self.path)
+
+
+def scratch() -> str:
+    """A scratch folder of Spark's on this executor, as its own sorters use."""
+    return (os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0]
+
+
+def neighbour_lcp(right: np.ndarray, size: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Common prefix of each sample suffix with the one before it in base order; -1 where a shard begins."""
+    out = np.full(len(size), -1, np.int16)
+    for at in range(1, len(size), 8192):
+        to = min(at + 8192, len(size))
         differ = right[at:to] != right[at - 1 : to - 1]
         lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), SPAN)
         out[at:to] = np.minimum(lcp, np.minimum(size[at:to], size[at - 1 : to - 1]))
-    out[1:][key[1:] != key[:-1]] = -1
+    out[fresh] = -1
     return out
 
 
@@ -224,35 +262,31 @@ class RangeMinimum:
         return out
 
 
-def induce(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, key: np.ndarray, twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (row, least, most) of left offsets at which the suffix repeats, for suffixes in base order. ``twins``: rows that
-    stand for several places, and so share both contexts with another suffix."""
-    twins = np.zeros(len(key), bool) if twins is None else twins
-    lcp = neighbour_lcp(right, right_size, key)
+def induce(lcp: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, twins: np.ndarray, span: np.ndarray, o: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (row, least, most) of left offsets from ``o`` at which the suffix repeats, for suffixes in base order whose
+    classes begin where ``lcp`` is -1. ``twins``: rows that stand for several places, and so share both contexts with
+    another suffix. ``span``: bytes that left and right context must reach together."""
     smallest = RangeMinimum(lcp)
-    n = len(key)
+    n = len(lcp)
     order = np.arange(n)
-    fresh = np.ones(n, bool)
-    fresh[1:] = key[1:] != key[:-1]
-    group = np.cumsum(fresh) - 1
+    group = np.cumsum(lcp < 0) - 1
     reach = left_size.astype(np.int64)
     since, until = np.full(n, -1), np.full(n, -2)
     runs: list[tuple[np.ndarray, ...]] = []
-    o = 0
     while len(order):
         beside = np.full(len(order) + 1, -1, np.int64)
         same = np.flatnonzero(group[1:] == group[:-1]) + 1
         beside[same] = smallest(order[same - 1], order[same])
         best = np.maximum(beside[:-1], beside[1:])
         best = np.where(twins[order], np.maximum(best, right_size[order]), best)
-        hit = order[best + o >= SPAN]
+        hit = order[(best + o >= span[order]) & (best >= 0)]
         new = hit[until[hit] != o - 1]
         old = new[since[new] >= 0]
         runs.append((old, since[old], until[old]))
         since[new] = o
         until[hit] = o
-        # what cannot reach SPAN with its own left context, or has none left, is done
-        stay = (best >= 0) & (best + reach[order] >= SPAN) & (reach[order] > o)
+        # what cannot reach its span with its own left context, or has none left, is done
+        stay = (best >= 0) & (best + reach[order] >= span[order]) & (reach[order] > o)
         order, group = order[stay], group[stay]
         if not len(order):
             break
@@ -268,32 +302,217 @@ def induce(right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_siz
     return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    queue, last = SuffixQueue(), None
+def buckets(queue: DiskQueue, o: int, span: int, folder: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs (id, least, most) of the tuples of one shard or bucket, which share ``o`` bytes of left context; takes the queue."""
+    if queue.rows <= IN_MEMORY:
+        t = queue.all()
+        queue.drop()
+        row, least, most = induce(t["lcp"], t["right"], t["left"], t["size"], t["twin"], np.full(len(t), span), o)
+        yield t["id"][row], least, most
+        return
+    first, c = None, WINDOW
+    for block, _ in queue.blocks():
+        first = block["left"][0] if first is None else first
+        differ = block["left"] != first
+        c = min(c, int(block["size"].min()), int(np.where(differ.any(axis=1), differ.argmax(axis=1), WINDOW).min()))
+    next_byte: dict[int, DiskQueue] = {}
+    smallest = np.full(256, -1, np.int64)  # common prefixes since a bucket's last tuple
+    for block, after in queue.blocks():
+        lcp = block["lcp"].astype(np.int64)
+        best = np.maximum(lcp, np.append(lcp[1:], after))
+        best = np.where(block["twin"], np.maximum(best, block["right"]), best)
+        least = np.maximum(o, span - best)
+        hit = (best >= 0) & (least <= c)
+        yield block["id"][hit], least[hit], np.full(int(hit.sum()), c)
+        stay = np.flatnonzero((best >= 0) & (block["size"] > c) & (best + block["size"] >= span))
+        byte = block["left"][stay, min(c, WINDOW - 1)]
+        order = np.argsort(byte, kind="stable")
+        stay, byte = stay[order], byte[order]
+        carried = np.empty(len(stay), np.int64)
+        fresh = np.ones(len(stay), bool)
+        fresh[1:] = byte[1:] != byte[:-1]
+        table, so_far = RangeMinimum(block["lcp"]), np.minimum.accumulate(lcp)
+        again = np.flatnonzero(~fresh)
+        carried[again] = table(stay[again - 1], stay[again])
+        carried[fresh] = np.minimum(smallest[byte[fresh]], so_far[stay[fresh]])
+        smallest = np.where(smallest >= 0, np.minimum(smallest, so_far[-1]), -1)
+        last = np.append(np.flatnonzero(fresh)[1:] - 1, len(stay) - 1) if len(stay) else np.zeros(0, np.int64)
+        to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], SPAN)
+        smallest[byte[last]] = to_end[stay[last] + 1]
+        for at, to in zip(np.flatnonzero(fresh), last + 1, strict=True):
+            part = block[stay[at:to]]
+            part["lcp"] = carried[at:to]
+            b = int(byte[at])
+            if b not in next_byte:
+                next_byte[b] = DiskQueue(folder)
+            next_byte[b].push(part)
+    queue.drop()
+    for q in next_byte.values():
+        q.file.close()
+    held: list[np.ndarray] = []
+    for b in sorted(next_byte):
+        q = next_byte.pop(b)
+        if q.rows > IN_MEMORY:
+            yield from buckets(q, c + 1, span, folder)
+            continue
+        held.append(q.all())
+        q.drop()
+        if sum(map(len, held)) >= TOGETHER or not next_byte:
+            yield _together(held, c + 1, span)
+            held = []
+    if held:
+        yield _together(held, c + 1, span)
+
+
+def _together(held: list[np.ndarray], o: int, span: int) -> tuple[np.ndarray, ...]:
+    t = np.concatenate(held)
+    row, least, most = induce(t["lcp"], t["right"], t["left"], t["size"], t["twin"], np.full(len(t), span), o)
+    return t["id"][row], least, most
+
+
+def _matrix(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes as rows of ``width`` (left contexts reversed, so column o is the byte o + 1 before the sample), lengths."""
+    data, off = C.buffers(col)
+    size = np.diff(off)
+    out = np.zeros((len(size), width), np.uint8)
+    row = np.repeat(np.arange(len(size)), size)
+    col_at = np.arange(len(data)) - np.repeat(off[:-1], size)
+    out[row, np.repeat(size, size) - 1 - col_at if flip else col_at] = data
+    return out, size.astype(np.int16)
+
+
+def _spans(doc: np.ndarray, h1: np.ndarray, at: np.ndarray, shift: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+    start, end = at - shift - most, at - shift - least + SPAN
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h1), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "h1", "start", "end"])
+
+
+def _fields(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {c: batch.column(c).to_numpy() for c in ("key", "sub", "shift", "span", "doc_id", "h1")}
+    out["right"], out["right_size"] = _matrix(batch.column("right"), SPAN, False)
+    out["left"], out["left_size"] = _matrix(batch.column("left"), WINDOW, True)
+    out["places"] = np.diff(batch.column("at").offsets.to_numpy())
+    out["at"] = batch.column("at").flatten().to_numpy()
+    return out
+
 
-    def drain(q: SuffixQueue) -> pa.RecordBatch:
-        right, right_size, left, left_size, key, doc, h1, places, at = q.arrays()
-        row, least, most = induce(right, right_size, left, left_size, key, places > 1)
-        first = np.cumsum(places) - places
-        owner = np.repeat(np.arange(len(row)), places[row])
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(places[row]) - places[row], places[row])
-        at, row, least, most = at[first[row[owner]] + k], row[owner], least[owner], most[owner]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(h1[row]), pa.array((at - most).astype(np.int32)), pa.array((at - least + SPAN).astype(np.int32))], names=["doc_id", "h1", "start", "end"])
+def small_shards(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Spans of whole shards that fit into memory together."""
+    cols = [_fields(p) for p in parts]
+    t = {c: np.concatenate([x[c] for x in cols]) for c in cols[0]}
+    fresh = np.ones(len(t["key"]), bool)
+    fresh[1:] = (np.diff(t["key"]) != 0) | (np.diff(t["sub"]) != 0)
+    lcp = neighbour_lcp(t["right"], t["right_size"], fresh)
+    row, least, most = induce(lcp, t["right_size"], t["left"], t["left_size"], t["places"] > 1, t["span"])
+    first, many = np.cumsum(t["places"]) - t["places"], t["places"][row]
+    owner = np.repeat(np.arange(len(row)), many)
+    at = t["at"][first[row[owner]] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)]
+    row = row[owner]
+    return _spans(t["doc_id"][row], t["h1"][row], at, t["shift"][row], least[owner], most[owner])
+
+
+def large_shard(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of one shard of any size, in base order: its tuples, ids and places lie on disk."""
+    with tempfile.TemporaryDirectory(prefix="suffixes-", dir=scratch()) as folder:
+        queue, rows, many, before = DiskQueue(folder), 0, 0, None
+        names = ("doc", "h1", "first", "at")
+        files = {n: open(os.path.join(folder, n), "wb") for n in names}
+        shift = span = 0
+        for part in parts:
+            t = _fields(part)
+            shift, span = int(t["shift"][0]), int(t["span"][0])
+            right, size = t["right"], t["right_size"]
+            if before is not None:
+                right, size = np.concatenate([before[0], right]), np.concatenate([before[1], size])
+            lcp = neighbour_lcp(right, size, np.arange(len(size)) == 0)[0 if before is None else 1 :]
+            before = right[-1:].copy(), size[-1:]
+            tuples = np.empty(len(lcp), TUPLE)
+            tuples["id"], tuples["lcp"], tuples["right"] = rows + np.arange(len(lcp)), lcp, t["right_size"]
+            tuples["size"], tuples["twin"], tuples["left"] = t["left_size"], t["places"] > 1, t["left"]
+            queue.push(tuples)
+            for n, x in (("doc", t["doc_id"]), ("h1", t["h1"]), ("first", many + np.cumsum(t["places"])), ("at", t["at"].astype(np.int64))):
+                files[n].write(x.astype(np.int64).tobytes())
+            rows, many = rows + len(lcp), many + int(t["places"].sum())
+        for f in files.values():
+            f.close()
+        doc, h1, last, at = (np.memmap(os.path.join(folder, n), np.int64, "r") for n in names)
+        for row, least, most in buckets(queue, 0, span, folder):
+            for k in range(0, len(row), BLOCK):
+                r, lo, hi = row[k : k + BLOCK], least[k : k + BLOCK], most[k : k + BLOCK]
+                begin = np.where(r > 0, last[np.maximum(r - 1, 0)], 0)
+                times = last[r] - begin
+                owner = np.repeat(np.arange(len(r)), times)
+                place = at[begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)]
+                yield _spans(doc[r[owner]], h1[r[owner]], place, np.full(len(owner), shift), lo[owner], hi[owner])
+        del doc, h1, last, at
 
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and right context: whole small shards together, a large one by itself."""
+    held: list[pa.RecordBatch] = []
+    now: list[pa.RecordBatch] = []
+    stream = _slices(batches)
+    pushed: list[pa.RecordBatch] = []
+    aside: list[pa.RecordBatch] = []
+
+    def same_shard(key: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+        """What is held of the shard, then the slices that go on with it; the rest of the last one is pushed back."""
+        yield from now
+        for part in stream:
+            if part.schema.names[0] == "doc_id":
+                aside.append(part)
+                continue
+            k, s = part.column("key").to_numpy(), part.column("sub").to_numpy()
+            other = np.flatnonzero((k != key[0]) | (s != key[1]))
+            if not len(other):
+                yield part
+                continue
+            if other[0]:
+                yield part.slice(0, int(other[0]))
+            pushed.append(part.slice(int(other[0])))
+            return
+
+    while True:
+        part = pushed.pop() if pushed else next(stream, None)
+        if part is None:
+            break
+        if part.schema.names[0] == "doc_id":  # decided spans
+            yield part
+            continue
+        key, sub = part.column("key").to_numpy(), part.column("sub").to_numpy()
+        last = (int(now[-1].column("key")[-1].as_py()), int(now[-1].column("sub")[-1].as_py())) if now else (int(key[0]), int(sub[0]))
+        fresh = np.flatnonzero(np.concatenate([[(key[0], sub[0]) != last], (np.diff(key) != 0) | (np.diff(sub) != 0)]))
+        if len(fresh):
+            held += [*now, part.slice(0, int(fresh[-1]))]
+            now = [part.slice(int(fresh[-1]))]
+        else:
+            now.append(part)
+        if sum(p.num_rows for p in held) >= TOGETHER:
+            yield small_shards([p for p in held if p.num_rows])
+            held = []
+        if sum(p.num_rows for p in now) > IN_MEMORY:
+            yield from large_shard(same_shard((int(now[-1].column("key")[-1].as_py()), int(now[-1].column("sub")[-1].as_py()))))
+            now = []
+            yield from aside
+            aside.clear()
+    held = [p for p in [*held, *now] if p.num_rows]
+    if held:
+        yield small_shards(held)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of undecided rows; decided spans as rows of their own."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
             part = batch.slice(at, 4000)
-            key = part.column("key").to_numpy()
-            if last is not None and queue.rows >= TOGETHER:
-                change = np.flatnonzero(np.concatenate([[last], key[:-1]]) != key)
-                if len(change):
-                    queue.push(part.slice(0, int(change[0])))
-                    yield drain(queue)
-                    queue, part = SuffixQueue(), part.slice(int(change[0]))
-            queue.push(part)
-            last = key[-1]
-    if queue.rows:
-        yield drain(queue)
+            none = part.column("right").is_null()
+            if none.true_count:
+                done = part.filter(none)
+                flat, many = done.column("at").flatten().to_numpy(), np.diff(done.column("at").offsets.to_numpy()) // 2
+                ids = (np.repeat(done.column(c).to_numpy(), many) for c in ("doc_id", "h1"))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), pa.array(flat[::2].astype(np.int32)), pa.array(flat[1::2].astype(np.int32))], names=["doc_id", "h1", "start", "end"])
+                part = part.filter(pa.compute.invert(none))
+            if part.num_rows:
+                yield part
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -339,13 +558,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copies = C.stored(copies, "copies")
     spare = about.join(copies, ["h1", "h2"]).where("doc_id <> one").select("doc_id", "h1")
 
-    found = base.select("doc_id", "h1", "text").mapInArrow(_sample_rows, "key long, doc_id long, h1 long, at array<int>, low array<int>")
-    twice = found.withColumn("n", F.sum(F.size("at")).over(W.partitionBy("key"))).where("n > 1").drop("n")
-    marks = twice.groupBy("doc_id", "h1").agg(F.collect_set(F.struct("key", "at", "low")).alias("marks")).join(spare, ["doc_id", "h1"], "left_anti")
+    found = C.stored(base.select("doc_id", "h1", "text").mapInArrow(_sample_rows, "key long, doc_id long, h1 long, at array<int>, low array<int>"), "samples")
+    # counts have partial sums, and the join splits a hot K-gram
+    twice = found.join(found.groupBy("key").agg(F.sum(F.size("at")).alias("n")).where("n > 1"), "key")
+    marks = twice.groupBy("doc_id", "h1").agg(F.collect_set(F.struct("key", "n", "at", "low")).alias("marks")).join(spare, ["doc_id", "h1"], "left_anti")
     live = C.stored(base.select("doc_id", "h1", "text").join(marks, ["doc_id", "h1"]).dropDuplicates(["doc_id", "h1"]), "live")
 
-    contexts = live.mapInArrow(_contexts, "key long, right binary, left binary, doc_id long, h1 long, at array<int>")
-    spans = contexts.repartition(n, "key").sortWithinPartitions("key", "right").mapInArrow(_repeats, "doc_id long, h1 long, start int, end int")
+    contexts = live.mapInArrow(_contexts, "key long, sub long, shift int, span int, right binary, left binary, doc_id long, h1 long, at array<int>")
+    spans = contexts.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "right").mapInArrow(_repeats, "doc_id long, h1 long, start int, end int")
     spans = spans.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = "doc_id long, h1 long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     cut = live.select("doc_id", "h1", "text").join(spans, ["doc_id", "h1"]).mapInArrow(_cut(with_text), schema)
