@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common as C
 
 SIZE, END_ID = 2048, 0
-#: Pieces of one length that are ranked together; a length with more is cut into parts.
-PER_PART = 50_000
+#: Pieces of one length that are ranked together, at least; a length with more is cut into parts, ``PARTS`` of all pieces.
+PER_PART, PARTS = 1_000, 100_000
 SPECIAL = "<|endoftext|>"
 #: White space whose look-ahead the fast encoder's pattern could not hold (its limit is ten times as long).
 LONG_SPACE = re.compile(r"\s{100000}")
@@ -152,9 +152,10 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``pieces`` with sequence_id and offset. Columns used: row, piece, length."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size numbers
-    many_parts = F.lit([max(1, -(-counts.get(n, 0) // PER_PART)) for n in range(1, size + 1)])
+    together = max(PER_PART, -(-sum(counts.values()) // PARTS))
+    many_parts = F.lit([max(1, -(-counts.get(n, 0) // together)) for n in range(1, size + 1)])
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.element_at(many_parts, F.col("length").cast("int"))).cast("int"))
-    table = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size + pieces / PER_PART numbers
+    table = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size + PARTS numbers
     base: dict[tuple[int, int], int] = {}
     seen: dict[int, int] = defaultdict(int)
     for length, part, n in sorted((r["length"], r["part"], r["n"]) for r in table):
