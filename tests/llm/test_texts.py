@@ -254,6 +254,23 @@ def test_differencing_decides_beside_article_marks(spark):
     assert all(got[10 + i] == "Inner" for i in range(len(wraps))) and got[20] == "After"
 
 
+def test_pairs_are_the_nearest_paths(spark):
+    """Pages of one path, and pages of equal lines beside one that differs, do not pair; null and repeated ids stay apart."""
+    html = lambda own: f"<div>Shared paragraph</div><div>{own}</div>"
+    rows = [(1, "http://h/a", html("one")), (2, "http://h/b", html("two")), (2, "http://h/b", html("three")), (3, "http://h/b#x", html("two")), (None, "http://h/bb", html("two")), (None, "http://h/c", html("four")), (4, "http://other/a", html("five"))]
+    got = sorted((r["page_id"] or 0, r["text"]) for r in html_extract.extract(page(spark, rows)).collect())
+    assert got == [(0, "four"), (0, "two"), (1, "one"), (2, "three"), (2, "two"), (3, "two"), (4, "Shared paragraph\nfive")]
+
+
+def test_headers_votes_and_broken_markup():
+    kept = lambda h: [x for x, role in html_extract.page_lines(h) if role in (html_extract.ARTICLE, html_extract.UNKNOWN)]
+    assert kept("<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p></header><p>Text</p><footer>f</footer></article>") == ["Title", "Text"]
+    assert kept("<div class='post tags'><p>Either</p></div><article class='post tags'><p>Text</p></article><div class='tags'>go</div>") == ["Either", "Text"]
+    assert kept("<article><p title='open>Text</p><p>more</p></article>") == ["Text", "more"]
+    assert kept("<article><p title=\"it's\">Text</p></article><p class=\"x") == ["Text"]
+    assert kept("<article>" + "<p>a" * 3000 + "<b>" * 3000 + "x" + "'\"" * 3000)[-1].startswith("ax")
+
+
 def test_longest_common_lines():
     def length(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -1,23 +1,27 @@
 """Main-text extraction by nearest-URL page differencing (operator 6).
 
 A page is read into lines (one per block) with a role that the markup gives it:
-article, page furniture, or unknown. Pages of one host are put in the order of
-their URL paths and paired with the neighbour whose path has the longest common
-start; the lines of both are aligned by a longest common subsequence, and what
-the two share is furniture of the site and goes, on every page. A shared line that
-the markup itself puts into the article stays: two copies of one article would
+article, page furniture, or unknown. The distinct URL paths of a host are put in
+order and each is paired with the neighbour that has the longest common start; the
+lines of a page and of its pair are aligned by a longest common subsequence, and
+what the two share is furniture of the site and goes, on every page. A shared line
+that the markup itself puts into the article stays: two copies of one article would
 otherwise delete each other. What the markup calls furniture goes with or without a
-twin.
-
-Scale: the alignment needs only hashes of lines, so html is never shuffled. The
-rows that are (page, path, line hashes) are range-sorted, a host with a third of
-all pages being cut into many ranges; the edge rows of each range are handed to
-its neighbours. Deletions come back by page id.
-
-Cases: null or empty html gives an empty text; null urls share one host; markup
-that is not closed is read to the end; a page alone in its host has no pair;
-repeated page_ids are paired as separate rows and a line deleted in one of them
-is deleted in all; extra columns are ignored.
+twin; where its words contradict each other (a class "post tags") the differencing
+decides. Of an article's own header the headings stay.
+
+Scale: the alignment needs only hashes of lines, so html is never shuffled, and it
+is parsed twice: for the outline and for the text. One page stands for a URL path
+(partial aggregates, so a hot path costs nothing), the paths are range-sorted, a
+host with a third of all pages being cut into many ranges, and the edge rows of
+each range are handed to its neighbours. Deletions come back by page id and hash.
+
+Cases: null or empty html gives an empty text; null urls share one host and path;
+markup that is not closed is read to the end, an unbalanced quote to the next ">";
+pages of one URL path are not paired with each other, nor is a page with one of
+equal lines where the other neighbour differs; a page alone in its host has no
+pair; null and repeated page_ids are told apart by their html; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm import common as C
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?:/?)(?:[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I | re.S)
 SPACES = re.compile(r"\s+")
 #: Elements whose content is text for a program, read up to their own end tag.
@@ -56,12 +62,16 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 #: Blocks inside which a line goes on: a line break is white space inside its block.
 INSIDE = frozenset(("br",))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: CHROME ends at an article or main element inside, HIDDEN does not.
-ARTICLE, UNKNOWN, CHROME, HIDDEN = 2, 1, 0, -1
+#: CHROME ends at an article or main element inside, TITLES (an article's header) at a heading, HIDDEN does not end.
+ARTICLE, UNKNOWN, CHROME, HIDDEN, TITLES = 2, 1, 0, -1, -2
 
 
-def _role(tag: str, attributes: str) -> int | None:
-    """Role that an element gives its content, None where it leaves that of its parent."""
+def _role(tag: str, attributes: str, around: int = UNKNOWN) -> int | None:
+    """Role that an element gives its content, None where it leaves that of its parent (``around``)."""
+    if tag == "header" and around == ARTICLE:
+        return TITLES
+    if around == TITLES and tag in HEADINGS:
+        return ARTICLE
     if tag in FURNITURE:
         return CHROME if tag in WRAPPERS else HIDDEN
     named: list[str] = []
@@ -74,11 +84,14 @@ def _role(tag: str, attributes: str) -> int | None:
             named += entities.unescape(value).split()
     if tag in ("body", "html"):
         return None
-    if any(FURNITURE_WORDS.fullmatch(x) for x in named):
+    furniture, main = (any(words.fullmatch(x) for x in named) for words in (FURNITURE_WORDS, MAIN_WORDS))
+    if furniture and main:
+        return ARTICLE if tag in MAIN else None
+    if furniture:
         return CHROME
-    if tag in MAIN or any(MAIN_WORDS.fullmatch(x) for x in named):
-        return ARTICLE
-    return None
+    if around == TITLES:
+        return None
+    return ARTICLE if main or tag in MAIN else None
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
@@ -105,6 +118,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         if m.start() > at:
             buffer.append(text[at : m.start()])
         at = m.end()
+        if m.group(2) is None and m.group(0)[1] not in "!?":  # a quote that never ends
+            m = TAG.match(text, m.start())
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
@@ -120,7 +135,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                     break
             continue
         if tag in RAW:
-            if m.group(0).endswith("/>"):
+            if (m.group(3) or "").endswith("/"):
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(text, at)
             at = end.end() if end else len(text)
@@ -137,9 +152,9 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        if tag in VOID or m.group(0).endswith("/>"):
+        if tag in VOID or (m.group(3) or "").endswith("/"):
             continue
-        given = _role(tag, m.group(3) or "")
+        given = _role(tag, m.group(3) or "", role)
         inside = role == HIDDEN or (role == CHROME and given != HIDDEN and tag not in MAIN)
         new = role if given is None or inside else given
         if new != role:
@@ -191,7 +206,7 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, host, path, hashes of the lines and their roles."""
+    """page_id, h, host, path, hashes of the lines and their roles."""
     for p in C.pieces(batches, "html"):
         hosts, paths, hashes, roles = [], [], [], []
         for url, html in zip(p.column("url").to_pylist(), p.column("html").to_pylist(), strict=True):
@@ -201,7 +216,7 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             paths.append(path)
             hashes.append([line_hash(x) for x, _ in lines])
             roles.append([r for _, r in lines])
-        yield pa.RecordBatch.from_arrays([p.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int32()))], names=["page_id", "host", "path", "hashes", "roles"])
+        yield pa.RecordBatch.from_arrays([p.column("page_id"), p.column("h"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int32()))], names=["page_id", "h", "host", "path", "hashes", "roles"])
 
 
 def _start(a: str, b: str) -> int:
@@ -210,36 +225,41 @@ def _start(a: str, b: str) -> int:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id and the hashes of the shared lines that go."""
+    """page_id, h and the hashes of the shared lines that go."""
     for batch in batches:
-        ids, gone = [], []
+        rows = []
         for r in batch.to_pylist():
-            same = [x for x in (r["before"], r["after"]) if x is not None and x["host"] == r["host"]]
-            if not same:
-                continue
-            twin = max(same, key=lambda x: _start(x["path"], r["path"]))  # the one before wins a tie
-            lost = [r["hashes"][i] for i in common_lines(r["hashes"], twin["hashes"]) if r["roles"][i] == UNKNOWN]
+            twins = [x for x in (r["before"], r["after"]) if x is not None and x["host"] == r["host"]]
+            # a page of equal lines only where there is no other; then the longest common start; the one before wins a tie
+            twins.sort(key=lambda x: (x["hashes"] == r["hashes"], -_start(x["path"], r["path"])))
+            lost = [r["hashes"][i] for i in common_lines(r["hashes"], twins[0]["hashes"]) if r["roles"][i] == UNKNOWN] if twins else []
             if lost:
-                ids.append(r["page_id"])
-                gone.append(lost)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], names=["page_id", "gone"])
+                rows.append((r["page_id"], r["h"], lost))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], names=["page_id", "h", "gone"])
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_id, gone: hashes of each page's lines of unknown role that its nearest page shares."""
-    n = C.parts(pages.sparkSession)
-    schema = "page_id long, host string, path string, hashes array<long>, roles array<int>"
-    outline = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_outline, schema)
-    order = ["host", "path", "page_id"]
-    ranged = C.stored(outline.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "outline")
+def neighbours(outline: DataFrame) -> DataFrame:
+    """host, path with the page before and after it among the distinct paths in order (structs host, path, hashes)."""
+    n = C.parts(outline.sparkSession)
+    one = F.min_by("hashes", F.struct(F.col("page_id").isNull(), "page_id", "h")).alias("hashes")
+    paths = outline.groupBy("host", "path").agg(one)
+    ranged = C.stored(paths.repartitionByRange(n, "host", "path").sortWithinPartitions("host", "path").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "paths")
     page = F.struct("host", "path", "hashes")
     edges = ranged.groupBy("part").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"))
     by_part = W.orderBy("part")  # one row for each range
     edges = edges.select("part", F.lag("last").over(by_part).alias("last_before"), F.lead("first").over(by_part).alias("first_after"))
     inside = W.partitionBy("part").orderBy("at")
     paired = ranged.withColumns({"before": F.lag(page).over(inside), "after": F.lead(page).over(inside)}).join(F.broadcast(edges), "part")  # as many rows as ranges
-    paired = paired.select("page_id", "host", "path", "hashes", "roles", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
-    return paired.mapInArrow(_differences, "page_id long, gone array<long>")
+    return paired.select("host", "path", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
+
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """page_id, h, gone: hashes of each page's lines of unknown role that its nearest page shares."""
+    schema = "page_id long, h long, host string, path string, hashes array<long>, roles array<int>"
+    outline = C.stored(pages.mapInArrow(_outline, schema), "outline")
+    # pages with no line to decide need no pair
+    open_ = outline.where(F.exists("roles", lambda r: r == UNKNOWN))
+    return open_.join(neighbours(outline), ["host", "path"]).mapInArrow(_differences, "page_id long, h long, gone array<long>")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +274,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    gone = C.stored(shared_lines(pages), "gone").groupBy("page_id").agg(F.flatten(F.collect_set("gone")).alias("gone"))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return base.join(C.sized_broadcast(gone), "page_id", "left").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.xxhash64("html").alias("h"))
+    gone = C.stored(shared_lines(base), "gone").groupBy(F.col("page_id").alias("_id"), F.col("h").alias("_h")).agg(F.flatten(F.collect_set("gone")).alias("gone"))
+    same = base["page_id"].eqNullSafe(gone["_id"]) & (base["h"] == gone["_h"])
+    return base.join(C.sized_broadcast(gone), same, "left").select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
