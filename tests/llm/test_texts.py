@@ -66,6 +66,41 @@ def test_every_text_counts_in_an_estimate(spark):
     assert kept == set(range(400))
 
 
+def test_estimates_equal_an_exhaustive_search(spark):
+    """On small groups the concentration steps end at the subset of least determinant among all subsets."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    groups = {}
+    for g in range(6):
+        x = rng.normal(0, 0.4 + 0.2 * g, (16, 4)) + g
+        x[12:] += rng.normal(0, 1, (4, 4)) + 9 * np.sign(rng.normal(size=4))
+        groups[f"g{g}"] = x
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    got = quality.estimates(spark.createDataFrame(rows, "source string, x0 double, x1 double, x2 double, x3 double"), ["source"]).collect()
+    assert len(got) == len(groups)
+    for r in got:
+        x = groups[r["source"]]
+        best = min((x[list(i)] for i in combinations(range(16), 12)), key=lambda y: np.linalg.det(np.cov(y.T, bias=True) + np.diag(np.square(quality.FLOOR))))
+        assert np.allclose(r["mu"], best.mean(axis=0), atol=1e-6)
+        cov = np.cov(best.T, bias=True) * quality._consistency() + np.diag(np.square(quality.FLOOR))
+        assert np.allclose(np.linalg.inv(np.array(r["prec"]).reshape(4, 4)), cov, atol=1e-6)
+
+
+def test_cut_off_is_the_quantile_of_a_stated_tail():
+    assert math.exp(-quality.CUTOFF / 2) * (1 + quality.CUTOFF / 2) == pytest.approx(quality.TAIL, rel=1e-6)
+
+
+def test_small_groups_lean_on_their_language():
+    import pandas as pd
+
+    eye = np.eye(4).ravel().tolist()
+    row = lambda n: {"lang": "en", "source": "s", "support": n, "mu": [1.0] * 4, "prec": eye, "support1": 10**9, "mu1": [0.0] * 4, "prec1": eye, "support0": 10**9, "mu0": [5.0] * 4, "prec0": eye}
+    out = quality.lean(pd.DataFrame([row(0), row(40), row(10**9)]))
+    assert np.allclose([m[0] for m in out["mu"]], [0, 0.5, 1], atol=1e-6)
+    assert np.allclose(np.linalg.inv(np.array(out["prec"][1]).reshape(4, 4)), np.eye(4) + 0.25, atol=1e-6)
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 

@@ -11,9 +11,11 @@ not meet in one task; one row per (language, source) comes out. The verdict is
 computed in a second pass over the text, beside the group estimates, so text is
 never shuffled.
 
-Cases: null or empty text has no words and fails the base rule; groups with too
-few distinct texts use the estimate of their language, and that of all rows if
-the language is small too; null language or source is a group of its own; copies
+Cases: null or empty text has no words and fails the base rule; the estimate of a
+group leans on that of its language, and a language's on that of all rows, as if
+``LEAN`` texts of the wider group belonged to it, so small groups are judged like
+their language and large ones by themselves, without a size at which one turns into
+the other; null language or source is a group of its own; copies
 of a text count once in an estimate, so a group of copies cannot define what is
 normal, while different texts with equal vectors count one by one.
 """
@@ -38,11 +40,12 @@ DIMS = 4
 #: Share of a group that a concentration step keeps.
 COVERAGE = 0.75
 STEPS = 6
-MIN_GROUP = 40
+#: Weight of the wider group in an estimate, in texts.
+LEAN = 40.0
 #: Least standard deviation of each statistic: keeps a group of near-identical texts from rejecting everything else.
 FLOOR = (0.045, 0.35, 0.5, 0.5)
-#: Cut-off for the squared distance: chi-squared with 4 degrees at a tail of 4e-8, for statistics with longer tails than a normal.
-CUTOFF = 40.0
+#: Share of clean texts that the cut-off gives up under a normal law: one in 25 million.
+TAIL = 4e-8
 #: Words of prior weight that hold the ratios of short texts near their neutral value.
 PRIOR = 60.0
 
@@ -148,16 +151,43 @@ def distance(mu: str = "mu", prec: str = "prec"):
     return total
 
 
-def _consistency() -> float:
-    """Factor that makes the covariance of the central ``COVERAGE`` share consistent under a normal (4 dimensions)."""
-    # chi-squared quantile with 4 degrees by bisection of its closed form, then P4 / P6
-    lo, hi = 0.0, 100.0
+def chi_squared(share: float) -> float:
+    """Quantile of the chi-squared law with ``DIMS`` = 4 degrees, by bisection of its closed form."""
+    lo, hi = 0.0, 200.0
     for _ in range(100):
         q = (lo + hi) / 2
-        lo, hi = (q, hi) if 1 - math.exp(-q / 2) * (1 + q / 2) < COVERAGE else (lo, q)
+        lo, hi = (q, hi) if math.exp(-q / 2) * (1 + q / 2) > 1 - share else (lo, q)
+    return q
+
+
+#: Cut-off for the squared distance.
+CUTOFF = chi_squared(1 - TAIL)
+
+
+def _consistency() -> float:
+    """Factor that makes the covariance of the central ``COVERAGE`` share consistent under a normal (4 dimensions): P4 / P6."""
+    q = chi_squared(COVERAGE)
     return COVERAGE / (1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
+def lean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows with support, mu, prec and the same of the language (1) and of all rows (0): mu and prec of the mixtures."""
+
+    def mixed(n, mu, cov, mu0, cov0):
+        w = n / (n + LEAN)
+        apart = mu - mu0
+        return w * mu + (1 - w) * mu0, w * cov + (1 - w) * cov0 + w * (1 - w) * np.outer(apart, apart)
+
+    out_mu, out_prec = [], []
+    for r in pdf.to_dict("records"):
+        mu, cov = np.array(r["mu0"]), np.linalg.inv(np.array(r["prec0"]).reshape(DIMS, DIMS))
+        for k in ("1", ""):
+            mu, cov = mixed(r[f"support{k}"], np.array(r[f"mu{k}"]), np.linalg.inv(np.array(r[f"prec{k}"]).reshape(DIMS, DIMS)), mu, cov)
+        out_mu.append(mu.tolist())
+        out_prec.append(np.linalg.inv(cov).ravel().tolist())
+    return pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": out_mu, "prec": out_prec})
+
+
 def estimates(points: DataFrame, keys: list[str]) -> DataFrame:
     """MCD by concentration steps for each key: columns ``keys``, mu, prec, support.
 
@@ -213,9 +243,8 @@ def fit(docs: DataFrame) -> DataFrame:
     all_levels = estimates(points, ["level", "lang", "source"])
     pick = lambda level, suffix: all_levels.where(F.col("level") == level).select(*({"2": ["lang", "source"], "1": ["lang"], "0": []}[level]), *(F.col(c).alias(f"{c}{suffix}") for c in ("support", "mu", "prec")))
     wide = pick("1", "1").crossJoin(F.broadcast(pick("0", "0")))  # one row
-    wide = wide.select("lang", *(F.when(F.col("support1") >= MIN_GROUP, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(f"{c}0") for c in ("mu", "prec")))
     both = _beside(pick("2", ""), wide, ["lang"])
-    return C.stored(both.select("lang", "source", *(F.when(F.col("support") >= MIN_GROUP, F.col(c)).otherwise(F.col(f"{c}0")).alias(c) for c in ("mu", "prec"))), "groups")
+    return C.stored(both.mapInPandas(lambda it: map(lean, it), "lang string, source string, mu array<double>, prec array<double>"), "groups")
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
