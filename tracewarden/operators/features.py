@@ -80,11 +80,38 @@ def pooled(steps: DataFrame, values: list[str], run: str = "trajectory_id") -> D
     return steps.withColumns(cols)
 
 
+def numbered(values: DataFrame, name: str = "column") -> DataFrame:
+    """The distinct values of a one-column frame with their number in sorted order, counted range by range."""
+    (value,) = values.columns
+    ordered = values.distinct().sort(value)
+    spark = values.sparkSession
+    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"{value} {dict(values.dtypes)[value]}, {name} long")
+
+
 def side_channel(rows: DataFrame, key: str, tokens: str, scale: float = 1.0) -> DataFrame:
-    """Multi-hot rows (key, token, column, value): columns number the sorted distinct tokens."""
+    """Multi-hot rows (key, token, column, value): columns number the sorted distinct tokens, which may be as many as the
+    data gives: they are numbered range by range and joined without a broadcast hint."""
     pairs = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    names = pairs.select("token").distinct().withColumn("column", F.row_number().over(W.orderBy("token")) - 1)  # one row per distinct token
-    return pairs.join(F.broadcast(names), "token").select(key, "token", "column", F.lit(scale).alias("value"))
+    return pairs.join(numbered(pairs.select("token")), "token").select(key, "token", "column", F.lit(scale).alias("value"))
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str, **parameters) -> None:
+    """A fitted vocabulary and the parameters it was fitted with, as tables below ``path``."""
+    vocabulary.write.parquet(f"{path}/terms")
+    vocabulary.sparkSession.createDataFrame([(k, repr(v)) for k, v in sorted(parameters.items())], "name string, value string").coalesce(1).write.parquet(f"{path}/parameters")
+
+
+def read_vocabulary(spark, path: str) -> tuple[DataFrame, dict]:
+    """What ``write_vocabulary`` wrote: the terms and the parameters."""
+    import ast
+
+    stored = spark.read.parquet(f"{path}/parameters").collect()  # one row for each parameter
+    return spark.read.parquet(f"{path}/terms"), {r["name"]: ast.literal_eval(r["value"]) for r in stored}
+
+
+def transform(rows: DataFrame, vocabulary: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """Rows in the space of a fitted vocabulary."""
+    return tfidf(term_counts(rows, key, text), vocabulary, key)
 
 
 def mean_vector(vectors: Column) -> Column:

@@ -1,7 +1,9 @@
 """Ranking, calibration and detection metrics as aggregates.
 
-Every sweep aggregates to distinct scores first (with partial sums), so the
-window that follows sorts scores, not rows.
+Every sweep aggregates to distinct scores first (with partial sums), so what
+follows sorts scores, not rows. Real-valued scores may be as many as rows: they
+are cut into ``RANGES`` ranges by a quantile summary, summed inside each range, and
+the sums of the ranges below are added, so no sweep runs in one task.
 """
 
 from __future__ import annotations
@@ -11,25 +13,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_SUPPORT, ALPHA, BINS = 10, 5.0, 10
+#: Ranges of scores that a sweep is cut into.
+RANGES = 64
 
 
 def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
+def _swept(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct scores with pos, n, their sums over lower scores (pos_below, n_below) and over all (positives, rows)."""
+    s = _by_score(scored, keys)
+    edges = s.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000).alias("_edges"))  # one row
+    cut = s.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < F.col("score")))).drop("_edges")
+    ranges = cut.groupBy(*keys, "_part").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    before, all_ranges = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)  # at most RANGES rows a key
+    ranges = ranges.select(
+        *(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_range"),
+        F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_pos"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        F.sum("_pos").over(all_ranges).alias("positives"), F.sum("_n").over(all_ranges).alias("rows"),
+    )
+    own = cut["_part"] == ranges["_range"]
+    for k in keys:
+        own = own & cut[k].eqNullSafe(ranges[f"_{k}"])
+    inside = W.partitionBy(*keys, "_part").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    below = {f"{c}_below": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "n")}
+    return cut.join(ranges, own).withColumns(below).select(*keys, "score", "pos", "n", "pos_below", "n_below", "positives", "rows")
+
+
 def ranking_metrics(scored: DataFrame, *keys: str) -> DataFrame:
     """auroc (ties count half; 0.5 for one class) and average precision (step sum over distinct scores) per key."""
     k = list(keys)
-    s = _by_score(scored, k).withColumn("neg", F.col("n") - F.col("pos"))
-    part = W.partitionBy(*k)
-    below = part.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    above = part.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumns({"neg_below": F.coalesce(F.sum("neg").over(below), F.lit(0)), "tp": F.sum("pos").over(above), "seen": F.sum("n").over(above)})
-    a = s.groupBy(*k).agg(
+    neg, neg_below = F.col("n") - F.col("pos"), F.col("n_below") - F.col("pos_below")
+    a = _swept(scored, k).groupBy(*k).agg(
         F.sum("n").alias("n"),
         F.sum("pos").alias("positives"),
-        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("wins"),
-        F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("gain"),
+        F.sum(F.col("pos") * (neg_below + neg / 2)).alias("wins"),
+        F.sum(F.col("pos") * (F.col("positives") - F.col("pos_below")) / (F.col("rows") - F.col("n_below"))).alias("gain"),
     )
     p, q = F.col("positives"), F.col("n") - F.col("positives")
     auroc = F.when((p == 0) | (q == 0), 0.5).otherwise(F.col("wins") / (p * q))
@@ -40,9 +60,7 @@ def ranking_metrics(scored: DataFrame, *keys: str) -> DataFrame:
 def f1_threshold(scored: DataFrame, *keys: str) -> DataFrame:
     """The score that maximises F1 with ``score >= threshold``; the lowest of equals."""
     k = list(keys)
-    s = _by_score(scored, k)
-    at_least = W.partitionBy(*k).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumns({"tp": F.sum("pos").over(at_least), "alerts": F.sum("n").over(at_least), "positives": F.sum("pos").over(W.partitionBy(*k))})
+    s = _swept(scored, k).withColumns({"tp": F.col("positives") - F.col("pos_below"), "alerts": F.col("rows") - F.col("n_below")})
     precision = F.col("tp") / F.greatest("alerts", F.lit(1))
     recall = F.col("tp") / F.greatest("positives", F.lit(1))
     f1 = F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
@@ -112,7 +130,7 @@ def trusted_metrics(scored: DataFrame, min_support: int = MIN_SUPPORT, bins: int
     return metrics.na.fill({"auroc": 0.5, "auprc": 0.0, "ece": 0.0, "brier": 0.0, "trusted_positives": 0})
 
 
-def detection_latency(scored: DataFrame, threshold: float, *keys: str, only_trusted: int | None = None) -> DataFrame:
+def detection_latency(scored: DataFrame, threshold: float | Column, *keys: str, only_trusted: int | None = None) -> DataFrame:
     """Mean over failed runs of first alert / length; a run without alert counts 1, and so does no failed run."""
     alert = F.col("score") >= threshold
     if only_trusted is not None:
@@ -144,3 +162,16 @@ def seed_summary(results: DataFrame, expected: DataFrame, *metrics: str) -> Data
     done = F.col(metrics[0]).isNotNull()
     stats = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
     return joined.groupBy("run").agg(F.count_if(done).alias("finished"), F.count_if(~done).alias("missing"), *stats)
+
+
+def flat_summary(nested: DataFrame, separator: str = "_") -> DataFrame:
+    """Structs of a summary as columns of their own, named by their path."""
+
+    def leaves(schema, path: tuple[str, ...] = ()):
+        for f in schema.fields:
+            if f.dataType.typeName() == "struct":
+                yield from leaves(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    return nested.select(*(F.col(".".join(f"`{x}`" for x in p)).alias(separator.join(p)) for p in leaves(nested.schema)))

@@ -432,13 +432,14 @@ def dfa_replay_states(spark, sf):
     return tables.replayed(spark, sf).select("trajectory_id", "step_index", "state")
 
 
-@query()
+@query(f"WITH {_DAYS} SELECT symbols, bool_or(positive) AS positive, bool_or(positive) AS accepted FROM days GROUP BY symbols HAVING bool_or(positive) = bool_and(positive)")
 def dfa_induced_acceptance(spark, sf):
-    """Every consistent trace with what the automaton learned from all of them says: learners keep their training traces."""
+    """Every consistent trace with what the automaton learned from all of them says: learners keep their training traces, so
+    the SQL knows the answer without an automaton (D2 to D5)."""
     traces = automata.consistent_traces(_day_traces(spark, sf))
     dfa = automata.induce(traces, tables.SYMBOLS, "legacy", end_symbol=False)
     state = F.element_at(automata.replay(F.col("symbols"), dfa), -1)
-    return traces.select("symbols", "positive", state.isin(*sorted(dfa.accepting)).alias("accepted"))
+    return traces.select(F.array_join(F.transform("symbols", lambda x: x.cast("string")), ",").alias("symbols"), "positive", state.isin(*sorted(dfa.accepting)).alias("accepted"))
 
 
 # --- risk and metrics ------------------------------------------------------------------------------------------------
@@ -491,12 +492,16 @@ def brier(spark, sf):
     return metrics.brier(_quality(spark, sf), "lang").select("lang", r6("brier"))
 
 
+def _with_base_rate(s: DataFrame) -> DataFrame:
+    """``s`` with the mean label of all its rows, as part of one plan."""
+    return s.crossJoin(F.broadcast(s.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("base_rate"))))  # one row
+
+
 @query(f"""WITH RECURSIVE {S.SCORED}, g AS (SELECT avg(label) AS t FROM scored), r AS (SELECT trajectory_id, min(step_index) FILTER (WHERE score >= t) AS first, max(step_index) AS length FROM scored, g WHERE NOT final_success GROUP BY trajectory_id)
 SELECT round(coalesce(avg(coalesce(first, length) / length), 1.0), 6) AS latency, count(*) AS failed_runs FROM r""")
 def detection_latency(spark, sf):
-    s = tables.scored(spark, sf)
-    t = s.agg(F.avg("label")).first()[0] or 0.0  # one number
-    return metrics.detection_latency(s, t).select(r6("latency"), "failed_runs")
+    s = _with_base_rate(tables.scored(spark, sf))
+    return metrics.detection_latency(s, F.col("base_rate")).select(r6("latency"), "failed_runs")
 
 
 _COVER = "cover AS (SELECT count(*) AS prefixes, count(*) FILTER (WHERE support >= {m}) AS trusted_prefixes, count(DISTINCT state) FILTER (WHERE support >= {m}) AS trusted_states FROM {t}), ok AS (SELECT * FROM {t} WHERE support >= {m})"
@@ -556,8 +561,8 @@ def state_exemplars(spark, sf):
 @query(f"""WITH RECURSIVE {S.SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY step_index) AS k FROM scored WHERE score >= (SELECT avg(label) FROM scored)),
 r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY step_index / n_steps, trajectory_id) AS rank FROM a WHERE k = 1) SELECT CAST(state AS INTEGER) AS state, rank, trajectory_id, step_index FROM r WHERE rank <= 3""")
 def first_warnings(spark, sf):
-    s = tables.scored(spark, sf)
-    return explain.first_warnings(s, s.agg(F.avg("label")).first()[0] or 0.0).select("state", "rank", "trajectory_id", "step_index")
+    s = _with_base_rate(tables.scored(spark, sf))
+    return explain.first_warnings(s, F.col("base_rate")).select("state", "rank", "trajectory_id", "step_index")
 
 
 @query("""WITH e AS (SELECT user_id % 20 AS run, unnest([1, 2, 3]) AS seed FROM (SELECT DISTINCT user_id FROM events)), x AS (SELECT DISTINCT run, seed FROM e),
@@ -575,9 +580,27 @@ def seed_aggregate(spark, sf):
 _FSM = models.SoftFsm.fixed(3, tables.SYMBOLS)
 
 
-@query()
+def _soft_sql() -> str:
+    """CTE soft (trajectory_id, step_index, score) of the fixed automaton: a step's matrix is (1 - peak) / 4 times the sum of
+    all symbols' matrices and the rest of the peak times that of its own."""
+    a, start = _FSM.transitions(), models.softmax(_FSM.start)
+    q = range(len(start))
+    rows = ", ".join(f"({k}, {', '.join(repr(float(a[k][i][j])) for i in q for j in q)})" for k in range(len(a)))
+    names = ", ".join(f"a{i}{j}" for i in q for j in q)
+    cell = lambda i, j: f"((1 - peak) / 4.0::DOUBLE * {float(a[:, i, j].sum())!r}::DOUBLE + (peak - (1 - peak) / 4.0::DOUBLE) * a{i}{j}::DOUBLE)"
+    new = [" + ".join(f"s{i} * m{i}{j}" for i in q) for j in q]
+    first = [" + ".join(f"{float(start[i])!r}::DOUBLE * m{i}{j}" for i in q) for j in q]
+    score = " + ".join(f"s{i} * {float(_FSM.w[i])!r}::DOUBLE" for i in q)
+    return f"""trans AS (SELECT * FROM (VALUES {rows}) t(symbol, {names})),
+mats AS (SELECT p.trajectory_id, p.step_index, p.n_steps, {", ".join(f"{cell(i, j)} AS m{i}{j}" for i in q for j in q)} FROM probs p JOIN trans USING (symbol)),
+pushed AS (SELECT trajectory_id, step_index, {", ".join(f"{x} AS s{j}" for j, x in enumerate(first))} FROM mats WHERE step_index = 1
+  UNION ALL SELECT m.trajectory_id, m.step_index, {", ".join(new)} FROM pushed p JOIN mats m ON m.trajectory_id = p.trajectory_id AND m.step_index = p.step_index + 1),
+soft AS (SELECT trajectory_id, step_index, 1 / (1 + exp(-({score} + {_FSM.b!r}::DOUBLE))) AS score FROM pushed)"""
+
+
+@query(f"WITH RECURSIVE {_PROBS}, {_soft_sql()} SELECT trajectory_id, step_index, round(score, 6) AS score FROM soft")
 def soft_fsm_scores(spark, sf):
-    """Risk after each step under a fixed soft automaton (its SQL would be a recursion over vectors; see the tests)."""
+    """Risk after each step under a fixed soft automaton."""
     return models.soft_fsm_scores(tables.probabilities(spark, sf), _FSM).select("trajectory_id", "step_index", r6("score"))
 
 

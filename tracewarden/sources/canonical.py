@@ -135,9 +135,14 @@ def write_csv(summary: DataFrame, path: str, mode: str = "errorifexists") -> Non
     summary.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
+SUMMARY_ROWS = 1000
+
+
 def summary_json(summary: DataFrame) -> str:
-    """A small summary (one row, or a row per split) as sorted, indented JSON."""
-    rows = [r.asDict(recursive=True) for r in summary.limit(1000).collect()]
+    """A small summary (one row, or a row per split) as sorted, indented JSON; raises where it is not small."""
+    rows = [r.asDict(recursive=True) for r in summary.limit(SUMMARY_ROWS + 1).collect()]
+    if len(rows) > SUMMARY_ROWS:
+        raise ValueError(f"over {SUMMARY_ROWS} rows are no summary: write them as a table")
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, sort_keys=True, default=str)
 
 
