@@ -37,6 +37,8 @@ def test_suffix_dedup(spark, corpus, docs):
     rows = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
     assert rows == brute_repeats(corpus, suffix_dedup.SPAN)
     assert all(sha(r["kept"]) == r["kept_sha256"] for r in got)
+    brute = brute_longest(corpus, suffix_dedup.SPAN)
+    assert all(r["longest_match"] == brute.get(r["doc_id"], 0) if brute.get(r["doc_id"], 0) >= suffix_dedup.REPORT else r["longest_match"] < suffix_dedup.REPORT for r in got)
     assert sum(r[2] for r in rows) > 5000
 
 
@@ -64,11 +66,24 @@ def plain_repeats(rows):
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("text", pa.string()), ("marks", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32())), ("low", pa.list_(pa.int32()))])))])
     contexts = [r for b in suffix_dedup._contexts(iter(pa.RecordBatch.from_pylist(live[k : k + 5], schema) for k in range(0, len(live), 5))) for r in b.to_pylist()]
     contexts.sort(key=lambda r: (r["key"], r["sub"], r["right"] is not None, r["right"] or b""))
-    spans = {}
+    spans, longest = {}, {}
     for b in suffix_dedup._repeats(iter(pa.RecordBatch.from_pylist(contexts[k : k + 37], suffix_dedup.CONTEXT) for k in range(0, len(contexts), 37))):
         for r in b.to_pylist():
-            spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
-    return {i: suffix_dedup.merge_spans(x) for i, x in spans.items()}, len(contexts)
+            longest[r["doc_id"]] = max(longest.get(r["doc_id"], 0), r["longest"])
+            if r["end"] > r["start"]:
+                spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    return {i: suffix_dedup.merge_spans(x) for i, x in spans.items()}, longest, len(contexts)
+
+
+def brute_longest(rows, span):
+    """Longest string of each text that also starts elsewhere, up to ``span`` bytes."""
+    suffixes = sorted((b[k : k + span], i) for i, t in rows for b in [(t or "").encode()] for k in range(len(b)))
+    out = {}
+    for (a, i), (b, j) in zip(suffixes, suffixes[1:], strict=False):
+        n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        for d in (i, j):
+            out[d] = max(out.get(d, 0), n)
+    return out
 
 
 def brute_spans(rows, span):
@@ -93,7 +108,7 @@ def passages(n):
     rows = []
     for i in range(n):
         around = beside[i % 6] if i % 3 else letters(90)
-        rows.append((i, letters(60) + around + short + around[: i % 60] + letters(150) + (long if i % 4 else long[: 380 + i % 40]) + letters(30)))
+        rows.append((i, letters(60) + around + (short if i % 5 else short[:250]) + around[: i % 60] + letters(150) + (long if i % 4 else long[: 380 + i % 40]) + letters(30)))
     return [*rows, (n, "ab" * 900), (n + 1, "x" * 1000), (n + 2, rows[3][1] + "é" * 250), (n + 3, None), (n + 4, "é" * 250)]
 
 
@@ -103,8 +118,12 @@ def test_shards_larger_than_memory_and_hot_ones(monkeypatch, bounds):
     rows = passages(130)
     for name, value in bounds.items():
         monkeypatch.setattr(suffix_dedup, name, value)
-    got, contexts = plain_repeats(rows)
+    got, longest, contexts = plain_repeats(rows)
     assert got == brute_spans(rows, suffix_dedup.SPAN)
+    for i, n in brute_longest(rows, suffix_dedup.SPAN).items():
+        told = longest.get(i, 0)
+        assert told == n or ("HOT" in bounds and n >= told >= 244) or n < 256 and told in (0, n), (i, n, told)
+    assert {longest.get(i, 0) for i in (133, 134, 130)} <= {0, 400, 500} and any(256 <= n < 400 for n in longest.values())
     assert contexts > 10 * suffix_dedup.IN_MEMORY or "IN_MEMORY" not in bounds
 
 

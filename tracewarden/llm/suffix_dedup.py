@@ -3,7 +3,7 @@
 Every byte covered by a ``SPAN``-byte string that also starts elsewhere is
 removed. Suffixes are sorted by induction, out of core and in shards:
 
-* Sample suffixes. In each window of ``SPAN - K + 1`` positions the smallest
+* Sample suffixes. In each window of ``REPORT - K + 1`` positions the smallest
   K-gram hash marks one position. It depends on nothing but the string itself, so
   all places of a repeated string mark the same offset. A sample whose K-gram
   occurs once cannot lie in a repeat and is left out.
@@ -14,8 +14,8 @@ removed. Suffixes are sorted by induction, out of core and in shards:
   preceding byte at a time: classes of equal left context are split by the next
   byte with a stable sort, and the common prefix of new neighbours is the range
   minimum over the base order. A position repeats where left context and common
-  prefix reach ``SPAN`` together. Classes of one suffix and those that cannot
-  reach ``SPAN`` any more leave.
+  prefix reach ``SPAN`` together; the longest that they reach is the suffix's longest
+  match. Classes of one suffix and those that cannot reach ``REPORT`` any more leave.
 * Shards larger than memory. Their tuples (suffix, left context, common prefix
   with the tuple before) lie in queues on disk. A pass over a queue skips the left
   context that all its tuples share, then pushes each tuple into the bucket of
@@ -28,7 +28,13 @@ removed. Suffixes are sorted by induction, out of core and in shards:
   left and SPAN - b of right context in common, so these make the key of a shard of
   their own, whose tuples need no more than the b - a bytes on either side. Of equal
   contexts a task sends two; it decides the others itself, as equal contexts repeat
-  as far as they reach.
+  as far as they reach. Matches of a hot K-gram from ``REPORT`` to ``SPAN`` are told in
+  the same way by ranges of ``REPORT`` bytes without more context.
+
+Beside what is removed, a document's longest match is reported: bytes of its longest
+string that also starts elsewhere, from ``REPORT`` bytes on (0: none so long; for a
+hot K-gram a range less) and up to ``SPAN``, so passages shorter than the span are
+seen, not removed.
 
 Texts that occur twice as a whole are found by their hash; one of them stands for
 all in the sort, so a group of thousands costs as much as one text.
@@ -54,7 +60,9 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common as C
 
 SPAN, K = 400, 64
-WINDOW = SPAN - K + 1
+#: Shortest match that is certain to be reported.
+REPORT = 256
+WINDOW = REPORT - K + 1
 #: Suffixes of small shards sorted together; largest queue that is induced in memory, and tuples of one block on disk.
 TOGETHER, IN_MEMORY, BLOCK = 16_000, 64_000, 16_384
 #: Places of a K-gram past which its shard is cut into ranges of left offsets.
@@ -82,7 +90,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def samples(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """row, key, at, low, high of each sample: the K-gram hash at byte ``at`` of its row, chosen for start positions low..high."""
-    if len(data) < SPAN:
+    if len(data) < REPORT:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     sums = C.prefix_sums(data)
     start = np.arange(len(data) - K + 1)
@@ -90,7 +98,7 @@ def samples(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     chosen = sliding_min((h >> _BITS << _BITS) | start.astype(np.uint64), WINDOW) & np.uint64((1 << 24) - 1)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(chosen)]
     i = np.arange(len(chosen))
-    inside = i + SPAN <= off[row + 1]
+    inside = i + REPORT <= off[row + 1]
     i, row, at = i[inside], row[inside], chosen[inside].astype(np.int64)
     if not len(i):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -107,10 +115,10 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = C.buffers(p.column("text"))
         if len(data) <= _STRETCH:
             found = samples(data, off)
-        else:  # a single very long text: stretches that overlap by SPAN - 1 bytes
+        else:  # a single very long text: stretches that overlap by REPORT - 1 bytes
             parts = []
-            for at in range(0, len(data) - SPAN + 1, _STRETCH):
-                part = data[at : at + _STRETCH + SPAN - 1]
+            for at in range(0, len(data) - REPORT + 1, _STRETCH):
+                part = data[at : at + _STRETCH + REPORT - 1]
                 r = samples(part, np.array([0, len(part)]))
                 parts.append((r[0], r[1], r[2] + at, r[3] + at, r[4] + at))
             found = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -132,7 +140,7 @@ CONTEXT = pa.schema([("key", pa.int64()), ("sub", pa.int64()), ("shift", pa.int3
 
 def shards(key: int, right: bytes, left: bytes, hot: bool) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
     """key, sub, shift, span, right, left of the shards that a sample belongs to: one of all left offsets, or one for each
-    range of them."""
+    range of them and length (SPAN with its contexts, REPORT without). A shard shares SPAN - span bytes already."""
     if not hot:
         yield key, 0, 0, SPAN, right, left
         return
@@ -140,16 +148,18 @@ def shards(key: int, right: bytes, left: bytes, hot: bool) -> Iterator[tuple[int
         b = min(a + WIDTH_OF_RANGE, WINDOW - 1)
         if len(left) < a:
             return
-        if len(right) >= SPAN - b:
-            near = left[len(left) - a :]
-            name = xxhash.xxh3_128_intdigest(b"%d:%d:" % (key, a) + near + right[: SPAN - b])
-            yield (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), a, b - a, right[SPAN - b : SPAN - a], left[max(0, len(left) - b) : len(left) - a]
+        near = left[len(left) - a :]
+        for length in (SPAN, REPORT):
+            if len(right) >= length - b:
+                name = xxhash.xxh3_128_intdigest(b"%d:%d:%d:" % (key, a, length) + near + right[: length - b])
+                rest = (right[SPAN - b : SPAN - a], left[max(0, len(left) - b) : len(left) - a]) if length == SPAN else (b"", b"")
+                yield (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63), a, SPAN - length + b - a, *rest
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each repeated sample of a text with the bytes to its right (SPAN of them) and left (back to its first position).
     Samples of one text with equal contexts, as a periodic text has many, are one row with several places. A row whose
-    right is null brings decided spans in ``at`` (start, end, start, ...) instead."""
+    right is null brings decided spans in ``at`` (start, end, start, ...) and their longest match in ``span`` instead."""
     seen: dict[int, int] = {}
     rows: list[tuple] = []
 
@@ -168,17 +178,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for x in shards(m["key"], text[at : at + SPAN], text[low:at], m["n"] > HOT):
                         places.setdefault(x, []).append(at)
             decided: list[int] = []
+            longest = 0
             for (key, sub, shift, span, right, left), ats in places.items():
                 name = xxhash.xxh3_128_intdigest(b"%d:%d:%d:" % (key, sub, len(right)) + right + left)
                 times = seen.get(name, 0)
                 if times < 2:
                     seen[name] = times + 1
                     rows.append((key, sub, shift, span, right, left, doc, h1, ats))
-                elif len(right) + len(left) >= span:
-                    for at in ats:
+                else:
+                    longest = max(longest, SPAN - span + len(right) + len(left))
+                    for at in ats if len(right) + len(left) >= span else ():
                         decided += (at - shift - len(left), at - shift - max(0, span - len(right)) + SPAN)
-            if decided:
-                rows.append((h1, 0, 0, 0, None, None, doc, h1, decided))
+            if longest:
+                rows.append((h1, 0, 0, min(longest, SPAN), None, None, doc, h1, decided))
             if len(seen) > REMEMBERED:
                 seen.clear()
             if len(rows) >= 4096:
@@ -262,9 +274,9 @@ class RangeMinimum:
         return out
 
 
-def induce(lcp: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, twins: np.ndarray, span: np.ndarray, o: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (row, least, most) of left offsets from ``o`` at which the suffix repeats, for suffixes in base order whose
-    classes begin where ``lcp`` is -1. ``twins``: rows that stand for several places, and so share both contexts with
+def induce(lcp: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, twins: np.ndarray, span: np.ndarray, o: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (row, least, most) of left offsets from ``o`` at which the suffix repeats, and the longest match of each row
+    (left and right context together, 0 without one), for suffixes in base order whose classes begin where ``lcp`` is -1. ``twins``: rows that stand for several places, and so share both contexts with
     another suffix. ``span``: bytes that left and right context must reach together."""
     smallest = RangeMinimum(lcp)
     n = len(lcp)
@@ -272,6 +284,8 @@ def induce(lcp: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size:
     group = np.cumsum(lcp < 0) - 1
     reach = left_size.astype(np.int64)
     since, until = np.full(n, -1), np.full(n, -2)
+    longest = np.zeros(n, np.int64)
+    worth = np.minimum(span, REPORT - SPAN + span)
     runs: list[tuple[np.ndarray, ...]] = []
     while len(order):
         beside = np.full(len(order) + 1, -1, np.int64)
@@ -279,14 +293,15 @@ def induce(lcp: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size:
         beside[same] = smallest(order[same - 1], order[same])
         best = np.maximum(beside[:-1], beside[1:])
         best = np.where(twins[order], np.maximum(best, right_size[order]), best)
+        longest[order] = np.maximum(longest[order], np.where(best >= 0, best + o, 0))
         hit = order[(best + o >= span[order]) & (best >= 0)]
         new = hit[until[hit] != o - 1]
         old = new[since[new] >= 0]
         runs.append((old, since[old], until[old]))
         since[new] = o
         until[hit] = o
-        # what cannot reach its span with its own left context, or has none left, is done
-        stay = (best >= 0) & (best + reach[order] >= span[order]) & (reach[order] > o)
+        # what cannot reach a match worth telling with its own left context, or has none left, is done
+        stay = (best >= 0) & (best + reach[order] >= worth[order]) & (reach[order] > o)
         order, group = order[stay], group[stay]
         if not len(order):
             break
@@ -299,16 +314,16 @@ def induce(lcp: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size:
         o += 1
     open_ = np.flatnonzero(since >= 0)
     runs.append((open_, since[open_], until[open_]))
-    return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
+    return *(np.concatenate(x) for x in zip(*runs, strict=True)), longest
 
 
 def buckets(queue: DiskQueue, o: int, span: int, folder: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs (id, least, most) of the tuples of one shard or bucket, which share ``o`` bytes of left context; takes the queue."""
+    """Runs (id, least, most) of the tuples of one shard or bucket, which share ``o`` bytes of left context, and (id, -1,
+    longest match) of its tuples; takes the queue."""
     if queue.rows <= IN_MEMORY:
         t = queue.all()
         queue.drop()
-        row, least, most = induce(t["lcp"], t["right"], t["left"], t["size"], t["twin"], np.full(len(t), span), o)
-        yield t["id"][row], least, most
+        yield from _together([t], o, span)
         return
     first, c = None, WINDOW
     for block, _ in queue.blocks():
@@ -324,7 +339,9 @@ def buckets(queue: DiskQueue, o: int, span: int, folder: str) -> Iterator[tuple[
         least = np.maximum(o, span - best)
         hit = (best >= 0) & (least <= c)
         yield block["id"][hit], least[hit], np.full(int(hit.sum()), c)
-        stay = np.flatnonzero((best >= 0) & (block["size"] > c) & (best + block["size"] >= span))
+        told = (best >= 0) & (best + c >= REPORT - SPAN + span)
+        yield block["id"][told], np.full(int(told.sum()), -1), best[told] + c
+        stay = np.flatnonzero((best >= 0) & (block["size"] > c) & (best + block["size"] >= min(span, REPORT - SPAN + span)))
         byte = block["left"][stay, min(c, WINDOW - 1)]
         order = np.argsort(byte, kind="stable")
         stay, byte = stay[order], byte[order]
@@ -358,16 +375,18 @@ def buckets(queue: DiskQueue, o: int, span: int, folder: str) -> Iterator[tuple[
         held.append(q.all())
         q.drop()
         if sum(map(len, held)) >= TOGETHER or not next_byte:
-            yield _together(held, c + 1, span)
+            yield from _together(held, c + 1, span)
             held = []
     if held:
-        yield _together(held, c + 1, span)
+        yield from _together(held, c + 1, span)
 
 
-def _together(held: list[np.ndarray], o: int, span: int) -> tuple[np.ndarray, ...]:
+def _together(held: list[np.ndarray], o: int, span: int) -> Iterator[tuple[np.ndarray, ...]]:
     t = np.concatenate(held)
-    row, least, most = induce(t["lcp"], t["right"], t["left"], t["size"], t["twin"], np.full(len(t), span), o)
-    return t["id"][row], least, most
+    row, least, most, longest = induce(t["lcp"], t["right"], t["left"], t["size"], t["twin"], np.full(len(t), span), o)
+    yield t["id"][row], least, most
+    told = np.flatnonzero(longest)
+    yield t["id"][told], np.full(len(told), -1), longest[told]
 
 
 def _matrix(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -381,9 +400,23 @@ def _matrix(col: pa.Array, width: int, flip: bool) -> tuple[np.ndarray, np.ndarr
     return out, size.astype(np.int16)
 
 
-def _spans(doc: np.ndarray, h1: np.ndarray, at: np.ndarray, shift: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
-    start, end = at - shift - most, at - shift - least + SPAN
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h1), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "h1", "start", "end"])
+SPANS = "doc_id long, h1 long, start int, end int, longest int"
+
+
+def _spans(doc: np.ndarray, h1: np.ndarray, start: np.ndarray, end: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
+    """Spans of documents; those without bytes only bring the longest match of a suffix."""
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h1), *(pa.array(np.asarray(x).astype(np.int32)) for x in (start, end, longest))], names=["doc_id", "h1", "start", "end", "longest"])
+
+
+def _matches(doc: np.ndarray, h1: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
+    """One row for each document with a match worth telling."""
+    keep = np.flatnonzero(longest >= REPORT - WIDTH_OF_RANGE)
+    order = keep[np.lexsort((-longest[keep], h1[keep], doc[keep]))]
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(doc[order]) != 0) | (np.diff(h1[order]) != 0)
+    order = order[first]
+    zero = np.zeros(len(order), np.int32)
+    return _spans(doc[order], h1[order], zero, zero, np.minimum(longest[order], SPAN))
 
 
 def _fields(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -395,19 +428,22 @@ def _fields(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
-def small_shards(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def small_shards(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of whole shards that fit into memory together."""
     cols = [_fields(p) for p in parts]
     t = {c: np.concatenate([x[c] for x in cols]) for c in cols[0]}
     fresh = np.ones(len(t["key"]), bool)
     fresh[1:] = (np.diff(t["key"]) != 0) | (np.diff(t["sub"]) != 0)
     lcp = neighbour_lcp(t["right"], t["right_size"], fresh)
-    row, least, most = induce(lcp, t["right_size"], t["left"], t["left_size"], t["places"] > 1, t["span"])
+    row, least, most, longest = induce(lcp, t["right_size"], t["left"], t["left_size"], t["places"] > 1, t["span"])
+    shard = np.cumsum(fresh) - 1
+    shared = (np.bincount(shard)[shard] > 1) | (t["places"] > 1)
+    yield _matches(t["doc_id"], t["h1"], np.where(shared, longest + SPAN - t["span"], 0))
     first, many = np.cumsum(t["places"]) - t["places"], t["places"][row]
     owner = np.repeat(np.arange(len(row)), many)
     at = t["at"][first[row[owner]] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)]
     row = row[owner]
-    return _spans(t["doc_id"][row], t["h1"][row], at, t["shift"][row], least[owner], most[owner])
+    yield _spans(t["doc_id"][row], t["h1"][row], at - t["shift"][row] - most[owner], at - t["shift"][row] - least[owner] + SPAN, np.full(len(row), SPAN))
 
 
 def large_shard(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,6 +456,7 @@ def large_shard(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             t = _fields(part)
             shift, span = int(t["shift"][0]), int(t["span"][0])
+            yield _matches(t["doc_id"], t["h1"], np.full(len(t["key"]), SPAN - span))
             right, size = t["right"], t["right_size"]
             if before is not None:
                 right, size = np.concatenate([before[0], right]), np.concatenate([before[1], size])
@@ -436,13 +473,18 @@ def large_shard(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f.close()
         doc, h1, last, at = (np.memmap(os.path.join(folder, n), np.int64, "r") for n in names)
         for row, least, most in buckets(queue, 0, span, folder):
+            if len(least) and least[0] < 0:  # longest matches
+                for k in range(0, len(row), BLOCK):
+                    r = row[k : k + BLOCK]
+                    yield _matches(np.asarray(doc[r]), np.asarray(h1[r]), most[k : k + BLOCK] + SPAN - span)
+                continue
             for k in range(0, len(row), BLOCK):
                 r, lo, hi = row[k : k + BLOCK], least[k : k + BLOCK], most[k : k + BLOCK]
                 begin = np.where(r > 0, last[np.maximum(r - 1, 0)], 0)
                 times = last[r] - begin
                 owner = np.repeat(np.arange(len(r)), times)
                 place = at[begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)]
-                yield _spans(doc[r[owner]], h1[r[owner]], place, np.full(len(owner), shift), lo[owner], hi[owner])
+                yield _spans(doc[r[owner]], h1[r[owner]], place - shift - hi[owner], place - shift - lo[owner] + SPAN, np.full(len(owner), SPAN))
         del doc, h1, last, at
 
 
@@ -487,7 +529,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             now.append(part)
         if sum(p.num_rows for p in held) >= TOGETHER:
-            yield small_shards([p for p in held if p.num_rows])
+            yield from small_shards([p for p in held if p.num_rows])
             held = []
         if sum(p.num_rows for p in now) > IN_MEMORY:
             yield from large_shard(same_shard((int(now[-1].column("key")[-1].as_py()), int(now[-1].column("sub")[-1].as_py()))))
@@ -496,7 +538,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             aside.clear()
     held = [p for p in [*held, *now] if p.num_rows]
     if held:
-        yield small_shards(held)
+        yield from small_shards(held)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,8 +550,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if none.true_count:
                 done = part.filter(none)
                 flat, many = done.column("at").flatten().to_numpy(), np.diff(done.column("at").offsets.to_numpy()) // 2
-                ids = (np.repeat(done.column(c).to_numpy(), many) for c in ("doc_id", "h1"))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), pa.array(flat[::2].astype(np.int32)), pa.array(flat[1::2].astype(np.int32))], names=["doc_id", "h1", "start", "end"])
+                doc, h1 = done.column("doc_id").to_numpy(), done.column("h1").to_numpy()
+                yield _matches(doc, h1, done.column("span").to_numpy())
+                yield _spans(np.repeat(doc, many), np.repeat(h1, many), flat[::2], flat[1::2], np.repeat(done.column("span").to_numpy(), many))
                 part = part.filter(pa.compute.invert(none))
             if part.num_rows:
                 yield part
@@ -538,16 +581,17 @@ def _cut(with_text: bool):
                     at = b
                 kept.append(data[at:])
                 whole = b"".join(kept)
-                rows.append((batch.column("doc_id")[r].as_py(), batch.column("h1")[r].as_py(), sum(b - a for a, b in spans), len(spans), hashlib.sha256(whole).hexdigest(), *([whole] if with_text else [])))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + with_text)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "h1", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
+                rows.append((batch.column("doc_id")[r].as_py(), batch.column("h1")[r].as_py(), batch.column("longest")[r].as_py(), sum(b - a for a, b in spans), len(spans), hashlib.sha256(whole).hexdigest(), *([whole] if with_text else [])))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * (6 + with_text)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "h1", "longest", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
     return cut
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with ``with_text``) of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_match (and kept, the remaining bytes, with ``with_text``) of
+    each row."""
     n = C.parts(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     # a null id takes a fixed value: rows of one id are told apart by their text
@@ -565,9 +609,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     live = C.stored(base.select("doc_id", "h1", "text").join(marks, ["doc_id", "h1"]).dropDuplicates(["doc_id", "h1"]), "live")
 
     contexts = live.mapInArrow(_contexts, "key long, sub long, shift int, span int, right binary, left binary, doc_id long, h1 long, at array<int>")
-    spans = contexts.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "right").mapInArrow(_repeats, "doc_id long, h1 long, start int, end int")
-    spans = spans.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    schema = "doc_id long, h1 long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    spans = contexts.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "right").mapInArrow(_repeats, SPANS)
+    spans = spans.groupBy("doc_id", "h1").agg(F.collect_list(F.when(F.col("end") > F.col("start"), F.struct("start", "end"))).alias("spans"), F.max("longest").cast("long").alias("longest"))
+    schema = "doc_id long, h1 long, longest long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     cut = live.select("doc_id", "h1", "text").join(spans, ["doc_id", "h1"]).mapInArrow(_cut(with_text), schema)
     whole = about.join(copies.select("h1", "h2", F.lit(True).alias("copy")), ["h1", "h2"], "left").join(cut, ["doc_id", "h1"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
@@ -580,6 +624,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copy, F.lit(SPAN)).otherwise(F.coalesce("longest", F.lit(0))).cast("long").alias("longest_match"),
         *([F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_text else []),
     )
     if with_text:  # texts that lose nothing come from the input
