@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tracewarden.plans import catalogue, source_queries, step_queries  # noqa: F401
+from tracewarden.plans import catalogue, model_queries, source_queries, step_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -32,6 +32,24 @@ def linear_symbols(vectors: DataFrame, weights: Sequence[Sequence[float]], vecto
     return v.withColumn("probs", softmax(F.col("_logits"))).withColumn("symbol", argmax(F.col("_logits"))).drop("_logits")
 
 
+def keyed_uniform(*parts: Column | str, seed: int = 1) -> Column:
+    """A number between 0 and 1 (both left out) that depends on the seed and the parts alone."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def gumbel_softmax(rows: DataFrame, key: list[str], logits: str = "logits", temperature: float = 1.0, hard: bool = False, seed: int = 1) -> DataFrame:
+    """``sample``: softmax of (logits + Gumbel noise) / temperature, with noise by row key so that a rerun draws the same;
+    ``hard`` puts all weight on its largest value."""
+    size = F.size(logits)
+    noise = F.transform(F.sequence(F.lit(0), size - 1), lambda k: -F.log(-F.log(keyed_uniform(*key, k, seed=seed))))
+    r = rows.withColumn("_noisy", F.transform(F.zip_with(logits, noise, lambda x, g: x + g), lambda x: x / max(temperature, 1e-4)))
+    r = r.withColumn("sample", softmax(F.col("_noisy")))
+    if hard:
+        r = r.withColumn("_top", argmax(F.col("_noisy"))).withColumn("sample", F.transform(F.sequence(F.lit(0), size - 1), lambda k: (k == F.col("_top")).cast("double"))).drop("_top")
+    return r.drop("_noisy")
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     """x * Phi(x), with the exact error function."""
     return x * 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))

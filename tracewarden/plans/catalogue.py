@@ -620,9 +620,11 @@ def compactness_loss(spark, sf):
 # --- joins and set operations ----------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def orphans_anti(spark, sf):
-    return tables.read(spark, sf, "customer", "c_custkey").join(tables.read(spark, sf, "orders", F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order (every customer has some order)."""
+    urgent = tables.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.read(spark, sf, "customer", "c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -39,6 +39,56 @@ def evaluate_monitor(fit: DataFrame, cal: DataFrame, held: DataFrame, symbols: i
     return {"dfa": dfa, "metrics": row, "calibration": cal_scored, "scored": held_scored, "risk": risk}
 
 
+def score_and_threshold(cal: DataFrame, held: DataFrame) -> DataFrame:
+    """``held`` (scores and labels) with ``threshold``: the score of best F1 on ``cal``, in one plan."""
+    return held.crossJoin(F.broadcast(metrics.f1_threshold(cal).select("threshold")))  # one row
+
+
+def evaluate_scores(cal: DataFrame, held: DataFrame, bins: int = metrics.BINS) -> DataFrame:
+    """One row: the metrics of ``held`` at the threshold that ``cal`` gives (trajectory_id, step_index, final_success, score,
+    label)."""
+    at = score_and_threshold(cal, held)
+    alerts = at.agg(F.first("threshold").alias("threshold"), F.count_if(F.col("score") >= F.col("threshold")).alias("alerts"), F.count_if((F.col("score") >= F.col("threshold")) & (F.col("label") == 1)).alias("true_alerts"))
+    latency = metrics.detection_latency(at, F.col("threshold"))
+    row = metrics.ranking_metrics(held)
+    for part in (metrics.calibration_error(held, bins=bins), metrics.brier(held), alerts, latency):
+        row = row.crossJoin(part)  # one row each
+    return row
+
+
+def evaluate_soft_monitor(cal: DataFrame, held: DataFrame, model, bins: int = metrics.BINS) -> DataFrame:
+    """One row: a soft automaton scored on both frames (probs, label, final_success), threshold from ``cal``."""
+    from tracewarden.operators.models import soft_fsm_scores
+
+    keys = ["trajectory_id", "step_index"]
+    scored = [s.select(*keys, "label", "final_success").join(soft_fsm_scores(s, model), keys) for s in (cal, held)]
+    return evaluate_scores(*scored, bins=bins)
+
+
+def evaluate_automaton(dfa, cal: DataFrame, held: DataFrame, horizon: int = 3, alpha: float = metrics.ALPHA, bins: int = metrics.BINS) -> DataFrame:
+    """One row: a given automaton with state risks and threshold from ``cal``, evaluated on ``held`` (steps with symbols)."""
+    label = lambda s: automata.replay_steps(s, dfa).withColumn("label", prefixes.failure_label(horizon))
+    c, h = label(cal), label(held)
+    risk = metrics.state_risk(dfa.states(cal.sparkSession), c, alpha)
+    return evaluate_scores(metrics.score_prefixes(c, risk), metrics.score_prefixes(h, risk), bins)
+
+
+def analyze_monitor(assigned: DataFrame, scored: DataFrame, symbols: int, k: int = 5) -> dict[str, DataFrame]:
+    """What a monitor has learned, as frames: symbols with rates, examples and phrases (``assigned``: symbol, confidence,
+    margin, text), states with exemplars, first warnings and reliability (``scored``)."""
+    from tracewarden.operators import explain
+
+    rated = scored.crossJoin(F.broadcast(scored.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("base_rate"))))  # one row
+    return {
+        "symbols": explain.symbol_summary(assigned, symbols),
+        "examples": explain.top_examples(assigned, k),
+        "phrases": explain.top_ngrams(assigned, 2 * k),
+        "exemplars": explain.state_exemplars(scored),
+        "first_warnings": explain.first_warnings(rated, F.col("base_rate")),
+        "reliability": metrics.reliability(scored),
+    }
+
+
 def compare_learners(fit: DataFrame, cal: DataFrame, held: DataFrame, symbols: int, backends: Iterable[str] = tuple(automata.METHODS), **options) -> dict[str, dict]:
     return {b: evaluate_monitor(fit, cal, held, symbols, backend=b, **options)["metrics"] for b in backends}
 
