@@ -336,6 +336,18 @@ def test_snapshots_collapse(spark):
     assert chat.maximal(df.limit(0)).count() == 0
 
 
+def test_sql_keeps_the_conversation_without_id(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "c"), (3, 0, "user", "d"), (None, 2, "user", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+    want = sorted((-1 if c is None else c, n, k, chat_) for c, n, k, _, chat_ in duckdb.sql(chat.SQL).fetchall())
+    got = sorted((-1 if r["conv_id"] is None else r["conv_id"], r["n_turns"], r["n_equal"], r["chat"]) for r in chat.render(chat.maximal(df)).collect())
+    assert got == want and [x[0] for x in got] == [-1, 2, 3] and len(conversations) == 6
+
+
 # --- surrogates ------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ The conversations that are left are rendered.
 
 Cases: turns are taken in the order of ``turn`` (ties: role, then text); null
 role or text counts as an empty string; a null conv_id is a conversation of its
-own; an empty table gives an empty result; extra columns are ignored.
+own, named last among equals; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     n_equal (how many were equal)."""
     conv = prefixes(turns).withColumn("full", F.element_at("hashes", -1))
     # equals meet in partial aggregates before the shuffle
-    first = conv.groupBy("full").agg(F.min_by(F.struct("conv_id", "n_turns", "turns"), F.coalesce("conv_id", F.lit(-(1 << 63)))).alias("c"), F.count(F.lit(1)).alias("n_equal"))
+    first = conv.groupBy("full").agg(F.min_by(F.struct("conv_id", "n_turns", "turns"), F.coalesce("conv_id", F.lit((1 << 63) - 1))).alias("c"), F.count(F.lit(1)).alias("n_equal"))
     shorter = conv.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("full")).distinct()
     return first.join(shorter, "full", "left_anti").select("c.*", "n_equal")
 
@@ -65,6 +65,6 @@ m AS (
   WHERE h NOT IN (SELECT h FROM s) GROUP BY h),
 r AS (
   SELECT m.conv_id, m.n_turns, m.n_equal, string_agg('<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.i) AS chat
-  FROM m JOIN t USING (conv_id) GROUP BY ALL)
+  FROM m JOIN t ON m.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY ALL)
 SELECT conv_id, n_turns, n_equal, length(chat) AS n_chars, chat FROM r
 """
