@@ -18,7 +18,8 @@ STAGES = [
     ("best_fit_packing", packing.stage),
 ]
 
-#: Iterative estimates, byte-pair ids and packing have no SQL form; the tests hold run() against a brute-force version.
+#: Iterative estimates, byte-pair ids and packing have no SQL form; tests/llm/test_pipeline.py holds run() against a plain
+#: version of quality rules, line dedup, near copies and pieces, and takes the surrogates, whose values are free, from their stage.
 ORACLE_SQL = None
 
 
