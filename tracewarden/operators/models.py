@@ -173,6 +173,30 @@ def compactness_loss(rows: DataFrame, symbols: int, weight: float = 1.0, probs:
     return means.select((F.col("row") - weight * h(F.col("mean"))).alias("loss"))
 
 
+def batch_contrastive_loss(rows: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """One row: the supervised contrastive loss over batches (batch, id, label, vector). Pairs are made inside a batch only,
+    so a batch's size bounds them."""
+    from tracewarden.operators.features import unit_vector
+
+    unit = rows.select("batch", "id", "label", unit_vector(F.col("vector").cast("array<double>")).alias("u"))
+    other = unit.select("batch", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("u").alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    pairs = unit.join(other, "batch").where("id <> other").withColumn("s", dot / temperature)
+    same = F.col("label") == F.col("other_label")
+    # unit vectors keep every s at most 1 / temperature, so that is taken off before the sum of exponentials
+    top = 1.0 / temperature
+    anchors = pairs.groupBy("batch", "id").agg(F.avg(F.when(same, F.col("s"))).alias("near"), (F.log(F.sum(F.exp(F.col("s") - top))) + top).alias("all"))
+    return anchors.agg(F.coalesce(F.avg(F.when(F.col("near").isNotNull(), F.col("all") - F.col("near"))), F.lit(0.0)).alias("loss"))
+
+
+def soft_target_loss(rows: DataFrame, logits: str = "logits", targets: str = "targets") -> DataFrame:
+    """One row: mean of -sum q log softmax of array columns."""
+    top = F.array_max(logits)
+    total = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)) + top
+    loss = F.aggregate(F.zip_with(targets, logits, lambda q, x: F.struct(q.alias("q"), x.alias("x"))), F.lit(0.0), lambda a, p: a - p["q"] * (p["x"] - total))
+    return rows.agg(F.avg(loss).alias("loss"))
+
+
 def soft_cross_entropy(logits: np.ndarray, targets: np.ndarray) -> float:
     """Mean of -sum q log softmax."""
     z = logits - logits.max(axis=1, keepdims=True)

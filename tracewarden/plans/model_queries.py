@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
-from tracewarden.operators import cleaning, features, metrics, prefixes, sequences, symbols
+from tracewarden.operators import cleaning, features, metrics, models, prefixes, recurrent, sequences, symbols
 from tracewarden.operators.prefixes import failure_label
 from tracewarden.plans import pipelines, scratch, tables
 from tracewarden.plans import sql as S
@@ -125,6 +126,78 @@ def gumbel_softmax_samples(spark, sf):
     return symbols.gumbel_softmax(v, ["vec_id"], temperature=0.5).select("vec_id", F.posexplode("sample").alias("symbol", "weight")).select("vec_id", "symbol", r6("weight"))
 
 
+_BASELINE = sequences.Mlp(np.array([[((2 * k + 3 * j) % 7 - 3) / 4 for j in range(64)] for k in range(4)]), np.array([0.5, -0.25, 0.0, 0.25]), np.array([1.0, -1.0, 0.5, 0.75]), -0.1)
+
+
+@query("""WITH h AS (SELECT vec_id, list_transform(range(4), lambda k: greatest(0, list_sum(list_transform(range(64), lambda j: embedding[j + 1]::DOUBLE * ((2 * k + 3 * j) % 7 - 3) / 4.0::DOUBLE)) + [0.5, -0.25, 0.0, 0.25][k + 1])) AS h FROM embeddings)
+SELECT vec_id, round(1 / (1 + exp(-(h[1] - h[2] + 0.5 * h[3] + 0.75 * h[4] - 0.1))), 6) AS score FROM h""")
+def baseline_scores(spark, sf):
+    """M7, M9, K5: a network baseline written with its scores and metrics, read back and applied."""
+    v = tables.read(spark, sf, "embeddings", "vec_id", "embedding")
+    path = scratch.folder(spark, "baseline")
+    sequences.write_baseline(path, _BASELINE, v.select("vec_id"), v.agg(F.count(F.lit(1)).alias("n")), spark)
+    return sequences.read_baseline(spark, path).transform(v, "embedding").select("vec_id", r6("score"))
+
+
+@query("""SELECT vec_id, CAST(k AS INTEGER) AS position, round(list_sum(list_transform(range(16), lambda j: embedding[j + 1]::DOUBLE * ((k + j) % 5 - 2))) + k, 6) AS value FROM embeddings, (SELECT unnest(range(3)) AS k)""")
+def hybrid_projection(spark, sf):
+    """two vector columns side by side through one linear map."""
+    v = tables.read(spark, sf, "embeddings", "vec_id", "embedding").withColumn("e", F.col("embedding").cast("array<double>"))
+    v = v.select("vec_id", F.slice("e", 1, 8).alias("a"), F.slice("e", 9, 8).alias("b"))
+    out = sequences.hybrid(["a", "b"], np.array([[(k + j) % 5 - 2.0 for j in range(16)] for k in range(3)]), np.arange(3.0))
+    return v.select("vec_id", F.posexplode(out).alias("position", "value")).select("vec_id", "position", r6("value"))
+
+
+def _vectors(spark, sf):
+    return tables.read(spark, sf, "embeddings", "vec_id", "embedding").withColumn("e", F.col("embedding").cast("array<double>"))
+
+
+@query("""WITH u AS (SELECT vec_id // 32 AS batch, vec_id AS id, vec_id % 4 AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM u),
+p AS (SELECT a.batch, a.id, a.label = b.label AS same, list_sum(list_transform(range(64), lambda j: a.e[j + 1] * b.e[j + 1])) / (a.n * b.n) / 0.1::DOUBLE AS s FROM n a JOIN n b ON a.batch = b.batch AND a.id <> b.id),
+g AS (SELECT batch, id, avg(s) FILTER (WHERE same) AS near, ln(sum(exp(s - 10.0::DOUBLE))) + 10.0::DOUBLE AS whole FROM p GROUP BY ALL) SELECT round(avg(whole - near), 6) AS loss FROM g WHERE near IS NOT NULL""")
+def contrastive_batches(spark, sf):
+    """The supervised contrastive loss over batches of 32 vectors."""
+    v = _vectors(spark, sf).select(F.expr("vec_id div 32").alias("batch"), F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("label"), F.col("e").alias("vector"))
+    return models.batch_contrastive_loss(v).select(r6("loss"))
+
+
+@query("""WITH z AS (SELECT list_transform(embedding[1:8], lambda x: x::DOUBLE) AS z, list_transform(embedding[9:16], lambda x: exp(x::DOUBLE)) AS t FROM embeddings), s AS (SELECT z, list_transform(t, lambda x: x / list_sum(t)) AS q, ln(list_sum(list_transform(z, lambda x: exp(x)))) AS total FROM z)
+SELECT round(avg(list_sum(list_transform(range(8), lambda j: -q[j + 1] * (z[j + 1] - total)))), 6) AS loss FROM s""")
+def soft_target_cross_entropy(spark, sf):
+    """M12."""
+    v = _vectors(spark, sf).select(F.slice("e", 1, 8).alias("logits"), symbols.softmax(F.slice("e", 9, 8)).alias("targets"))
+    return models.soft_target_loss(v).select(r6("loss"))
+
+
+_UNIT = recurrent.fresh(tables.SYMBOLS, 1, 1, seed=4)
+
+
+def _unit_sql() -> str:
+    """CTE scored of a recurrent unit with one state: gates by symbol from a table of weights."""
+    wx, wh, bx, bh = _UNIT["wx"], _UNIT["wh"][:, 0], _UNIT["bx"], _UNIT["bh"]
+    rows = ", ".join(f"({k}, {', '.join(repr(float(wx[g][k])) for g in range(3))})" for k in range(tables.SYMBOLS))
+    d = "::DOUBLE"
+    gate = [f"((1 - peak) / 4.0{d} * {float(wx[g].sum())!r}{d} + (peak - (1 - peak) / 4.0{d}) * w{g}{d} + {float(bx[g])!r}{d})" for g in range(3)]
+    sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+    tanh = lambda x: f"(1 - 2 / (exp(2 * ({x})) + 1))"
+    push = lambda g, h: f"({float(wh[g])!r}{d} * {h} + {float(bh[g])!r}{d})"
+
+    def after(h: str) -> str:
+        r, z = sig(f"m.g0 + {push(0, h)}"), sig(f"m.g1 + {push(1, h)}")
+        n = tanh(f"m.g2 + {r} * {push(2, h)}")
+        return f"((1 - {z}) * {n} + {z} * {h})"
+
+    return f"""weights AS (SELECT * FROM (VALUES {rows}) t(symbol, w0, w1, w2)), gates AS (SELECT p.trajectory_id, p.step_index, {gate[0]} AS g0, {gate[1]} AS g1, {gate[2]} AS g2 FROM probs p JOIN weights USING (symbol)),
+unit AS (SELECT m.trajectory_id, m.step_index, {after(f'0.0{d}')} AS h FROM gates m WHERE step_index = 1 UNION ALL SELECT m.trajectory_id, m.step_index, {after('u.h')} FROM unit u JOIN gates m ON m.trajectory_id = u.trajectory_id AND m.step_index = u.step_index + 1)
+SELECT trajectory_id, step_index, round({sig(f'h * {float(_UNIT["w"][0][0])!r}{d} + {float(_UNIT["b"][0])!r}{d}')}, 6) AS score FROM unit"""
+
+
+@query(f"WITH RECURSIVE {_PROBS}, {_unit_sql()}")
+def recurrent_risk_scores(spark, sf):
+    """M3, M8: a gated recurrent unit over symbol probabilities, scored for every prefix."""
+    return recurrent.risk_scores(tables.probabilities(spark, sf), _UNIT).select("trajectory_id", "step_index", r6("score"))
+
+
 # --- sinks and summaries ---------------------------------------------------------------------------------------------
 
 

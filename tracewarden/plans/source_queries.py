@@ -169,6 +169,31 @@ def browser_actions(spark, sf):
     return p.select("doc_id", a["text"].alias("action_text"), a["verb"].alias("verb"), a["status"].alias("status"), F.array_join(a["args"], ",").alias("args"), F.get("urls", 0).alias("url"), F.get("observations", 0).alias("observation"))
 
 
+@query("""SELECT 'a' || (doc_id % 3) || '-' || doc_id AS trajectory_id, CAST(doc_id AS VARCHAR) AS task_id, doc_id % 2 = 0 AS final_success, CASE WHEN doc_id % 2 = 0 THEN 'NONE' ELSE 'TASK_FAILURE' END AS failure_bucket, 1 AS step_index, 1 AS n_steps,
+  'task_intent=' || CASE WHEN doc_id % 4 = 0 THEN 'find ' || doc_id ELSE 'UNKNOWN_INTENT' END || chr(10) || 'current_url=http://h/' || doc_id || chr(10) || 'observation=' || chr(10) || 'Seen ' || doc_id AS context,
+  'click [' || doc_id || ']' AS action_text, 'click' AS tool_name, 'next_url=http://h/n' || chr(10) || 'next_observation=' || chr(10) || 'Then' AS result_text, 'ok' AS status FROM documents WHERE doc_id % 5 > 0""")
+def browser_steps(spark, sf):
+    """Logs, pages and a task lookup as steps; a task in five has no result."""
+    d = tables.read(spark, sf, "documents", "doc_id")
+    key, source = F.col("doc_id").cast("string"), F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string"))
+    act = F.concat(F.lit("{'answer': '', 'raw_prediction': 'Now ```click ["), key, F.lit("]```'}"))
+    html = F.concat(F.lit("<div class='state_obv'>Seen "), key, F.lit("</div><h3 class='url'>URL: http://h/"), key, F.lit("</h3><div class='action_object'>"), act, F.lit("</div><div class='state_obv'>Then</div><h3 class='url'>http://h/n</h3>"))
+    pages = d.select(source.alias("source"), F.concat(F.lit("render_"), key, F.lit(".html")).alias("member"), html.alias("text"))
+    result = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("[Result] ("), F.when(F.col("doc_id") % 2 == 0, "PASS").otherwise("FAIL"), F.lit(") config_files/"), key, F.lit(".json"))).otherwise(F.concat(F.lit("[Config file]: config_files/"), key, F.lit(".json")))
+    logs = d.select(source.alias("source"), result.alias("line")).groupBy("source").agg(F.array_join(F.collect_list("line"), "\n").alias("text")).select("source", F.lit(browser.LOG).alias("member"), "text")
+    members = pages.unionByName(logs).withColumn("archive", F.concat(F.lit("/x/"), "source", F.lit(".zip")))
+    tasks = d.where("doc_id % 4 = 0").select(F.col("doc_id").cast("int").alias("task_id"), F.concat(F.lit("find "), key).alias("intent"), F.lit(1).cast("long").alias("intent_template_id"))
+    s = browser.steps(members, tasks)
+    return s.select("trajectory_id", "task_id", "final_success", "failure_bucket", "step_index", "n_steps", "context", "action_text", "tool_name", "result_text", "status")
+
+
+@query("""WITH k AS (SELECT doc_id, doc_id % 3 AS a, dense_rank() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS k FROM documents) SELECT 'a' || a || '-' || doc_id AS trajectory_id, CAST(doc_id AS VARCHAR) AS task_id FROM k WHERE k <= 25""")
+def first_tasks_per_archive(spark, sf):
+    """L4: the limit is the operator."""
+    d = tables.read(spark, sf, "documents", "doc_id").selectExpr("concat('a', doc_id % 3, '-', doc_id) AS trajectory_id", "cast(doc_id AS string) AS task_id")
+    return browser.first_tasks(d, 25)
+
+
 # --- trials ----------------------------------------------------------------------------------------------------------
 
 _REWARD = "CASE trajectory_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END"
