@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
+    "op7_ngram_jaccard_join": ngram_join.SQL,
     "op10_chat_formatting": chat.SQL,
 }
