@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat, html_extract, line_dedup, merkle, ngram_join, packing, pii, quality, segment, suffix_dedup
+from tracewarden.llm import centroids, chat, divergence, html_extract, line_dedup, merkle, ngram_join, packing, pii, quality, segment, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece_sampling": segment.op8_sentencepiece_sampling,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op7_ngram_jaccard_join": ngram_join.SQL,
     "op10_chat_formatting": chat.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_centroid_clustering": centroids.SQL,
 }
