@@ -22,7 +22,6 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -145,7 +144,8 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
                     free[size - each * length].append((used, many))
                 used += many
                 left -= many * each
-        assert not left
+        if left:
+            raise RuntimeError(f"{left} pieces of length {length} have no place")
     return plan
 
 
@@ -169,27 +169,28 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         many, first, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         slots[length] = (np.cumsum(many) - many, first, offset)
 
-    def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            length, part = pdf["length"].to_numpy(), pdf["part"].to_numpy()
-            rank = pdf["rank"].to_numpy(np.int64) - 1
-            seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+    names = [n for n, _ in pieces.dtypes]
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, part, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "part", "rank"))
+            seq, off = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             order = np.lexsort((part, length))
-            fresh = np.ones(len(pdf), bool)
+            fresh = np.ones(b.num_rows, bool)
             fresh[1:] = (np.diff(length[order]) != 0) | (np.diff(part[order]) != 0)
             bounds = np.flatnonzero(fresh)
-            for at, to in zip(bounds, [*bounds[1:], len(pdf)], strict=True):
+            for at, to in zip(bounds, [*bounds[1:], b.num_rows], strict=True):
                 i = order[at:to]
                 n, s = int(length[i[0]]), int(part[i[0]])
                 starts, first, offset = slots[n]
-                r = rank[i] + base[n, s]
+                r = rank[i] - 1 + base[n, s]
                 k = np.searchsorted(starts, r, "right") - 1
                 seq[i], off[i] = first[k] + r - starts[k], offset[k]
-            yield pdf.drop(columns=["part", "rank"]).assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "part").orderBy("row", "piece")).cast("long"))
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(seat, schema)
+    return ranked.mapInArrow(seat, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE) -> DataFrame:
