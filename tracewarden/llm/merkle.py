@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
@@ -160,12 +159,12 @@ def with_successor(docs: DataFrame) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections long, edited_paragraphs long"
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
-    for pdf in batches:
-        for at in range(0, len(pdf), 500):
-            part = pdf.iloc[at : at + 500]
-            block, last, ids, texts = (part[c].tolist() for c in ("block", "last", "doc_id", "text"))
+    types = [pa.from_numpy_dtype(x) if x else pa.string() for x in ("i8", "i8", "", "", "", "f8", "f8", "i8", "i8")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            block, last, ids, texts = (batch.slice(at, 500).column(c).to_pylist() for c in ("block", "last", "doc_id", "text"))
             prints = fingerprints(texts)
             rows = list(zip(block, last, ids, texts, prints, strict=True))
             if held is not None:
@@ -177,12 +176,13 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 (a[2], len(a[3]), hashlib.sha256(e.encode()).hexdigest(), a[4], p, likeness(a[4], p), likeness(a[4], b[4]), a[4].count("/"), len(edits(a[4], p)))
                 for (a, b), e, p in zip(pairs, changed, fingerprints(changed), strict=True)
             ]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            cols = list(zip(*out, strict=True)) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text and the likenesses (see SCHEMA)."""
-    return with_successor(docs).mapInPandas(_compare, SCHEMA)
+    return with_successor(docs).mapInArrow(_compare, SCHEMA)
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
