@@ -16,7 +16,8 @@ batch at once with array operations.
 Noise comes from a hash of the row key, the sample's number and the place in the
 tree, so a row gets the same samples in any batch, partition or run.
 
-Cases: null text is empty; an empty text has one segmentation without pieces; a
+Cases: null text is empty; a null doc_id stays null and draws from a seed of its
+own; an empty text has one segmentation without pieces; a
 text with fewer than k segmentations returns all of them; characters outside the
 vocabulary become byte pieces; decoding gives back every text exactly.
 """
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common as C
 
 SAMPLES, SEED = 2, 20_011
+#: Added to the seed of rows without an id.
+NO_ID = 1 << 40
 #: Inverse temperature: log-probabilities of pieces are multiplied by it before they are normalised over the paths.
 ALPHA = 0.2
 #: Offset of Zipf's law by which a merge rank becomes a probability.
@@ -473,10 +476,15 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattices(path)
         for p in C.pieces(batches, "text", 1 << 19):
-            ids = [x or 0 for x in p.column("doc_id").to_pylist()]
+            ids = p.column("doc_id").to_pylist()
             texts = [x or "" for x in p.column("text").to_pylist()]
             rows = []
-            for doc, text, found in zip(ids, texts, sample_batch(m, ids, texts, samples, seed), strict=True):
+            drawn: list = [None] * len(ids)
+            # rows without an id draw from a seed of their own, so they are not document 0
+            for own, with_seed in (([i for i, x in enumerate(ids) if x is not None], seed), ([i for i, x in enumerate(ids) if x is None], seed + NO_ID)):
+                for i, found in zip(own, sample_batch(m, [ids[i] or 0 for i in own], [texts[i] for i in own], samples, with_seed) if own else [], strict=True):
+                    drawn[i] = found
+            for doc, text, found in zip(ids, texts, drawn, strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for k, (pieces, logp, value, inclusion) in enumerate(found):
                     rows.append((doc, k, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), round(logp, 6), round(value, 6), round(inclusion, 6), (m.decode(pieces) if len(pieces) else b"") == raw, *([pieces] if with_ids else [])))
