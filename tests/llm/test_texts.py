@@ -520,3 +520,34 @@ def test_decoding_is_exact(spark, model):
     out = segment.decode(segment.sample_segmentations(df, with_ids=True)).collect()
     assert all(r["decodes"] and r["text"] == (texts[r["doc_id"]] or "") for r in out) and {r["doc_id"] for r in out} == set(range(10))
     assert segment.sample_segmentations(df.limit(0)).count() == 0
+
+
+BIG = (1 << 60) + 1
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids past 2^53 in one batch with a null one, in every operator that carries them through Python."""
+    rows = [(None, "a b c"), (BIG, "one two three four"), (-BIG, "five six\n\nseven"), (5, "eight")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted((i is None, i or 0) for i, _ in rows)
+    ids = lambda out: sorted({(r["doc_id"] is None, r["doc_id"] or 0) for r in out.select("doc_id").collect()})
+    assert ids(packing.pack(df)) == want
+    assert ids(merkle.fingerprint_table(df)) == want
+    assert ids(segment.sample_segmentations(df)) == want
+
+
+def test_a_null_id_draws_from_its_own_seed(spark):
+    text = "several words that have more than one segmentation each"
+    df = spark.createDataFrame([(None, text), (0, text), (None, text)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in segment.sample_segmentations(df).collect():
+        got.setdefault(r["doc_id"], set()).add((r["sample"], r["perturbed"]))
+    assert set(got) == {None, 0} and not got[None] & got[0] and len(got[None]) == 2
+
+
+def test_a_very_long_conversation(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("1L AS conv_id", "cast(id AS int) AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    snapshot = df.where(f"turn < {n // 2}").withColumn("conv_id", F.lit(2).cast("long"))
+    got = chat.render(chat.maximal(df.unionByName(snapshot).repartition(4))).collect()
+    assert [(r["conv_id"], r["n_turns"], r["n_equal"]) for r in got] == [(1, n, 1)] and got[0]["chat"].count("<|end|>") == n

@@ -4,7 +4,10 @@ Logging systems store a conversation again after every turn. A rolling hash over
 the turns gives every prefix of every conversation one value, so a conversation
 that is a prefix of a longer one is found by an anti-join of its full hash
 against the prefix hashes of the others; of equal ones the smallest id stays.
-The conversations that are left are rendered.
+The hash of a prefix is the exclusive or of the hashes of its turns, each taken
+with its position, so one running aggregate gives all of them in a time linear
+in the turns. Texts travel only for the conversations that are left, which are
+rendered.
 
 Cases: turns are taken in the order of ``turn`` (ties: role, then text); null
 role or text counts as an empty string; a null conv_id is a conversation of its
@@ -14,29 +17,40 @@ own, named last among equals; an empty table gives an empty result; extra column
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROLE_OPEN, ROLE_CLOSE, TURN_END = "<|", "|>\n", "\n<|end|>\n"
+#: Hashes of a prefix, 64 bits each.
+HASHES = ("h1", "h2")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns (ordered structs) and hashes: the rolling hash after each turn."""
+    """conv_id, i (from 1), n_turns, h1 and h2: the rolling hash after each turn."""
     empty = F.lit("")
-    one = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    conv = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    step = lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.element_at(acc, -1), empty), F.lit("\x1e"), t["role"], F.lit("\x1f"), F.sha2(t["text"], 256)), 256)))
-    rolled = F.aggregate("turns", F.array().cast("array<string>"), lambda acc, t: F.when(F.size(acc) == 0, F.array(F.sha2(F.concat(F.lit("\x1e"), t["role"], F.lit("\x1f"), F.sha2(t["text"], 256)), 256))).otherwise(step(acc, t)))
-    return conv.select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), rolled.alias("hashes"))
+    t = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    t = t.withColumns({"a": F.xxhash64("role", "text"), "b": F.xxhash64(F.lit(7), "text", "role")})
+    own = W.partitionBy("conv_id")
+    ordered = own.orderBy("turn", "role", "text")
+    placed = t.withColumns({"i": F.row_number().over(ordered), "n_turns": F.count(F.lit(1)).over(own)})
+    running = ordered.rowsBetween(W.unboundedPreceding, 0)
+    rolled = {h: F.bit_xor(F.xxhash64(F.lit(k), "i", "a", "b")).over(running) for k, h in enumerate(HASHES)}
+    return placed.withColumns(rolled).select("conv_id", "i", F.col("n_turns").cast("long").alias("n_turns"), *HASHES)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """The conversations that are no proper prefix of another and the first of their equals: conv_id, n_turns, turns,
     n_equal (how many were equal)."""
-    conv = prefixes(turns).withColumn("full", F.element_at("hashes", -1))
+    every = prefixes(turns)
+    same = ["i", *HASHES]
     # equals meet in partial aggregates before the shuffle
-    first = conv.groupBy("full").agg(F.min_by(F.struct("conv_id", "n_turns", "turns"), F.coalesce("conv_id", F.lit((1 << 63) - 1))).alias("c"), F.count(F.lit(1)).alias("n_equal"))
-    shorter = conv.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("full")).distinct()
-    return first.join(shorter, "full", "left_anti").select("c.*", "n_equal")
+    first = every.where("i = n_turns").groupBy(*same).agg(F.min_by(F.struct("conv_id", "n_turns"), F.coalesce("conv_id", F.lit((1 << 63) - 1))).alias("c"), F.count(F.lit(1)).alias("n_equal"))
+    left = first.join(every.where("i < n_turns").select(*same).distinct(), same, "left_anti").select(F.col("c.conv_id").alias("_id"), "c.n_turns", "n_equal")
+    empty = F.lit("")
+    one = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    kept = turns.select("conv_id", one.alias("t")).join(left.select("_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left_semi")
+    convs = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return convs.join(left, convs["conv_id"].eqNullSafe(left["_id"])).select("conv_id", "n_turns", "turns", "n_equal")
 
 
 def render(convs: DataFrame) -> DataFrame:
