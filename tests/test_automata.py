@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import automata, models
+from tracewarden.operators import automata, merging, models
 from tracewarden.plans import pipelines
 
 POSITIVE, NEGATIVE = [[0, 1], [0, 1, 1]], [[1], [1, 0]]
@@ -123,3 +123,24 @@ def test_heads_do_not_look_ahead():
     p = rng.dirichlet([1] * k, 6)
     for head in (gru, transformer, flat):
         assert np.allclose(head(p)[:4], head(p[:4]))
+
+
+@pytest.mark.parametrize("method,rejects", [("blue-fringe", False), ("rpni", True), ("edsm", True)])
+def test_merging_over_rows_learns_the_same_automaton(spark, method, rejects, monkeypatch):
+    rng = random.Random(len(method))
+    monkeypatch.setattr(merging, "STEPS", 3)
+    traces = {tuple(rng.randint(0, 2) for _ in range(rng.randint(0, 6))) for _ in range(30)}
+    positive = sorted(list(t) for t in traces if sum(t) % 3 == 0 and len(t) != 4)
+    negative = sorted(list(t) for t in traces if list(t) not in positive)
+    df = spark.createDataFrame([(t, True) for t in positive] + [(t, False) for t in negative], "symbols array<int>, positive boolean").repartition(3)
+    got = merging.learn_frame(df, 3, method, rejects)
+    assert got == automata.learn(positive, negative, 3, method, rejects) and 2 < len(got.delta) < 40
+    with pytest.raises(ValueError, match="no trace is left"):
+        merging.learn_frame(df.where("positive"), 3, method, rejects)
+
+
+def test_induction_takes_any_number_of_traces(spark, monkeypatch):
+    df = spark.createDataFrame([(t, True) for t in POSITIVE] + [(t, False) for t in NEGATIVE], "symbols array<int>, positive boolean")
+    at_hand = automata.induce(df, 2)
+    monkeypatch.setattr(automata, "AT_HAND", 0)
+    assert automata.induce(df, 2) == at_hand

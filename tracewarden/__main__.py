@@ -96,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
     command("inspect", "summary of a JSON Lines dataset", "path", horizon=3)
     command("split", f"runs split by task; modes {', '.join(MODES)}", "path", "out", mode="outer", seed=1)
     command("prepare", f"canonical runs of raw data; families {', '.join(FAMILIES)}", "family", "source", "out")
-    command("train", "fit a monitor and write a checkpoint", "runs", "out", symbols=16, states=16, horizon=3, epochs=24, seed=1, fit="fit", cal="cal", representation="legacy")
+    command("train", "fit a monitor and write a checkpoint", "runs", "out", symbols=16, states=16, horizon=3, epochs=24, seed=1, fit="fit", cal="cal", representation="legacy", model="soft-fsm", hidden=64, batches=4, rate=0.02, selection="direct-soft", backend="legacy", resume=0)
     command("evaluate", "metrics of a checkpoint on a locked split", "checkpoint", "runs", split="test", backend="legacy", horizon=None)
     command("sanity", "tiny run from data to evaluation", "out")
     command("reproduce", "commands of an experiment manifest, in order", "config", families="", root=".")
@@ -115,7 +115,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
     if a.command == "prepare":
         return prepare(spark, a.family, a.source, a.out)
     if a.command == "train":
-        return training.train(spark, a.runs, a.out, a.symbols, a.states, a.horizon, a.epochs, a.seed, a.fit, a.cal, a.representation)
+        return training.train(spark, a.runs, a.out, a.symbols, a.states, a.horizon, a.epochs, a.seed, a.fit, a.cal, a.representation, a.model, a.hidden, a.batches, a.rate, a.selection, a.backend, resume=bool(a.resume))
     if a.command == "evaluate":
         return training.evaluate(spark, a.checkpoint, a.runs, a.split, a.backend, horizon=int(a.horizon) if a.horizon else None)
     if a.command == "sanity":

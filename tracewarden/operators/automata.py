@@ -1,7 +1,9 @@
 """Finite-state monitors: trace sets, prefix tree, red-blue state merging, completion and replay.
 
-Trace sets and replay are distributed. State merging is inherently sequential and
-works on the driver over *distinct* traces only, whose number is checked first.
+Trace sets, state merging and replay are distributed. Merging is a sequence of
+decisions; each is made from rows (``operators.merging``), and only the automaton
+so far, which is as small as the result, is known to the driver. ``learn`` makes
+the same decisions in memory, for traces that are at hand.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct traces that the driver accepts for induction.
-MAX_TRACES = 200_000
+#: Symbols of distinct traces up to which merging is done in memory; the same decisions are made from rows beyond.
+AT_HAND = 20_000
 COLLAPSED = "no trace is left on one side after contradictory traces are removed"
 
 
@@ -107,6 +109,7 @@ class _Merger:
                     raise ValueError("a trace is both positive and negative")
                 self.label[s] = mark
         self.up = list(range(len(self.go)))
+        self.order = list(range(len(self.go)))  # of a class: that of its first node
         self.log: list[tuple] = []
 
     def find(self, s: int) -> int:
@@ -128,7 +131,8 @@ class _Merger:
             if self.label[b] and not self.label[a]:
                 self.log.append(("label", a))
                 self.label[a] = self.label[b]
-            self.log.append(("up", b))
+            self.log += [("order", a, self.order[a]), ("up", b)]
+            self.order[a] = min(self.order[a], self.order[b])
             self.up[b] = a
             removed += 1
             for c, t in self.go[b].items():
@@ -146,21 +150,23 @@ class _Merger:
                 self.up[s] = s
             elif kind == "label":
                 self.label[s] = 0
+            elif kind == "order":
+                self.order[s] = rest[0]
             else:
                 del self.go[s][rest[0]]
 
 
 def learn(positive: Sequence[Sequence[int]], negative: Sequence[Sequence[int]], alphabet: int, method: str = "blue-fringe", sink_rejects: bool = True) -> Dfa:
     """Red-blue merging. ``blue-fringe`` merges the first blue state into the red one that removes most states,
-    ``rpni`` into the first that fits, ``edsm`` takes the pair over all blue states with most agreeing labels. The
-    result is completed with a rejecting sink; unlabelled states reject if ``sink_rejects``."""
+    ``rpni`` into the first that fits, ``edsm`` takes the pair over all blue states with most agreeing labels. Blue states
+    come in the order of their first node, red ones in that of their promotion's. The result is completed with a rejecting sink; unlabelled states reject if ``sink_rejects``."""
     if not positive or not negative:
         raise ValueError(COLLAPSED)
     m = _Merger(positive, negative)
-    red = [0]
+    promoted_at = [(0, 0)]  # order, state
     while True:
-        red = sorted({m.find(s) for s in red})
-        fringe = sorted({m.find(t) for s in red for t in m.go[s].values()} - set(red))
+        red = [s for _, s in sorted(promoted_at)]
+        fringe = sorted({m.find(t) for s in red for t in m.go[s].values()} - set(red), key=lambda t: m.order[t])
         if not fringe:
             break
         best = None
@@ -183,7 +189,8 @@ def learn(positive: Sequence[Sequence[int]], negative: Sequence[Sequence[int]],
                 promoted = blue
                 break
         if promoted is not None or best is None:
-            red.append(promoted if promoted is not None else fringe[0])
+            state = promoted if promoted is not None else fringe[0]
+            promoted_at.append((m.order[state], state))
         else:
             m.merge(best[1], best[2])
     number = {s: i for i, s in enumerate(red)}
@@ -206,14 +213,21 @@ def learn_with(backend: str, positive, negative, alphabet: int) -> Dfa:
 
 
 def induce(traces: DataFrame, alphabet: int, backend: str = "legacy", end_symbol: bool = True) -> Dfa:
-    """Learns from the consistent traces of a frame (symbols, positive); with ``end_symbol`` each is closed by symbol
-    ``alphabet``, which replayed prefixes never hold."""
-    t = consistent_traces(traces, alphabet if end_symbol else None)
-    rows = t.orderBy("symbols").limit(MAX_TRACES + 1).collect()
-    if len(rows) > MAX_TRACES:
-        raise ValueError(f"over {MAX_TRACES} distinct traces; take fewer symbols or shorter runs")
-    side = lambda flag: [list(r["symbols"]) for r in rows if r["positive"] == flag]
-    return learn_with(backend, side(True), side(False), alphabet + 1 if end_symbol else alphabet)
+    """Learns from the consistent traces of a frame (symbols, positive), however many; with ``end_symbol`` each is closed by
+    symbol ``alphabet``, which replayed prefixes never hold."""
+    from tracewarden.operators.merging import learn_frame
+
+    if backend not in METHODS:
+        raise ValueError(f"unknown learner {backend}; known are {', '.join(METHODS)}")
+    method, rejects = METHODS[backend]
+    kept, k = consistent_traces(traces, alphabet if end_symbol else None).persist(), alphabet + 1 if end_symbol else alphabet
+    try:
+        if kept.agg(F.coalesce(F.sum(F.size("symbols") + 1), F.lit(0))).first()[0] > AT_HAND:
+            return learn_frame(kept, k, method, rejects)
+        rows = kept.orderBy("symbols").collect()  # at most AT_HAND symbols
+        return learn(*([list(r["symbols"]) for r in rows if r["positive"] == flag] for flag in (True, False)), k, method, rejects)
+    finally:
+        kept.unpersist()
 
 
 def replay(symbols: Column, dfa: Dfa) -> Column:

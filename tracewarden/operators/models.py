@@ -1,13 +1,13 @@
 """Warning models: soft automaton, prefix heads, baselines and losses.
 
 Scoring is per run: a window or a fold where arrays suffice, numpy on Arrow batches
-where a run needs dense algebra. Training works on bounded driver-side batches.
+where a run needs dense algebra. ``operators.descent`` trains on the executors;
+``train_soft_fsm`` fits runs that are at hand.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -302,15 +302,3 @@ def _fsm_gradient(m: SoftFsm, probs: np.ndarray, labels: np.ndarray) -> tuple[fl
     grad_start = s0 * (back - s0 @ back)
     grad_logits = a * (grad_a - (a * grad_a).sum(-1, keepdims=True)) / max(m.temperature, 1e-4)
     return loss, {"logits": grad_logits, "start": grad_start, "w": grad_w, "b": grad_b}
-
-
-def run_batches(steps: DataFrame, limit: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of a steps frame (probs, label) for driver-side training; raises past ``limit`` rows."""
-    rows = steps.select("trajectory_id", "step_index", "probs", "label").orderBy("trajectory_id", "step_index").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} steps; train on a sample")
-    groups: dict = {}
-    for r in rows:
-        groups.setdefault(r["trajectory_id"], []).append(r)
-    for g in groups.values():
-        yield np.array([x["probs"] for x in g], float), np.array([x["label"] for x in g], float)

@@ -1,7 +1,7 @@
 """Small recurrent models over symbol sequences: a risk head and a next-symbol predictor.
 
-Runs are scored where they are, in Arrow batches; training takes a bounded sample
-of runs to the driver (see ``models.run_batches``).
+Runs are scored where they are, in Arrow batches; ``train`` fits runs that are at
+hand, ``operators.descent`` trains on the executors.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
-from tracewarden.operators import cleaning, features, metrics, models, prefixes, recurrent, sequences, symbols
+from tracewarden.operators import automata, cleaning, features, merging, metrics, models, prefixes, recurrent, sequences, symbols
 from tracewarden.operators.prefixes import failure_label
 from tracewarden.plans import pipelines, scratch, tables
 from tracewarden.plans import sql as S
@@ -58,13 +58,40 @@ def flat_metric_summary(spark, sf):
     return metrics.flat_summary(nested)
 
 
-@query("SELECT s AS state, a AS symbol, (2 * s + a + 1) % 6 AS next_state, s IN (1, 4) AS accepting FROM (SELECT CAST(unnest(range(6)) AS INTEGER) AS s), (SELECT CAST(unnest(range(5)) AS INTEGER) AS a)")
+_PARITY = f"""{S.STEPS}, days AS (SELECT trajectory_id % 2 AS half, string_agg(symbol, ',' ORDER BY step_index) AS symbols, count(*) FILTER (WHERE event_type = 'error') % 2 = 0 AS even FROM steps GROUP BY trajectory_id, CAST(ts AS DATE))"""
+
+
+def _parity_traces(spark, sf):
+    """Distinct traces of days by half of the users; positive: an even number of errors. Two states tell them apart."""
+    s = tables.steps(spark, sf).withColumn("day", F.to_date("ts"))
+    d = s.groupBy("trajectory_id", "day").agg(F.array_sort(F.collect_list(F.struct("step_index", "symbol"))).alias("x"), (F.count_if(F.col("event_type") == "error") % 2 == 0).alias("positive"))
+    return d.select((F.col("trajectory_id") % 2).alias("half"), F.transform("x", lambda e: e["symbol"].cast("int")).alias("symbols"), "positive").distinct()
+
+
+@query(f"""WITH {S.STEPS}, a AS (SELECT row_number() OVER (ORDER BY event_type) - 1 AS symbol, event_type = 'error' AS turns FROM (SELECT DISTINCT event_type FROM steps)), q AS (SELECT unnest(range(3)) AS state)
+SELECT CAST(state AS INTEGER) AS state, CAST(symbol AS INTEGER) AS symbol, CAST(CASE WHEN state = 2 THEN 2 WHEN turns THEN 1 - state ELSE state END AS INTEGER) AS next_state, state = 0 AS accepting FROM q, a""")
 def automaton_edges(spark, sf):
-    """D3: a complete automaton as rows."""
-    dfa = tables.monitor()
+    """D3: the complete automaton that merging learns from all day traces, as rows (state 2 is the sink)."""
+    traces = _parity_traces(spark, sf).select("symbols", "positive").distinct()
+    dfa = merging.learn_frame(traces, tables.SYMBOLS)
     return dfa.edges(spark).join(dfa.states(spark).drop("rejecting"), "state")
 
 
+@query(f"""WITH {_PARITY}, d AS (SELECT DISTINCT half, symbols, even FROM days), f AS (SELECT symbols FROM d WHERE half = 0), h AS (SELECT DISTINCT symbols FROM d WHERE half = 1 AND symbols NOT IN (SELECT symbols FROM f)),
+t AS (SELECT string_split(symbols, ',') AS t FROM f), p AS (SELECT DISTINCT t[1:k] AS p FROM (SELECT t, unnest(range(0, len(t) + 1)) AS k FROM t))
+SELECT 3 AS state_count, (SELECT count(*) FROM p) AS prefix_tree_states, (SELECT count(*) FROM f) AS traces, count(*) AS unseen_traces, count(*) AS unseen_right FROM h""")
+def merged_states_and_unseen_traces(spark, sf):
+    """Merging over rows, learned from half of the users and held against the other half's new traces."""
+    t = _parity_traces(spark, sf)
+    fit, held = t.where("half = 0").select("symbols", "positive"), t.where("half = 1").select("symbols", "positive")
+    dfa = merging.learn_frame(fit, tables.SYMBOLS, "edsm")
+    unseen = held.join(fit, "symbols", "left_anti").withColumn("states", automata.replay(F.col("symbols"), dfa))
+    right = F.array_contains(F.lit(sorted(dfa.accepting)), F.element_at("states", -1)) == F.col("positive")
+    counts = unseen.agg(F.count(F.lit(1)).alias("unseen_traces"), F.count_if(right).alias("unseen_right"))
+    tree = automata.prefix_tree(fit).agg(F.count(F.lit(1)).alias("prefix_tree_states")).crossJoin(fit.agg(F.count(F.lit(1)).alias("traces")))  # one row each
+    return counts.crossJoin(tree).select(F.lit(len(dfa.delta)).alias("state_count"), "prefix_tree_states", "traces", "unseen_traces", "unseen_right")
+
+
 @query(f"WITH {_DAYS} SELECT count(*) AS traces, count(DISTINCT symbols) AS distinct_traces FROM days WHERE symbols IS NOT NULL")
 def distinct_trace_counts(spark, sf):
     """Traces and the distinct ones among them, by partial aggregates."""
