@@ -154,7 +154,7 @@ def round_sizes(rows: DataFrame, params: N.Params, s: N.Settings, temperature: f
         total = np.zeros(4 + s.symbols, np.int64)
         for b in batches:
             for g in unpacked(b):
-                p = N.symbol_probs(N.T.Tape().leaves(shared.value), g, temperature, N.gumbel(g.keys, g.lengths, s.symbols, s.seed, epoch)).value
+                p = N.symbol_probs(N.T.Tape().leaves(shared.value), g, temperature, N.noise_of(s, g, epoch)).value
                 _fixed(total, np.concatenate([[g.n, g.counted.sum(), 1, (g.lengths > 1).sum()], p.sum(axis=0)]), bits)
         return total
 
@@ -174,7 +174,7 @@ def round_gradient(rows: DataFrame, params: N.Params, r: N.Round, s: N.Settings,
         total = np.zeros(length, np.int64)
         for b in batches:
             for g in unpacked(b):
-                parts, grad = N.gradient(shared.value, g, r, s, temperatures, N.gumbel(g.keys, g.lengths, s.symbols, s.seed, epoch))
+                parts, grad = N.gradient(shared.value, g, r, s, temperatures, N.noise_of(s, g, epoch))
                 _fixed(total, np.concatenate([parts, flat(grad)]) * scale, bits)  # shares are of the order 1 / steps
         return total
 

@@ -51,6 +51,10 @@ def gumbel(keys: np.ndarray, lengths: np.ndarray, symbols: int, seed: int, epoch
     return -np.log(-np.log(np.clip(u, 1e-20, 1 - 1e-16)))
 
 
+def noise_of(s: Settings, g: Group, epoch: int) -> np.ndarray | None:
+    return gumbel(g.keys, g.lengths, s.symbols, s.seed, epoch) if s.noisy else None
+
+
 # --- parameters ------------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +196,7 @@ class Settings:
     marginal_weight: float = 1.0
     future_weight: float = 1.0
     contrast: float = 0.1
+    noisy: bool = True
 
 
 def compactness(probs: T.Node, r: Round, s: Settings) -> T.Node:

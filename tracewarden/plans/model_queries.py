@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
-from tracewarden.operators import automata, cleaning, features, merging, metrics, models, prefixes, recurrent, sequences, symbols
+from tracewarden.operators import automata, cleaning, descent, features, merging, metrics, models, networks, prefixes, recurrent, sequences, symbols
 from tracewarden.operators.prefixes import failure_label
 from tracewarden.plans import pipelines, scratch, tables
 from tracewarden.plans import sql as S
@@ -92,6 +92,30 @@ def merged_states_and_unseen_traces(spark, sf):
     return counts.crossJoin(tree).select(F.lit(len(dfa.delta)).alias("state_count"), "prefix_tree_states", "traces", "unseen_traces", "unseen_right")
 
 
+def _gradient_sql() -> str:
+    score = " + ".join(f"s{i} * {float(w)!r}::DOUBLE" for i, w in enumerate(_FSM.w))
+    each = f"SELECT s0, s1, s2, 1 / (1 + exp(-({score} + {_FSM.b!r}::DOUBLE))) AS score, CAST(NOT final_success AND n_steps - step_index <= 3 AS INTEGER) AS label FROM pushed JOIN steps USING (trajectory_id, step_index)"
+    rows = [("loss", "avg(-(label * ln(score) + (1 - label) * ln(1 - score)))"), ("b", "avg(score - label)"), *((f"w{i}", f"avg((score - label) * s{i})") for i in range(3))]
+    return f"{_soft_sql()}, each AS ({each}) " + " UNION ALL ".join(f"SELECT '{n}' AS parameter, round({e}, 6) AS value FROM each" for n, e in rows)
+
+
+@query(f"WITH RECURSIVE {_PROBS}, {_gradient_sql()}")
+def training_gradient(spark, sf):
+    """One round of training on the executors: loss of the soft automaton and its gradient by the risk layer. The
+    symbolizer's layers are set so that gelu(x) - gelu(-x) = x hands on the probabilities."""
+    k = tables.SYMBOLS
+    eye = np.eye(k)
+    params = {"in_w": np.hstack([eye, -eye]), "in_b": np.zeros(2 * k), "out_w": np.hstack([eye, -eye]), "out_b": np.zeros(k)}
+    params |= {"logits": _FSM.logits, "start": _FSM.start, "w": _FSM.w, "b": np.array(_FSM.b)}
+    s = tables.probabilities(spark, sf).withColumns({"label": failure_label(tables.HORIZON), "places": F.sequence(F.lit(0), F.lit(k - 1)), "features": F.transform("probs", lambda p: F.log(p))})
+    table = descent.groups(s.select("trajectory_id", "step_index", "places", "features", "label"))
+    settings = networks.Settings("soft-fsm", k, compact_weight=0.0, noisy=False)
+    r = descent.round_sizes(table, params, settings, 1.0, 1)
+    loss, grad = descent.round_gradient(table, params, r, settings, (1.0, _FSM.temperature), 1)
+    rows = [("loss", loss), ("b", float(grad["b"])), *((f"w{i}", float(x)) for i, x in enumerate(grad["w"]))]
+    return spark.createDataFrame(rows, "parameter string, value double").select("parameter", r6("value"))
+
+
 @query(f"WITH {_DAYS} SELECT count(*) AS traces, count(DISTINCT symbols) AS distinct_traces FROM days WHERE symbols IS NOT NULL")
 def distinct_trace_counts(spark, sf):
     """Traces and the distinct ones among them, by partial aggregates."""
