@@ -13,10 +13,16 @@ their own) may not share a surrogate, and no
 surrogate may equal a form that occurs in the corpus. Those that do are derived
 again with the next attempt number until none is left. What a format cannot settle
 in ``ATTEMPTS`` tries gets a wider one: a longer local part, more sounds, octets
-and phone numbers of full length.
+and phone numbers of full length, more digits.
+
+Coreference: a document that names a person by title may name the same person
+without one. There, every word that is part of a titled name of the document (the
+family name or a given name, as it is written) is replaced like that part.
 
 Scale: only matches travel; a hot entity is joined as a row of a small table; text
-meets its document's replacements once, by document id and text hash.
+meets its document's replacements once, by document id and text hash. Matches are
+numbered in their text and meet its pieces by number, so a text of many entities
+takes a time linear in its length.
 
 Cases: null text stays null and has no entities; texts without matches are
 returned as they are; null and repeated doc_ids are told apart by text;
@@ -25,6 +31,8 @@ matches are found left to right and never overlap.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +41,6 @@ from tracewarden.llm import common as C
 KEY = "surrogates/v1"
 #: Tries inside an entity's own format; later ones widen it.
 ATTEMPTS = 40
-#: Tries in the wider format, whose values are so many that the first ones settle; more mean a format that cannot widen.
-WIDER = 40
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles by gender; fixed values.
@@ -43,6 +49,13 @@ FEMININE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle"
 NEUTRAL = ("Dr", "Prof", "Mx", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Doctora", "Profesor", "Profesora", "доктор", "профессор")
 #: One or more titles with the blanks after them.
 _TITLES = rf"(?:(?:{'|'.join(MASCULINE + FEMININE + NEUTRAL)})\.? )+"
+#: A word of a name: hyphens, and apostrophes before a capital, are part of it.
+_WORD = r"\p{Lu}(?:\p{L}{1,30}+|['’]\p{Lu}\p{L}{1,30}+)(?:-\p{L}{1,30}+|['’]\p{Lu}\p{L}{1,30}+){0,4}+"
+_INITIAL = r"(?:\p{Lu}\. ?)"
+#: Small words inside names; fixed values.
+PARTICLES = ("van", "von", "de", "der", "den", "da", "di", "del", "della", "du", "dos", "das", "bin", "ibn", "ten", "ter", "zu", "la")
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) )"
+_NAME = rf"(?:{_INITIAL}){{0,3}}{_PARTICLE}{{0,2}}{_WORD}(?: {_INITIAL}{{0,2}}{_PARTICLE}{{0,2}}{_WORD}){{0,3}}"
 #: Entity types in order of precedence: name, pattern (Java syntax, no groups).
 TYPES: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++){0,126}\.(?:[A-Za-z]{2,}+|[\p{L}\p{M}&&[^A-Za-z]]{2,}+)"),
@@ -54,7 +67,7 @@ TYPES: tuple[tuple[str, str], ...] = (
     ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9+])\+[0-9]{7,15}(?![0-9])|(?<![0-9+])\+(?=(?:[ .-]?[0-9]){7,15}(?![0-9]))[0-9]{1,3}(?:[ .-][0-9]{1,12}){1,6}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|\.[0-9])|(?<![0-9])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLES}\p{{Lu}}\p{{L}}{{1,30}}+(?: \p{{Lu}}\p{{L}}{{1,30}}+)?"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_NAME}"),
 )
 
 
@@ -68,6 +81,8 @@ def _guarded() -> str:
 
 
 PATTERN = _guarded()
+#: With the words that may be parts of names, for texts that hold titled ones.
+WORDS_TOO = rf"{PATTERN}|(?<![\p{{L}}\p{{N}}]){_WORD}"
 #: Sounds from which names are made, by script; the ending tells the gender.
 SOUNDS = {
     "latin": "ba be di do fa ga hi jo ka le li ma mo na ne ra ri sa so va".split(),
@@ -94,9 +109,9 @@ def _array(words) -> str:
     return "array(" + ",".join(f"'{w}'" for w in words) + ")"
 
 
-def matches(text: Column) -> Column:
+def matches(text: Column, pattern: str = PATTERN) -> Column:
     """The entities of a text from left to right."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def entity_type(raw: Column) -> Column:
@@ -167,18 +182,25 @@ def _word(nums: str, ending: str) -> str:
     def made(script: str) -> str:
         sounds = _array(SOUNDS[script])
         sound = [f"element_at({sounds}, element_at({nums}, {i}) % 20 + 1)" for i in range(1, 11)]
-        body = f"concat({', '.join(sound[:4])}, CASE WHEN wide THEN concat({', '.join(sound[4:])}) ELSE '' END)"
+        # a double name stays one
+        body = f"concat({sound[0]}, {sound[1]}, CASE WHEN canon LIKE '%-%' THEN '-' ELSE '' END, {sound[2]}, {sound[3]}, CASE WHEN wide THEN concat({', '.join(sound[4:])}) ELSE '' END)"
         m, f, neutral = ENDINGS[script]
         end = {"given": f"CASE gender WHEN 'f' THEN '{f}' WHEN 'm' THEN '{m}' ELSE '{neutral}' END", "family": "''"}[ending]
-        return f"initcap(concat({body}, {end}))"
+        return f"array_join(transform(split(concat({body}, {end}), '-'), w -> initcap(w)), '-')"
 
     return f"CASE WHEN raw rlike '\\\\p{{IsCyrillic}} ?$' THEN {made('cyrillic')} WHEN raw rlike '\\\\p{{IsGreek}} ?$' THEN {made('greek')} ELSE {made('latin')} END"
 
 
+#: SQL: word ``w`` of a name is a small one.
+_IS_PARTICLE = f"w IN ({', '.join(repr(x) for x in PARTICLES)})"
+#: SQL: the given names among ``words``: all but the last, small words and initials.
+_GIVENS = f"filter(slice(words, 1, size(words) - 1), w -> NOT w LIKE '%.' AND NOT {_IS_PARTICLE})"
+
+
 def _parts_of_names(e: DataFrame) -> DataFrame:
     """``e`` with the title and words of names and the gender of the title (n: none); a given name's is in its kind."""
     e = e.withColumn("title", F.when(F.col("kind") == "name", F.regexp_extract("raw", f"^({_TITLES})", 1)))
-    e = e.withColumn("words", F.when(F.col("kind") == "name", F.split(F.expr("substr(raw, length(title) + 1)"), " ")))
+    e = e.withColumn("words", F.when(F.col("kind") == "name", F.split(F.regexp_replace(F.expr("substr(raw, length(title) + 1)"), r"\.(?=\p{L})", ". "), " ")))
     feminine, masculine = (F.col("title").rlike(rf"(?:^| )(?:{'|'.join(t)})[. ]") for t in (FEMININE, MASCULINE))
     return e.withColumn("gender", F.when(F.col("kind").startswith("given_"), F.substring("kind", -1, 1)).when(feminine, "f").when(masculine, "m").otherwise("n"))
 
@@ -186,31 +208,34 @@ def _parts_of_names(e: DataFrame) -> DataFrame:
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``entities`` (raw, kind, canon, attempt) with ``surrogate`` and ``new_canon``, the surrogate's canonical form."""
     e = entities.withColumn("key", F.lit(key)).withColumn("wide", F.col("attempt") >= ATTEMPTS).withColumn("nums", F.expr(_numbers("kind", "canon", "cast(attempt AS string)")))
-    # an email's domain is derived from the domain alone, so addresses of one domain stay together; a name's given name
-    # (column ``given``) is an entity of its own
+    # an email's domain is derived from the domain alone, so addresses of one domain stay together; a name's given names
+    # (column ``givens``: their surrogates by lower-case word) are entities of their own
     e = e.withColumn("domain", F.expr("CASE WHEN kind = 'email' THEN lower(regexp_extract(raw, '@(.*)$', 1)) END"))
     e = e.withColumn("domain_nums", F.expr(f"CASE WHEN kind = 'email' THEN {_numbers(chr(39) + 'domain' + chr(39), 'domain')} END"))
     e = e.withColumns({"small": F.expr(_letters(0)), "large": F.expr(_letters(-1))})
     e = _parts_of_names(e)
-    if "given" not in e.columns:
-        e = e.withColumn("given", F.lit(""))
+    if "givens" not in e.columns:
+        e = e.withColumn("givens", F.create_map().cast("map<string,string>"))
     e = e.withColumn("body", F.expr(f"CASE WHEN kind = 'card' THEN {_CARD_BODY} END"))
     digits = f"CASE WHEN kind = 'card' THEN {_CARD} WHEN kind = 'phone' AND raw like '+%' THEN {_fold('canon', "length(regexp_extract(raw, '^[+]([0-9]+)', 1))")} WHEN kind IN ('phone', 'ssn') THEN {_fold('canon', 0)} END"
     e = e.withColumn("new_digits", F.expr(digits))
     reserved = "domain rlike '(^|[.])example[.](com|net|org)$'"
     labels = "regexp_replace(domain, '[.]?[^.]+[.][^.]+$', '')"
     host = f"CASE WHEN {reserved} THEN concat_ws('.', nullif({_fold(labels, 0, nums='domain_nums')}, ''), regexp_extract(domain, 'example[.][a-z]+$', 0)) ELSE concat({_fold('regexp_replace(domain, ' + repr('[.][^.]+$') + ', ' + repr('') + ')', 0, nums='domain_nums')}, '.example.com') END"
-    name = f"concat(title, CASE WHEN size(words) > 1 THEN concat(coalesce(given, ''), ' ') ELSE '' END, {_word('nums', 'family')})"
+    initial = "concat(upper(substr(large, pmod(hash(key, w), length(large)) + 1, 1)), '.')"
+    part = f"CASE WHEN i = size(words) - 1 THEN {_word('nums', 'family')} WHEN {_IS_PARTICLE} THEN w WHEN w LIKE '%.' THEN {initial} ELSE coalesce(givens[lower(w)], '') END"
+    name = f"concat(title, array_join(transform(words, (w, i) -> {part}), ' '))"
     given = _word("nums", "given")
     made = f"""CASE kind WHEN 'email' THEN concat({_fold("regexp_extract(raw, '^([^@]*)@', 1)", 0)}, CASE WHEN wide THEN {_longer(12, "char(97 + {n} % 26)")} ELSE '' END, '@', {host})
       WHEN 'token' THEN {_fold('raw', f"length(regexp_replace(regexp_extract(raw, '{_ISSUER}', 1), '[^0-9A-Za-z]', ''))")}
       WHEN 'secret' THEN {_fold('raw', 0, _HEX)} WHEN 'iban' THEN {_fold('raw', 2)} WHEN 'ip' THEN {_IP}
       WHEN 'ip6' THEN CASE WHEN wide THEN {_fold("repeat('0000:', 7) || '0000'", 0, _HEX6)} ELSE {_fold('raw', 0, _HEX6)} END
       WHEN 'name' THEN {name} WHEN 'given_f' THEN {given} WHEN 'given_m' THEN {given} WHEN 'given_n' THEN {given} WHEN 'other' THEN {_fold('raw', 0)}
+      WHEN 'ssn' THEN concat({_REFORMAT}, CASE WHEN wide THEN {_longer(6, "cast({n} % 10 AS string)")} ELSE '' END)
       WHEN 'phone' THEN concat({_REFORMAT}, CASE WHEN wide AND length(canon) < 15 THEN {_longer("15 - length(canon)", "cast({n} % 10 AS string)")} ELSE '' END) ELSE {_REFORMAT} END"""
     e = e.withColumn("surrogate", F.expr(made))
     again = CANONICAL.replace("raw", "surrogate")
-    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "small", "large", "nums", "domain", "domain_nums", "title", "words", "gender", "given", "body", "new_digits")
+    return e.withColumn("new_canon", F.expr(again)).drop("key", "wide", "small", "large", "nums", "domain", "domain_nums", "title", "words", "gender", "givens", "body", "new_digits")
 
 
 def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -220,14 +245,14 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
     card = F.expr(f"kind <> 'card' OR length(canon) = 16 OR {_CHECKED}")
     raws = C.stored(raws.withColumn("canon", F.expr(CANONICAL)).where(card), "entities")
     # given names by gender are entities too; a surrogate of one may equal no real one of any gender
-    people = _parts_of_names(raws.where("kind = 'name'")).where(F.size("words") > 1)
-    given = C.stored(people.select(F.expr("words[0]").alias("raw"), F.concat(F.lit("given_"), "gender").alias("kind"), F.expr("lower(words[0])").alias("canon")).distinct(), "given")
+    people = _parts_of_names(raws.where("kind = 'name'")).select("gender", F.explode(F.expr(_GIVENS)).alias("raw"))
+    given = C.stored(people.select("raw", F.concat(F.lit("given_"), "gender").alias("kind"), F.lower("raw").alias("canon")).distinct(), "given")
     real = C.stored(raws.select("kind", F.col("canon").alias("new_canon")).union(given.select(F.explode(F.array(*(F.lit(f"given_{g}") for g in "fmn"))).alias("kind"), F.col("canon").alias("new_canon"))).distinct(), "real")
     raws = raws.unionByName(given)
     # one spelling stands for a canonical form while collisions are sought
     todo = raws.groupBy("kind", "canon").agg(F.min("raw").alias("raw")).withColumn("attempt", F.lit(0))
     settled = None
-    for attempt in range(ATTEMPTS + WIDER):
+    for attempt in itertools.count():
         tried = C.stored(surrogates(todo, key).select("kind", "canon", "raw", "attempt", "new_canon"), "tried")
         clean = tried.join(real, ["kind", "new_canon"], "left_anti")
         if settled is not None:
@@ -236,30 +261,50 @@ def dictionary(found: DataFrame, key: str = KEY) -> DataFrame:
         good = clean.join(first, ["kind", "new_canon", "canon"])
         settled = C.stored(good if settled is None else settled.unionByName(good), "settled")
         todo = C.stored(tried.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "raw", F.lit(attempt + 1).alias("attempt")), "todo")
-        if todo.isEmpty():
-            done = _parts_of_names(raws.join(settled.select("kind", "canon", "attempt"), ["kind", "canon"]))
-            firsts = done.where("kind LIKE 'given%'")
-            firsts = surrogates(firsts, key).groupBy(F.col("kind").alias("_kind"), F.col("canon").alias("_canon")).agg(F.min("surrogate").alias("given"))
-            others = done.where("NOT kind LIKE 'given%'")
-            beside = (F.concat(F.lit("given_"), others["gender"]) == firsts["_kind"]) & (F.lower(others["words"][0]) == firsts["_canon"]) & (F.size(others["words"]) > 1)
-            return surrogates(others.join(firsts, beside, "left").drop("_kind", "_canon"), key).select("raw", "surrogate")
-    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts and {WIDER} wider ones: more entities than values")
+        if todo.isEmpty():  # every format has a wider one, so that each round settles nearly all
+            break
+    done = raws.join(settled.select("kind", "canon", "attempt"), ["kind", "canon"])
+    firsts = surrogates(done.where("kind LIKE 'given%'"), key).groupBy("kind", "canon").agg(F.min("surrogate").alias("new"))
+    others = done.where("NOT kind LIKE 'given%'")
+    words = _parts_of_names(others.where("kind = 'name'")).select(F.col("raw").alias("_raw"), F.concat(F.lit("given_"), "gender").alias("kind"), F.explode(F.expr(f"transform({_GIVENS}, w -> lower(w))")).alias("canon")).distinct()
+    givens = words.join(firsts, ["kind", "canon"]).groupBy("_raw").agg(F.map_from_entries(F.collect_list(F.struct("canon", "new"))).alias("givens"))
+    beside = others.join(givens, others["raw"] == givens["_raw"], "left").drop("_raw").withColumn("givens", F.coalesce("givens", F.create_map().cast("map<string,string>")))
+    return surrogates(beside, key).select("raw", "surrogate")
+
+
+def _name_words(known: DataFrame) -> DataFrame:
+    """raw, word, new: what stands for each word of a titled name when it is alone."""
+    said = known.where(F.col("raw").rlike(f"^{_TITLES}")).where(entity_type(F.col("raw")) == "name")
+    parts = lambda c: _parts_of_names(said.select(F.col(c).alias("raw"), F.lit("name").alias("kind"), F.col("raw").alias("_raw"))).select(F.col("_raw"), F.col("words").alias(c))
+    both = parts("raw").join(parts("surrogate"), "_raw").select(F.col("_raw").alias("raw"), F.explode(F.arrays_zip(F.col("raw").alias("w"), F.col("surrogate").alias("new"))).alias("p"))
+    return both.select("raw", F.col("p.w").alias("word"), F.col("p.new").alias("new")).where(F.expr(f"NOT word LIKE '%.' AND NOT {_IS_PARTICLE.replace('w IN', 'word IN')}"))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and n_entities."""
-    found = C.stored(docs.select("doc_id", F.xxhash64("text").alias("_text"), matches(F.col("text")).alias("found")).where(F.size("found") > 0), "found")
-    pairs = found.select("doc_id", "_text", F.explode("found").alias("raw")).distinct()
-    known = C.stored(dictionary(found, key), "dictionary")
-    joined = pairs.join(C.sized_broadcast(known), "raw")
-    maps = joined.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias("_map"))
-    plain = docs.drop("n_entities", "_map")
-    own_map = plain["doc_id"].eqNullSafe(maps["_id"]) & (F.xxhash64(plain["text"]) == maps["_text"])
-    rows = plain.join(C.sized_broadcast(maps), own_map, "left").drop("_id", "_text")
-    own = matches(F.col("text"))
-    new = F.array_join(F.zip_with(F.split("text", PATTERN, -1), own, lambda gap, raw: F.concat(gap, F.coalesce(F.element_at("_map", raw), raw, F.lit("")))), "")
-    has = F.col("_map").isNotNull()
-    return rows.withColumns({"n_entities": F.when(has, F.size(F.filter(own, lambda raw: F.element_at("_map", raw).isNotNull()))).otherwise(0).cast("long"), "text": F.when(has, new).otherwise(F.col("text"))}).drop("_map")
+    text = F.col("text")
+    own = docs.select("doc_id", F.xxhash64("text").alias("_text"), text, matches(text).alias("found")).where(F.size("found") > 0)
+    titled = F.exists("found", lambda x: x.rlike(f"^{_TITLES}"))
+    found = own.withColumn("_titled", titled).withColumn("found", F.when(F.col("_titled"), matches(text, WORDS_TOO)).otherwise(F.col("found")))
+    # rows of one id and text have the same matches
+    found = C.stored(found.select("doc_id", "_text", "_titled", "found").dropDuplicates(["doc_id", "_text"]), "found")
+    each = found.select("doc_id", "_text", "_titled", F.posexplode("found").alias("_at", "raw"))
+    word = F.col("_titled") & F.col("raw").rlike(f"^{_WORD}$")
+    entities = each.where(~word | (entity_type(F.col("raw")) != "other"))
+    known = C.stored(dictionary(entities.select(F.array("raw").alias("found")), key), "dictionary")
+    # words of titled names stand for the same person in their document; a family name comes before a given one
+    people = entities.where("_titled").join(C.sized_broadcast(_name_words(known)), "raw").select("doc_id", "_text", "word", "new").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_own"), F.col("word").alias("_word")).agg(F.min("new").alias("_new"))
+    whole = each.join(C.sized_broadcast(known), "raw", "left")
+    alone = (whole["doc_id"].eqNullSafe(people["_id"])) & (whole["_text"] == people["_own"]) & (whole["raw"] == people["_word"])
+    told = whole.join(people, alone, "left").select("doc_id", "_text", "_titled", "_at", "raw", F.coalesce("surrogate", "_new").alias("new"))
+    lists = told.groupBy(F.col("doc_id").alias("_id"), "_text", "_titled").agg(F.count("new").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("new", "raw").alias("new")))), lambda x: x["new"]).alias("_new"))
+    lists = C.stored(lists.where("_n > 0"), "replacements")
+    plain = docs.drop("n_entities", "_new", "_n", "_titled")
+    same = plain["doc_id"].eqNullSafe(lists["_id"]) & (F.xxhash64(plain["text"]) == lists["_text"])
+    rows = plain.join(C.sized_broadcast(lists), same, "left").drop("_id", "_text")
+    gaps = F.when(F.col("_titled"), F.split("text", WORDS_TOO, -1)).otherwise(F.split("text", PATTERN, -1))
+    new = F.array_join(F.zip_with(gaps, "_new", lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+    return rows.withColumns({"n_entities": F.coalesce("_n", F.lit(0)).cast("long"), "text": F.when(F.col("_n").isNotNull(), new).otherwise(F.col("text"))}).drop("_new", "_n", "_titled")
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
