@@ -52,7 +52,9 @@ FURNITURE = frozenset("head nav header footer aside form button menu dialog fiel
 WRAPPERS = frozenset(("form", "fieldset"))
 #: Tokens of class, id or role that name furniture: made of such words, after words of place.
 FURNITURE_WORDS = re.compile(
-    r"(?:(?:site|page|global|main|primary|secondary|top|bottom|left|right)[_-])*(?:(?:nav[^\W_]*|menu[^\W_]*|header|footer|foot|sidebar[^\W_]*|side|aside|ads?|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookie[^\W_]*|consent|notice[^\W_]*|popup|modal|overlay|newsletter|subscribe[^\W_]*|signup|login|share[^\W_]*|social[^\W_]*|related[^\W_]*|recommend[^\W_]*|breadcrumb[^\W_]*|pagination|pager|comments?\w*|disqus|respond|reply|replies|tags?|widget[^\W_]*|search[^\W_]*|toolbar|skip[^\W_]*|copyright|legal|contentinfo|complementary|navigation|form)(?:[_-]|$))+",
+    r"(?:(?:site|page|global|main|primary|secondary|top|bottom|left|right)[_-])*(?:(?:nav[^\W_]*|menu[^\W_]*|header|footer|foot|sidebar[^\W_]*|side|aside|ads?|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookie[^\W_]*|consent|notice[^\W_]*|popup|modal|overlay|newsletter|subscribe[^\W_]*|signup|login|share[^\W_]*|social[^\W_]*|related[^\W_]*|recommend[^\W_]*|breadcrumb[^\W_]*|pagination|pager|comments?\w*|disqus|respond|reply|replies|tags?|widget[^\W_]*|search[^\W_]*|toolbar|skip[^\W_]*|copyright|legal|contentinfo|complementary|navigation|form)(?:[_-]|$))+"
+    # what a page's readers say, what else there is to read and ways to pass it on, whatever the name goes on to say
+    r"|(?:(?:article|post|entry|user|reader)[_-])?(?:comments?|discussion|disqus|replies|related|recommended|share|sharing)(?:[_-][\w-]*)?",
     re.I,
 )
 MAIN = frozenset(("article", "main"))
