@@ -322,6 +322,13 @@ def test_longest_common_lines():
         assert all(any(x == y for y in it) for x in (a[i] for i in at))
 
 
+def test_comments_and_related_posts_inside_an_article_go(spark):
+    inner = "".join(f'<div class="{c}"><p>{c} text</p></div>' for c in ("comment-list", "comments-area", "related-posts", "related_articles", "share-this-page", "post-comments", "reader-comments-2", "disqus_thread"))
+    page = f"<html><body><article><h1>Title</h1><p>One.</p>{inner}<p class='noted'>Two.</p><p>Three.</p></article></body></html>"
+    got = html_extract.extract(spark.createDataFrame([(1, "http://a/b", page)], "page_id long, url string, html string")).first()
+    assert got["text"] == "Title\nOne.\nTwo.\nThree."
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +469,63 @@ def test_full_formats_widen(spark, monkeypatch):
     assert re.fullmatch(r"\d{3}(\.\d{3}){3}", ip) and re.fullmatch(r"Mr [A-Z][a-z]{19}", name) and re.fullmatch(r"\+1 \d\d \d{12}", phone)
 
 
+#: Text and pattern of the whole result: parts of names and bare mentions go with the titled name of their document.
+NAMED = [
+    ("Mr Jean-Luc Picard met Mrs. Smith-Jones; Picard left, Jean-Luc too.", r"Mr (\w+-\w+n) (\w+) met Mrs\. \w+-\w+; \2 left, \1 too\."),
+    ("Ms Mary Ann Evans and Mr O'Neil. Evans said: O'Neil's book", r"Ms \w+lia \w+lia (\w+) and Mr (\w+)\. \1 said: \2's book"),
+    ("Dr. J. R. Smith wrote to Herr Ludwig van Beethoven. Smith, van Beethoven, Other", r"Dr\. [A-Z]\. [A-Z]\. (\w+) wrote to Herr \w+n van (\w+)\. \1, van \2, Other"),
+    ("Herr von Berg kam. Berg ging.", r"Herr von (\w+) kam\. \1 ging\."),
+    ("Mr Smith's dog and Mr Smith’s cat", r"Mr (\w+)'s dog and Mr \1’s cat"),
+    ("Smith and Picard are not named by title here", r"Smith and Picard are not named by title here"),
+]
+
+
+def test_names_are_masked_whole(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NAMED)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    for i, (t, pattern) in enumerate(NAMED):
+        assert re.fullmatch(pattern, got[i]), (t, got[i])
+        if pattern != t:
+            assert not re.search(r"Jean|Luc|Picard|Smith|Jones|Mary|Evans|Neil|Ludwig|Beethoven|Berg", got[i].replace("Other", "")), got[i]
+
+
+def test_surrogates_of_the_whole_table(spark):
+    """Every text of the table, put together from matches and dictionary without Spark."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10_000 + i, t) for i, (t, _) in enumerate(NAMED)] + [(None, "Mr Quine and Quine, q@x.org")], "doc_id long, text string")
+    docs = docs.unionByName(extra)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    plain, too = regex.compile(pii.PATTERN, regex.V1), regex.compile(pii.WORDS_TOO, regex.V1)
+    title, word = regex.compile(pii._TITLES, regex.V1), regex.compile(pii._WORD, regex.V1)
+    entities = {m for _, t in rows for m in plain.findall(t)}
+    known = {r["raw"]: r["surrogate"] for r in pii.dictionary(spark.createDataFrame([([e],) for e in sorted(entities)], "found array<string>")).collect()}
+    want, n = {}, 0
+    for i, t in rows:
+        found = plain.findall(t)
+        titled = [x for x in found if title.match(x)]
+        people = {}
+        for x in titled:
+            spaced = lambda y: regex.sub(r"\.(?=\p{L})", ". ", y[title.match(y).end() :]).split(" ")
+            for a, b in zip(spaced(x), spaced(known[x]), strict=True):
+                if a not in pii.PARTICLES and not a.endswith("."):
+                    people[a] = min(b, people.get(a, b))
+        out = (too if titled else plain).sub(lambda m, people=people: known.get(m[0], people.get(m[0], m[0]) if word.fullmatch(m[0]) else m[0]), t)
+        want[i] = out
+        n += out != t
+    got = {r["doc_id"]: r["text"] or "" for r in pii.replace_entities(docs).collect()}
+    assert got == want and n > 10
+    assert not set(known) & set(known.values())
+
+
+def test_many_entities_in_one_text(spark):
+    n = 30_000
+    text = " ".join(f"user{i}@host.org" for i in range(n))
+    r = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert r["n_entities"] == n and len(set(r["text"].split(" "))) == n and "@host.org" not in r["text"]
+
+
 # --- segmentations ---------------------------------------------------------------------------------------------------
 
 
