@@ -60,8 +60,10 @@ def test_gumbel_samples_follow_the_law(spark):
     assert all(r["s"] == pytest.approx(1) for r in soft)
 
 
-def test_metric_sweeps_equal_a_plain_sort(spark, monkeypatch):
-    """Distinct scores as many as rows, null keys, ties and one class."""
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_metric_sweeps_equal_a_plain_sort(spark, monkeypatch, few):
+    """Distinct scores as many as rows, null keys, ties and one class; in one window and in ranges."""
+    monkeypatch.setattr(metrics, "FEW", few)
     rng = np.random.default_rng(3)
     rows = [(("a", None)[i % 2], float(s), int(rng.random() < s)) for i, s in enumerate(rng.random(3000).round(3))] + [("one", 0.5, 0)] * 3
     df = spark.createDataFrame(rows, "k string, score double, label int")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewarden.plans import scratch
+
 MAX_FEATURES = 4096
 WORD = r"\b\w\w+\b"
 
@@ -83,9 +85,16 @@ def pooled(steps: DataFrame, values: list[str], run: str = "trajectory_id") -> D
 def numbered(values: DataFrame, name: str = "column") -> DataFrame:
     """The distinct values of a one-column frame with their number in sorted order, counted range by range."""
     (value,) = values.columns
-    ordered = values.distinct().sort(value)
     spark = values.sparkSession
-    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"{value} {dict(values.dtypes)[value]}, {name} long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch.folder(spark, "numbered")
+    ranged = values.distinct().repartitionByRange(n, value).sortWithinPartitions(value)
+    ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row for each range
+    inside = W.partitionBy("_part").orderBy("_at")
+    return ranged.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(before), "_part").select(value, (F.col("_before") + F.col("_row") - 1).alias(name))
 
 
 def side_channel(rows: DataFrame, key: str, tokens: str, scale: float = 1.0) -> DataFrame:

@@ -1,9 +1,10 @@
 """Ranking, calibration and detection metrics as aggregates.
 
-Every sweep aggregates to distinct scores first (with partial sums), so what
-follows sorts scores, not rows. Real-valued scores may be as many as rows: they
-are cut into ``RANGES`` ranges by a quantile summary, summed inside each range, and
-the sums of the ranges below are added, so no sweep runs in one task.
+Every sweep aggregates to distinct scores first (with partial sums) and writes
+them, so rows are read once and what follows sorts scores. Up to ``FEW`` of them
+are swept by one window. Real-valued scores may be as many as rows: more are cut
+into ``RANGES`` ranges by a quantile summary, summed inside each range, and the
+sums of the ranges below are added, so no sweep of many scores runs in one task.
 """
 
 from __future__ import annotations
@@ -12,18 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewarden.plans import scratch
+
 MIN_SUPPORT, ALPHA, BINS = 10, 5.0, 10
+#: Distinct scores that one window sweeps.
+FEW = 100_000
 #: Ranges of scores that a sweep is cut into.
 RANGES = 64
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch.folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
-def _swept(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct scores with pos, n, their sums over lower scores (pos_below, n_below) and over all (positives, rows)."""
-    s = _by_score(scored, keys)
+def _swept(scored: DataFrame, keys: list[str], counted: bool = False) -> DataFrame:
+    """Distinct scores with pos, n, their sums over lower scores (pos_below, n_below) and over all (positives, rows).
+    ``counted``: ``scored`` has a score's pos and n already, perhaps in several rows."""
+    s = scored.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")) if counted else _by_score(scored, keys)
+    s = _stored(s, "scores")
+    if s.count() <= FEW:
+        below, every = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+        sums = {f"{c}_below": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in ("pos", "n")}
+        return s.withColumns(sums | {"positives": F.sum("pos").over(every), "rows": F.sum("n").over(every)}).select(*keys, "score", "pos", "n", "pos_below", "n_below", "positives", "rows")
     edges = s.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000).alias("_edges"))  # one row
     cut = s.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < F.col("score")))).drop("_edges")
     ranges = cut.groupBy(*keys, "_part").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
@@ -41,11 +58,11 @@ def _swept(scored: DataFrame, keys: list[str]) -> DataFrame:
     return cut.join(ranges, own).withColumns(below).select(*keys, "score", "pos", "n", "pos_below", "n_below", "positives", "rows")
 
 
-def ranking_metrics(scored: DataFrame, *keys: str) -> DataFrame:
+def ranking_metrics(scored: DataFrame, *keys: str, counted: bool = False) -> DataFrame:
     """auroc (ties count half; 0.5 for one class) and average precision (step sum over distinct scores) per key."""
     k = list(keys)
     neg, neg_below = F.col("n") - F.col("pos"), F.col("n_below") - F.col("pos_below")
-    a = _swept(scored, k).groupBy(*k).agg(
+    a = _swept(scored, k, counted).groupBy(*k).agg(
         F.sum("n").alias("n"),
         F.sum("pos").alias("positives"),
         F.sum(F.col("pos") * (neg_below + neg / 2)).alias("wins"),
@@ -120,12 +137,21 @@ def trusted(scored: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
 
 
 def trusted_metrics(scored: DataFrame, min_support: int = MIN_SUPPORT, bins: int = BINS) -> DataFrame:
-    """One row: coverage, abstention and the metrics of prefixes in well-supported states."""
-    ok = trusted(scored, min_support)
-    cover = scored.agg(F.count(F.lit(1)).alias("prefixes"), F.count_if(F.col("support") >= min_support).alias("trusted_prefixes"), F.count_distinct(F.when(F.col("support") >= min_support, F.col("state"))).alias("trusted_states"))
+    """One row: coverage, abstention and the metrics of prefixes in well-supported states. Prefixes are counted by state and
+    score once; all metrics come from these counts."""
+    counts = _stored(_by_score(scored, ["state", "support"]), "states")
+    ok = trusted(counts, min_support)
+    sure = F.col("support") >= min_support
+    zero = F.lit(0)
+    cover = counts.agg(F.coalesce(F.sum("n"), zero).alias("prefixes"), F.coalesce(F.sum(F.when(sure, F.col("n"))), zero).alias("trusted_prefixes"), F.count_distinct(F.when(sure, F.col("state"))).alias("trusted_states"))
     abstention = F.when(F.col("prefixes") == 0, 0.0).otherwise(1 - F.col("trusted_prefixes") / F.col("prefixes"))
     metrics = cover.withColumn("abstention", abstention)
-    for part in (ranking_metrics(ok).select(F.col("positives").alias("trusted_positives"), "auroc", "auprc"), calibration_error(ok, bins=bins), brier(ok)):
+    by_bin = ok.withColumn("bin", calibration_bin(F.col("score"), bins)).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("score") * F.col("n")).alias("scores"))
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("pos") - F.col("scores")))
+    ece = by_bin.agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
+    square = F.col("pos") * F.pow(F.col("score") - 1, 2) + (F.col("n") - F.col("pos")) * F.pow("score", F.lit(2))
+    error = ok.agg((F.sum(square) / F.sum("n")).alias("brier"))
+    for part in (ranking_metrics(ok, counted=True).select(F.col("positives").alias("trusted_positives"), "auroc", "auprc"), ece, error):
         metrics = metrics.join(part, how="left")  # one row, or none where nothing is trusted
     return metrics.na.fill({"auroc": 0.5, "auprc": 0.0, "ece": 0.0, "brier": 0.0, "trusted_positives": 0})
 
