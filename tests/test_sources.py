@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
 from tracewarden.plans import pipelines
-from tracewarden.sources import browser, canonical, dialogue, terminal, trials
+from tracewarden.sources import browser, canonical, dialogue, files, terminal, trials
 
 
 def run(i, ok=True, split="train", **more):
@@ -126,6 +126,30 @@ def test_browser(spark, tmp_path):
     assert s[0]["context"] == "task_intent=find it\ncurrent_url=http://a\nobservation=\nobs 1"
 
 
+def test_an_archive_is_read_by_several_tasks(spark, tmp_path):
+    texts = {f"r/render_{i}.html": f"<p>{'é' * (50 * i)}</p>" for i in range(30)}
+    for name in ("one.zip", "release_v1.0_two.zip"):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("r/merged_log.txt", "x")
+            z.writestr("r/other.bin", b"\xff" * 9)
+            z.writestr("r/deeper/render_1.html", "no")
+            for m, t in texts.items():
+                z.writestr(m, t)
+    members = browser.read_members(spark, str(tmp_path), part_bytes=4000)
+    found = files.archive_members(spark, str(tmp_path), part_bytes=4000)
+    assert found.rdd.getNumPartitions() >= 2 * sum(len(t.encode()) for t in texts.values()) // 4000
+    got = {(r["source"], r["member"]): r["text"] for r in members.collect()}
+    want = {m.removeprefix("r/"): t for m, t in texts.items()} | {"merged_log.txt": "x"}
+    assert got == {(s, m): t for s in ("one", "two") for m, t in want.items()}
+    assert files.archive_members(spark, str(tmp_path / "one.zip"), r"other").count() == 1
+    (tmp_path / "none").mkdir()
+    assert files.archive_members(spark, str(tmp_path / "none")).count() == 0
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("render_1.html", "")
+    with pytest.raises(Exception, match="0 files named merged_log.txt"):
+        browser.read_members(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("text,expected", [("```goto [x]``` then ```click [1]```", "click [1]"), ("do `type [2] [a]` now", "type [2] [a]"), ("1. scroll [down]\nbecause", "scroll [down]"), ("nothing", "nothing")])
 def test_actions(text, expected):
     assert browser.action_text(text) == expected
@@ -169,6 +193,30 @@ def test_trials(spark, tmp_path):
     assert trials.read_manifest_runs(spark, manifest, str(tmp_path)).first()["split"] == "val"
 
 
+def test_only_the_manifests_traces_are_opened(spark, tmp_path):
+    """Traces of other runs are dangling links: to open one is to fail."""
+    for k in range(4):
+        home = tmp_path / "jobs" / "cond" / f"t{k}"
+        trial(home, "agent/codex.txt", TRACES["agent/codex.txt"][1])
+        if k > 1:
+            (home / "agent" / "codex.txt").unlink()
+            (home / "agent" / "codex.txt").symlink_to(tmp_path / "gone")
+            (tmp_path / "gone").write_text("x")
+    doc = json.loads((tmp_path / "jobs/cond/t1/result.json").read_text())
+    (tmp_path / "jobs/cond/t1/result.json").write_text(json.dumps(doc | {"trial_name": "renamed"}))
+    manifest = spark.createDataFrame([(0, "skillsbench::cond::t0", "val"), (1, "skillsbench::cond::renamed", "fit")], "position long, trajectory_id string, split string")
+    listed = trials.list_trials(spark, str(tmp_path)).cache()
+    assert listed.count() == 4
+    (tmp_path / "gone").unlink()
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(trials, "list_trials", lambda *_: listed)
+    got = [(r["trajectory_id"], r["split"]) for r in trials.read_manifest_runs(spark, manifest, str(tmp_path)).collect()]
+    assert got == [("skillsbench::cond::t0", "val"), ("skillsbench::cond::renamed", "fit")]
+    with pytest.raises(Exception, match="t[23]"):
+        trials.read_trials(listed).collect()
+    monkey.undo()
+
+
 def test_document_trace():
     payload = {"schema_version": "ATIF-v1.5", "steps": [{"source": "user", "message": "q"}, {"source": "agent", "message": "m", "tool_calls": [{"function_name": "edit", "arguments": {}}, {"function_name": "x"}], "observation": {"results": [{"content": "r0"}]}}]}
     _, s = trials.trial_steps("/a/jobs/c/t", "trajectory_json", json.dumps(payload), {}, {})

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewarden.sources import files
+
 #: Verbs that an action line may begin with; fixed values.
 VERBS = ("click", "type", "goto", "scroll", "stop", "go_back", "go_forward", "new_tab", "tab_focus", "press", "wait", "hover")
 LOG = "merged_log.txt"
@@ -20,24 +20,17 @@ _WANTED = {("div", "state_obv"): "observations", ("h3", "url"): "urls", ("div",
 _LINE = re.compile(rf"^(?:{'|'.join(VERBS)})(?: |$)")
 
 
-def read_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, source, member, text of the log and the rendered pages of every archive."""
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    logs = [m for m in z.namelist() if m == LOG or m.endswith("/" + LOG)]
-                    if LOG not in logs and len(logs) != 1:
-                        raise ValueError(f"{name}: {len(logs)} files named {LOG}")
-                    log = LOG if LOG in logs else logs[0]
-                    root = log[: -len(LOG)]
-                    for m in z.namelist():
-                        if m == log or re.fullmatch(re.escape(root) + r"render_\d+\.html", m):
-                            yield pd.DataFrame([(name, m[len(root) :], z.read(m).decode("utf-8", "replace"))], columns=["archive", "member", "text"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    members = files.mapInPandas(unzip, "archive string, member string, text string")
+def read_members(spark: SparkSession, path: str, part_bytes: int = files.PART_BYTES) -> DataFrame:
+    """archive, source, member, text of the log and the rendered pages of every archive; an archive is read by several
+    tasks. Raises where an archive has no log, or several of which none is at its top."""
+    found = files.archive_members(spark, path, rf"(?:^|/)(?:{re.escape(LOG)}|render_\d+\.html)$", part_bytes)
+    logs = found.select("archive", "member").where(F.col("member").endswith(LOG)).groupBy("archive").agg(F.min_by("member", F.struct(F.col("member") != LOG, "member")).alias("log"), F.count(F.lit(1)).alias("n"))
+    archives = found.select("archive").distinct().join(logs, "archive", "left")
+    fault = F.concat("archive", F.lit(": "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(f" files named {LOG}"))
+    sure = archives.withColumn("log", F.when(F.col("log").isNull() | ((F.col("log") != LOG) & (F.col("n") != 1)), F.raise_error(fault).cast("string")).otherwise(F.col("log")))
+    rooted = found.join(F.broadcast(sure.select("archive", F.expr(f"substr(log, 1, length(log) - {len(LOG)})").alias("root"))), "archive")  # one row for each archive
+    own = rooted.where(F.col("member").startswith(F.col("root"))).withColumn("member", F.expr("substr(member, length(root) + 1)")).where(~F.col("member").contains("/"))
+    members = own.select("archive", "member", F.decode("content", "utf-8").alias("text"))
     stem = F.regexp_replace(F.regexp_extract("archive", r"([^/]+)\.zip$", 1), r"^release_v1\.0_", "")
     return members.withColumn("source", F.replace(stem, F.lit("."), F.lit("")))
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.functions.jsons import HISTORY, dump, raw_fragment
+from tracewarden.sources import files
 
 #: Trace formats by priority: name, pattern of the path below the trial; fixed values.
 FORMATS = (
@@ -416,19 +417,31 @@ def format_of(below: Column) -> Column:
     return chain
 
 
-def find_trials(spark: SparkSession, root: str) -> DataFrame:
-    """trial, result, config, exception, format, trace_path, trace of every directory below ``root`` that holds result.json
-    and config.json and a trace; the trace is the one of highest priority, then smallest path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "utf-8").alias("text"))
-    homes = files.where(F.col("path").rlike(r"/(?:result|config)\.json$")).groupBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("trial")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("trial")
+def list_trials(spark: SparkSession, root: str) -> DataFrame:
+    """trial, condition, format, trace_path, exception_path of every directory below ``root`` that holds result.json and
+    config.json and a trace; the trace is the one of highest priority, then smallest path. Files are listed, none is
+    opened."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    homes = paths.where(F.col("path").rlike(r"/(?:result|config)\.json$")).groupBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("trial")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("trial")
     # a file belongs to each of its parent directories that is a trial
     parents = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
-    own = files.withColumn("trial", F.explode(parents)).join(homes, "trial").withColumn("below", F.substr("path", F.length("trial") + 2))
+    own = paths.withColumn("trial", F.explode(parents)).join(homes, "trial").withColumn("below", F.substr("path", F.length("trial") + 2))
     own = own.withColumn("format", format_of(F.col("below")))
-    named = lambda n: F.max(F.when(F.col("below") == n, F.col("text")))
-    best = F.min(F.when(F.col("format").isNotNull(), F.struct("format.rank", "format.name", "path", "text")))
-    t = own.where(F.col("format").isNotNull() | F.col("below").isin("result.json", "config.json", "exception.txt")).groupBy("trial").agg(named("result.json").alias("result"), named("config.json").alias("config"), F.coalesce(named("exception.txt"), F.lit("")).alias("exception"), best.alias("best"))
-    return t.where("best is not null").select("trial", "result", "config", "exception", F.col("best.name").alias("format"), F.col("best.path").alias("trace_path"), F.col("best.text").alias("trace"))
+    best = F.min(F.when(F.col("format").isNotNull(), F.struct("format.rank", "format.name", "path")))
+    t = own.where(F.col("format").isNotNull() | (F.col("below") == "exception.txt")).groupBy("trial").agg(F.max(F.when(F.col("below") == "exception.txt", F.col("path"))).alias("exception_path"), best.alias("best"))
+    return t.where("best is not null").select("trial", F.col("best.name").alias("format"), F.col("best.path").alias("trace_path"), "exception_path")
+
+
+def read_trials(listed: DataFrame) -> DataFrame:
+    """trial, result, config, exception, format, trace_path, trace: the listed trials with their files' texts."""
+    beside = {f"_{n}": F.concat("trial", F.lit(f"/{n}.json")) for n in ("result", "config")}
+    rows = files.fetched(listed.withColumns(beside), {"_result": "result", "_config": "config", "exception_path": "exception", "trace_path": "trace"})
+    return rows.select("trial", "result", "config", F.coalesce("exception", F.lit("")).alias("exception"), "format", "trace_path", "trace")
+
+
+def find_trials(spark: SparkSession, root: str) -> DataFrame:
+    """All trials below ``root`` with their files' texts."""
+    return read_trials(list_trials(spark, root))
 
 
 STEP = "context: string, action_text: string, tool_name: string, tool_args: string, result_text: string, status: string, source_raw_text: string"
@@ -455,10 +468,24 @@ def parse_trials(trials: DataFrame, lim: Limits = Limits(), strict: bool = False
 
 
 def read_manifest_runs(spark: SparkSession, manifest: DataFrame, root: str, lim: Limits = Limits()) -> DataFrame:
-    """Runs of a manifest (trajectory_id, split): parsed, checked against it, each step with raw text, split from it."""
+    """Runs of a manifest (trajectory_id, split): parsed, checked against it, each step with raw text, split from it. Traces
+    of other runs are listed but never opened."""
     from tracewarden.sources.canonical import join_manifest
 
-    runs = parse_trials(find_trials(spark, root), lim).where("problem is null").drop("problem", "trial")
+    listed = list_trials(spark, root)
+    # a trial's id ends in its name, which is its directory's as a rule: those are opened first
+    named = manifest.select("trajectory_id", F.element_at(F.split("trajectory_id", "::"), -1).alias("name"))
+    first = listed.join(named.select("name").distinct(), F.element_at(F.split("trial", "/"), -1) == F.col("name"), "left_semi")
+    parsed = lambda some: parse_trials(read_trials(some), lim).where("problem is null").drop("problem")
+    runs = parsed(first)
+    rest = named.join(runs.select("trajectory_id"), "trajectory_id", "left_anti")
+    if not rest.isEmpty():  # ids whose name stands in result.json alone: the small files of the others tell
+        others = listed.join(first.select("trial"), "trial", "left_anti")
+        small = ("result", "config")
+        told = files.fetched(others.select("trial", *(F.concat("trial", F.lit(f"/{c}.json")).alias(f"_{c}") for c in small)), {f"_{c}": c for c in small})
+        name = F.coalesce(*(F.nullif(F.trim(F.get_json_object(c, "$.trial_name")), F.lit("")) for c in small))
+        runs = runs.unionByName(parsed(others.join(told.select("trial", name.alias("name")).join(rest.select("name").distinct(), "name", "left_semi").select("trial"), "trial", "left_semi")))
+    runs = runs.drop("trial")
     out = join_manifest(manifest, runs)
     blank = F.exists("steps", lambda s: F.trim(F.coalesce(s["source_raw_text"], F.lit(""))) == "")
     return out.withColumn("steps", F.when(blank, F.raise_error(F.concat(F.lit("a step without raw text in "), "trajectory_id")).cast(dict(out.dtypes)["steps"])).otherwise(F.col("steps")))
