@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewarden.plans import scratch, tables
 from tracewarden.plans import sql as S
 from tracewarden.plans.catalogue import QUERIES, SQL, query
-from tracewarden.sources import browser, canonical, dialogue, terminal, trials
+from tracewarden.sources import browser, canonical, dialogue, files, terminal, trials
 
 _N = S.normal
 
@@ -321,3 +321,38 @@ _trials("trial_document", "trajectory_json", _DOCUMENT_ROWS, lambda: F.concat(F.
 _trials("trial_gemini", "gemini_cli_trajectory_json", _GEMINI_ROWS, lambda: F.concat(F.lit('{"messages":'), F.to_json(F.transform("turns", _gemini)), F.lit("}")))
 _trials("trial_gemini_text", "gemini_cli_txt", "SELECT trajectory_id, step_index AS ord, said AS action_text, 'respond' AS tool_name, 'NONE' AS result_text, false AS bad FROM said", lambda: F.concat(F.lit("YOLO mode is enabled. x\n\n"), F.array_join(F.transform("turns", lambda t: F.regexp_replace(t["text"], r"\s+", " ")), "\n")))
 _trials("trial_acp", "acp_trajectory_jsonl", _ACP_ROWS, lambda: _json_lines(_acp))
+
+
+# --- files that tasks open -------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, 'render_' || page_id || '.html' AS member, md5(coalesce(html, '')) AS digest FROM pages")
+def archive_members_round_trip(spark, sf):
+    """Pages packed into ZIP archives by the tasks that hold them, and read back member by member in ranges."""
+    folder = scratch.folder(spark, "archives")
+    pages = tables.read(spark, sf, "pages", "page_id", "html")
+    member = F.concat(F.lit("run/render_"), "page_id", F.lit(".html"))
+    files.packed(pages.select(member.alias("member"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), folder, f"run/{browser.LOG}").count()
+    members = browser.read_members(spark, folder, part_bytes=1 << 20).where(F.col("member") != browser.LOG)
+    return members.select(F.regexp_extract("member", r"(\d+)", 1).cast("long").alias("page_id"), "member", F.md5("text").alias("digest"))
+
+
+_TALKS = "t AS (SELECT conv_id, count(*) AS n, max(conv_id % 2) AS reward, count(*) FILTER (WHERE length(coalesce(text, '')) > 0) AS said FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)"
+
+
+@query(f"WITH {_TALKS} SELECT 'skillsbench::c' || conv_id % 3 || '::t' || conv_id AS trajectory_id, 'skillsbench::task' || conv_id % 5 AS task_id, CASE WHEN n > 6 THEN 'fit' ELSE 'cal' END AS split, reward = 1 AS final_success, n AS steps FROM t WHERE n > 3")
+def manifest_trial_folders(spark, sf):
+    """A directory of files for each conversation, and the runs that a manifest names read from them: listed
+    first, then opened. The manifest names the longer conversations."""
+    folder = scratch.folder(spark, "trials")
+    turns = tables.turns(spark, sf).where("trajectory_id IS NOT NULL")
+    event = F.to_json(F.struct(F.lit("item.completed").alias("type"), F.struct(F.lit("command_execution").alias("type"), F.concat_ws(" ", "role", "step_index").alias("command"), F.lit(0).alias("exit_code"), "text").alias("item")))
+    runs = turns.groupBy(F.col("trajectory_id").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_index", event.alias("e")))), lambda x: x["e"]), "\n").alias("trace"))
+    home = F.format_string(f"{folder}/jobs/c%d/t%d", F.col("c") % 3, F.col("c"))
+    result = F.to_json(F.struct(F.concat(F.lit("task"), F.col("c") % 5).alias("task_name"), F.struct(F.struct((F.col("c") % 2).cast("double").alias("reward")).alias("rewards")).alias("verifier_result")))
+    each = F.array(*(F.struct(F.concat(home, F.lit(f"/{name}")).alias("path"), F.encode(text, "utf-8").alias("content")) for name, text in (("result.json", result), ("config.json", F.lit("{}")), ("agent/codex.txt", F.col("trace")))))
+    files.placed(runs.select(F.explode(each).alias("f")).select("f.path", "f.content")).count()
+    ids = F.format_string("skillsbench::c%d::t%d", F.col("c") % 3, F.col("c"))
+    manifest = runs.where("n > 3").select(F.col("c").alias("position"), ids.alias("trajectory_id"), F.when(F.col("n") > 6, "fit").otherwise("cal").alias("split"))
+    got = trials.read_manifest_runs(spark, manifest, folder)
+    return got.select("trajectory_id", "task_id", "split", "final_success", F.size("steps").cast("long").alias("steps"))

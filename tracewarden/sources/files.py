@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -32,6 +33,13 @@ def content(path: str) -> bytes:
         return f.read()
 
 
+def put(path: str, data: bytes) -> None:
+    system, at = located(path)
+    system.create_dir(posixpath.dirname(at), recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(data)
+
+
 def below(path: str, suffix: str) -> list[str]:
     """Files at or below ``path`` with a suffix, in order."""
     system, at = located(path)
@@ -100,6 +108,37 @@ def archive_members(spark: SparkSession, path: str, pattern: str = "", part_byte
     return spark.read.format("archive_members").option("pattern", pattern).option("partBytes", part_bytes).load(path)
 
 
+def packed(rows: DataFrame, folder: str, log: str) -> DataFrame:
+    """Writes ``rows`` (member, content) as ZIP archives below ``folder``, one for each task, each with a file ``log`` of its
+    member names; returns archive and members of each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, names = f"{folder}/part{TaskContext.get().partitionId():05}.zip", []
+        system, at = located(path)
+        system.create_dir(posixpath.dirname(at), recursive=True)
+        with system.open_output_stream(at) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for member, data in zip(b.column("member").to_pylist(), b.column("content").to_pylist(), strict=True):
+                    z.writestr(member, data)
+                    names.append(member)
+            z.writestr(log, "\n".join(names))
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(names)], pa.int64())], names=["archive", "members"])
+
+    return rows.select("member", "content").mapInArrow(pack, "archive string, members long")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Writes each row's ``content`` to its ``path``; returns the paths."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                put(path, data)
+            yield b.select(["path"])
+
+    return rows.select("path", "content").mapInArrow(place, "path string")
+
+
 def fetched(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``rows`` with the texts of the files that the path columns name (path column: text column); null paths give null.
     Files are opened one at a time, by the task that has the row."""
