@@ -1,4 +1,6 @@
+import dataclasses
 import json
+import shutil
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from tracewarden import __main__ as cli
 from tracewarden.operators import descent
 from tracewarden.operators import networks as N
 from tracewarden.operators import tape as T
-from tracewarden.plans import training
+from tracewarden.plans import reproduce, training
 from tracewarden.plans.checkpoints import Log
 
 KINDS = ("soft-fsm", "symbol-flat", "symbol-gru", "symbol-transformer", "predictor")
@@ -210,6 +212,23 @@ def test_selection_by_the_discrete_automaton(spark, runs, tmp_path):
     assert found["soft"] is None and set(found) >= {"config", "split", "discrete"}
 
 
+def test_a_manifest_runs_once_and_goes_on(spark, runs, tmp_path):
+    (tmp_path / "data").mkdir()
+    shutil.copytree(runs, tmp_path / "data" / "tau2")
+    run = {"id": "A", "family": "tau2", "seeds": [1, 2], "output_template": "o/{seed}", "num_symbols": 3, "q_max": 4, "epochs": 1, "horizon": 3, "train_args": ["--warning-model-type", "symbol-flat", "--device", "cpu", "--derive-train-fit-cal"], "eval_args": ["--dfa-backend", "legacy"]}
+    todo = reproduce.jobs({"runs": [run, run | {"id": "B", "family": "other"}]}, str(tmp_path / "out"), str(tmp_path / "data"), ["tau2"])
+    assert [j.id for j in todo] == ["A/seed1/train", "A/seed1/evaluate", "A/seed2/train", "A/seed2/evaluate"] and todo[0].settings["model"] == "symbol-flat"
+    states = lambda x: [r["state"] for r in x]
+    assert states(reproduce.run(spark, todo[:2], stop_after=1)) == ["ran"]
+    assert states(reproduce.run(spark, todo[:2])) == ["done", "ran"]
+    assert states(reproduce.run(spark, todo[:2])) == ["done", "done"]
+    found = json.loads((tmp_path / "out/experiments/A/seed1/evaluation.json").read_text())
+    assert found["run"] == "A" and found["seed"] == 1 and 0 <= found["soft"]["auroc"] <= 1
+    # another setting of a job repeats it and what comes after it
+    changed = [dataclasses.replace(todo[0], settings=todo[0].settings | {"symbols": 4}), todo[1]]
+    assert states(reproduce.run(spark, changed)) == ["ran", "ran"]
+
+
 def test_log_commits_whole_versions(spark, tmp_path):
     log = Log(spark, str(tmp_path / "log"))
     assert log.read() is None

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.operators import cleaning, splits
-from tracewarden.plans import pipelines, training
+from tracewarden.plans import pipelines, reproduce, training
 from tracewarden.sources import browser, canonical, dialogue, terminal, trials
 
 #: Seed and share of validation and test runs of each family; fixed values.
@@ -99,7 +99,7 @@ def parser() -> argparse.ArgumentParser:
     command("train", "fit a monitor and write a checkpoint", "runs", "out", symbols=16, states=16, horizon=3, epochs=24, seed=1, fit="fit", cal="cal", representation="legacy", model="soft-fsm", hidden=64, batches=4, rate=0.02, selection="direct-soft", backend="legacy", resume=0)
     command("evaluate", "metrics of a checkpoint on a locked split", "checkpoint", "runs", split="test", backend="legacy", horizon=None)
     command("sanity", "tiny run from data to evaluation", "out")
-    command("reproduce", "commands of an experiment manifest, in order", "config", families="", root=".")
+    command("reproduce", "jobs of an experiment manifest, in order; with --run 1 and --data they are done, each once", "config", families="", root=".", data="", run=0)
     command("verify", "files against a JSON list of path, rows, sha256", "expected", "root")
     command("summarize", "CSV of evaluation files by run", "results", "out")
     return top
@@ -122,7 +122,11 @@ def run(spark: SparkSession, a: argparse.Namespace):
         return sanity(spark, a.out)
     if a.command == "reproduce":
         with open(a.config, encoding="utf-8") as f:
-            plan = pipelines.experiment_plan(json.load(f), a.families.split(",") if a.families else None)
+            config = json.load(f)
+        families = a.families.split(",") if a.families else None
+        if a.run:
+            return reproduce.run(spark, reproduce.jobs(config, a.root, a.data or posixpath.join(a.root, "data"), families))
+        plan = pipelines.experiment_plan(config, families)
         return [p | {"paths": experiment_paths(a.root, p["run"], p["seed"])} for p in plan]
     if a.command == "verify":
         expected = spark.read.schema("path string, rows long, sha256 string").option("multiLine", True).json(a.expected)

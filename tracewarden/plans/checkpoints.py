@@ -34,15 +34,44 @@ def digest(arrays: dict[str, np.ndarray]) -> str:
     return h.hexdigest()
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None where there is none."""
+    system, at = _file_system(spark, path)
+    if not system.exists(at):
+        return None
+    (row,) = spark.read.text(path, wholetext=True).collect()
+    return row["value"]
+
+
+def write_once(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Puts a small file in its place by a rename, so it is there as a whole or not at all. False if one was there already
+    (unless it is replaced)."""
+    system, final = _file_system(spark, path)
+    parent = final.getParent()
+    draft = spark._jvm.org.apache.hadoop.fs.Path(parent, f".{final.getName()}-{uuid.uuid4().hex}")
+    out = system.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if replace and system.exists(final):
+        system.delete(final, False)
+    if system.exists(final) or not system.rename(draft, final):
+        system.delete(draft, False)
+        return False
+    return True
+
+
 class Log:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = hadoop.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs, _ = _file_system(spark, self.path)
 
     def _at(self, *parts: str):
-        return self._path("/".join((self.path, *parts)))
+        return _file_system(self.spark, "/".join((self.path, *parts)))[1]
 
     def versions(self) -> list[int]:
         if not self._fs.exists(self._at("log")):
@@ -51,8 +80,7 @@ class Log:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
 
     def record(self, version: int) -> dict:
-        (row,) = self.spark.read.text(f"{self.path}/log/{version:08}.json", wholetext=True).collect()
-        return json.loads(row["value"])
+        return json.loads(read_text(self.spark, f"{self.path}/log/{version:08}.json"))
 
     def commit(self, version: int, arrays: dict[str, np.ndarray], note: dict, keep: tuple[int, ...] = ()) -> None:
         """Writes a version and makes it count; data of versions other than this one and ``keep`` goes."""
@@ -63,12 +91,7 @@ class Log:
         rows = [(k, list(np.shape(v)), np.asarray(v, float).ravel().tolist()) for k, v in sorted(arrays.items())]
         self.spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").coalesce(1).write.parquet(f"{self.path}/data/{name}")
         text = json.dumps({"version": version, "data": name, "sha256": digest(arrays), "note": note}, sort_keys=True)
-        draft, final = self._at("log", f".{name}"), self._at("log", f"{version:08}.json")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
+        if not write_once(self.spark, f"{self.path}/log/{version:08}.json", text):
             raise ValueError(f"version {version} of {self.path} was committed by another run")
         used = {name} | {self.record(v)["data"] for v in have if v in keep}
         for f in self._fs.listStatus(self._at("data")):
