@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common as C
 
 KEY = "surrogates/v1"
+#: Replacements (at most some 100 bytes each) of all texts together that may be broadcast.
+MOST_ENTRIES = 100_000
 #: Tries inside an entity's own format; later ones widen it.
 ATTEMPTS = 40
 
@@ -301,7 +303,9 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     lists = C.stored(lists.where("_n > 0"), "replacements")
     plain = docs.drop("n_entities", "_new", "_n", "_titled")
     same = plain["doc_id"].eqNullSafe(lists["_id"]) & (F.xxhash64(plain["text"]) == lists["_text"])
-    rows = plain.join(C.sized_broadcast(lists), same, "left").drop("_id", "_text")
+    # a row holds all replacements of a text, so their number is what bounds a broadcast
+    entries = lists.agg(F.coalesce(F.sum(F.size("_new")), F.lit(0))).first()[0]
+    rows = plain.join(F.broadcast(lists) if entries <= MOST_ENTRIES else lists, same, "left").drop("_id", "_text")
     gaps = F.when(F.col("_titled"), F.split("text", WORDS_TOO, -1)).otherwise(F.split("text", PATTERN, -1))
     new = F.array_join(F.zip_with(gaps, "_new", lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
     return rows.withColumns({"n_entities": F.coalesce("_n", F.lit(0)).cast("long"), "text": F.when(F.col("_n").isNotNull(), new).otherwise(F.col("text"))}).drop("_new", "_n", "_titled")
