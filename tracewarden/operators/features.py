@@ -104,6 +104,27 @@ def side_channel(rows: DataFrame, key: str, tokens: str, scale: float = 1.0) ->
     return pairs.join(numbered(pairs.select("token")), "token").select(key, "token", "column", F.lit(scale).alias("value"))
 
 
+def fit_sample(rows: DataFrame, key: str, text: str, budget: int, seed: int = 42, bits: int = 12) -> DataFrame:
+    """Rows to fit on under a budget of characters: all of them where they fit, else floor(n * budget / characters) rows, one
+    at least, drawn without replacement: those with the smallest digest of seed and key, whatever the partitions. Rows
+    are counted by the first bits of their digests, so only the bucket at the boundary is put in order."""
+    held = rows.withColumn("_draw", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    bucket = F.conv(F.substring("_draw", 1, -(-bits // 4)), 16, 10).cast("int")
+    sizes = held.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce(text, F.lit("")))).alias("c")).collect()  # 2^bits numbers
+    n, chars = sum(r["n"] for r in sizes), sum(r["c"] for r in sizes)
+    if chars <= budget:
+        return rows
+    keep, below, at = max(1, n * budget // chars), 0, -1
+    for r in sorted(sizes, key=lambda r: -1 if r["_bucket"] is None else r["_bucket"]):
+        at = -1 if r["_bucket"] is None else r["_bucket"]
+        if below + r["n"] >= keep:
+            break
+        below += r["n"]
+    marked = held.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    edge = marked.where(F.col("_bucket") == at).withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_draw", key))).where(F.col("_rank") <= keep - below).drop("_rank")
+    return marked.where(F.col("_bucket") < at).unionByName(edge).drop("_draw", "_bucket")
+
+
 def write_vocabulary(vocabulary: DataFrame, path: str, **parameters) -> None:
     """A fitted vocabulary and the parameters it was fitted with, as tables below ``path``."""
     vocabulary.write.parquet(f"{path}/terms")

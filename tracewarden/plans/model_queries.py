@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
@@ -141,6 +142,38 @@ def restored_vocabulary_vectors(spark, sf):
     return features.transform(d, vocabulary, "doc_id").select("doc_id", "term", r6("value"))
 
 
+@query("""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c FROM documents), t AS (SELECT count(*) AS n, sum(c) AS c FROM d)
+SELECT x.doc_id, x.c AS n_chars FROM (SELECT *, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS r FROM d) x, t WHERE t.c <= 400000 OR r <= greatest(1, t.n * 400000 // t.c)""")
+def budgeted_fit_sample(spark, sf):
+    """the rows on which a vocabulary is fitted under a budget of characters."""
+    d = tables.read(spark, sf, "documents", "doc_id", "text")
+    return features.fit_sample(d, "doc_id", "text", 400_000).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+
+
+@query("SELECT coalesce(lang, '') AS lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def summary_round_trip(spark, sf):
+    """K2: a small summary written as sorted JSON and read again."""
+    d = tables.read(spark, sf, "documents", "lang", "n_chars").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("chars"))
+    text = canonical.summary_json(d)
+    back = spark.createDataFrame([(text if text.startswith("[") else f"[{text}]",)], "t string").select(F.explode(F.from_json("t", "array<struct<lang: string, n: long, chars: long>>")).alias("r"))
+    return back.select("r.*")
+
+
+@query("""SELECT doc_id, length(t) AS n_chars, CASE WHEN length(t) > 2048 THEN 2048 ELSE length(t) END AS kept_chars, length(t) > 2048 AS cut, CASE WHEN length(t) > 2048 THEN t[1:20] || t[-20:] ELSE '' END AS ends FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def bounded_fragments(spark, sf):
+    """Source fragments whose long strings keep both ends around a marker, with their counts."""
+    import json
+
+    @F.pandas_udf("struct<kept: string, cut: int>")
+    def bound(texts: pd.Series) -> pd.DataFrame:
+        out = [json.loads(jsons.raw_fragment({"text": t})) for t in texts]
+        return pd.DataFrame({"kept": [x["text"] for x in out], "cut": [x.get("source_raw_truncation", {}).get("string_values", 0) for x in out]})
+
+    d = tables.read(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("b", bound("t"))
+    ends = F.when(F.col("b.cut") > 0, F.concat(F.substring("b.kept", 1, 20), F.substring("b.kept", -20, 20))).otherwise("")
+    return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.length("b.kept").cast("long").alias("kept_chars"), (F.col("b.cut") == 1).alias("cut"), ends.alias("ends"))
+
+
 @query("""WITH t AS (SELECT unnest(['a=' || event_type, 'b=' || (user_id % 5)]) AS token FROM events UNION ALL SELECT 'a=' || role FROM conversations), d AS (SELECT DISTINCT token FROM t)
 SELECT token, row_number() OVER (ORDER BY token) - 1 AS "column" FROM d""")
 def union_vocabulary(spark, sf):

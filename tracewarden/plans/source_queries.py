@@ -323,6 +323,23 @@ _trials("trial_gemini_text", "gemini_cli_txt", "SELECT trajectory_id, step_index
 _trials("trial_acp", "acp_trajectory_jsonl", _ACP_ROWS, lambda: _json_lines(_acp))
 
 
+@query(f"""WITH {S.TURNS}, u AS (SELECT trajectory_id, step_index, role, text FROM turns),
+c AS (SELECT trajectory_id, step_index, row_number() OVER (PARTITION BY trajectory_id ORDER BY step_index) AS step, coalesce(lag(step_index) OVER (PARTITION BY trajectory_id ORDER BY step_index), 0) AS before FROM u WHERE role = 'assistant')
+SELECT c.trajectory_id, c.step, max(CASE WHEN u.role <> 'assistant' THEN u.step_index END) AS reasoned_at FROM c LEFT JOIN u ON u.trajectory_id = c.trajectory_id AND u.step_index > c.before AND u.step_index < c.step_index GROUP BY ALL""")
+def codex_reasoning(spark, sf):
+    """Each command goes with the last reasoning since the command before it."""
+    said = lambda t: F.concat(F.lit("turn "), t["i"].cast("string"))
+    done = lambda *f: F.to_json(F.struct(F.lit("item.completed").alias("type"), F.struct(*f).alias("item")))
+    line = lambda t: F.when(t["role"] == "assistant", done(F.lit("command_execution").alias("type"), said(t).alias("command"), F.lit(0).alias("exit_code"))).otherwise(done(F.lit("reasoning").alias("type"), said(t).alias("text")))
+    t = _collected(spark, sf).where("conv_id IS NOT NULL")
+    trial = F.concat(F.lit("/jobs/c/t"), "conv_id")
+    rows = t.select(trial.alias("trial"), F.lit("{}").alias("result"), F.lit("{}").alias("config"), F.lit("").alias("exception"), F.lit("codex_txt").alias("format"), F.concat(trial, F.lit("/agent/codex.txt")).alias("trace_path"), F.array_join(F.transform("turns", line), "\n").alias("trace"))
+    runs = trials.parse_trials(rows).where("problem IS NULL")
+    steps = runs.select(F.regexp_extract("trial", r"t(\d+)$", 1).cast("long").alias("trajectory_id"), F.posexplode("steps").alias("at", "s"))
+    reasoned = F.nullif(F.regexp_extract("s.context", r"recent_reasoning=turn (\d+)", 1), F.lit(""))
+    return steps.select("trajectory_id", (F.col("at") + 1).cast("long").alias("step"), reasoned.cast("long").alias("reasoned_at"))
+
+
 # --- files that tasks open -------------------------------------------------------------------------------------------
 
 

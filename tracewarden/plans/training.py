@@ -30,6 +30,8 @@ from tracewarden.sources import canonical
 #: Steps that one task holds at a time when it trains, unless a single run is longer.
 LIMIT = descent.GROUP_STEPS
 SELECTIONS = ("direct-soft", "discrete")
+#: Other names of selections.
+ALIASES = {"discrete-trusted": "discrete"}
 #: What may differ between a run and the one that it resumes.
 FREE = ("epochs",)
 
@@ -141,7 +143,7 @@ def train(spark: SparkSession, runs: str, out: str, symbols: int = 16, states: i
     signatures and compactness instead, and the automaton learned from its symbols selects the epoch. ``resume`` goes on
     after the last epoch committed to ``out``; ``stop_after`` ends a call early."""
     kind = model if model == "predictor" else models.model_type(model)
-    selection = "discrete" if kind == "predictor" else selection
+    selection = "discrete" if kind == "predictor" else ALIASES.get(selection, selection)
     if selection not in SELECTIONS:
         raise ValueError(f"unknown selection {selection}; known are {', '.join(SELECTIONS)}")
     log = Log(spark, f"{out}/epochs")
