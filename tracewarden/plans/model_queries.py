@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
@@ -93,6 +94,27 @@ def merged_states_and_unseen_traces(spark, sf):
     return counts.crossJoin(tree).select(F.lit(len(dfa.delta)).alias("state_count"), "prefix_tree_states", "traces", "unseen_traces", "unseen_right")
 
 
+_DAY_RUNS = f"""{S.STEPS}, dr AS (SELECT trajectory_id % 2 AS half, trajectory_id || ':' || CAST(ts AS DATE) AS trajectory_id, step_index AS pos, CAST(event_type = 'error' AS INTEGER) AS e FROM steps),
+dw AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY pos) AS step_index, count(*) OVER (PARTITION BY trajectory_id) AS n_steps, sum(e) OVER (PARTITION BY trajectory_id ORDER BY pos) % 2 AS state, sum(e) OVER (PARTITION BY trajectory_id) % 2 = 1 AS final_success FROM dr),
+dl AS (SELECT *, CAST(NOT final_success AND n_steps - step_index <= 3 AS INTEGER) AS label FROM dw),
+risk AS (SELECT state, (sum(label) + 5.0 * any_value(g)) / (count(*) + 5.0) AS score FROM dl, (SELECT avg(label) AS g FROM dl WHERE half = 0) WHERE half = 0 GROUP BY state),
+every AS (SELECT dl.*, risk.score FROM dl JOIN risk ON dl.state = risk.state), cal AS (SELECT * FROM every WHERE half = 0), held AS (SELECT * FROM every WHERE half = 1)"""
+
+
+@query(f"WITH {_DAY_RUNS}, {_evaluated('cal', 'held')}".replace("(SELECT count(*) FROM lat) AS failed_runs", "3 AS state_count"))
+def learned_monitor_evaluation(spark, sf):
+    """An automaton learned from the days of half of the users, its risks and threshold from them, its metrics on
+    the other half. A day fails by an even number of errors, so two states and a sink are to be learned."""
+    e = tables.steps(spark, sf).withColumn("day", F.to_date("ts"))
+    by_day = W.partitionBy("trajectory_id", "day")
+    s = e.withColumns({"at": F.row_number().over(by_day.orderBy("step_index")), "n_steps": F.count(F.lit(1)).over(by_day), "final_success": F.count_if(F.col("event_type") == "error").over(by_day) % 2 == 1})
+    s = s.select((F.col("trajectory_id") % 2).alias("half"), F.concat_ws(":", "trajectory_id", "day").alias("trajectory_id"), F.col("at").alias("step_index"), "n_steps", "final_success", "symbol")
+    fit, held = (s.where(F.col("half") == h).drop("half") for h in (0, 1))
+    m = pipelines.evaluate_monitor(fit, fit, held, tables.SYMBOLS, tables.HORIZON, "aalpy")["metrics"]
+    row = spark.createDataFrame([tuple(m[c] for c in (*_ROW[:-1], "state_count"))], "n long, positives long, auroc double, auprc double, ece double, brier double, threshold double, alerts long, true_alerts long, latency double, state_count int")
+    return row.select(*(r6(c) if c in ("auroc", "auprc", "ece", "brier", "threshold", "latency") else c for c in row.columns))
+
+
 def _gradient_sql() -> str:
     score = " + ".join(f"s{i} * {float(w)!r}::DOUBLE" for i, w in enumerate(_FSM.w))
     each = f"SELECT s0, s1, s2, 1 / (1 + exp(-({score} + {_FSM.b!r}::DOUBLE))) AS score, CAST(NOT final_success AND n_steps - step_index <= 3 AS INTEGER) AS label FROM pushed JOIN steps USING (trajectory_id, step_index)"
