@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zipfile
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import jsons
 from tracewarden.plans import pipelines
-from tracewarden.sources import browser, canonical, dialogue, files, terminal, trials
+from tracewarden.sources import browser, canonical, committed, dialogue, files, terminal, trials
 
 
 def run(i, ok=True, split="train", **more):
@@ -217,6 +218,32 @@ def test_only_the_manifests_traces_are_opened(spark, tmp_path):
     monkey.undo()
 
 
+def test_lines_are_committed_as_a_whole(spark, tmp_path):
+    path = tmp_path / "out"
+    df = spark.range(1000).selectExpr("if(id = 5, null, concat('line é ', id)) AS value").repartition(4)
+    committed.write_lines(df, str(path))
+    m = committed.manifest(spark, str(path)).collect()
+    assert sum(r["rows"] for r in m) == 999 and len(m) == 4 and not list((path / committed.STAGING).iterdir())
+    for r in m:
+        data = (path / r["path"]).read_bytes()
+        assert hashlib.sha256(data).hexdigest() == r["sha256"] and data.count(b"\n") == r["rows"]
+    assert sorted(r["value"] for r in committed.read_lines(spark, str(path)).collect()) == sorted(f"line é {i}" for i in range(1000) if i != 5)
+    assert all(r["ok"] for r in canonical.verify_artifacts(spark, committed.manifest(spark, str(path)), str(path)).collect())
+    with pytest.raises(Exception, match="has been written"):
+        committed.write_lines(df, str(path))
+    # a write that fails half way leaves what was there
+    bad = spark.range(1000).selectExpr("if(id = 777, raise_error('broken'), 'x') AS value").repartition(4)
+    before = sorted(f.name for f in path.iterdir())
+    for target, overwrite in ((path, True), (tmp_path / "new", False)):
+        with pytest.raises(Exception, match="broken"):
+            committed.write_lines(bad, str(target), overwrite)
+    assert sorted(f.name for f in path.iterdir()) == before and not list((tmp_path / "new").rglob("*.json*"))
+    committed.write_lines(df.limit(3), str(path), overwrite=True)
+    assert sum(r["rows"] for r in committed.manifest(spark, str(path)).collect()) == committed.read_lines(spark, str(path)).count() <= 3
+    committed.write_lines(df.limit(0), str(tmp_path / "empty"))
+    assert committed.read_lines(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_document_trace():
     payload = {"schema_version": "ATIF-v1.5", "steps": [{"source": "user", "message": "q"}, {"source": "agent", "message": "m", "tool_calls": [{"function_name": "edit", "arguments": {}}, {"function_name": "x"}], "observation": {"results": [{"content": "r0"}]}}]}
     _, s = trials.trial_steps("/a/jobs/c/t", "trajectory_json", json.dumps(payload), {}, {})

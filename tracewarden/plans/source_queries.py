@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewarden.plans import scratch, tables
 from tracewarden.plans import sql as S
 from tracewarden.plans.catalogue import QUERIES, SQL, query
-from tracewarden.sources import browser, canonical, dialogue, files, terminal, trials
+from tracewarden.sources import browser, canonical, committed, dialogue, files, terminal, trials
 
 _N = S.normal
 
@@ -373,3 +373,17 @@ def manifest_trial_folders(spark, sf):
     manifest = runs.where("n > 3").select(F.col("c").alias("position"), ids.alias("trajectory_id"), F.when(F.col("n") > 6, "fit").otherwise("cal").alias("split"))
     got = trials.read_manifest_runs(spark, manifest, folder)
     return got.select("trajectory_id", "task_id", "split", "final_success", F.size("steps").cast("long").alias("steps"))
+
+
+@query("SELECT count(*) AS rows_written, count(*) AS rows_named, count(*) AS rows_read, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, true AS digests_right FROM documents")
+def committed_lines_round_trip(spark, sf):
+    """K1, K3, K7: documents written by the committing sink; its manifest, made while they were written, held against the
+    files."""
+    path = scratch.folder(spark, "committed")
+    d = tables.read(spark, sf, "documents", "doc_id", "text")
+    committed.write_lines(d.select(F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("value")), path)
+    m = committed.manifest(spark, path)
+    checked = canonical.verify_artifacts(spark, m, path).agg(F.sum("row_count").alias("rows_written"), F.every("ok").alias("digests_right"))
+    back = committed.read_lines(spark, path).select(F.from_json("value", "doc_id long, text string").alias("r"))
+    read = back.agg(F.count("r.doc_id").alias("rows_read"), F.sum(F.length("r.text")).cast("long").alias("chars"))
+    return checked.crossJoin(m.agg(F.sum("rows").alias("rows_named"))).crossJoin(read).select("rows_written", "rows_named", "rows_read", "chars", "digests_right")  # one row each
