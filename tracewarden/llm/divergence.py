@@ -39,7 +39,7 @@ MIN_DOCS, TOP = 30, 50
 #: The sketch: rows, cells of a row, cells that travel together.
 DEPTH, WIDTH, BLOCK = 4, 1 << 20, 1 << 12
 #: Rows that a task holds before it adds equal ones up, and before it lets them go.
-MERGE_ROWS, HELD_ROWS = 500_000, 1_000_000
+MERGE_ROWS, HELD_ROWS = 200_000, 500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = table.column("group").combine_chunks()
         yield from pa.table({"lang": lang.take(group), "source": source.take(group), "term": table.column("term"), "count": table.column("count"), "docs": table.column("docs")}).to_batches(20_000)
 
-    for p in C.pieces(batches, "text", 2 * C.CHUNK_BYTES):
+    for p in C.pieces(batches, "text"):
         own = np.array([groups.setdefault(x, len(groups)) for x in zip(p.column("lang").to_pylist(), p.column("source").to_pylist(), strict=True)], np.int64)
         found, row = terms(*C.buffers(p.column("text")))
         coded = found.dictionary_encode()
@@ -94,6 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += len(key) + len(here)
         if rows > MERGE_ROWS:
             held = [_summed(held)]
+            pa.default_memory_pool().release_unused()
             rows = held[0].num_rows
             if rows > HELD_ROWS:
                 yield from named(held.pop())
