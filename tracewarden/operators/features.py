@@ -6,6 +6,8 @@ of the corpus, so it is bounded by ``max_features`` and may be broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from tracewarden.plans import scratch
 
 MAX_FEATURES = 4096
+#: Hashes that a sketch of frequent terms tracks, attempt by attempt, and how many of them it lists (the built-in's limit).
+TRACKED, LISTED = (100_000, 1_000_000), 10_000
 WORD = r"\b\w\w+\b"
 
 
@@ -26,17 +30,66 @@ def grams(tokens: Column, most: int = 2) -> Column:
 
     def of(n: int) -> Column:
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        return F.transform(at, lambda i: F.concat_ws(" ", *(F.get(tokens, i + k - 1) for k in range(n))))
 
     return F.concat(tokens, *(of(n) for n in range(2, most + 1)))
 
 
+def places(rows: DataFrame, keys: list[str], text: str = "text", most: int = 2, tokens: str | None = None) -> DataFrame:
+    """keys, term: a row for every place of an n-gram."""
+    t = rows.select(*keys, (F.col(tokens) if tokens else word_tokens(F.col(text))).alias("_tokens"))
+    return t.select(*keys, F.explode(grams(F.col("_tokens"), most)).alias("term"))
+
+
 def term_counts(rows: DataFrame, key: str | list[str], text: str = "text", most: int = 2, tokens: str | None = None) -> DataFrame:
     """key, term, tf."""
     keys = [key] if isinstance(key, str) else key
-    t = rows.withColumn("_tokens", F.col(tokens) if tokens else word_tokens(F.col(text)))
-    exploded = t.select(*keys, F.explode(grams(F.col("_tokens"), most)).alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return places(rows, keys, text, most, tokens).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def frequent_hashes(hashes: DataFrame, tracked: int, listed: int = LISTED) -> tuple[DataFrame, int, int]:
+    """h: the most frequent of the values h; how often any other may occur at most; and the number of all rows.
+
+    Tasks sketch 64-bit hashes, so a sketch has a bounded size whatever the terms are; sketches are merged block by
+    block, then once more. An estimate is never below a count, and what is not listed has an estimate no larger than
+    the least one listed: where it is tracked it comes later in the list's order, where it is not, its count is within
+    the sketch's error, which every estimate contains. Terms that share a hash only add up.
+    """
+    spark = hashes.sparkSession
+    path = scratch.folder(spark, "frequent")
+    blocks = math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    hashed = hashes.select("h", F.pmod(F.spark_partition_id(), F.lit(blocks)).alias("_block"))
+    sketch = (F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"), F.count(F.lit(1)).alias("n"))
+    empty = spark.range(0).select(F.col("id").alias("h")).agg(*sketch)  # no sketch at all cannot be merged
+    whole = hashed.groupBy("_block").agg(*sketch).drop("_block").union(empty).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    whole.select("n", F.expr(f"approx_top_k_estimate(s, {min(listed, tracked)})").alias("found")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    told = stored.select("n", F.coalesce(F.array_min(F.transform("found", lambda x: x["count"])), F.lit(0)).alias("rest")).first()
+    return stored.select(F.explode("found").alias("x")).select(F.col("x.item").alias("h")), told["rest"], told["n"]
+
+
+def leading_counts(rows: DataFrame, key: str | list[str], text: str = "text", max_features: int = MAX_FEATURES, most: int = 2, tracked: tuple[int, ...] = TRACKED) -> DataFrame:
+    """key, term, tf of terms among which are the ``max_features`` most frequent ones, written once.
+
+    A sketch lists candidates, and only their places are shuffled and counted. The counts prove the choice: as many terms
+    as asked for occur more often than any term not listed can, or the candidates make up all places. Where the largest
+    sketch proves nothing (many terms equally frequent at the boundary), all terms are counted."""
+    keys = [key] if isinstance(key, str) else key
+    found = places(rows, keys, text, most).withColumn("h", F.xxhash64("term"))
+    spark = rows.sparkSession
+    for size in tracked if max_features < LISTED else ():
+        hashes, rest, n = frequent_hashes(found, size)
+        path = scratch.folder(spark, "leading")
+        chosen = found.join(F.broadcast(hashes), "h", "left_semi")  # at most LISTED numbers
+        chosen.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")).write.parquet(path)
+        counts = spark.read.parquet(path)
+        totals = counts.groupBy("term").agg(F.sum("tf").alias("cf"))
+        seen = totals.agg(F.count_if(F.col("cf") > rest).alias("above"), F.coalesce(F.sum("cf"), F.lit(0)).alias("rows")).first()
+        if seen["above"] >= max_features or seen["rows"] == n:
+            return counts
+    path = scratch.folder(spark, "counts")
+    term_counts(rows, key, text, most).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def tfidf_vocabulary(counts: DataFrame, n_rows: int | Column, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -55,7 +108,8 @@ def tfidf(counts: DataFrame, vocabulary: DataFrame, key: str | list[str]) -> Dat
 
 
 def fit_transform(rows: DataFrame, key: str | list[str], text: str = "text", max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
-    counts = term_counts(rows, key, text)
+    """The rows' vectors and the vocabulary that is fitted on them."""
+    counts = leading_counts(rows, key, text, max_features)
     vocabulary = tfidf_vocabulary(counts, rows.count(), max_features)
     return tfidf(counts, vocabulary, key), vocabulary
 

@@ -303,7 +303,7 @@ vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM {table})) / (1 + count(*)))
 @query(f"WITH {_GRAMS.format(key='doc_id', table='documents')} SELECT term, CAST(cf AS BIGINT) AS cf, df, round(idf, 6) AS idf FROM vocab")
 def tfidf_terms(spark, sf):
     d = tables.read(spark, sf, "documents", "doc_id", "text")
-    return features.tfidf_vocabulary(features.term_counts(d, "doc_id"), d.count()).select("term", "cf", "df", r6("idf"))
+    return features.tfidf_vocabulary(features.leading_counts(d, "doc_id"), d.count()).select("term", "cf", "df", r6("idf"))
 
 
 @query(f"""WITH {_GRAMS.format(key='doc_id', table='documents')}, v AS (SELECT doc_id, term, tf * idf AS raw FROM counts JOIN vocab USING (term))

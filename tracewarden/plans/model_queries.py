@@ -158,7 +158,7 @@ def restored_vocabulary_vectors(spark, sf):
     d = tables.read(spark, sf, "documents", "doc_id", "text", "lang")
     fit = d.where("lang = 'en'")
     path = scratch.folder(spark, "vocabulary")
-    features.write_vocabulary(features.tfidf_vocabulary(features.term_counts(fit, "doc_id"), fit.count()), path, max_features=features.MAX_FEATURES, grams=(1, 2))
+    features.write_vocabulary(features.tfidf_vocabulary(features.leading_counts(fit, "doc_id"), fit.count()), path, max_features=features.MAX_FEATURES, grams=(1, 2))
     vocabulary, parameters = features.read_vocabulary(spark, path)
     assert parameters == {"max_features": features.MAX_FEATURES, "grams": (1, 2)}
     return features.transform(d, vocabulary, "doc_id").select("doc_id", "term", r6("value"))
