@@ -75,6 +75,19 @@ def test_artifacts(spark, tmp_path):
     assert got["x.jsonl"]["ok"] and not got["y.jsonl"]["ok"] and not got["y.jsonl"]["found"]
 
 
+@pytest.mark.parametrize("piece", [1, 3, 5, 1000])
+def test_artifacts_pass_piece_by_piece(spark, tmp_path, piece):
+    (tmp_path / "d").mkdir()
+    texts = {"a": b"one\n \n\ntwo\n  x", "b": "é é\n\n".encode() * 3, "c": b"\n \n", "e": b"no end"}
+    for name, text in texts.items():
+        (tmp_path / "d" / name).write_bytes(text)
+    rows = [(n, sum(x.strip(b" ") != b"" for x in t.split(b"\n")), hashlib.sha256(t).hexdigest()) for n, t in texts.items()]
+    expected = spark.createDataFrame([*rows, ("f", None, None)], "path string, rows long, sha256 string")
+    got = {r["path"]: r for r in canonical.verify_artifacts(spark, expected, str(tmp_path / "d"), piece).collect()}
+    assert all(got[n]["ok"] and (got[n]["row_count"], got[n]["digest"]) == (k, h) for n, k, h in rows) and not got["f"]["found"]
+    assert canonical._passed(str(tmp_path / "d" / "a"), piece) == (rows[0][2], rows[0][1])
+
+
 def test_dialogue(spark, tmp_path):
     call = lambda i, n: {"id": i, "name": n, "arguments": {"k": 1}}
     messages = [

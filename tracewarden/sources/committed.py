@@ -27,6 +27,8 @@ from tracewarden.sources.files import located
 
 MANIFEST = "manifest.json"
 STAGING = "_staging"
+#: Lines that are put into one piece at a time.
+LINES = 64
 
 
 @dataclass
@@ -55,11 +57,12 @@ class _LineWriter(DataSourceArrowWriter):
         h, rows = hashlib.sha256(), 0
         with system.open_output_stream(posixpath.join(staging, name)) as f:
             for batch in iterator:
-                lines = [x for x in batch.column("value").to_pylist() if x is not None]
-                data = "".join(f"{x}\n" for x in lines).encode()
-                h.update(data)
-                f.write(data)
-                rows += len(lines)
+                for i in range(0, batch.num_rows, LINES):
+                    lines = [x for x in batch.column("value").slice(i, LINES).to_pylist() if x is not None]
+                    data = "".join(f"{x}\n" for x in lines).encode()
+                    h.update(data)
+                    f.write(data)
+                    rows += len(lines)
         return Written(name, rows, h.hexdigest())
 
     def commit(self, messages: list[Written | None]) -> None:
