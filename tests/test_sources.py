@@ -88,6 +88,17 @@ def test_artifacts_pass_piece_by_piece(spark, tmp_path, piece):
     assert canonical._passed(str(tmp_path / "d" / "a"), piece) == (rows[0][2], rows[0][1])
 
 
+def test_result_files_stay_small(spark, tmp_path, monkeypatch):
+    from tracewarden.plans import catalogue, scratch, source_queries  # noqa: F401
+
+    monkeypatch.setattr(scratch, "folder", lambda spark, name: str(tmp_path / name))
+    talk = spark.range(5000).selectExpr("id AS conv_id", "explode(array(0L, 1L)) AS turn").selectExpr("conv_id", "turn", "if(turn = 0, 'user', 'assistant') AS role", "concat('t', conv_id) AS text")
+    talk.write.parquet(str(tmp_path / "sf" / "conversations.parquet"))
+    assert catalogue.QUERIES["dialogue_result_steps"](spark, str(tmp_path / "sf")).count() == sum(i % 11 < 10 for i in range(5000))
+    files_ = list((tmp_path / "results").glob("bundle=*/*.json"))
+    assert len(files_) == 20 and all(len(json.loads(f.read_text())["simulations"]) <= 256 for f in files_)
+
+
 def test_dialogue(spark, tmp_path):
     call = lambda i, n: {"id": i, "name": n, "arguments": {"k": 1}}
     messages = [

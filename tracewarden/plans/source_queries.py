@@ -116,7 +116,8 @@ SELECT 'tau2-shop-t' || trajectory_id AS task_id, trajectory_id % 4 = 0 AS final
   CAST(segment AS INTEGER) AS step_index, n_steps, 'respond' AS tool_name, action_text, coalesce(replies, 'NONE') || CASE WHEN others > 6 THEN chr(10) || '... ' || (others - 6) || ' more message(s)' ELSE '' END AS result_text,
   CASE WHEN segment = n_steps THEN CASE WHEN trajectory_id % 4 = 0 THEN 'success' ELSE 'failure' END ELSE 'ok' END AS status FROM n""")
 def dialogue_result_steps(spark, sf):
-    """Result files of four bundles; one conversation in eleven names a task that no file has."""
+    """Result files of four bundles; one conversation in eleven names a task that no file has. A bundle
+    has a file for every 1024 conversation ids, so files stay small and grow in number."""
     message = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"), F.concat(F.lit("m"), t["i"].cast("string")).alias("id"))
     key = F.col("conv_id").cast("string")
     basis = F.when(F.col("conv_id") % 4 == 1, '["db", "communicate"]').when(F.col("conv_id") % 4 == 3, "DB")
@@ -125,10 +126,10 @@ def dialogue_result_steps(spark, sf):
         F.struct((F.col("conv_id") % 4 == 0).cast("double").alias("reward"), basis.alias("reward_basis")).alias("reward_info"), F.transform("turns", message).alias("messages"),
     )
     task = F.struct(F.concat(F.lit("t"), key).alias("id"), F.lit("do it").alias("description"))
-    files = _collected(spark, sf).groupBy((F.col("conv_id") % 4).alias("bundle")).agg(F.collect_list(F.when(F.col("conv_id") % 11 < 10, task)).alias("tasks"), F.collect_list(sim).alias("simulations"))
+    files = _collected(spark, sf).groupBy((F.col("conv_id") % 4).alias("bundle"), F.expr("conv_id div 1024").alias("part")).agg(F.collect_list(F.when(F.col("conv_id") % 11 < 10, task)).alias("tasks"), F.collect_list(sim).alias("simulations"))
     path = scratch.folder(spark, "results")
     info = F.struct(F.struct(F.lit("shop").alias("domain_name")).alias("environment_info"))
-    files.select("bundle", info.alias("info"), "tasks", "simulations").write.partitionBy("bundle").json(path)
+    files.select("bundle", info.alias("info"), "tasks", "simulations").write.partitionBy("bundle").option("maxRecordsPerFile", 1).json(path)
     s = dialogue.steps(dialogue.read_results(spark, path))
     return s.select("task_id", "final_success", "failure_bucket", "step_index", "n_steps", "tool_name", "action_text", "result_text", "status")
 

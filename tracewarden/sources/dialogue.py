@@ -30,8 +30,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     files = files.withColumn("stem", F.regexp_extract("file", r"([^/]+)\.json$", 1)).withColumn("bundle", bundle(F.col("stem")))
     domain = F.coalesce(F.nullif(F.col("info.environment_info.domain_name"), F.lit("")), F.col("bundle.domain"))
     name = lambda who: F.coalesce(f"info.{who}.llm", f"info.{who}.implementation", F.lit("UNKNOWN"))
-    sims = files.select("file", "stem", domain.alias("domain"), F.col("bundle.policy").alias("policy"), name("agent_info").alias("agent_model"), name("user_info").alias("user_model"), "tasks", F.explode("simulations").alias("sim"))
-    return sims.withColumn("task", F.get(F.filter("tasks", lambda t: t["id"] == F.col("sim.task_id")), 0)).drop("tasks")
+    sims = files.select("file", "stem", domain.alias("domain"), F.col("bundle.policy").alias("policy"), name("agent_info").alias("agent_model"), name("user_info").alias("user_model"), F.explode(F.transform("simulations", lambda s: F.struct(s.alias("sim"), F.get(F.filter("tasks", lambda t: t["id"] == s["task_id"]), 0).alias("task")))).alias("x"))
+    return sims.select("*", "x.sim", "x.task").drop("x")  # each with its own task: no row carries the file's tasks
 
 
 def missing_tasks(results: DataFrame) -> DataFrame:
