@@ -78,6 +78,21 @@ def test_adapter(spark, tmp_path):
     assert adapter.load(tmp_path / "s.json") == SPEC
 
 
+def test_projection_of_repeated_lines_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tracewarden.plans import catalogue, step_queries  # noqa: F401
+
+    texts = ["a\nb\na\n\na", "respond\nrespond", "", "x y\nx  y\nobservation=z\nx y", "task_name=second\nbash\nBash"]
+    talk = spark.createDataFrame([(c, t, "user", texts[(c + t) % 5]) for c in range(24) for t in range(5)], "conv_id long, turn long, role string, text string")
+    talk.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["adapter_projection"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalogue.SQL["adapter_projection"]).fetchall())
+    assert adapter.step_views(step_queries.calls(spark, str(tmp_path)), step_queries.SPEC).where("size(array_distinct(metadata_lines)) < size(metadata_lines)").isEmpty()
+
+
 @pytest.mark.parametrize("change", [{"extra": 1}, {"version": "v2"}, {"trace_family": "x"}, {"confidence": SPEC["confidence"] | {"tool": 1.5}}, {"field_mapping": SPEC["field_mapping"] | {"metadata_sources": []}}, {"policies": SPEC["policies"] | {"max_observation_units": 0}}])
 def test_bad_specs(change):
     with pytest.raises(adapter.SpecError):

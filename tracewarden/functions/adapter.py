@@ -164,16 +164,17 @@ def status(spec: dict, result: Column) -> Column:
     return F.when(own != T.NONE, own).otherwise(derived) if policy["mode"] == "native_or_derive" else derived
 
 
-def step_views(steps: DataFrame, spec: dict, max_units: int | None = None) -> DataFrame:
-    """``steps`` projected by a spec: metadata_lines, observation_lines, the fields and reduction_stats. Reducers without
-    an own rule (kv_blocks, none) take the best lines."""
+def step_views(steps: DataFrame, spec: dict, max_units: int | None = None, repeats: bool = False) -> DataFrame:
+    """``steps`` projected by a spec: metadata_lines (each once, or with ``repeats`` as often as it stands there),
+    observation_lines, the fields and reduction_stats. Reducers without an own rule (kv_blocks, none) take the best lines."""
     check(spec)
     m, k = spec["field_mapping"], max_units or spec["policies"]["max_observation_units"]
+    meta = F.flatten(F.array(*(_lines_of(x) for x in m["metadata_sources"])))
     s = T.staged(
         steps,
         {"_split": render.split_context(T.full_lines("context"))},
         {"_md": F.col("_split.md"), "_obs": F.col("_split.obs")},
-        {"_meta": F.array_distinct(F.flatten(F.array(*(_lines_of(x) for x in m["metadata_sources"])))), "_lines": _lines_of(m["observation_source"])},
+        {"_meta": meta if repeats else F.array_distinct(meta), "_lines": _lines_of(m["observation_source"])},
         {"_action": _field(m["action_source"]), "_tool": tool(spec), "_args": F.coalesce("tool_args", F.lit("{}")) if m["args_source"] != "none" else F.lit("{}"), "_result": _field(m["result_source"])},
         {"_status": status(spec, F.col("_result"))},
         {n: F.when(F.col(f"_{x}") == "", T.NONE).otherwise(F.col(f"_{x}")) for n, x in (("action_text", "action"), ("tool_name", "tool"), ("tool_args", "args"), ("result_text", "result"), ("status", "status"))},
