@@ -280,6 +280,16 @@ def test_bad_trials_are_reported(spark, tmp_path):
     assert r["problem"] and r["steps"] == []
 
 
+def test_runs_are_handed_on_as_they_come(spark):
+    line = json.dumps({"type": "item.completed", "item": {"type": "command_execution", "command": "c", "exit_code": 0}})
+    cells = [F.concat(F.lit("/jobs/c/t"), "id").alias("trial"), *(F.lit(x).alias(n) for n, x in (("result", "{}"), ("config", "{}"), ("exception", ""), ("format", "codex_txt"))), F.when(F.col("id") % 7 < 6, line).otherwise("{").alias("trace")]
+    t = spark.range(50, numPartitions=2).select(*cells)
+    for held in (1, 10**9):
+        r = trials.parse_trials(t, held_bytes=held).collect()
+        assert len(r) == 50 and sum(x["problem"] is not None for x in r) == 7 and all(len(x["steps"]) == (x["problem"] is None) for x in r)
+        assert {x["trajectory_id"] for x in r if x["steps"]} == {f"skillsbench::c::t{i}" for i in range(50) if i % 7 < 6}
+
+
 def test_bounded_json():
     counts = {}
     out = jsons.bounded({"a": "x" * 3000, "b": list(range(20))}, counts)
