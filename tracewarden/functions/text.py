@@ -55,8 +55,8 @@ def lines(c: Column | str) -> Column:
 
 
 def full_lines(c: Column | str) -> Column:
-    """Normalised lines that aren't empty."""
-    return F.filter(F.transform(lines(c), normalize), lambda x: x != "")
+    """Normalised lines that aren't empty. The text is split once, as an empty line at the end is none here anyway."""
+    return F.filter(F.transform(F.split(F.coalesce(column(c), F.lit("")), LINE_BREAK, -1), normalize), lambda x: x != "")
 
 
 def any_of(tests: Iterable[Column]) -> Column:
@@ -106,6 +106,12 @@ def role_of(line: Column) -> Column:
     return first_match(((low.startswith("assistant:"), "assistant"), (low.startswith("user:"), "user"), (low.startswith("tool[") | low.startswith("tool:"), "tool"), (low.startswith("system:"), "system")), F.lit(None).cast("string"))
 
 
+def listed(df: DataFrame, keys: list[str], items: str, position: str, item: str) -> DataFrame:
+    """keys, position (from 0) and item: a row for each item of an array made before. Rows without items go after the array is
+    spread: a test of its size beforehand would make the array a second time, and what it is made of anew for each item."""
+    return df.select(*keys, F.posexplode_outer(items).alias(position, item)).where(F.col(position).isNotNull())
+
+
 def staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
     """Columns added stage by stage, so that a value used often is computed once and the plan stays small."""
     for stage in stages:

@@ -162,7 +162,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, statu
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, line FROM k WHERE k <= 8""")
 def observation_topk_lines(spark, sf):
     d = tables.read(spark, sf, "documents", "doc_id", "text").withColumns({"lines": T.full_lines("text"), "hints": F.array(F.lit("tion"), F.lit("ing"))})
-    return R.add_best(d, "lines", "hints", "top", 8).select("doc_id", F.posexplode("top").alias("pos", "line"))
+    return T.listed(R.add_best(d, "lines", "hints", "top", 8), ["doc_id"], "top", "pos", "line")
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT doc_id, line, i, CAST(starts_with(lower(line), 'licensed') OR starts_with(lower(line), 'this work') OR starts_with(line, '```') OR starts_with(lower(line), 'the ') OR i = 1 AS INTEGER) AS fresh FROM full_lines),
@@ -171,7 +171,7 @@ SELECT doc_id, CAST(unit AS INTEGER) AS unit, count(*) AS n_lines, string_agg(li
 def log_block_segments(spark, sf):
     d = tables.read(spark, sf, "documents", "doc_id", "text").withColumn("lines", T.full_lines("text"))
     opens = lambda x: T.starts_any(F.lower(x), ("licensed", "this work", "the ")) | x.startswith("```")
-    u = R.add_units(d, "lines", "units", opens).select("doc_id", F.posexplode("units").alias("unit", "u"))
+    u = T.listed(R.add_units(d, "lines", "units", opens), ["doc_id"], "units", "unit", "u")
     return u.select("doc_id", "unit", F.size("u").cast("long").alias("n_lines"), F.array_join("u", " ").alias("text"))
 
 
@@ -191,7 +191,7 @@ def _dialogue_lines(spark, sf):
 SELECT trajectory_id, CAST(unit AS INTEGER) AS unit, string_agg(line, ' ' ORDER BY i) AS text FROM u GROUP BY trajectory_id, unit""")
 def dialogue_turn_units(spark, sf):
     u = R.add_units(_dialogue_lines(spark, sf), "lines", "units", R.opens_turn)
-    return u.select("trajectory_id", F.posexplode("units").alias("unit", "u")).select("trajectory_id", "unit", F.array_join("u", " ").alias("text"))
+    return T.listed(u, ["trajectory_id"], "units", "unit", "u").select("trajectory_id", "unit", F.array_join("u", " ").alias("text"))
 
 
 @query(f"""WITH {_TURN_LINES}, s AS (SELECT *, lag(speaker) OVER (PARTITION BY trajectory_id ORDER BY i) AS before FROM spoken WHERE speaker IS NOT NULL),
