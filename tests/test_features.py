@@ -68,3 +68,26 @@ def test_an_estimate_bounds_what_is_not_listed(spark):
         hashes, rest, n = features.frequent_hashes(places, tracked, 200)
         listed = {r["h"] for r in hashes.collect()}
         assert n == sum(true.values()) and max(c for h, c in true.items() if h not in listed) <= rest
+
+
+def test_words_are_runs_of_word_characters(spark):
+    chars = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"a{x} {x}{x}b {x} c{x}d{x}",) for x in chars], "text string")
+    old = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    assert df.where(features.word_tokens(F.col("text")) != old).isEmpty()
+
+
+def test_only_known_terms_are_counted(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "cc bb"), (3, "dd"), (4, None)], "id long, text string")
+    known = spark.createDataFrame([("aa", 1.0), ("aa bb", 2.0), ("bb", 1.5)], "term string, idf double")
+    out = features.transform(df, known, "id")
+    assert {(r["id"], r["term"]): r["value"] for r in out.collect()} == {(r["id"], r["term"]): r["value"] for r in features.tfidf(features.term_counts(df, "id"), known, "id").collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Aggregate")  # below it
+
+
+def test_units_are_made_once(spark):
+    from tracewarden.plans import catalogue
+
+    plan = catalogue.QUERIES["log_block_segments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1

@@ -17,7 +17,8 @@ from tracewarden.plans import scratch
 MAX_FEATURES = 4096
 #: Hashes that a sketch of frequent terms tracks, attempt by attempt, and how many of them it lists (the built-in's limit).
 TRACKED, LISTED = (100_000, 1_000_000), 10_000
-WORD = r"\b\w\w+\b"
+#: A run of word characters; boundaries need no test, as a match begins and ends where the run does.
+WORD = r"\w\w+"
 
 
 def word_tokens(text: Column) -> Column:
@@ -194,8 +195,10 @@ def read_vocabulary(spark, path: str) -> tuple[DataFrame, dict]:
 
 
 def transform(rows: DataFrame, vocabulary: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
-    """Rows in the space of a fitted vocabulary."""
-    return tfidf(term_counts(rows, key, text), vocabulary, key)
+    """Rows in the space of a fitted vocabulary: only places of its terms are shuffled and counted."""
+    keys = [key] if isinstance(key, str) else key
+    known = places(rows, keys, text).join(F.broadcast(vocabulary.select("term")), "term", "left_semi")  # at most max_features rows
+    return tfidf(known.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")), vocabulary, key)
 
 
 def mean_vector(vectors: Column) -> Column:
