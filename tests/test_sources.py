@@ -290,6 +290,21 @@ def test_runs_are_handed_on_as_they_come(spark):
         assert {x["trajectory_id"] for x in r if x["steps"]} == {f"skillsbench::c::t{i}" for i in range(50) if i % 7 < 6}
 
 
+def test_manifest_runs_are_read_once(spark, tmp_path):
+    line = json.dumps({"type": "item.completed", "item": {"type": "command_execution", "command": "c", "exit_code": 0}})
+    for i in range(3):
+        trial(tmp_path / "jobs" / "c" / f"t{i}", "agent/codex.txt", line)
+    listed = trials.list_trials(spark, str(tmp_path))
+    ids = {r["trial"].rsplit("/", 1)[1]: r["trajectory_id"] for r in trials.parse_trials(trials.read_trials(listed), strict=True).collect()}
+    manifest = spark.createDataFrame([(i, ids[f"t{i}"], "fit") for i in range(2)], "position long, trajectory_id string, split string")
+    try:
+        got = trials.read_manifest_runs(spark, manifest, str(tmp_path))
+    finally:
+        for f in tmp_path.rglob("codex.txt"):
+            f.unlink()
+    assert [(r["trajectory_id"], len(r["steps"])) for r in got.collect()] == [(ids["t0"], 1), (ids["t1"], 1)]
+
+
 def test_bounded_json():
     counts = {}
     out = jsons.bounded({"a": "x" * 3000, "b": list(range(20))}, counts)
