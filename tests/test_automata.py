@@ -8,6 +8,7 @@ from tracewarden.operators import automata, merging, models
 from tracewarden.plans import pipelines
 
 POSITIVE, NEGATIVE = [[0, 1], [0, 1, 1]], [[1], [1, 0]]
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("backend", list(automata.METHODS))
@@ -144,3 +145,35 @@ def test_induction_takes_any_number_of_traces(spark, monkeypatch):
     at_hand = automata.induce(df, 2)
     monkeypatch.setattr(automata, "AT_HAND", 0)
     assert automata.induce(df, 2) == at_hand
+
+
+def counted(spark, frame):
+    """``frame`` and a counter of the rows whose symbol was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def symbol(x):
+        seen.add(1)
+        return x
+
+    return frame.withColumn("symbol", symbol(F.col("symbol").cast("int"))), seen
+
+
+@pytest.mark.parametrize("method", ["rpni", "edsm"])
+def test_only_blue_fringe_lists_prefixes(spark, method, monkeypatch):
+    def listed(symbols):
+        raise AssertionError("prefixes are listed")
+
+    monkeypatch.setattr(merging, "_prefixes", listed)
+    df = spark.createDataFrame([(t, True) for t in POSITIVE] + [(t, False) for t in NEGATIVE], "symbols array<int>, positive boolean")
+    assert merging.learn_frame(df, 3, method) == automata.learn(POSITIVE, NEGATIVE, 3, method)
+
+
+def test_traces_of_the_merged_states_are_made_once(spark, monkeypatch):
+    from tracewarden.plans import model_queries, tables
+
+    s = tables.steps(spark, SF)
+    frame, seen = counted(spark, s)
+    monkeypatch.setattr(tables, "steps", lambda spark, sf: frame)
+    assert model_queries.merged_states_and_unseen_traces(spark, SF).first()["state_count"] == 3
+    assert seen.value == s.count()

@@ -76,11 +76,12 @@ def _prefixes(symbols: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(symbols)), lambda k: F.slice(symbols, F.lit(1), k))
 
 
-def trials(live: DataFrame, core: Core, red: list[int], labels: dict[int, int], blue: tuple[int, int] | None = None) -> dict[tuple[int, int, int], tuple[int, int]]:
-    """For each pair of a blue state (q, a) and a red one r that can be merged: states removed and labels that agree."""
+def trials(live: DataFrame, core: Core, red: list[int], labels: dict[int, int], blues: list[tuple[int, int]], removals: bool = True) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """For each pair of a blue state (q, a) of ``blues`` and a red one r that can be merged: states removed and labels that
+    agree. Only ``removals`` needs the prefixes of all rows; without it the states removed are given as 0."""
     leaving = live.where(F.size("s") > 0).select(F.col("q").alias("q0"), F.get("s", 0).alias("a0"), F.slice("s", F.lit(2), F.size("s")).alias("rest"), "s", "positive")
-    if blue is not None:
-        leaving = leaving.where((F.col("q0") == blue[0]) & (F.col("a0") == blue[1]))
+    if len(blues) == 1:
+        leaving = leaving.where((F.col("q0") == blues[0][0]) & (F.col("a0") == blues[0][1]))
     pair = ["q0", "a0", "r"]
     met = core.walked(leaving.select("q0", "a0", F.explode(F.lit(red)).alias("r"), "rest", "positive").withColumn("q", F.col("r")), "q", "rest", extra=True)
     yes = F.col("positive").cast("int")
@@ -93,12 +94,15 @@ def trials(live: DataFrame, core: Core, red: list[int], labels: dict[int, int],
     clash = (F.col("x") != F.col("y")) | F.coalesce(F.col("z") != F.col("x"), F.lit(False))
     agreed = F.col("n") - F.when(F.col("z").isNull(), 1).otherwise(0)
     left = beside.groupBy(*pair).agg(F.max(clash.cast("int")).alias("x"), F.lit(0).alias("y"), F.sum(agreed).alias("n"))
-    # prefixes that are not there yet
-    nodes = live.where(F.size("s") > 0).select("q", F.explode(_prefixes("s")).alias("prefix")).distinct()
-    made = again.select(*pair, "q", F.explode(_prefixes("rest")).alias("prefix")).distinct().join(nodes, ["q", "prefix"], "left_anti")
-    new = made.groupBy(*pair).agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.count(F.lit(1)).alias("n"))
-    own = nodes.groupBy(F.col("q").alias("q0"), F.get("prefix", 0).alias("a0"), F.lit(-1).alias("r")).agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.count(F.lit(1)).alias("n"))
-    tagged = [f.select(F.lit(kind).alias("kind"), *pair, (F.col("q") if kind == "ended" else F.lit(-1)).alias("q"), "x", "y", "n") for kind, f in (("ended", ended), ("left", left), ("new", new), ("own", own))]
+    parts = [("ended", ended), ("left", left)]
+    if removals:
+        # prefixes that are not there yet
+        nodes = live.where(F.size("s") > 0).select("q", F.explode(_prefixes("s")).alias("prefix")).distinct()
+        made = again.select(*pair, "q", F.explode(_prefixes("rest")).alias("prefix")).distinct().join(nodes, ["q", "prefix"], "left_anti")
+        new = made.groupBy(*pair).agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.count(F.lit(1)).alias("n"))
+        own = nodes.groupBy(F.col("q").alias("q0"), F.get("prefix", 0).alias("a0"), F.lit(-1).alias("r")).agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.count(F.lit(1)).alias("n"))
+        parts += [("new", new), ("own", own)]
+    tagged = [f.select(F.lit(kind).alias("kind"), *pair, (F.col("q") if kind == "ended" else F.lit(-1)).alias("q"), "x", "y", "n") for kind, f in parts]
     every = tagged[0]
     for t in tagged[1:]:
         every = every.unionByName(t)
@@ -116,8 +120,7 @@ def trials(live: DataFrame, core: Core, red: list[int], labels: dict[int, int],
             has = labels.get(r["q"], 0)
             bad |= {key} if r["x"] != r["y"] or has * (2 * r["y"] - 1) < 0 else set()
             same[key] = same.get(key, 0) + r["n"] - (0 if has else 1)
-    blues = [blue] if blue is not None else sorted(size)
-    return {(q, a, r): (size[q, a] - stays.get((q, a, r), 0), same.get((q, a, r), 0)) for q, a in blues for r in red if (q, a, r) not in bad}
+    return {(q, a, r): (size.get((q, a), 0) - stays.get((q, a, r), 0), same.get((q, a, r), 0)) for q, a in blues for r in red if (q, a, r) not in bad}
 
 
 def learn_frame(traces: DataFrame, alphabet: int, method: str = "blue-fringe", sink_rejects: bool = True) -> Dfa:
@@ -140,7 +143,7 @@ def learn_frame(traces: DataFrame, alphabet: int, method: str = "blue-fringe", s
             break
         red = [q for _, q in sorted(promoted)]
         order = sorted(fringe, key=lambda b: fringe[b])
-        fits = trials(live, core, red, labels, None if method == "edsm" else order[0])
+        fits = trials(live, core, red, labels, order if method == "edsm" else order[:1], removals=method == "blue-fringe")
         live.unpersist()
         best, stuck = None, None
         for q, a in order if method == "edsm" else order[:1]:

@@ -84,7 +84,7 @@ t AS (SELECT string_split(symbols, ',') AS t FROM f), p AS (SELECT DISTINCT t[1:
 SELECT 3 AS state_count, (SELECT count(*) FROM p) AS prefix_tree_states, (SELECT count(*) FROM f) AS traces, count(*) AS unseen_traces, count(*) AS unseen_right FROM h""")
 def merged_states_and_unseen_traces(spark, sf):
     """Merging over rows, learned from half of the users and held against the other half's new traces."""
-    t = _parity_traces(spark, sf)
+    t = scratch.written(_parity_traces(spark, sf), "traces")
     fit, held = t.where("half = 0").select("symbols", "positive"), t.where("half = 1").select("symbols", "positive")
     dfa = merging.learn_frame(fit, tables.SYMBOLS, "edsm")
     unseen = held.join(fit, "symbols", "left_anti").withColumn("states", automata.replay(F.col("symbols"), dfa))
