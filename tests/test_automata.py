@@ -177,3 +177,11 @@ def test_traces_of_the_merged_states_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(tables, "steps", lambda spark, sf: frame)
     assert model_queries.merged_states_and_unseen_traces(spark, SF).first()["state_count"] == 3
     assert seen.value == s.count()
+
+
+def test_an_evaluation_replays_its_steps_once(spark):
+    s = steps(spark, [("a", [0, 0], True), ("b", [1, 1], False)])
+    (cal, of_cal), (held, of_held) = counted(spark, s), counted(spark, s)
+    m = pipelines.evaluate_monitor(s, cal, held, 2, horizon=1, min_support=1)["metrics"]
+    assert (m["trusted_auroc"], m["calibration_prefixes"]) == (1.0, 4)
+    assert 0 < of_cal.value <= 8 and 0 < of_held.value <= 8  # a replay reads them for the traces and for the join

@@ -109,6 +109,7 @@ def learned_monitor_evaluation(spark, sf):
     by_day = W.partitionBy("trajectory_id", "day")
     s = e.withColumns({"at": F.row_number().over(by_day.orderBy("step_index")), "n_steps": F.count(F.lit(1)).over(by_day), "final_success": F.count_if(F.col("event_type") == "error").over(by_day) % 2 == 1})
     s = s.select((F.col("trajectory_id") % 2).alias("half"), F.concat_ws(":", "trajectory_id", "day").alias("trajectory_id"), F.col("at").alias("step_index"), "n_steps", "final_success", "symbol")
+    s = scratch.written(s, "days")
     fit, held = (s.where(F.col("half") == h).drop("half") for h in (0, 1))
     m = pipelines.evaluate_monitor(fit, fit, held, tables.SYMBOLS, tables.HORIZON, "aalpy")["metrics"]
     row = spark.createDataFrame([tuple(m[c] for c in (*_ROW[:-1], "state_count"))], "n long, positives long, auroc double, auprc double, ece double, brier double, threshold double, alerts long, true_alerts long, latency double, state_count int")

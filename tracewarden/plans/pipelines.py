@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.operators import automata, metrics, prefixes
+from tracewarden.plans import scratch
 from tracewarden.sources import canonical
 
 
@@ -21,12 +22,13 @@ def inspect(spark: SparkSession, path: str, horizon: int = 3) -> dict:
 
 def evaluate_monitor(fit: DataFrame, cal: DataFrame, held: DataFrame, symbols: int, horizon: int = 3, backend: str = "legacy", min_support: int = metrics.MIN_SUPPORT, alpha: float = metrics.ALPHA, bins: int = metrics.BINS) -> dict:
     """Learns an automaton on ``fit``, takes state risks and the threshold from ``cal`` and evaluates on ``held`` (steps
-    frames with symbols). Returns the automaton, one row of metrics, and the scored frames."""
+    frames with symbols). Returns the automaton, one row of metrics, and the scored frames. Replayed steps and risks are
+    written once, so the metrics read them and replay nothing."""
     dfa = automata.induce(automata.symbol_traces(fit), symbols, backend)
     spark = fit.sparkSession
-    label = lambda s: automata.replay_steps(s, dfa).withColumn("label", prefixes.failure_label(horizon))
-    calibration, scored = label(cal), label(held)
-    risk = metrics.state_risk(dfa.states(spark), calibration, alpha)
+    label = lambda s, name: scratch.written(automata.replay_steps(s, dfa).withColumn("label", prefixes.failure_label(horizon)), name)
+    calibration, scored = label(cal, "calibration"), label(held, "held")
+    risk = scratch.written(metrics.state_risk(dfa.states(spark), calibration, alpha), "risk")
     cal_scored, held_scored = metrics.score_prefixes(calibration, risk), metrics.score_prefixes(scored, risk)
     found = metrics.f1_threshold(cal_scored).first()
     threshold = 0.5 if found is None or found["threshold"] is None else found["threshold"]
@@ -35,7 +37,8 @@ def evaluate_monitor(fit: DataFrame, cal: DataFrame, held: DataFrame, symbols: i
     latency = metrics.detection_latency(held_scored, threshold).first()
     sure = metrics.detection_latency(held_scored, threshold, only_trusted=min_support).first()
     row = {f"trusted_{k}" if k in ("auroc", "auprc", "ece", "brier") else k: v for k, v in row.items()} | every
-    row |= {"state_count": len(dfa.delta), "latency": latency["latency"], "trusted_latency": sure["latency"], "alert_lead_time": 1 - sure["latency"], "calibration_prefixes": calibration.count(), "calibration_positive_rate": calibration.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]}
+    known = calibration.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate")).first()
+    row |= {"state_count": len(dfa.delta), "latency": latency["latency"], "trusted_latency": sure["latency"], "alert_lead_time": 1 - sure["latency"], "calibration_prefixes": known["n"], "calibration_positive_rate": known["rate"]}
     return {"dfa": dfa, "metrics": row, "calibration": cal_scored, "scored": held_scored, "risk": risk}
 
 
