@@ -305,6 +305,45 @@ def test_manifest_runs_are_read_once(spark, tmp_path):
     assert [(r["trajectory_id"], len(r["steps"])) for r in got.collect()] == [(ids["t0"], 1), (ids["t1"], 1)]
 
 
+def test_trials_are_listed_by_few_tasks(spark, tmp_path):
+    """What Spark's own listing finds, but without a task for every few files."""
+    for i in range(200):
+        trial(tmp_path / "jobs" / f"c{i % 2}" / f"t {i}é%20#", "agent/codex.txt", "x")
+    home = tmp_path / "jobs" / "c0" / "t 0é%20#"
+    deep = home / "agent" / "sessions" / "projects" / "trajectory"
+    trial(deep.parent, "trajectory/acp_trajectory.jsonl", "x")  # a trial's only trace, and the other's best one
+    for name in (".git/x", "_work/x", "_k=1/x", "k=1/_x", "x._COPYING_", "empty", "exception.txt", "a/exception.txt"):
+        (home / name).parent.mkdir(exist_ok=True)
+        (home / name).write_text("" if name == "empty" else "x")
+    (home / "gone").symlink_to(tmp_path / "nothing")
+    root, tracker = f"file://{tmp_path}/", spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        found = {r["trial"]: r for r in trials.list_trials(spark, root).collect()}
+        tasks = sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks < 400 and len(found) == 201
+    first, inner = found[f"file:{home}"], found[f"file:{deep.parent}"]
+    assert (first["format"], first["trace_path"], first["exception_path"]) == ("claude_session_jsonl", f"file:{deep}/acp_trajectory.jsonl", f"file:{home}/exception.txt")
+    assert (inner["format"], inner["trace_path"], inner["exception_path"]) == ("acp_trajectory_jsonl", f"file:{deep}/acp_trajectory.jsonl", None)
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    assert sorted(files.listed(spark, root).collect()) == sorted(theirs.collect())
+    with pytest.raises(FileNotFoundError):
+        files.listed(spark, str(tmp_path / "nothing"))
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    """Rows that one task holds are dealt out before their files are opened."""
+    for i in range(20):
+        (tmp_path / f"{i}").write_text(f"é{i}")
+    rows = spark.range(20, numPartitions=1).select("id", F.when(F.col("id") > 0, F.concat(F.lit(f"{tmp_path}/"), "id")).alias("path"))
+    got = files.fetched(rows, {"path": "text"}).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["id"]: r["text"] for r in got} == {i: f"é{i}" if i else None for i in range(20)} and len({r["task"] for r in got}) == 4
+
+
 def test_bounded_json():
     counts = {}
     out = jsons.bounded({"a": "x" * 3000, "b": list(range(20))}, counts)

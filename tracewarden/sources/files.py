@@ -10,15 +10,19 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Unpacked bytes of the members that one task reads, unless a single member is larger.
 PART_BYTES = 32 << 20
+#: Names that a listing hands on at a time, unless a single directory has more.
+LISTED_ROWS = 10_000
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -48,6 +52,44 @@ def below(path: str, suffix: str) -> list[str]:
     return sorted(i.path for i in found if i.type == fs.FileType.File and i.path.endswith(suffix))
 
 
+def _seen(name: str) -> bool:
+    """Whether Spark's file sources look at a name."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Directories and files that aren't empty directly in the folders of ``path``."""
+    for b in batches:
+        paths, folders = [], []
+        for i, folder in enumerate(b.column("path").to_pylist(), 1):
+            system, at = located(folder)
+            for x in system.get_file_info(fs.FileSelector(at)):
+                if _seen(x.base_name) and (x.type == fs.FileType.Directory or (x.type == fs.FileType.File and x.size != 0)):
+                    paths.append(f"{folder.rstrip('/')}/{x.base_name}")
+                    folders.append(x.type == fs.FileType.Directory)
+            if len(paths) >= LISTED_ROWS or i == b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], names=["path", "folder"])
+                paths, folders = [], []
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of every file below the directory ``root`` that Spark's file sources would read: not the empty ones, nor names
+    that begin with a dot or an underscore. Tasks list the directories, level by level; the driver gets their number alone."""
+    from tracewarden.plans import scratch
+
+    system, at = located(root)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no directory {root}")
+    top = f"file:{posixpath.normpath(at)}" if isinstance(system, fs.LocalFileSystem) else root
+    folders, n, levels = spark.range(1).select(F.lit(top).alias("path")), 1, []
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while n:
+        levels.append(scratch.written(folders.repartition(min(n, most)).mapInArrow(_looked, "path string, folder boolean"), "listed"))
+        folders = levels[-1].where("folder").select("path")
+        n = folders.count()
+    return reduce(DataFrame.unionByName, levels).where("NOT folder").select("path")
+
+
 @dataclass
 class MemberRange(InputPartition):
     archive: str
@@ -141,7 +183,7 @@ def placed(rows: DataFrame) -> DataFrame:
 
 def fetched(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``rows`` with the texts of the files that the path columns name (path column: text column); null paths give null.
-    Files are opened one at a time, by the task that has the row."""
+    Rows are dealt out to as many tasks as a shuffle has, however few hold them; a task opens its files one at a time."""
     names = rows.columns
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,4 +195,4 @@ def fetched(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names), *texts], names=[*names, *columns.values()])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), *(f"`{c}` string" for c in columns.values())])
-    return rows.mapInArrow(fetch, schema)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(fetch, schema)
